@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchgrid.functions.scalars import ratio
+from watchgrid.session import materialize
 from watchgrid.plans.running import exact_quantiles, running_totals
 
 
@@ -40,9 +41,11 @@ def drift_moments(rows: DataFrame, features: list[str], splits: tuple[str, ...]
 
 
 def _counts(rows: DataFrame, features: list[str]) -> DataFrame:
+    """Rows per feature value and split, written once: several passes follow."""
     values = rows.unpivot(["split"], features, "feature", "value").where("value is not null")
-    return values.groupBy("feature", "value").pivot("split", ["train", "valid", "test"]).agg(
+    counted = values.groupBy("feature", "value").pivot("split", ["train", "valid", "test"]).agg(
         F.count(F.lit(1))).fillna(0, ["train", "valid", "test"])
+    return materialize(counted, "value-counts")
 
 
 def psi(rows: DataFrame, features: list[str], bins: int = 10, eps: float = 1e-6) -> DataFrame:

@@ -240,7 +240,7 @@ def weekday_rate(masked: DataFrame, weeks: tuple[int, ...] = (4, 12)) -> DataFra
 
 def window_rates(masked: DataFrame, windows: tuple[int, ...] = (2, 5, 14, 60, 180)) -> DataFrame:
     return masked.select("*", *[
-        (trailing(m, k) / F.least(F.col("i") + 1, F.lit(k))).alias(f"{m}_rate_{k}d")
+        (trailing(m, k) / F.least(F.col("i") + 1, F.lit(k))).alias(f"seq_{m}_rate_{k}d")
         for m in ("alarm", "observed") for k in windows])
 
 
@@ -321,6 +321,19 @@ def recurrence(masked: DataFrame, mask: str) -> DataFrame:
         ((F.col(f"{mask}_age") + 1) / (ema + 1)).alias(f"{mask}_cycle_fraction"))
 
 
+def channel_mart(masked: DataFrame) -> DataFrame:
+    """All per-channel features of the daily mart that need no other table.
+
+    Chained select by select; every window has the same partitioning, so the
+    plan holds a single exchange by channel however many features are added.
+    """
+    steps = (rolling_sums, active_day_rates, running_history, trends, days_since, streaks, lag_zero,
+             change_weekday, transition_rates, alarm_dynamics, numeric_regime, weekday_rate, window_rates, ewm)
+    for step in steps:
+        masked = masked.transform(step)
+    return masked
+
+
 # --- feature lists --------------------------------------------------------------
 
 def feature_columns(schema: T.StructType, keys: list[str], categorical: list[str], labels: list[str]) -> list[str]:

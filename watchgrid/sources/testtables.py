@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from watchgrid.operators import aggregate as agg
 from watchgrid.operators import features, joins, labels
 from watchgrid.operators import objects as objects_ops
+from watchgrid.session import materialize
 from watchgrid.sources import catalogs
 from watchgrid.sources.journal import clean_journal
 
@@ -132,8 +133,13 @@ def wide_scores(spark: SparkSession, sf: str) -> DataFrame:
 MODELS = ["persistence", "frequency", "smoothed", "blend"]
 
 
+def score_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The scores written once: metrics pass over them several times, not over the journal."""
+    return materialize(wide_scores(spark, sf), "scores")
+
+
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """The same scores in long form: (model, object_id, date, labels, score)."""
-    wide = wide_scores(spark, sf)
+    wide = score_table(spark, sf)
     keys = [c for c in wide.columns if c not in MODELS]
     return wide.unpivot(keys, MODELS, "model", "score")
