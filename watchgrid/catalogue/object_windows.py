@@ -35,7 +35,7 @@ def lag_null(spark, sf):
 _MEANS = [f"{c}_mean{k}" for c in vocab.OBJECT_SIGNALS for k in (3, 7, 28)]
 
 
-@query("object_features", 'SELECT od.object_id, "date", coalesce(o.object_kind, \'unknown\') AS object_kind, coalesce(o.parent_id, \'unknown\') AS parent_id, '
+@query("object_features", 'SELECT object_id, "date", object_kind, parent_id, '
        + ", ".join([*vocab.MODEL_COUNTERS, "observed_channels", "alarm_channels", "fault_channels", "no_power_channels", "catalog_channels", "alarm_today", "observed_today"])
        + ", round(observed_channels / catalog_channels, 6) AS observed_fraction, round(alarm_channels / nullif(observed_channels, 0), 6) AS alarm_channel_fraction, "
        + ", ".join(f"{run(f'lag({c}, {n})')} AS {c}_lag{n}" for c in vocab.OBJECT_SIGNALS for n in (1, 2, 7, 14)) + ", "
@@ -44,7 +44,8 @@ _MEANS = [f"{c}_mean{k}" for c in vocab.OBJECT_SIGNALS for k in (3, 7, 28)]
  CASE WHEN alarm_today = 1 THEN i - coalesce({run('max(CASE WHEN alarm_today = 0 THEN i END)')}, -1) ELSE 0 END AS alarm_streak,
  coalesce(i - {run('max(CASE WHEN alarm_today = 1 THEN i END)')}, -1) AS days_since_alarm, isodow("date" + 2) - 1 AS target_dayofweek,
  round(sin(2 * pi() * dayofyear("date") / 365.25), 6) AS annual_sin, round(cos(2 * pi() * dayofyear("date") / 365.25), 6) AS annual_cos
-FROM od LEFT JOIN objects o ON o.object_id = od.object_id""")
+FROM (SELECT od.*, coalesce(o.object_kind, 'unknown') AS object_kind, coalesce(o.parent_id, 'unknown') AS parent_id
+ FROM od LEFT JOIN objects o ON o.object_id = od.object_id)""")
 def object_features(spark, sf):
     return rounded(O.with_signals(T.object_mart(spark, sf)))
 
