@@ -1 +1,173 @@
-"""Placeholder."""
+"""Modelling operators that run as Spark jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from watchgrid import vocab
+from watchgrid.catalogue.registry import query, rounded
+from watchgrid.operators import evaluation as E
+from watchgrid.operators import features as W
+from watchgrid.operators import labels as L
+from watchgrid.operators import models as M
+from watchgrid.operators import objects as O
+from watchgrid.session import materialize
+from watchgrid.sources import testtables as T
+
+NUMERIC = ["alarm_today", "observed_fraction", "historical_alarm_frequency", "alarm_streak", "days_since_alarm",
+           "alarm_channels_mean7", "events_count_mean7", "observed_channels_lag1", "alarm_channels_lag7"]
+CATEGORICAL = ["object_kind"]
+
+
+def frames(spark, sf):
+    """(train, tune, test) of the object design, written once before the fits."""
+    mart = L.label_onset(O.with_signals(T.object_mart(spark, sf)))
+    design = materialize(mart.select(
+        "object_id", "date", "parent_id", *CATEGORICAL, *NUMERIC, "alarm_target", "onset_target", "quiet_intermediate",
+        "joint_target"), "design")
+    d = F.col("date")
+    return (design.where(d <= T.day(T.TRAIN_END)), design.where(d.between(*[T.day(x) for x in T.TUNE])),
+            design.where(d.between(*[T.day(x) for x in T.TEST])))
+
+
+@query("baseline_scores", """
+SELECT ol.object_id, ol."date", 1.0 AS always, CAST(alarm_today AS DOUBLE) AS persistence, round(coalesce(pos / n, 0), 6) AS frequency
+FROM ol LEFT JOIN rates USING (object_id)""")
+def baseline_scores(spark, sf):
+    return rounded(M.baseline_scores(T.labelled(spark, sf), T.day(T.TRAIN_END)).select(
+        "object_id", "date", "always", "persistence", "frequency"))
+
+
+@query("fit_boosted")
+def fit_boosted(spark, sf):
+    train, tune, test = frames(spark, sf)
+    share = train.agg(F.avg("alarm_target")).scalar()
+    weighted = [df.withColumn("weight", F.when(F.col("alarm_target") == 1, 1 - share).otherwise(share)) for df in (train, tune)]
+    model = M.fit_boosted(*weighted, NUMERIC, CATEGORICAL, "alarm_target", weight="weight", iterations=20)
+    return M.score_boosted(model, test, NUMERIC, CATEGORICAL, "score").select("object_id", "date", "alarm_target", "score")
+
+
+@query("fit_logistic")
+def fit_logistic(spark, sf):
+    train, _, test = frames(spark, sf)
+    model = M.fit_logistic(train, NUMERIC, CATEGORICAL, "onset_target")
+    return M.score_logistic(model, test, NUMERIC, CATEGORICAL, "score").select("object_id", "date", "onset_target", "score")
+
+
+def _spline_sql(c: str) -> str:
+    """Quadratic B-splines from divided differences of truncated powers."""
+    parts = []
+    for i in range(1, 5):
+        t = [f"t{j}" for j in range(i, i + 4)]
+        terms = []
+        for a in t:
+            denominator = " * ".join(f"({b} - {a})" for b in t if b != a)
+            terms.append(f"pow(greatest({a} - x, 0), 2) / ({denominator})")
+        # (t[i+3] - t[i]) times the divided difference of (t - x)^2_+ is the basis.
+        parts.append(f"round(({t[3]} - {t[0]}) * -1 * ({' + '.join(terms)}), 6) + 0.0 AS {c}_s{i}")
+    return ", ".join(parts)
+
+
+@query("spline_basis", f"""
+SELECT channel_id, "date", {_spline_sql('value_sum')} FROM (
+ SELECT cd.channel_id, cd."date", greatest(k[1], least(k[4], value_sum)) AS x, k[1] - 2 * (k[2] - k[1]) AS t0, k[1] - (k[2] - k[1]) AS t1,
+  k[1] AS t2, k[2] AS t3, k[3] AS t4, k[4] AS t5, k[4] + (k[4] - k[3]) AS t6, k[4] + 2 * (k[4] - k[3]) AS t7
+ FROM (SELECT channel_id, "date", round(value_sum, 4) AS value_sum FROM cd) cd
+ CROSS JOIN (SELECT quantile_cont(round(value_sum, 4), [0.0, 0.3333333333333333, 0.6666666666666666, 1.0]) AS k FROM cd))""")
+def spline_basis(spark, sf):
+    rows = materialize(T.channel_days(spark, sf).select("channel_id", "date", F.round("value_sum", 4).alias("value_sum")), "rows")
+    out = M.spline_basis(rows, M.spline_knots(rows, ["value_sum"]), ["value_sum"])
+    return rounded(out.drop("value_sum"))
+
+
+@query("rare_category_map", " UNION ALL ".join(f"""
+SELECT * FROM (SELECT '{c}' AS column_name, coalesce({c}, '<MISSING>') AS value, count(*) AS n,
+ row_number() OVER (ORDER BY count(*) DESC, coalesce({c}, '<MISSING>')) AS code
+ FROM cd LEFT JOIN chan_cat k USING (channel_id) GROUP BY 2) WHERE code <= 20""" for c in ("object_id", "engineering_system", "parent_id")))
+def rare_category_map(spark, sf):
+    rows = T.channel_days(spark, sf).select("channel_id", "date").join(T.catalog(spark, sf), "channel_id", "left")
+    return rounded(M.rare_category_map(rows, ["object_id", "engineering_system", "parent_id"], 20))
+
+
+@query("encode_categories", """
+WITH m AS (SELECT channel_id, row_number() OVER (ORDER BY count(*) DESC, channel_id) AS code FROM cd WHERE "date" <= DATE '2024-01-15' GROUP BY 1)
+SELECT cd.channel_id, cd."date", CASE WHEN code <= 50 THEN code ELSE 0 END AS channel_id_code FROM cd LEFT JOIN m USING (channel_id)""")
+def encode_categories(spark, sf):
+    rows = T.channel_days(spark, sf).select("channel_id", "date")
+    mapping = M.rare_category_map(rows.where(F.col("date") <= T.day(T.TRAIN_END)), ["channel_id"], 50)
+    return rounded(M.encode_categories(rows, mapping, ["channel_id"]))
+
+
+@query("hurdle_score")
+def hurdle_score(spark, sf):
+    train, _, test = frames(spark, sf)
+    return M.hurdle(train, test, NUMERIC, CATEGORICAL).select("object_id", "date", "onset_target", "p_quiet", "p_alarm", "score")
+
+
+@query("joint_score")
+def joint_score(spark, sf):
+    train, _, test = frames(spark, sf)
+    return M.joint(train, test, NUMERIC).select("object_id", "date", "score")
+
+
+@query("blend_scores", """
+SELECT object_id, "date", round(0.25 * persistence + 0.75 * frequency, 6) AS quarter, round(persistence / 3 + frequency / 3 + smoothed / 3, 6) AS thirds,
+ round(persistence * smoothed, 6) AS product FROM wide_scores""")
+def blend_scores(spark, sf):
+    wide = T.wide_scores(spark, sf)
+    out = M.blend(wide, {"persistence": 0.25, "frequency": 0.75}, "quarter")
+    out = M.blend(out, {m: 1 / 3 for m in ("persistence", "frequency", "smoothed")}, "thirds")
+    return rounded(M.product(out, ["persistence", "smoothed"], "product").select("object_id", "date", "quarter", "thirds", "product"))
+
+
+@query("expert_routing", """
+SELECT s.object_id, s."date", CASE WHEN o.object_kind IN ('k0', 'k1') THEN s.frequency ELSE s.smoothed END AS routed
+FROM wide_scores s LEFT JOIN objects o USING (object_id)""")
+def expert_routing(spark, sf):
+    wide = T.score_table(spark, sf)
+    system = T.objects(spark, sf).where("object_kind IN ('k0', 'k1')").select("object_id")
+    experts = wide.join(system, "object_id", "left_semi").select("object_id", "date", F.col("frequency").alias("score"))
+    return M.route_experts(wide, experts, ["object_id", "date"], "smoothed", "routed").select("object_id", "date", "routed")
+
+
+@query("select_model", """
+WITH m AS (SELECT model, count(*) FILTER (r <= 10 AND alarm_target = 1) / count(*) FILTER (r <= 10) AS precision FROM (
+  SELECT *, row_number() OVER (PARTITION BY model, "date" ORDER BY score DESC, object_id) AS r FROM scores) GROUP BY model),
+ a AS (SELECT model, sum(pos / p * precision) AS average_precision FROM curve GROUP BY model),
+ j AS (SELECT model, round(m.precision, 6) AS precision, round(average_precision, 6) AS average_precision FROM m JOIN a USING (model)),
+ p AS (SELECT *, row_number() OVER (ORDER BY precision DESC, average_precision DESC, model) AS place FROM j)
+SELECT *, CAST(place = 1 AS BIGINT) AS selected, CAST(precision >= (SELECT precision FROM j WHERE model = 'persistence') AS BIGINT) AS passes_gate FROM p""")
+def select_model(spark, sf):
+    rows = T.scores(spark, sf)
+    counts = materialize(E.score_counts(rows, ["model"], "alarm_target"), "score-counts")
+    ap = E.average_precision(E.curve(counts, ["model"]), ["model"])
+    best = E.budget_metrics(rows, ["model"], "alarm_target", (10,)).select("model", "precision")
+    return rounded(M.select_model(rounded(best.join(ap, "model")), "persistence"))
+
+
+@query("score_batch")
+def score_batch(spark, sf):
+    train, _, test = frames(spark, sf)
+    model = M.fit_logistic(train, NUMERIC, CATEGORICAL, "alarm_target")
+    return M.score_batch(M.score_logistic(model, test, NUMERIC, CATEGORICAL, "score"), ["object_id", "date"], 0.3)
+
+
+@query("rolling_refit")
+def rolling_refit(spark, sf):
+    # Monthly refits at the end of the long history.
+    rows = W.window_rates(W.trends(W.active_day_rates(T.long_grid(spark, sf), (7, 28)).withColumn(
+        "events_count_sum_7d", W.trailing("events_count", 7))), (14, 60))
+    labelled = L.label_lead(rows, "channel_id", F.col("alarm"), 1)
+    numeric = ["alarm", "alarm_trend_7_28", "events_trend_1_7", "seq_alarm_rate_14d", "seq_alarm_rate_60d"]
+    design = materialize(labelled.select("channel_id", "date", "target", *numeric), "design")
+    months = [("2001-05-01", "2001-05-31"), ("2001-06-01", "2001-06-30"), ("2001-07-01", "2001-07-31")]
+    return M.rolling_refit(design, months, numeric, "target").select("period", "train_end", "channel_id", "date", "target", "score")
+
+
+@query("permutation_importance")
+def permutation_importance(spark, sf):
+    train, tune, test = frames(spark, sf)
+    model = M.fit_logistic(train, NUMERIC, [], "alarm_target")
+    rows = materialize(tune.unionByName(test).where("alarm_target IS NOT NULL"), "rows")
+    return M.permutation_importance(rows, lambda df: M.score_logistic(model, df, NUMERIC, [], "score"),
+                                    NUMERIC, ["object_id", "date"], "alarm_target")
