@@ -136,18 +136,18 @@ BATCH_COLUMNS = ["channel_id", "date", "events_count", "alarm_count"]
 SEED_END = "2024-01-03"
 
 
-def batches(spark, sf):
+def batches(spark, sf, columns=BATCH_COLUMNS):
     """Daily deliveries after the bootstrap: original, exact repeat, late correction of every fifth day."""
-    rows = T.channel_days(spark, sf).select(*BATCH_COLUMNS, F.col("date").alias("day"))
+    rows = T.channel_days(spark, sf).select(*columns, F.col("date").alias("day"))
+    others = [c for c in columns if c != "alarm_count"]
     published = versions.issue_time(F.col("day"))
     kinds = F.explode(F.filter(
         F.array(F.struct(F.lit("a").alias("batch_id"), F.lit(0).alias("hours"), F.lit(0).alias("extra")),
                 F.struct(F.lit("b").alias("batch_id"), F.lit(0).alias("hours"), F.lit(0).alias("extra")),
                 F.struct(F.lit("c").alias("batch_id"), F.lit(12).alias("hours"), F.lit(3).alias("extra"))),
         lambda k: (k["hours"] == 0) | (F.dayofmonth("day") % 5 == 0)))
-    return rows.where(F.col("day") > T.day(SEED_END)).select(
-        "channel_id", "date", "events_count", "alarm_count", "day", kinds.alias("k")).select(
-        "channel_id", "date", "events_count", (F.col("alarm_count") + F.col("k.extra")).alias("alarm_count"), "day",
+    return rows.where(F.col("day") > T.day(SEED_END)).select("*", kinds.alias("k")).select(
+        *others, (F.col("alarm_count") + F.col("k.extra")).alias("alarm_count"), "day",
         (published + F.make_dt_interval(hours=F.col("k.hours"))).alias("available_at"),
         F.col("k.batch_id").alias("batch_id"))
 

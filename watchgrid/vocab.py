@@ -82,3 +82,44 @@ OBJECT_HEADERS = {
     "родитель": "parent_id",
     "диспетчерское_название_объекта": "object_name",
 }
+
+# Fixed texts shown on forecast cards.
+NOTE_NO_RECORDS = "Нет записей за день; исправность не подтверждена."
+NOTE_RECORDS = "Наличие записей не гарантирует полное покрытие наблюдения."
+NO_OBSERVATION = "Нет наблюдения"
+
+# Fixed review rules: id, facts that support it, text with the facts' placeholders.
+REVIEW_RULES = {
+    "NO_RECORDS_TODAY": (
+        ["observed_channels", "events_today"],
+        "За день признаков записи не зарегистрированы. Проверьте доступность источника данных "
+        "и журнал поступления. По отсутствию записей состояние оборудования не установлено."),
+    "PARTIAL_CATALOG_RECORDS": (
+        ["observed_channels", "catalog_channels"],
+        "Записи есть по {observed_channels} из {catalog_channels} справочных каналов. "
+        "Уточните ожидаемый режим регистрации и полноту поступления; отсутствие записей "
+        "по каналу не доказывает неисправность."),
+    "ALARM_RECORDED_TODAY": (
+        ["current_alarm", "alarm_channels"],
+        "В день признаков уже были тревожные записи. Сопоставьте их с журналом диспетчера "
+        "и ранее принятыми решениями; необходимость осмотра определяет диспетчер."),
+    "MULTIPLE_ALARM_DAYS": (
+        ["alarm_days_7d", "observed_days_7d"],
+        "За последние семь календарных дней тревожные записи отмечены в {alarm_days_7d} днях. "
+        "Проверьте их повторяемость и предыдущую отработку по журналу."),
+    "SELECTED_FOR_REVIEW": (
+        ["warning"],
+        "Объект включён в очередь проверки. Сопоставьте доступные наблюдения и журнал "
+        "диспетчера; модельная оценка сама по себе не подтверждает поломку."),
+    "OUTSIDE_WARNING_POLICY": (
+        ["warning"],
+        "Объект не выбран действующей политикой предупреждений. Отсутствие предупреждения "
+        "не подтверждает исправность; дополнительных оснований для рекомендации "
+        "в переданных фактах нет."),
+}
+
+# Field names that would leak outcomes into a release.
+OUTCOME_FIELDS = [
+    "outcome", "outcomes", "actual", "target_any_object_alarm_d_plus_2", "onset_target",
+    "alarm_target", "joint_target", "quiet_intermediate", "records_intermediate", "records_target",
+]
