@@ -1 +1,64 @@
-"""Placeholder."""
+"""Streaming jobs run to the end of their input, compared with the batch results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from watchgrid import vocab
+from watchgrid.catalogue.joins import BATCH_COLUMNS, SEED_END, batches
+from watchgrid.catalogue.registry import query, rounded
+from watchgrid.operators import versions
+from watchgrid.session import shared_folder
+from watchgrid.sources import testtables as T
+from watchgrid.streaming import journal as S
+
+# Days whose window the watermark has passed: all but the last one.
+CLOSED = 'WHERE "date" < (SELECT max("date") FROM cd)'
+
+
+def live_journal(spark, sf):
+    schema = T.table(spark, sf, "events").schema
+    return T.journal_columns(S.read_stream(spark, sf, schema, "events.parquet"))
+
+
+@query("stream_channel_daily", f"""
+SELECT channel_id, "date", {', '.join(vocab.DAILY_COUNTERS)}, round(value_sum, 6) AS value_sum, value_min, value_max FROM cd {CLOSED}""")
+def stream_channel_daily(spark, sf):
+    return rounded(S.run_to_end(S.stream_channel_daily(live_journal(spark, sf)), "stream-daily").drop("value_sumsq"))
+
+
+@query("stream_intraday", f"""
+SELECT channel_id, "date", intra_alarm_count_last6h, intra_alarm_count_last12h, intra_events_last6h, intra_last_timestamp_ties,
+ round(intra_first_event_minute, 6) AS intra_first_event_minute, CAST(intra_first_event_is_alarm AS BIGINT) AS intra_first_event_is_alarm,
+ round(intra_last_event_minute, 6) AS intra_last_event_minute, CAST(intra_last_event_is_alarm AS BIGINT) AS intra_last_event_is_alarm,
+ round(intra_last_alarm_minute, 6) AS intra_last_alarm_minute FROM intra {CLOSED}""")
+def stream_intraday(spark, sf):
+    return rounded(S.run_to_end(S.stream_intraday(live_journal(spark, sf)), "stream-intraday"))
+
+
+@query("stream_late_batches", """
+SELECT channel_id, "date", events_count, alarm_count + CASE WHEN day("date") % 5 = 0 AND "date" < DATE '2024-01-20' THEN 3 ELSE 0 END AS alarm_count
+FROM cd WHERE "date" > DATE '2024-01-03' AND "date" <= DATE '2024-01-20'""")
+def stream_late_batches(spark, sf):
+    inbox = shared_folder(spark, "inbox")
+    # Corrections of one day arrive with the originals of the next: order by availability.
+    delivered = batches(spark, sf)
+    delivered.repartitionByRange(4, "available_at").write.parquet(inbox)
+    stored = S.run_to_end(S.stream_batches(S.read_stream(spark, inbox, delivered.schema)), "versions")
+    return versions.visible_batches(stored, T.day("2024-01-20")).select(*BATCH_COLUMNS)
+
+
+@query("stream_alarm_state", """
+SELECT channel_id, "date", coalesce(i - max(CASE WHEN alarm = 1 THEN i END) OVER w, -1) AS days_since_alarm,
+ CASE WHEN alarm = 1 THEN i - coalesce(max(CASE WHEN alarm = 0 THEN i END) OVER w, -1) ELSE 0 END AS alarm_streak
+FROM g WINDOW w AS (PARTITION BY channel_id ORDER BY "date") QUALIFY observed = 1""")
+def stream_alarm_state(spark, sf):
+    """Two deliveries; the second run starts from the state of the first."""
+    inbox, folder = shared_folder(spark, "inbox"), shared_folder(spark, "alarm-state")
+    days = T.channel_days(spark, sf).select("channel_id", "date", "alarm_count")
+    split = T.day("2024-01-12")
+    for part in (days.where(F.col("date") <= split), days.where(F.col("date") > split)):
+        # A channel's days stay in one file: they are few, and their order matters.
+        part.repartition("channel_id").write.mode("append").parquet(inbox)
+        out = S.run_to_end(S.stream_alarm_state(S.read_stream(spark, inbox, days.schema)), "alarm-state", folder)
+    return rounded(out)

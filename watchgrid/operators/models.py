@@ -20,6 +20,7 @@ from watchgrid.operators.evaluation import average_precision, curve, score_count
 from watchgrid.operators.features import sanitize
 from watchgrid.operators.quality import require_columns
 from watchgrid.plans.running import exact_quantiles, ranked
+from watchgrid.session import materialize
 
 SEED = 84
 
@@ -252,7 +253,7 @@ def permutation_importance(rows: DataFrame, score, features: list[str], keys: li
     features to one with a ``score`` column.
     """
     order = [F.col(k) for k in keys]
-    base = ranked(rows.select(*keys, label, *features), [], order, "_position")
+    base = materialize(ranked(rows.select(*keys, label, *features), [], order, "_position"), "positions")
     copies = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"))
                        for f in features for r in range(repeats)])
     exploded = base.withColumn("_c", F.explode(copies)).select(
@@ -265,7 +266,8 @@ def permutation_importance(rows: DataFrame, score, features: list[str], keys: li
         *[F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features])
     plain = base.select(*keys, label, F.lit("").alias("feature"), F.lit(0).alias("repeat"), *features)
     by = ["feature", "repeat"]
-    ap = average_precision(curve(score_counts(score(swapped.unionByName(plain)), by, label), by), by)
+    counts = materialize(score_counts(score(swapped.unionByName(plain)), by, label), "score-counts")
+    ap = average_precision(curve(counts, by), by)
     whole = ap.where("feature = ''").agg(F.max("average_precision")).scalar()
     drops = ap.where("feature <> ''").withColumn("drop", whole - F.col("average_precision"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("spread"),

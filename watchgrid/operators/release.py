@@ -15,6 +15,7 @@ from watchgrid import vocab
 from watchgrid.operators.ranking import rank_queue
 from watchgrid.operators.versions import fingerprints, forecast_window
 from watchgrid.plans.running import ranked
+from watchgrid.session import materialize
 from watchgrid.sources.catalogs import with_parent
 
 
@@ -219,4 +220,5 @@ def without_outcomes(df: DataFrame) -> DataFrame:
 
 
 def ranked_cards(scored: DataFrame, objects: DataFrame, k: int) -> DataFrame:
-    return rank_queue(build_cards(scored, objects), k)
+    # Ranking passes over its input three times; the cards are written first.
+    return rank_queue(materialize(build_cards(scored, objects), "unranked"), k)

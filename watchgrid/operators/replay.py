@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from watchgrid.operators import objects as O
 from watchgrid.operators import release, versions
 from watchgrid.operators.quality import expect_empty
+from watchgrid.session import materialize
 
 
 def forecast_day(history: DataFrame, channel_objects: DataFrame, objects: DataFrame, score: Callable[[DataFrame], DataFrame],
@@ -37,7 +38,8 @@ def replay_days(days: Iterable[str], seed: DataFrame, batches: DataFrame, channe
         date = F.lit(day).cast("date")
         expect_empty(versions.history_problems(seed, batches, columns, seed_end, date), f"history for {day}")
         history = versions.assemble_history(seed, batches, date)
-        cards = forecast_day(history, channel_objects, objects, score, start, day, cutoff, k)
+        cards = materialize(forecast_day(history, channel_objects, objects, score, start, day, cutoff, k), "cards")
         digest = F.sha2(F.lit(f"{model_sha256}|{day}"), 256)
-        new += release.publish(release.build_runs(cards, model_sha256, digest), cards, path)
+        runs = materialize(release.build_runs(cards, model_sha256, digest), "runs")
+        new += release.publish(runs, cards, path)
     return new

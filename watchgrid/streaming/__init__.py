@@ -1,0 +1 @@
+"""Structured Streaming jobs with the semantics of the batch operators."""
