@@ -242,11 +242,14 @@ ctx{k} AS (SELECT channel_id, "date", i, alarm, observed, {out} AS now, {came} A
 
 @query("context_memory", "WITH " + ", ".join(_memory_sql(k)[1] for k in (1, 2, 3)) + " UNION ALL ".join(_memory_sql(k)[0] for k in (1, 2, 3)))
 def context_memory(spark, sf):
-    grid = T.grid(spark, sf).select("channel_id", "date", "i", "alarm", "observed")
-    parts = [W.context_memory(grid, k).select(
-        "channel_id", "date", F.lit(k).alias("context_days"), F.col(f"pattern{k}_alarm").alias("p_alarm"),
-        F.col(f"pattern{k}_observed").alias("p_observed"), F.col(f"pattern{k}_support").alias("support")) for k in (1, 2, 3)]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    # One chain for the three orders: the grid is built and exchanged once.
+    out = T.grid(spark, sf).select("channel_id", "date", "i", "alarm", "observed")
+    for k in (1, 2, 3):
+        out = W.context_memory(out, k)
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(k).alias("context_days"), F.col(f"pattern{k}_alarm").alias("p_alarm"),
+        F.col(f"pattern{k}_observed").alias("p_observed"), F.col(f"pattern{k}_support").alias("support")) for k in (1, 2, 3)]))
+    return rounded(out.select("channel_id", "date", rows.alias("r")).select("channel_id", "date", "r.*"))
 
 
 def _recurrence_sql(m: str) -> str:
@@ -261,13 +264,14 @@ FROM (SELECT *, coalesce(list(CAST(gap AS DOUBLE)) FILTER (gap IS NOT NULL) {OVE
 
 @query("recurrence", " UNION ALL ".join(_recurrence_sql(m) for m in ("alarm", "observed")))
 def recurrence(spark, sf):
-    parts = []
+    out = T.grid(spark, sf).select("channel_id", "date", "i", "alarm", "observed")
     for m in ("alarm", "observed"):
-        out = W.recurrence(T.grid(spark, sf).select("channel_id", "date", "i", "alarm", "observed"), m)
-        parts.append(out.select("channel_id", "date", F.lit(m).alias("mask"), F.col(f"{m}_age").alias("age"),
-                                F.col(f"{m}_last_gap").alias("last_gap"), F.col(f"{m}_gap_ema").alias("gap_ema"),
-                                F.round(f"{m}_gap_cv", 5).alias("gap_cv"), F.col(f"{m}_cycle_fraction").alias("cycle_fraction")))
-    return rounded(parts[0].unionByName(parts[1]))
+        out = W.recurrence(out, m)
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(m).alias("mask"), F.col(f"{m}_age").alias("age"), F.col(f"{m}_last_gap").alias("last_gap"),
+        F.col(f"{m}_gap_ema").alias("gap_ema"), F.round(f"{m}_gap_cv", 5).alias("gap_cv"),
+        F.col(f"{m}_cycle_fraction").alias("cycle_fraction")) for m in ("alarm", "observed")]))
+    return rounded(out.select("channel_id", "date", rows.alias("r")).select("channel_id", "date", "r.*"))
 
 
 def _weekday_sql(m: str, weeks: int) -> str:

@@ -65,12 +65,23 @@ def text_state_flags(word: str) -> dict[str, Column]:
 
 
 def parse_date(raw: str) -> Column:
-    """Calendar date of ISO text, NULL when it is not one."""
-    return F.expr(f"to_date(try_to_timestamp({raw}, 'yyyy-MM-dd'))")
+    """Calendar date of ISO text, with or without a time; NULL when it is not one."""
+    return F.expr(f"CASE WHEN length({raw}) >= 10 THEN try_cast({raw} AS date) END")
 
 
-def second_of_day(raw: str) -> Column:
-    """Seconds since midnight for H:M:S text inside one day, else NULL."""
-    hour, minute, second = (f"try_cast(try_element_at(split({raw}, ':', 3), {i}) AS int)" for i in (1, 2, 3))
-    return F.expr(f"""CASE WHEN {hour} BETWEEN 0 AND 23 AND {minute} BETWEEN 0 AND 59 AND {second} BETWEEN 0 AND 59
-        THEN {hour} * 3600 + {minute} * 60 + {second} END""")
+def time_digits(raw: str) -> Column:
+    """H:MM:SS text as the number HMMSS; NULL for any other shape.
+
+    Rare times with fractions take the slower branch.
+    """
+    whole = f"CASE WHEN instr({raw}, '.') = 0 THEN {raw} ELSE substring_index({raw}, '.', 1) END"
+    shaped = f"length({raw}) BETWEEN 7 AND 8 AND substr({raw}, -6, 1) = ':' AND substr({raw}, -3, 1) = ':'"
+    long = f"length({whole}) BETWEEN 7 AND 8 AND substr({whole}, -6, 1) = ':' AND substr({whole}, -3, 1) = ':'"
+    return F.expr(f"""CASE WHEN {shaped} THEN try_cast(replace({raw}, ':', '') AS int)
+        WHEN {long} THEN try_cast(replace({whole}, ':', '') AS int) END""")
+
+
+def second_of_day(digits: str) -> Column:
+    """Seconds since midnight from ``time_digits``, NULL outside one day."""
+    return F.expr(f"""CASE WHEN {digits} BETWEEN 0 AND 235959 AND {digits} DIV 100 % 100 < 60 AND {digits} % 100 < 60
+        THEN cast({digits} DIV 10000 * 3600 + {digits} DIV 100 % 100 * 60 + {digits} % 100 AS int) END""")

@@ -26,8 +26,8 @@ def _kind_counts(suffix: str) -> list[Column]:
     return [F.expr(f"count_if({c}) AS {n}_{suffix}") for n, c in counts.items()]
 
 
-def _daily_aggregates() -> list[Column]:
-    states = [F.expr(f"count_if(lower(value_text) = '{t}') AS {n}") for n, t in vocab.TEXT_STATES.items()]
+def daily_aggregates() -> list[Column]:
+    states = [F.expr(f"count_if(state_word = '{t}') AS {n}") for n, t in vocab.TEXT_STATES.items()]
     return [
         F.expr("count(*) AS events_count"), F.expr("sum(cast(is_alarm AS bigint)) AS alarm_count"),
         *_kind_counts("count"), *states,
@@ -36,9 +36,14 @@ def _daily_aggregates() -> list[Column]:
     ]
 
 
+def with_state_word(clean: DataFrame) -> DataFrame:
+    """Lower-cased text of non-numeric values, computed once for all state counters."""
+    return clean.withColumn("state_word", F.expr("CASE WHEN kind = 'text' THEN lower(value_text) END"))
+
+
 def channel_daily(clean: DataFrame) -> DataFrame:
     """Counters, state counts and value moments per channel and day."""
-    return clean.groupBy("channel_id", "date").agg(*_daily_aggregates())
+    return with_state_word(clean).groupBy("channel_id", "date").agg(*daily_aggregates())
 
 
 def combine_daily(parts: DataFrame) -> DataFrame:
@@ -48,6 +53,23 @@ def combine_daily(parts: DataFrame) -> DataFrame:
         F.min("value_min").alias("value_min"), F.max("value_max").alias("value_max"))
 
 
+def with_order_key(clean: DataFrame) -> DataFrame:
+    """Add ``order_key``: numeric id and alarm flag packed into one integer.
+
+    Records without a 62-bit id come first, alarms last among equal ids.  One
+    integer keeps the aggregation hash-based.
+    """
+    numbered = clean.withColumn("_id", F.expr("try_cast(event_id AS bigint)"))
+    return numbered.withColumn(
+        "order_key", F.expr("2 * if(abs(_id) < 4611686018427387904L, _id, -1L) + is_alarm")).drop("_id")
+
+
+def second_aggregates() -> list[Column]:
+    """Per-second counts with the first and last record."""
+    return [F.expr(e) for e in (
+        "count(*) AS events", "sum(is_alarm) AS alarms", "min(order_key) AS first_key", "max(order_key) AS last_key")]
+
+
 def intraday_aggregates() -> list[Column]:
     """Evening activity, first and last record, from per-second counts."""
     return [F.expr(e) for e in (
@@ -56,9 +78,9 @@ def intraday_aggregates() -> list[Column]:
         "sum(if(second >= 64800, events, 0)) AS intra_events_last6h",
         "max_by(events, second) - 1 AS intra_last_timestamp_ties",
         "min(second) / 60D AS intra_first_event_minute",
-        "min_by(first_alarm, second) AS intra_first_event_is_alarm",
+        "pmod(min_by(first_key, second), 2) AS intra_first_event_is_alarm",
         "max(second) / 60D AS intra_last_event_minute",
-        "max_by(last_alarm, second) AS intra_last_event_is_alarm",
+        "pmod(max_by(last_key, second), 2) AS intra_last_event_is_alarm",
         "coalesce(max(if(alarms > 0, second, NULL)) / 60D, -1D) AS intra_last_alarm_minute")]
 
 
@@ -66,16 +88,13 @@ def intraday_daily(clean: DataFrame) -> DataFrame:
     """Within-day picture of each channel-day.
 
     Records are first combined per second, which bounds a channel-day to 86,400
-    rows whatever it wrote; order inside a second is by numeric id, records
-    without one first, and alarms last among equal ids.
+    rows whatever it wrote and spreads a hot channel over many tasks.  Days
+    without any valid time drop out at the end: an early filter would be pushed
+    into the scan and parse every time twice.
     """
-    key = F.struct(F.expr("coalesce(try_cast(event_id AS bigint), -1L)").alias("i"),
-                   F.col("is_alarm").alias("a"))
-    seconds = (clean.where("second is not null")
-               .groupBy("channel_id", "date", "second")
-               .agg(F.count("*").alias("events"), F.sum("is_alarm").alias("alarms"),
-                    F.min(key)["a"].alias("first_alarm"), F.max(key)["a"].alias("last_alarm")))
-    return seconds.groupBy("channel_id", "date").agg(*intraday_aggregates())
+    seconds = with_order_key(clean).groupBy("channel_id", "date", "second").agg(*second_aggregates())
+    days = seconds.groupBy("channel_id", "date").agg(*intraday_aggregates())
+    return days.where("intra_last_event_minute IS NOT NULL")
 
 
 def object_daily(daily: DataFrame, channel_objects: DataFrame) -> DataFrame:

@@ -49,12 +49,22 @@ def malformed_rows(spark: SparkSession, paths: str | list[str], headers: list[st
         F.count("*").alias("rows"), F.count_if(bad).alias("malformed_rows"))
 
 
-def clean_journal(raw: DataFrame) -> DataFrame:
-    """Typed records in one stage; rows without a date or channel go away."""
+def _parsed(raw: DataFrame) -> DataFrame:
+    """Date, time and stripped texts.
+
+    Texts that several rules read are columns of their own step, so each is
+    computed once per record.
+    """
     texts = raw.select(
-        "event_id", "channel_id", P.parse_date("date").alias("date"), P.second_of_day("time").alias("second"),
+        "event_id", "channel_id", P.parse_date("date").alias("date"), P.time_digits("time").alias("_hms"),
         P.word_of("alarm_raw").alias("_word"), P.stripped("sensor_value").alias("value_text"))
-    valued = texts.where("date IS NOT NULL AND channel_id IS NOT NULL").withColumn("value", P.parse_value("value_text"))
+    return texts.select("event_id", "channel_id", "date", P.second_of_day("_hms").alias("second"), "_word", "value_text")
+
+
+def clean_journal(raw: DataFrame) -> DataFrame:
+    """Typed records in one stage; rows without a date or channel go away."""
+    valued = (_parsed(raw).where("date IS NOT NULL AND channel_id IS NOT NULL")
+              .withColumn("value", P.parse_value("value_text")))
     return valued.select(
         "event_id", "channel_id", "date", "second", P.alarm_flag("_word").alias("is_alarm"),
         P.alarm_status("_word").alias("alarm_status"), "value_text", "value",
@@ -63,10 +73,8 @@ def clean_journal(raw: DataFrame) -> DataFrame:
 
 def invalid_counters(raw: DataFrame) -> DataFrame:
     """How many records each parsing rule rejects or flags."""
-    parsed = raw.select(
-        "channel_id", P.parse_date("date").alias("date"), P.second_of_day("time").alias("second"),
-        F.expr("try_cast(event_id AS bigint)").alias("id"), P.word_of("alarm_raw").alias("_word")).withColumn(
-        "status", P.alarm_status("_word"))
+    parsed = _parsed(raw).select("channel_id", "date", "second", F.expr("try_cast(event_id AS bigint)").alias("id"),
+                                 P.alarm_status("_word").alias("status"))
     return parsed.selectExpr(
         "count(*) AS input_rows",
         "count_if(date IS NULL) AS invalid_date",

@@ -6,12 +6,12 @@ import datetime
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from watchgrid.operators.aggregate import _daily_aggregates, intraday_aggregates
+from watchgrid.operators.aggregate import daily_aggregates, intraday_aggregates, second_aggregates, with_order_key, with_state_word
 from watchgrid.operators.versions import BATCH_KEYS
 from watchgrid.session import shared_folder
 from watchgrid.sources.journal import clean_journal
@@ -45,27 +45,29 @@ def run_to_end(stream: DataFrame, name: str, folder: str | None = None) -> DataF
 
 
 def _timed(raw: DataFrame, delay: str) -> DataFrame:
+    """Records with an event time that reads the journal's clock as UTC, so days do not depend on the session zone."""
     clean = clean_journal(raw).where("second IS NOT NULL")
-    stamp = F.timestamp_seconds(F.unix_timestamp(F.col("date").cast("timestamp")) + F.col("second"))
+    stamp = F.expr("timestamp_seconds(unix_date(date) * 86400L + second)")
     return clean.withColumn("ts", stamp).withWatermark("ts", delay)
 
 
+def _day(start: str) -> Column:
+    return F.expr(f"date_from_unix_date(cast(unix_seconds({start}) DIV 86400 AS int)) AS date")
+
+
 def stream_channel_daily(raw: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Channel-day counters of closed days, the same aggregates as in batch."""
-    days = _timed(raw, delay).groupBy(F.window("ts", "1 day"), "channel_id").agg(*_daily_aggregates())
-    return days.select("channel_id", F.to_date("window.start").alias("date"), *[
+    days = with_state_word(_timed(raw, delay)).groupBy(F.window("ts", "1 day"), "channel_id").agg(*daily_aggregates())
+    return days.select("channel_id", _day("window.start"), *[
         c for c in days.columns if c not in ("window", "channel_id")])
 
 
 def stream_intraday(raw: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Within-day picture of closed days: seconds first, then the day, as in batch."""
-    key = F.struct(F.expr("coalesce(try_cast(event_id AS bigint), -1L)").alias("i"), F.col("is_alarm").alias("a"))
-    seconds = (_timed(raw, delay).groupBy(F.window("ts", "1 second"), "channel_id")
-               .agg(F.count("*").alias("events"), F.sum("is_alarm").alias("alarms"),
-                    F.min(key)["a"].alias("first_alarm"), F.max(key)["a"].alias("last_alarm"),
-                    F.max("second").alias("second")))
+    seconds = (with_order_key(_timed(raw, delay)).groupBy(F.window("ts", "1 second"), "channel_id")
+               .agg(*second_aggregates(), F.max("second").alias("second")))
     days = seconds.groupBy(F.window("window", "1 day").alias("day"), "channel_id").agg(*intraday_aggregates())
-    return days.select("channel_id", F.to_date("day.start").alias("date"), *[
+    return days.select("channel_id", _day("day.start"), *[
         c for c in days.columns if c not in ("day", "channel_id")])
 
 
