@@ -75,7 +75,7 @@ def operating_points(spark, sf):
 _COHORTS = """cohort_scores AS (SELECT 'all' AS cohort, * FROM scores UNION ALL SELECT 'no_alarm_today', * FROM scores WHERE alarm_today = 0
  UNION ALL SELECT 'observed_today', * FROM scores WHERE observed_today = 1),
 sliced AS (SELECT *, CAST(date_trunc('week', "date" + 2) AS DATE) AS target_week FROM cohort_scores),
-steps AS (SELECT model, cohort, target_week, sum(pos / p * tp / pred) AS ap FROM (
+steps AS (SELECT model, cohort, target_week, sum(pos / nullif(p, 0) * tp / pred) AS ap FROM (
  SELECT *, sum(pos) OVER (w ORDER BY score DESC) AS tp, sum(n) OVER (w ORDER BY score DESC) AS pred, sum(pos) OVER w AS p
  FROM (SELECT model, cohort, target_week, score, sum(alarm_target) AS pos, count(*) AS n FROM sliced GROUP BY ALL)
  WINDOW w AS (PARTITION BY model, cohort, target_week)) GROUP BY ALL)"""

@@ -121,7 +121,7 @@ def releases(spark, sf):
  ordered AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, object_id) AS e FROM broken)
 SELECT run_id, count(*) FILTER (s > 1) AS score_range, count(*) FILTER ("rank" <> e) AS rank_mismatch,
  count(*) FILTER (w <> CASE WHEN e <= 10 THEN 1 ELSE 0 END) AS warning_mismatch,
- CAST(max(threshold) <> max(CASE WHEN e = 10 THEN s END) AS BIGINT) AS threshold_mismatch, CAST(sum(w) <> 10 AS BIGINT) AS warnings_mismatch,
+ CAST(max(threshold) IS DISTINCT FROM max(CASE WHEN e = 10 THEN s END) AS BIGINT) AS threshold_mismatch, CAST(sum(w) <> 10 AS BIGINT) AS warnings_mismatch,
  CAST(0 AS BIGINT) AS total_mismatch, CAST(0 AS BIGINT) AS lead_below_24h, CAST(0 AS BIGINT) AS repeated_objects FROM ordered GROUP BY run_id""")
 def validate_release(spark, sf):
     # Releases damaged after the fact: flipped warnings on silent objects, raised scores.

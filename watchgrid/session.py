@@ -22,19 +22,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+_local_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir`` that every executor can reach.
 
     On a cluster the setting is required.  Only a local session, which has no
-    other machines, falls back to a temporary folder.
+    other machines, falls back to a temporary folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
-        base = tempfile.mkdtemp(prefix="watchgrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _local_folder:
+            _local_folder.append(tempfile.mkdtemp(prefix="watchgrid-"))
+        base = _local_folder[0]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
