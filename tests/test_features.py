@@ -41,7 +41,7 @@ def masks(n=200, field=3):
 
 
 def test_streaks_and_ages_stay_inside_a_channel(grid):
-    got = by_channel(W.streaks(W.days_since(grid)), "alarm_streak", "quiet_streak", "days_since_alarm")
+    got = by_channel(W.compute(grid, W.streak_family(), W.days_since_family()), "alarm_streak", "quiet_streak", "days_since_alarm")
     for c, alarm in masks().items():
         streak = quiet = 0
         age = -1

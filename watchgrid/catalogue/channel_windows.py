@@ -41,7 +41,7 @@ _ROLLED = [f"{c}_sum_{k}d" for k in (3, 7, 14) for c in ("events_count", "alarm_
     f"round(coalesce({frame('sum(alarm_count)', k)} / nullif({frame('sum(events_count)', k)}, 0), 0), 6) AS alarm_rate_{k}d"
     for k in (3, 7, 14)) + " FROM g")
 def rolling_sums(spark, sf):
-    return shown(W.rolling_sums(T.grid(spark, sf)), *_ROLLED, "alarm_rate_3d", "alarm_rate_7d", "alarm_rate_14d")
+    return shown(W.compute(T.grid(spark, sf), W.rolling_family()), *_ROLLED, "alarm_rate_3d", "alarm_rate_7d", "alarm_rate_14d")
 
 
 @query("rolling_sum_generic", f"""
@@ -55,7 +55,7 @@ def rolling_sum_generic(spark, sf):
 @query("days_since", 'SELECT channel_id, "date", ' + ", ".join(
     f"""coalesce(i - {run(f'max(CASE WHEN {m} = 1 THEN i END)')}, -1) AS days_since_{m}""" for m in ("alarm", "observed", "fault")) + " FROM g")
 def days_since(spark, sf):
-    return shown(W.days_since(T.grid(spark, sf)), "days_since_alarm", "days_since_observed", "days_since_fault")
+    return shown(W.compute(T.grid(spark, sf), W.days_since_family()), "days_since_alarm", "days_since_observed", "days_since_fault")
 
 
 @query("active_day_rates", 'SELECT channel_id, "date", ' + ", ".join(
@@ -63,22 +63,21 @@ def days_since(spark, sf):
     f"round({frame('sum(alarm)', k)} / least(i + 1, {k}), 6) AS alarm_day_rate_{k}d" for k in (3, 7, 28, 90)) + " FROM lg")
 def active_day_rates(spark, sf):
     names = [f"{n}_{k}d" for k in (3, 7, 28, 90) for n in ("alarm_days", "observed_days", "alarm_day_rate")]
-    return shown(W.active_day_rates(T.long_grid(spark, sf)), *names)
+    return shown(W.compute(T.long_grid(spark, sf), W.active_days_family()), *names)
 
 
 @query("running_history", f"""
 SELECT channel_id, "date", {run('max(observed)')} AS seen_before_or_today,
  round({run('sum(alarm)')} / (i + 1), 6) AS historical_alarm_day_rate FROM g""")
 def running_history(spark, sf):
-    return shown(W.running_history(T.grid(spark, sf)), "seen_before_or_today", "historical_alarm_day_rate")
+    return shown(W.compute(T.grid(spark, sf), W.history_family()), "seen_before_or_today", "historical_alarm_day_rate")
 
 
 @query("trends", f"""
 SELECT channel_id, "date", round({frame('sum(alarm)', 7)} / least(i + 1, 7) - {frame('sum(alarm)', 28)} / least(i + 1, 28), 6) AS alarm_trend_7_28,
  round(events_count / (1 + {frame('sum(events_count)', 7)} / 7), 6) AS events_trend_1_7 FROM g""")
 def trends(spark, sf):
-    rates = W.active_day_rates(T.grid(spark, sf), (7, 28)).withColumn("events_count_sum_7d", W.trailing("events_count", 7))
-    return shown(W.trends(rates), "alarm_trend_7_28", "events_trend_1_7")
+    return shown(W.compute(T.grid(spark, sf), W.trend_family()), "alarm_trend_7_28", "events_trend_1_7")
 
 
 def _others(keys: str, c: str, prefix: str) -> str:
@@ -105,13 +104,13 @@ def others_in_group(spark, sf):
 @query("lag_zero", 'SELECT channel_id, "date", ' + ", ".join(
     f"{run(f'lag(alarm, {n}, 0)')} AS alarm_lag_{n}" for n in (1, 2, 7, 14, 28)) + " FROM g")
 def lag_zero(spark, sf):
-    return shown(W.lag_zero(T.grid(spark, sf)), *[f"alarm_lag_{n}" for n in (1, 2, 7, 14, 28)])
+    return shown(W.compute(T.grid(spark, sf), W.lag_family()), *[f"alarm_lag_{n}" for n in (1, 2, 7, 14, 28)])
 
 
 @query("log_lags", 'SELECT channel_id, "date", ' + ", ".join(
     f"round({run(f'lag(ln(1 + {c}), {n})')}, 6) AS {c}_lag{n}" for c in ("fault_count", "no_power_count", "events_count") for n in (1, 2, 6)) + " FROM g")
 def log_lags(spark, sf):
-    return shown(W.log_lags(T.grid(spark, sf)), *[
+    return shown(W.compute(T.grid(spark, sf), W.log_lag_family()), *[
         f"{c}_lag{n}" for c in ("fault_count", "no_power_count", "events_count") for n in (1, 2, 6)])
 
 
@@ -133,7 +132,7 @@ def ewm(spark, sf):
     f"CASE WHEN {m} = 1 THEN i - coalesce({run(f'max(CASE WHEN {m} = 0 THEN i END)')}, -1) ELSE 0 END AS {m}_streak" for m in W.MASKS)
     + f", CASE WHEN alarm = 0 THEN i - coalesce({run('max(CASE WHEN alarm = 1 THEN i END)')}, -1) ELSE 0 END AS quiet_streak FROM g")
 def streak(spark, sf):
-    return shown(W.streaks(T.grid(spark, sf)), *[f"{m}_streak" for m in W.MASKS], "quiet_streak")
+    return shown(W.compute(T.grid(spark, sf), W.streak_family()), *[f"{m}_streak" for m in W.MASKS], "quiet_streak")
 
 
 @query("change_weekday_mean", 'SELECT channel_id, "date", ' + ", ".join(
@@ -141,7 +140,7 @@ def streak(spark, sf):
     + " + ".join(run(f"lag(ln(1 + {c}), {n}, 0)") for n in (7, 14, 21, 28)) + f") / 4, 6) AS {c}_same_weekday_4w"
     for c in ("events_count", "alarm_count")) + " FROM g")
 def change_weekday_mean(spark, sf):
-    return shown(W.change_weekday(T.grid(spark, sf)), "events_count_change", "events_count_same_weekday_4w",
+    return shown(W.compute(T.grid(spark, sf), W.change_family()), "events_count_change", "events_count_same_weekday_4w",
                  "alarm_count_change", "alarm_count_same_weekday_4w")
 
 
@@ -157,7 +156,7 @@ def _part(expr: str, days: int) -> str:
 SELECT channel_id, "date", round(({_part('p = 0 AND alarm = 1', 90)} + 1) / ({_part('p = 0', 90)} + 20), 6) AS transition_from_0,
  round(({_part('p = 1 AND alarm = 1', 90)} + 1) / ({_part('p = 1', 90)} + 20), 6) AS transition_from_1 FROM {_prev('lg')}""")
 def transition_rates(spark, sf):
-    return shown(W.transition_rates(T.long_grid(spark, sf)), "transition_from_0", "transition_from_1")
+    return shown(W.compute(T.long_grid(spark, sf), W.transition_family()), "transition_from_0", "transition_from_1")
 
 
 @query("alarm_dynamics", f"""
@@ -165,7 +164,7 @@ SELECT channel_id, "date", round({_part('alarm = 1', 28)} / (1 + {_part('observe
  CAST({_part('p = 0 AND alarm = 1', 28)} AS BIGINT) AS alarm_starts_28d, CAST({_part('p <> alarm', 28)} AS BIGINT) AS alarm_switches_28d,
  round({_part('observed = 1', 7)} / 7 - {_part('observed = 1', 28)} / 28, 6) AS observation_change FROM {_prev('lg')}""")
 def alarm_dynamics(spark, sf):
-    return shown(W.alarm_dynamics(T.long_grid(spark, sf)), "alarm_rate_when_observed_28d", "alarm_starts_28d",
+    return shown(W.compute(T.long_grid(spark, sf), W.dynamics_family()), "alarm_rate_when_observed_28d", "alarm_starts_28d",
                  "alarm_switches_28d", "observation_change")
 
 
@@ -180,13 +179,14 @@ SELECT channel_id, "date", CASE WHEN n > 0 THEN round(s / n, 3) END AS numeric_p
   (value_sum / numeric_count - s / n) / (1 + sqrt(greatest(q / n - (s / n) * (s / n), 0))))), 3) END AS numeric_deviation
 FROM (SELECT *, {_past('numeric_count')} AS n, {_past('value_sum')} AS s, {_past('value_sumsq')} AS q FROM lg)""")
 def numeric_regime(spark, sf):
-    return shown(W.numeric_regime(T.long_grid(spark, sf)), "numeric_past28_mean", "numeric_past28_std", "numeric_deviation", digits=3)
+    return shown(W.compute(T.long_grid(spark, sf), W.numeric_family()), "numeric_past28_mean", "numeric_past28_std", "numeric_deviation", digits=3)
 
 
 def grid_with_intraday(spark, sf):
+    days = J.join_intraday(T.channel_days(spark, sf), A.intraday_daily(T.clean(spark, sf)))
+    dense = J.fill_intraday(J.densify(days, T.channels(spark, sf), *[T.day(d) for d in T.CALENDAR]))
     rates = daily_rates()
-    grid = T.grid(spark, sf).withColumns({c: rates[c] for c in ("value_mean_1d", "value_std_1d")})
-    return J.join_intraday(grid, A.intraday_daily(T.clean(spark, sf)))
+    return W.with_masks(dense).withColumns({c: rates[c] for c in ("value_mean_1d", "value_std_1d")})
 
 
 _GI = """(SELECT g.*, coalesce(intra_last_event_is_alarm, -1) AS intra_last_event_is_alarm,
@@ -283,14 +283,14 @@ def _weekday_sql(m: str, weeks: int) -> str:
 @query("weekday_rate", 'SELECT channel_id, "date", ' + ", ".join(
     _weekday_sql(m, k) for m in ("alarm", "observed") for k in (4, 12)) + " FROM lg")
 def weekday_rate(spark, sf):
-    return shown(W.weekday_rate(T.long_grid(spark, sf)), *[
+    return shown(W.compute(T.long_grid(spark, sf), W.weekday_family()), *[
         f"{m}_tomorrow_weekday_{k}w" for m in ("alarm", "observed") for k in (4, 12)])
 
 
 @query("window_rates", 'SELECT channel_id, "date", ' + ", ".join(
     f"round({frame(f'sum({m})', k)} / least(i + 1, {k}), 6) AS seq_{m}_rate_{k}d" for m in ("alarm", "observed") for k in (2, 5, 14, 60, 180)) + " FROM lg")
 def window_rates(spark, sf):
-    return shown(W.window_rates(T.long_grid(spark, sf)), *[
+    return shown(W.compute(T.long_grid(spark, sf), W.window_rate_family()), *[
         f"seq_{m}_rate_{k}d" for m in ("alarm", "observed") for k in (2, 5, 14, 60, 180)])
 
 

@@ -33,8 +33,7 @@ def confusion_metrics(spark, sf):
 
 
 def _curve(spark, sf):
-    counts = materialize(E.score_counts(T.scores(spark, sf), ["model"], "alarm_target"), "score-counts")
-    return E.curve(counts, ["model"])
+    return E.pr_curve(T.scores(spark, sf), ["model"], "alarm_target")
 
 
 @query("pr_curve", """

@@ -95,9 +95,10 @@ SELECT grid.channel_id, grid."date", coalesce(intra_events_last6h, 0) AS intra_e
  coalesce(intra_last_timestamp_ties, -1) AS intra_last_timestamp_ties
 FROM grid LEFT JOIN intra USING (channel_id, "date")""")
 def join_intraday(spark, sf):
-    dense = J.densify(T.channel_days(spark, sf).select("channel_id", "date", "events_count"), T.channels(spark, sf),
-                      *[T.day(d) for d in T.CALENDAR])
-    return rounded(J.join_intraday(dense, A.intraday_daily(T.clean(spark, sf))).select(
+    days = J.join_intraday(T.channel_days(spark, sf).select("channel_id", "date", "events_count"),
+                           A.intraday_daily(T.clean(spark, sf)))
+    dense = J.fill_intraday(J.densify(days, T.channels(spark, sf), *[T.day(d) for d in T.CALENDAR]))
+    return rounded(dense.select(
         "channel_id", "date", "intra_events_last6h", "intra_alarm_count_last12h", "intra_last_event_minute",
         "intra_last_event_is_alarm", "intra_last_timestamp_ties"))
 

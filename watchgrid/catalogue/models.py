@@ -139,8 +139,7 @@ WITH m AS (SELECT model, count(*) FILTER (r <= 10 AND alarm_target = 1) / count(
 SELECT *, CAST(place = 1 AS BIGINT) AS selected, CAST(precision >= (SELECT precision FROM j WHERE model = 'persistence') AS BIGINT) AS passes_gate FROM p""")
 def select_model(spark, sf):
     rows = T.scores(spark, sf)
-    counts = materialize(E.score_counts(rows, ["model"], "alarm_target"), "score-counts")
-    ap = E.average_precision(E.curve(counts, ["model"]), ["model"])
+    ap = E.average_precision(E.pr_curve(rows, ["model"], "alarm_target"), ["model"])
     best = E.budget_metrics(rows, ["model"], "alarm_target", (10,)).select("model", "precision")
     return rounded(M.select_model(rounded(best.join(ap, "model")), "persistence"))
 
@@ -155,8 +154,7 @@ def score_batch(spark, sf):
 @query("rolling_refit")
 def rolling_refit(spark, sf):
     # Monthly refits at the end of the long history.
-    rows = W.window_rates(W.trends(W.active_day_rates(T.long_grid(spark, sf), (7, 28)).withColumn(
-        "events_count_sum_7d", W.trailing("events_count", 7))), (14, 60))
+    rows = W.compute(T.long_grid(spark, sf), W.trend_family(), W.window_rate_family((14, 60)))
     labelled = L.label_lead(rows, "channel_id", F.col("alarm"), 1)
     numeric = ["alarm", "alarm_trend_7_28", "events_trend_1_7", "seq_alarm_rate_14d", "seq_alarm_rate_60d"]
     design = materialize(labelled.select("channel_id", "date", "target", *numeric), "design")

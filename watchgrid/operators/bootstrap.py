@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from watchgrid.functions.scalars import ratio
 from watchgrid.operators.evaluation import average_precision, curve, daily_rank
+from watchgrid.session import materialize
 
 FEW_WEEKS = 8
 
@@ -83,7 +84,7 @@ def weighted_ap(counts: DataFrame, weights: DataFrame, by: list[str]) -> DataFra
     # One weight row per (draw and) calendar day, a bounded table.
     weighted = counts.join(F.broadcast(weights), "date").groupBy(*by, "score").agg(
         F.sum(F.col("pos") * F.col("weight")).alias("pos"), F.sum(F.col("n") * F.col("weight")).alias("n"))
-    return average_precision(curve(weighted.where("n > 0"), by), by)
+    return average_precision(curve(materialize(weighted.where("n > 0"), "weighted-counts"), by), by)
 
 
 def block_weights(days: DataFrame, draws: int, length: int, seed: int) -> DataFrame:

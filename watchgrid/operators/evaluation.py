@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from watchgrid.functions.scalars import ratio
 from watchgrid.plans.running import nearest_rank, running_totals
+from watchgrid.session import materialize
 
 
 def persistence(masked: DataFrame, states: list[str], leads: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -69,7 +70,8 @@ def curve(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pr_curve(rows: DataFrame, by: list[str], label: str) -> DataFrame:
-    return curve(score_counts(rows, by, label), by)
+    """Curve of scored rows; the counts are written once, several passes follow."""
+    return curve(materialize(score_counts(rows, by, label), "score-counts"), by)
 
 
 def average_precision(steps: DataFrame, by: list[str]) -> DataFrame:
@@ -208,7 +210,7 @@ def score_histogram(rows: DataFrame, by: list[str], bins: int = 40) -> DataFrame
 
 def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, extremes, mean and nearest-rank percentiles per group."""
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = materialize(rows.groupBy(*by, value).agg(F.count("*").alias("n")), "value-counts")
     probs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     ranks = nearest_rank(counts, by, value, "n", list(probs.values())).groupBy(*by).agg(*[
         F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for n, p in probs.items()])

@@ -7,6 +7,9 @@ size follows the length of the history, never the number of records.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,16 +41,77 @@ def with_masks(grid: DataFrame) -> DataFrame:
                        *[(F.col(c) > 0).cast("int").alias(m) for m, c in MASKS.items()])
 
 
-def rolling_sums(grid: DataFrame, windows: tuple[int, ...] = (3, 7, 14)) -> DataFrame:
+@dataclass
+class Family:
+    """Columns of one feature family, by the stage in which they are computed.
+
+    ``flags`` come first, then running sums of ``sums`` and other ``windows``,
+    then the running sums ``spans`` = (name, days) ago, then plain arithmetic
+    ``out``.  Families computed together share the stages: three window
+    operators in all, whatever the number of features.
+    """
+
+    out: dict[str, Column]
+    flags: dict[str, Column] = field(default_factory=dict)
+    sums: dict[str, Column] = field(default_factory=dict)
+    windows: dict[str, Column] = field(default_factory=dict)
+    spans: set[tuple[str, int]] = field(default_factory=set)
+
+
+def compute(masked: DataFrame, *families: Family) -> DataFrame:
+    """Add the features of all families to a grid with masks."""
+    flags, sums, windows, out = {}, {}, {}, {}
+    for f in families:
+        flags |= f.flags
+        sums |= f.sums
+        windows |= f.windows
+        out |= f.out
+    spans = sorted(set().union(*[f.spans for f in families]))
+    w = by_day()
+    stages = [
+        [c.alias(n) for n, c in flags.items()],
+        [F.sum(c).over(running(w)).alias(f"_r_{n}") for n, c in sums.items()] + [c.alias(n) for n, c in windows.items()],
+        [F.lag(f"_r_{n}", k, 0).over(w).alias(f"_l_{n}_{k}") for n, k in spans],
+    ]
+    df = masked
+    for columns in stages:
+        if columns:
+            df = df.select("*", *columns)
+    return df.select(*masked.columns, *[c.alias(n) for n, c in out.items()])
+
+
+class Spans:
+    """Collects the trailing sums a family uses.
+
+    A trailing sum of counts is the difference of two running sums: exact for
+    integers, and its cost does not grow with the length of the window.
+    """
+
+    def __init__(self) -> None:
+        self.used: set[tuple[str, int]] = set()
+
+    def __call__(self, name: str, days: int) -> Column:
+        self.used.add((name, days))
+        return F.col(f"_r_{name}") - F.col(f"_l_{name}_{days}")
+
+
+def _elapsed(days: int) -> Column:
+    return F.least(F.col("i") + 1, F.lit(days))
+
+
+def _columns(names) -> dict[str, Column]:
+    return {n: F.col(n) for n in names}
+
+
+def rolling_family(windows: tuple[int, ...] = (3, 7, 14)) -> Family:
     """Trailing sums of 12 counters, with alarm and numeric shares per window."""
-    out = grid.select("*", *[trailing(c, k).alias(f"{c}_sum_{k}d")
-                             for k in windows for c in vocab.ROLLING_COUNTERS])
-    shares = []
+    past, out = Spans(), {}
     for k in windows:
-        events = F.col(f"events_count_sum_{k}d")
-        shares.append(ratio(F.col(f"alarm_count_sum_{k}d"), events, 0).alias(f"alarm_rate_{k}d"))
-        shares.append(ratio(F.col(f"numeric_count_sum_{k}d"), events, 0).alias(f"numeric_share_{k}d"))
-    return out.select("*", *shares)
+        out |= {f"{c}_sum_{k}d": past(c, k) for c in vocab.ROLLING_COUNTERS}
+        events = past("events_count", k)
+        out[f"alarm_rate_{k}d"] = ratio(past("alarm_count", k), events, 0)
+        out[f"numeric_share_{k}d"] = ratio(past("numeric_count", k), events, 0)
+    return Family(out, sums=_columns(vocab.ROLLING_COUNTERS), spans=past.used)
 
 
 def since_last(mask: Column, window=None) -> Column:
@@ -57,72 +121,141 @@ def since_last(mask: Column, window=None) -> Column:
 
 
 def streak(mask: Column, window=None) -> Column:
-    """Length of the run of TRUE days ending today."""
+    """Length of the run of TRUE days ending today; needs the row number ``_n``."""
     return F.when(mask, F.col("_n") - F.coalesce(
         F.last(F.when(~mask, F.col("_n")), ignorenulls=True).over(running(window or by_day())), F.lit(0))).otherwise(0)
 
 
-def days_since(masked: DataFrame) -> DataFrame:
-    return masked.select("*", *[since_last(F.col(m) == 1).alias(f"days_since_{m}")
-                                for m in ("alarm", "observed", "fault")])
+def _last_index(mask: str, value: int) -> Column:
+    return F.last(F.when(F.col(mask) == value, F.col("i")), ignorenulls=True).over(running(by_day()))
+
 
+def days_since_family(masks: tuple[str, ...] = ("alarm", "observed", "fault")) -> Family:
+    """Days since the last alarm, record and fault; -1 when never."""
+    return Family({f"days_since_{m}": F.coalesce(F.col("i") - F.col(f"_last1_{m}"), F.lit(-1)) for m in masks},
+                  windows={f"_last1_{m}": _last_index(m, 1) for m in masks})
 
-def streaks(masked: DataFrame) -> DataFrame:
-    numbered = masked.withColumn("_n", F.col("i") + 1)
-    runs = {f"{m}_streak": F.col(m) == 1 for m in MASKS}
-    runs["quiet_streak"] = F.col("alarm") == 0
-    return numbered.select("*", *[streak(c).alias(n) for n, c in runs.items()]).drop("_n")
 
+def streak_family() -> Family:
+    """Run lengths of the masks ending today, and of days without an alarm."""
+    out = {f"{m}_streak": F.when(F.col(m) == 1, F.col("i") - F.coalesce(f"_last0_{m}", F.lit(-1))).otherwise(0) for m in MASKS}
+    out["quiet_streak"] = F.when(F.col("alarm") == 0, F.col("i") - F.coalesce("_last1_alarm", F.lit(-1))).otherwise(0)
+    windows = {f"_last0_{m}": _last_index(m, 0) for m in MASKS}
+    return Family(out, windows={**windows, "_last1_alarm": _last_index("alarm", 1)})
 
-def active_day_rates(masked: DataFrame, windows: tuple[int, ...] = (3, 7, 28, 90)) -> DataFrame:
+
+def active_days_family(windows: tuple[int, ...] = (3, 7, 28, 90)) -> Family:
     """Alarm and observed days per window, and the alarm-day rate over elapsed days."""
-    out = masked.select("*", *[
-        trailing(m, k).alias(f"{m}_days_{k}d") for k in windows for m in ("alarm", "observed")])
-    elapsed = F.col("i") + 1
-    return out.select("*", *[
-        (F.col(f"alarm_days_{k}d") / F.least(elapsed, F.lit(k))).alias(f"alarm_day_rate_{k}d") for k in windows])
+    past, out = Spans(), {}
+    for k in windows:
+        out[f"alarm_days_{k}d"] = past("alarm", k)
+        out[f"observed_days_{k}d"] = past("observed", k)
+        out[f"alarm_day_rate_{k}d"] = past("alarm", k) / _elapsed(k)
+    return Family(out, sums=_columns(["alarm", "observed"]), spans=past.used)
 
 
-def running_history(masked: DataFrame) -> DataFrame:
-    return masked.select(
-        "*", F.max("observed").over(running(by_day())).alias("seen_before_or_today"),
-        F.avg("alarm").over(running(by_day())).alias("historical_alarm_day_rate"))
+def history_family() -> Family:
+    whole = running(by_day())
+    return Family({"seen_before_or_today": F.col("_seen"), "historical_alarm_day_rate": F.col("_r_alarm") / (F.col("i") + 1)},
+                  sums=_columns(["alarm"]), windows={"_seen": F.max("observed").over(whole)})
 
 
-def trends(rolled: DataFrame) -> DataFrame:
+def trend_family() -> Family:
     """Short against long alarm rate, and today's volume against its 7-day mean."""
-    return rolled.select(
-        "*", (F.col("alarm_day_rate_7d") - F.col("alarm_day_rate_28d")).alias("alarm_trend_7_28"),
-        (F.col("events_count") / (1 + F.col("events_count_sum_7d") / 7)).alias("events_trend_1_7"))
+    past = Spans()
+    out = {"alarm_trend_7_28": past("alarm", 7) / _elapsed(7) - past("alarm", 28) / _elapsed(28),
+           "events_trend_1_7": F.col("events_count") / (1 + past("events_count", 7) / 7)}
+    return Family(out, sums=_columns(["alarm", "events_count"]), spans=past.used)
 
 
-def leave_one_out(facts: DataFrame, keys: list[str], columns: list[str], prefix: str,
-                  observed: str | None = None) -> DataFrame:
-    """Group sums without the own row, and rates over the other observed channels.
+def lag_family(days: tuple[int, ...] = (1, 2, 7, 14, 28)) -> Family:
+    return Family({f"alarm_lag_{n}": F.col(f"_alarm_ago_{n}") for n in days},
+                  windows={f"_alarm_ago_{n}": F.lag("alarm", n, 0).over(by_day()) for n in days})
 
-    Groups are summed first (combined before the shuffle) and joined back; a
-    window over a group would pull all channels of a large group into one task.
+
+def log_lag_family(days: tuple[int, ...] = (1, 2, 6)) -> Family:
+    names = [(c, n) for c in ("fault_count", "no_power_count", "events_count") for n in days]
+    return Family({f"{c}_lag{n}": F.log1p(f"_{c}_ago_{n}") for c, n in names},
+                  windows={f"_{c}_ago_{n}": F.lag(c, n).over(by_day()) for c, n in names})
+
+
+def change_family() -> Family:
+    """Log-count change since yesterday, and the mean of the same weekday over 4 weeks."""
+    windows, out = {}, {}
+    for c in ("events_count", "alarm_count"):
+        windows |= {f"_{c}_back_{n}": F.lag(c, n, 0).over(by_day()) for n in (1, 7, 14, 21, 28)}
+        ago = {n: F.log1p(f"_{c}_back_{n}") for n in (1, 7, 14, 21, 28)}
+        out[f"{c}_change"] = F.log1p(c) - ago[1]
+        out[f"{c}_same_weekday_4w"] = (ago[7] + ago[14] + ago[21] + ago[28]) / 4
+    return Family(out, windows=windows)
+
+
+def _flag(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False)).cast("int")
+
+
+def _transitions() -> tuple[dict[str, Column], dict[str, Column]]:
+    """Yesterday's alarm (NULL on the first day) and counts of what followed it."""
+    prev, alarm = F.col("_prev"), F.col("alarm")
+    flags = {"_prev": F.lag("alarm", 1).over(by_day())}
+    sums = {"from0": _flag(prev == 0), "from1": _flag(prev == 1),
+            "from0_alarm": _flag((prev == 0) & (alarm == 1)), "from1_alarm": _flag((prev == 1) & (alarm == 1)),
+            "switch": _flag(prev != alarm)}
+    return flags, sums
+
+
+def transition_family(days: int = 90) -> Family:
+    """Smoothed probability of an alarm today after a quiet / an alarm day."""
+    flags, sums = _transitions()
+    past = Spans()
+    out = {f"transition_from_{s}": (past(f"from{s}_alarm", days) + 1) / (past(f"from{s}", days) + 20) for s in (0, 1)}
+    return Family(out, flags, sums, spans=past.used)
+
+
+def dynamics_family() -> Family:
+    """Alarm rate when observed, alarm starts and switches, change of the record rate."""
+    flags, sums = _transitions()
+    past = Spans()
+    out = {"alarm_rate_when_observed_28d": past("alarm", 28) / (1 + past("observed", 28)),
+           "alarm_starts_28d": past("from0_alarm", 28), "alarm_switches_28d": past("switch", 28),
+           "observation_change": past("observed", 7) / 7 - past("observed", 28) / 28}
+    return Family(out, flags, {**sums, **_columns(["alarm", "observed"])}, spans=past.used)
+
+
+def numeric_family(days: int = 28) -> Family:
+    """Mean and spread of the previous 28 days and today's clipped deviation.
+
+    Sums of measurements use a real frame: differences of long running sums
+    would lose digits.
     """
-    wanted = [*columns, *([observed] if observed else [])]
-    sums = facts.groupBy(*keys).agg(*[F.sum(c).alias(f"_g_{c}") for c in wanted])
-    joined = facts.join(sums, keys)
-    out = []
-    for c in columns:
-        other = F.col(f"_g_{c}") - F.col(c)
-        out.append(other.alias(f"{prefix}_{c}_others"))
-        if observed:
-            out.append((other / (1 + F.col(f"_g_{observed}") - F.col(observed))).alias(f"{prefix}_{c}_rate"))
-    return joined.select(*[facts[c] for c in facts.columns], *out)
+    before = by_day().rowsBetween(-days, -1)
+    windows = {n: F.sum(c).over(before) for n, c in
+               (("_pn", "numeric_count"), ("_ps", "value_sum"), ("_pq", "value_sumsq"))}
+    known = F.col("_pn") > 0
+    mean = ratio(F.col("_ps"), F.col("_pn"))
+    std = F.sqrt(F.greatest(ratio(F.col("_pq"), F.col("_pn")) - mean * mean, F.lit(0.0)))
+    today = ratio(F.col("value_sum"), F.col("numeric_count"))
+    deviation = F.greatest(F.lit(-100.0), F.least(F.lit(100.0), (today - mean) / (1 + std)))
+    return Family({"numeric_past28_mean": F.when(known, mean), "numeric_past28_std": F.when(known, std),
+                   "numeric_deviation": F.when(known & (F.col("numeric_count") > 0), deviation)}, windows=windows)
 
 
-def lag_zero(masked: DataFrame, days: tuple[int, ...] = (1, 2, 7, 14, 28)) -> DataFrame:
-    return masked.select("*", *[F.lag("alarm", n, 0).over(by_day()).alias(f"alarm_lag_{n}") for n in days])
+def weekday_family(weeks: tuple[int, ...] = (4, 12)) -> Family:
+    """Smoothed share of tomorrow's weekday over its past occurrences."""
+    windows, out = {}, {}
+    for m in ("alarm", "observed"):
+        windows |= {f"_{m}_week_{n}": F.lag(m, 6 + 7 * n, 0).over(by_day()) for n in range(max(weeks))}
+        for k in weeks:
+            total = reduce(lambda x, y: x + y, [F.col(f"_{m}_week_{n}") for n in range(k)])
+            exposure = F.least(F.lit(k), F.floor((F.col("i") + 1) / 7))
+            out[f"{m}_tomorrow_weekday_{k}w"] = (total + 0.1) / (exposure + 10)
+    return Family(out, windows=windows)
 
 
-def log_lags(masked: DataFrame, days: tuple[int, ...] = (1, 2, 6)) -> DataFrame:
-    columns = ["fault_count", "no_power_count", "events_count"]
-    return masked.select("*", *[F.lag(F.log1p(c), n).over(by_day()).alias(f"{c}_lag{n}")
-                                for c in columns for n in days])
+def window_rate_family(windows: tuple[int, ...] = (2, 5, 14, 60, 180)) -> Family:
+    past = Spans()
+    out = {f"seq_{m}_rate_{k}d": past(m, k) / _elapsed(k) for m in ("alarm", "observed") for k in windows}
+    return Family(out, sums=_columns(["alarm", "observed"]), spans=past.used)
 
 
 def ewm(masked: DataFrame, spans: tuple[int, ...] = (7, 28)) -> DataFrame:
@@ -137,60 +270,23 @@ def ewm(masked: DataFrame, spans: tuple[int, ...] = (7, 28)) -> DataFrame:
     return with_decayed_sums(masked, "channel_id", "date", "i", specs)
 
 
-def change_weekday(masked: DataFrame) -> DataFrame:
-    """Log-count change since yesterday, and the mean of the same weekday over 4 weeks."""
-    out = []
-    for c in ("events_count", "alarm_count"):
-        log = F.log1p(c)
-        out.append((log - F.lag(log, 1, 0.0).over(by_day())).alias(f"{c}_change"))
-        weeks = [F.lag(log, n, 0.0).over(by_day()) for n in (7, 14, 21, 28)]
-        out.append(((weeks[0] + weeks[1] + weeks[2] + weeks[3]) / 4).alias(f"{c}_same_weekday_4w"))
-    return masked.select("*", *out)
-
-
-def _with_previous(masked: DataFrame) -> DataFrame:
-    """Yesterday's alarm; NULL on the first day, whose transition is unknown."""
-    return masked.withColumn("_prev", F.lag("alarm", 1).over(by_day()))
-
-
-def _flag(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False)).cast("int")
-
-
-def transition_rates(masked: DataFrame, days: int = 90) -> DataFrame:
-    """Smoothed probability of an alarm today after a quiet / an alarm day."""
-    df = _with_previous(masked)
-    rates = []
-    for s in (0, 1):
-        exposure = trailing(_flag(F.col("_prev") == s), days)
-        outcome = trailing(_flag((F.col("_prev") == s) & (F.col("alarm") == 1)), days)
-        rates.append(((outcome + 1) / (exposure + 20)).alias(f"transition_from_{s}"))
-    return df.select("*", *rates).drop("_prev")
-
-
-def alarm_dynamics(masked: DataFrame) -> DataFrame:
-    df = _with_previous(masked)
-    start = _flag((F.col("_prev") == 0) & (F.col("alarm") == 1))
-    switch = _flag(F.col("_prev") != F.col("alarm"))
-    return df.select(
-        "*", (trailing("alarm", 28) / (1 + trailing("observed", 28))).alias("alarm_rate_when_observed_28d"),
-        trailing(start, 28).alias("alarm_starts_28d"), trailing(switch, 28).alias("alarm_switches_28d"),
-        (trailing("observed", 7) / 7 - trailing("observed", 28) / 28).alias("observation_change")).drop("_prev")
-
+def leave_one_out(facts: DataFrame, keys: list[str], columns: list[str], prefix: str,
+                  observed: str | None = None) -> DataFrame:
+    """Group sums without the own row, and rates over the other observed channels.
 
-def numeric_regime(masked: DataFrame, days: int = 28) -> DataFrame:
-    """Mean and spread of the previous 28 days and today's clipped deviation."""
-    past = by_day().rowsBetween(-days, -1)
-    df = masked.select("*", F.sum("numeric_count").over(past).alias("_pn"),
-                       F.sum("value_sum").over(past).alias("_ps"), F.sum("value_sumsq").over(past).alias("_pq"))
-    known = F.col("_pn") > 0
-    mean = ratio(F.col("_ps"), F.col("_pn"))
-    std = F.sqrt(F.greatest(ratio(F.col("_pq"), F.col("_pn")) - mean * mean, F.lit(0.0)))
-    today = ratio(F.col("value_sum"), F.col("numeric_count"))
-    deviation = F.greatest(F.lit(-100.0), F.least(F.lit(100.0), (today - mean) / (1 + std)))
-    return df.select(
-        "*", F.when(known, mean).alias("numeric_past28_mean"), F.when(known, std).alias("numeric_past28_std"),
-        F.when(known & (F.col("numeric_count") > 0), deviation).alias("numeric_deviation")).drop("_pn", "_ps", "_pq")
+    Groups are summed first (combined before the shuffle) and joined back; a
+    window over a group would pull all channels of a large group into one task.
+    """
+    wanted = [*columns, *([observed] if observed else [])]
+    sums = facts.groupBy(*keys).agg(*[F.sum(c).alias(f"_g_{c}") for c in wanted])
+    joined = facts.join(sums, keys)
+    out = []
+    for c in columns:
+        other = F.col(f"_g_{c}") - F.col(c)
+        out.append(other.alias(f"{prefix}_{c}_others"))
+        if observed:
+            out.append((other / (1 + F.col(f"_g_{observed}") - F.col(observed))).alias(f"{prefix}_{c}_rate"))
+    return joined.select(*[facts[c] for c in facts.columns], *out)
 
 
 CARRIED = ["intra_last_event_is_alarm", "intra_last_event_minute", "intra_last_alarm_minute",
@@ -226,24 +322,6 @@ def minutes_since(masked: DataFrame) -> DataFrame:
         for n, m in (("minutes_since_event", event), ("minutes_since_alarm", alarm))])
 
 
-def weekday_rate(masked: DataFrame, weeks: tuple[int, ...] = (4, 12)) -> DataFrame:
-    """Smoothed share of tomorrow's weekday over its past occurrences."""
-    out = []
-    for m in ("alarm", "observed"):
-        for k in weeks:
-            lags = [F.lag(m, 6 + 7 * n, 0).over(by_day()) for n in range(k)]
-            total = sum(lags[1:], lags[0])
-            exposure = F.greatest(F.lit(0), F.least(F.lit(k), F.floor((F.col("i") + 1) / 7)))
-            out.append(((total + 0.1) / (exposure + 10)).alias(f"{m}_tomorrow_weekday_{k}w"))
-    return masked.select("*", *out)
-
-
-def window_rates(masked: DataFrame, windows: tuple[int, ...] = (2, 5, 14, 60, 180)) -> DataFrame:
-    return masked.select("*", *[
-        (trailing(m, k) / F.least(F.col("i") + 1, F.lit(k))).alias(f"seq_{m}_rate_{k}d")
-        for m in ("alarm", "observed") for k in windows])
-
-
 # --- memories -----------------------------------------------------------------
 
 HALF_LIFE = 90
@@ -324,14 +402,12 @@ def recurrence(masked: DataFrame, mask: str) -> DataFrame:
 def channel_mart(masked: DataFrame) -> DataFrame:
     """All per-channel features of the daily mart that need no other table.
 
-    Chained select by select; every window has the same partitioning, so the
-    plan holds a single exchange by channel however many features are added.
+    One exchange by channel and a fixed number of window operators, however
+    many features are added.
     """
-    steps = (rolling_sums, active_day_rates, running_history, trends, days_since, streaks, lag_zero,
-             change_weekday, transition_rates, alarm_dynamics, numeric_regime, weekday_rate, window_rates, ewm)
-    for step in steps:
-        masked = masked.transform(step)
-    return masked
+    return compute(ewm(masked), rolling_family(), active_days_family(), history_family(), trend_family(),
+                   days_since_family(), streak_family(), lag_family(), change_family(), transition_family(),
+                   dynamics_family(), numeric_family(), weekday_family(), window_rate_family())
 
 
 # --- feature lists --------------------------------------------------------------

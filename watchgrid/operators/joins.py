@@ -64,12 +64,21 @@ def join_prior(grid: DataFrame, prior: DataFrame) -> DataFrame:
     return grid.join(prior, "channel_id", "left")
 
 
-def join_intraday(grid: DataFrame, intraday: DataFrame) -> DataFrame:
-    """Within-day columns; -1 for missing minutes, states and ties, 0 for counts."""
+def join_intraday(days: DataFrame, intraday: DataFrame) -> DataFrame:
+    """Within-day columns of each channel-day.
+
+    Join the sparse days before laying them out on the calendar: both sides
+    come out of their aggregation partitioned by (channel, date), so the join
+    moves nothing.  ``fill_intraday`` then completes the empty days.
+    """
     columns = [c for c in intraday.columns if c.startswith("intra_")]
-    joined = grid.join(intraday.select("channel_id", "date", *columns), ["channel_id", "date"], "left")
-    absent = {c: (0 if "count" in c or "events_last" in c else -1) for c in columns}
-    return joined.fillna(absent)
+    return fill_intraday(days.join(intraday.select("channel_id", "date", *columns), ["channel_id", "date"], "left"))
+
+
+def fill_intraday(days: DataFrame) -> DataFrame:
+    """-1 for unknown minutes, states and ties, 0 for counts."""
+    columns = [c for c in days.columns if c.startswith("intra_")]
+    return days.fillna({c: (0 if "count" in c or "events_last" in c else -1) for c in columns})
 
 
 def join_forecasts(predictions: DataFrame, labels: DataFrame, lead: int = 2) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchgrid.operators.evaluation import average_precision, curve, score_counts
+from watchgrid.operators.evaluation import average_precision, pr_curve
 from watchgrid.operators.features import sanitize
 from watchgrid.operators.quality import require_columns
 from watchgrid.plans.running import exact_quantiles, ranked
@@ -266,8 +266,7 @@ def permutation_importance(rows: DataFrame, score, features: list[str], keys: li
         *[F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features])
     plain = base.select(*keys, label, F.lit("").alias("feature"), F.lit(0).alias("repeat"), *features)
     by = ["feature", "repeat"]
-    counts = materialize(score_counts(score(swapped.unionByName(plain)), by, label), "score-counts")
-    ap = average_precision(curve(counts, by), by)
+    ap = average_precision(pr_curve(score(swapped.unionByName(plain)), by, label), by)
     whole = ap.where("feature = ''").agg(F.max("average_precision")).scalar()
     drops = ap.where("feature <> ''").withColumn("drop", whole - F.col("average_precision"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("spread"),
