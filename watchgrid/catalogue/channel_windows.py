@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchgrid import vocab
 from watchgrid.catalogue.registry import query, rounded
 from watchgrid.functions.scalars import daily_rates
 from watchgrid.operators import aggregate as A

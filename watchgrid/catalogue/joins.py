@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchgrid import vocab
 from watchgrid.catalogue.registry import query, rounded
 from watchgrid.catalogue.scan import CONTEXT_SQL, context_documents
 from watchgrid.operators import aggregate as A
 from watchgrid.operators import joins as J
-from watchgrid.operators import objects as O
 from watchgrid.operators import sets, versions
 from watchgrid.sources import catalogs, weather
 from watchgrid.sources import testtables as T

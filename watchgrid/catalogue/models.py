@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchgrid import vocab
 from watchgrid.catalogue.registry import query, rounded
 from watchgrid.operators import evaluation as E
 from watchgrid.operators import features as W

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from watchgrid import vocab
 from watchgrid.catalogue.registry import query, rounded
-from watchgrid.operators import labels as L
 from watchgrid.operators import objects as O
 from watchgrid.session import materialize
 from watchgrid.sources import testtables as T

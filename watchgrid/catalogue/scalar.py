@@ -143,7 +143,17 @@ def log_compress(spark, sf):
         S.signed_log(F.col("value_sum")).alias("signed_log_value_sum")))
 
 
-@query("feature_allowlist")
+_ALLOWED = [
+    *vocab.MODEL_COUNTERS, "observed_channels", "alarm_channels", "fault_channels", "no_power_channels", "catalog_channels",
+    "alarm_today", "observed_today", "observed_fraction", "historical_alarm_frequency", "alarm_streak", "days_since_alarm",
+    "target_dayofweek", "annual_sin", "annual_cos", *[f"{c}_mean{k}" for c in vocab.OBJECT_SIGNALS for k in (3, 7, 28)]]
+
+
+# Only lags and the share among observed channels can be unknown.
+@query("feature_allowlist", " UNION ALL ".join(
+    [f"SELECT '{c}' AS feature, count(*) AS known_rows FROM od" for c in _ALLOWED]
+    + ["SELECT 'alarm_channel_fraction', count(*) FROM od WHERE observed_channels > 0"]
+    + [f"SELECT '{c}_lag{n}', count(*) FROM od WHERE i >= {n}" for c in vocab.OBJECT_SIGNALS for n in (1, 2, 7, 14)]))
 def feature_allowlist(spark, sf):
     mart = objects.with_signals(T.object_mart(spark, sf))
     names = features.feature_columns(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from watchgrid import vocab
-from watchgrid.catalogue.joins import BATCH_COLUMNS, SEED_END, batches
+from watchgrid.catalogue.joins import BATCH_COLUMNS, batches
 from watchgrid.catalogue.registry import query, rounded
 from watchgrid.operators import versions
 from watchgrid.session import shared_folder
