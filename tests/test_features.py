@@ -64,7 +64,7 @@ def test_ewm_recursion(grid):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_context_memory_state_table(grid, order):
     """Each channel keeps a table of decayed outcomes per context."""
-    got = by_channel(W.context_memory(grid, order), f"pattern{order}_alarm", f"pattern{order}_observed", f"pattern{order}_support")
+    got = by_channel(W.context_memory(grid, (order,)), f"pattern{order}_alarm", f"pattern{order}_observed", f"pattern{order}_support")
     observed = masks(field=2)
     decay = 0.5 ** (1 / 90)
     for c, alarm in masks().items():

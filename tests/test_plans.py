@@ -30,7 +30,7 @@ def test_channel_mart_needs_one_exchange_after_the_daily_aggregation(spark, sf):
 def test_memories_add_no_exchange(spark, sf):
     grid = T.grid(spark, sf)
     before = shuffles(grid)
-    out = W.recurrence(W.context_memory(W.context_memory(grid, 1), 3), "alarm")
+    out = W.recurrence(W.context_memory(grid), "alarm")
     assert shuffles(out) == before
 
 

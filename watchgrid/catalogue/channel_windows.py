@@ -241,10 +241,7 @@ ctx{k} AS (SELECT channel_id, "date", i, alarm, observed, {out} AS now, {came} A
 
 @query("context_memory", "WITH " + ", ".join(_memory_sql(k)[1] for k in (1, 2, 3)) + " UNION ALL ".join(_memory_sql(k)[0] for k in (1, 2, 3)))
 def context_memory(spark, sf):
-    # One chain for the three orders: the grid is built and exchanged once.
-    out = T.grid(spark, sf).select("channel_id", "date", "i", "alarm", "observed")
-    for k in (1, 2, 3):
-        out = W.context_memory(out, k)
+    out = W.context_memory(T.grid(spark, sf).select("channel_id", "date", "i", "alarm", "observed"))
     rows = F.explode(F.array(*[F.struct(
         F.lit(k).alias("context_days"), F.col(f"pattern{k}_alarm").alias("p_alarm"),
         F.col(f"pattern{k}_observed").alias("p_observed"), F.col(f"pattern{k}_support").alias("support")) for k in (1, 2, 3)]))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from watchgrid import vocab
 from watchgrid.functions.scalars import finite, ratio
-from watchgrid.plans.decay import decayed_sum, with_decayed_sums
+from watchgrid.plans.decay import LONGEST_CALENDAR, block_length, with_decayed_sums
 
 MASKS = {"alarm": "alarm_count", "observed": "events_count",
          "fault": "fault_count", "no_power": "no_power_count"}
@@ -327,49 +327,49 @@ def minutes_since(masked: DataFrame) -> DataFrame:
 HALF_LIFE = 90
 
 
-def context_memory(masked: DataFrame, order: int) -> DataFrame:
-    """Alarm and record probabilities after the context of the last ``order`` days.
+def context_memory(masked: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Alarm and record probabilities after the context of the last 1, 2, 3 days.
 
     The decayed outcome counts of a context are a running sum over the days that
     followed it.  The context that tomorrow follows is the one to ask, so each
     channel gets one empty day at its end and every answer moves back a day.
+    All partitions are by channel and context: no exchange is added.
     """
     decay = 0.5 ** (1.0 / HALF_LIFE)
-    code = 2 * F.col("alarm") + F.col("observed")
-    history = [F.lag(code, n + 1, 0).over(by_day()) * (4 ** n) for n in range(order)]
-    last_day = F.lead("date", 1).over(by_day()).isNull()
-    index = F.col("i")
-
-    def prior(x: Column) -> Column:
-        return decayed_sum(x, decay, index, running(by_day()))
-
-    base = masked.select("*", last_day.alias("_last"),
-                         prior(F.col("alarm")).alias("_pa"), prior(F.col("observed")).alias("_po"),
-                         prior(F.lit(1)).alias("_pn"))
-    ahead = F.explode(F.when(F.col("_last"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    extended = base.withColumn("_ahead", ahead).withColumn("date", F.date_add("date", F.col("_ahead"))).withColumn(
-        "i", F.col("i") + F.col("_ahead"))
-    for c in ("alarm", "observed"):
-        extended = extended.withColumn(c, F.when(F.col("_ahead") == 0, F.col(c)))
-    extended = extended.withColumn("_context", sum(history[1:], history[0]))
-
-    earlier = (Window.partitionBy("channel_id", "_context").orderBy("date")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    # State at the end of the previous day, hence one decay step less.
-    scale = F.pow(F.lit(decay), index - 1)
-    counted = F.when((F.col("_ahead") == 0) & (index >= order), F.pow(F.lit(decay), -index))
-    sums = {n: F.coalesce(F.sum(counted * x).over(earlier), F.lit(0.0)) * scale
-            for n, x in (("_n", F.lit(1)), ("_a", F.col("alarm")), ("_o", F.col("observed")))}
-    asked = extended.select("*", *[c.alias(n) for n, c in sums.items()])
-    answers = asked.select("*", *[F.lead(n, 1).over(by_day()).alias(f"{n}_next") for n in sums]).where("_ahead = 0")
-    alarm_base = (F.col("_pa") + 0.1) / (F.col("_pn") + 10)
-    observed_base = (F.col("_po") + 1) / (F.col("_pn") + 10)
-    support = F.col("_n_next")
-    return answers.select(
-        *masked.columns,
-        ((F.col("_a_next") + 10 * alarm_base) / (support + 10)).alias(f"pattern{order}_alarm"),
-        ((F.col("_o_next") + 10 * observed_base) / (support + 10)).alias(f"pattern{order}_observed"),
-        support.alias(f"pattern{order}_support"))
+    if block_length(decay) < LONGEST_CALENDAR:
+        raise ValueError("half life too short for one block")
+    window = "PARTITION BY channel_id ORDER BY date"
+    upto = f"OVER ({window} ROWS UNBOUNDED PRECEDING)"
+    columns = masked.columns
+    weighted = masked.selectExpr(
+        "*", f"pow({decay!r}D, i) AS _d", f"pow({decay!r}D, -i) AS _w", f"lead(date) OVER ({window}) IS NULL AS _last")
+    base = weighted.selectExpr(
+        "*", f"_d * sum(_w * alarm) {upto} AS _pa", f"_d * sum(_w * observed) {upto} AS _po", f"_d * sum(_w) {upto} AS _pn")
+    extended = base.selectExpr("*", "explode(if(_last, array(0, 1), array(0))) AS _ahead").selectExpr(
+        *[c for c in columns if c not in ("date", "i", "alarm", "observed")],
+        "date_add(date, _ahead) AS date", "i + _ahead AS i", "if(_ahead = 0, alarm, NULL) AS alarm",
+        "if(_ahead = 0, observed, NULL) AS observed", "_ahead", "_w", "_pa", "_po", "_pn",
+        f"_d * pow({decay!r}D, _ahead - 1) AS _before")
+    history = [f"lag(2 * alarm + observed, {n + 1}, 0) OVER ({window})" for n in range(max(orders))]
+    extended = extended.selectExpr("*", *[f"{h} AS _h{n}" for n, h in enumerate(history)])
+    contexts = [" + ".join(f"_h{n} * {4 ** n}" for n in range(k)) + f" AS _x{k}" for k in orders]
+    asked = extended.selectExpr("*", *contexts)
+    for k in orders:
+        earlier = (f"OVER (PARTITION BY channel_id, _x{k} ORDER BY date "
+                   "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+        # State at the end of the previous day; learning starts with a full context.
+        counted = f"if(_ahead = 0 AND i >= {k}, _w, NULL)"
+        asked = asked.selectExpr("*", *[
+            f"coalesce(sum({counted} * {x}) {earlier}, 0D) * _before AS _{n}{k}"
+            for n, x in (("n", "1"), ("a", "alarm"), ("o", "observed"))])
+    answers = asked.selectExpr("*", *[
+        f"lead(_{n}{k}) OVER ({window}) AS _{n}{k}_next" for k in orders for n in "nao"]).where("_ahead = 0")
+    out = []
+    for k in orders:
+        out += [f"(_a{k}_next + 10 * (_pa + 0.1D) / (_pn + 10)) / (_n{k}_next + 10) AS pattern{k}_alarm",
+                f"(_o{k}_next + 10 * (_po + 1) / (_pn + 10)) / (_n{k}_next + 10) AS pattern{k}_observed",
+                f"_n{k}_next AS pattern{k}_support"]
+    return answers.selectExpr(*columns, *out)
 
 
 def recurrence(masked: DataFrame, mask: str) -> DataFrame:

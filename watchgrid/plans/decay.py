@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SAFE_EXPONENT = 460.0          # e^460 is about 1e200
-_LONGEST_CALENDAR = 40 * 366    # days
+LONGEST_CALENDAR = 40 * 366     # days
 
 
 def block_length(ratio: float) -> int:
@@ -26,7 +26,7 @@ def decayed_sum(x: Column, ratio: float, index: Column, window) -> Column:
 
     Checked for 40 years of daily rows; use ``with_decayed_sums`` beyond that.
     """
-    if block_length(ratio) < _LONGEST_CALENDAR:
+    if block_length(ratio) < LONGEST_CALENDAR:
         raise ValueError("ratio decays too fast for one block, use with_decayed_sums")
     total = F.sum(x.cast("double") * F.pow(F.lit(ratio), -index)).over(window)
     return F.pow(F.lit(ratio), index) * total
