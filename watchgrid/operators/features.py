@@ -8,7 +8,6 @@ size follows the length of the history, never the number of records.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,9 +40,14 @@ def with_masks(grid: DataFrame) -> DataFrame:
                        *[(F.col(c) > 0).cast("int").alias(m) for m, c in MASKS.items()])
 
 
+# Window clauses as SQL text: one parsed expression per feature keeps wide marts cheap to plan.
+DAYS = "PARTITION BY channel_id ORDER BY date"
+UPTO = f"OVER ({DAYS} ROWS UNBOUNDED PRECEDING)"
+
+
 @dataclass
 class Family:
-    """Columns of one feature family, by the stage in which they are computed.
+    """SQL expressions of one feature family, by the stage in which they are computed.
 
     ``flags`` come first, then running sums of ``sums`` and other ``windows``,
     then the running sums ``spans`` = (name, days) ago, then plain arithmetic
@@ -51,10 +55,10 @@ class Family:
     operators in all, whatever the number of features.
     """
 
-    out: dict[str, Column]
-    flags: dict[str, Column] = field(default_factory=dict)
-    sums: dict[str, Column] = field(default_factory=dict)
-    windows: dict[str, Column] = field(default_factory=dict)
+    out: dict[str, str]
+    flags: dict[str, str] = field(default_factory=dict)
+    sums: dict[str, str] = field(default_factory=dict)
+    windows: dict[str, str] = field(default_factory=dict)
     spans: set[tuple[str, int]] = field(default_factory=set)
 
 
@@ -67,17 +71,16 @@ def compute(masked: DataFrame, *families: Family) -> DataFrame:
         windows |= f.windows
         out |= f.out
     spans = sorted(set().union(*[f.spans for f in families]))
-    w = by_day()
     stages = [
-        [c.alias(n) for n, c in flags.items()],
-        [F.sum(c).over(running(w)).alias(f"_r_{n}") for n, c in sums.items()] + [c.alias(n) for n, c in windows.items()],
-        [F.lag(f"_r_{n}", k, 0).over(w).alias(f"_l_{n}_{k}") for n, k in spans],
+        [f"{e} AS {n}" for n, e in flags.items()],
+        [f"sum({e}) {UPTO} AS _r_{n}" for n, e in sums.items()] + [f"{e} AS {n}" for n, e in windows.items()],
+        [f"lag(_r_{n}, {k}, 0L) OVER ({DAYS}) AS _l_{n}_{k}" for n, k in spans],
     ]
     df = masked
     for columns in stages:
         if columns:
-            df = df.select("*", *columns)
-    return df.select(*masked.columns, *[c.alias(n) for n, c in out.items()])
+            df = df.selectExpr("*", *columns)
+    return df.selectExpr(*masked.columns, *[f"{e} AS {n}" for n, e in out.items()])
 
 
 class Spans:
@@ -90,17 +93,21 @@ class Spans:
     def __init__(self) -> None:
         self.used: set[tuple[str, int]] = set()
 
-    def __call__(self, name: str, days: int) -> Column:
+    def __call__(self, name: str, days: int) -> str:
         self.used.add((name, days))
-        return F.col(f"_r_{name}") - F.col(f"_l_{name}_{days}")
+        return f"(_r_{name} - _l_{name}_{days})"
+
 
+def _elapsed(days: int) -> str:
+    return f"least(i + 1, {days})"
 
-def _elapsed(days: int) -> Column:
-    return F.least(F.col("i") + 1, F.lit(days))
 
+def _same(names) -> dict[str, str]:
+    return {n: n for n in names}
 
-def _columns(names) -> dict[str, Column]:
-    return {n: F.col(n) for n in names}
+
+def _share(part: str, whole: str) -> str:
+    return f"coalesce(try_divide({part}, {whole}), 0D)"
 
 
 def rolling_family(windows: tuple[int, ...] = (3, 7, 14)) -> Family:
@@ -109,9 +116,9 @@ def rolling_family(windows: tuple[int, ...] = (3, 7, 14)) -> Family:
     for k in windows:
         out |= {f"{c}_sum_{k}d": past(c, k) for c in vocab.ROLLING_COUNTERS}
         events = past("events_count", k)
-        out[f"alarm_rate_{k}d"] = ratio(past("alarm_count", k), events, 0)
-        out[f"numeric_share_{k}d"] = ratio(past("numeric_count", k), events, 0)
-    return Family(out, sums=_columns(vocab.ROLLING_COUNTERS), spans=past.used)
+        out[f"alarm_rate_{k}d"] = _share(past("alarm_count", k), events)
+        out[f"numeric_share_{k}d"] = _share(past("numeric_count", k), events)
+    return Family(out, sums=_same(vocab.ROLLING_COUNTERS), spans=past.used)
 
 
 def since_last(mask: Column, window=None) -> Column:
@@ -126,20 +133,20 @@ def streak(mask: Column, window=None) -> Column:
         F.last(F.when(~mask, F.col("_n")), ignorenulls=True).over(running(window or by_day())), F.lit(0))).otherwise(0)
 
 
-def _last_index(mask: str, value: int) -> Column:
-    return F.last(F.when(F.col(mask) == value, F.col("i")), ignorenulls=True).over(running(by_day()))
+def _last_index(mask: str, value: int) -> str:
+    return f"last(if({mask} = {value}, i, NULL), true) {UPTO}"
 
 
 def days_since_family(masks: tuple[str, ...] = ("alarm", "observed", "fault")) -> Family:
     """Days since the last alarm, record and fault; -1 when never."""
-    return Family({f"days_since_{m}": F.coalesce(F.col("i") - F.col(f"_last1_{m}"), F.lit(-1)) for m in masks},
+    return Family({f"days_since_{m}": f"coalesce(i - _last1_{m}, -1)" for m in masks},
                   windows={f"_last1_{m}": _last_index(m, 1) for m in masks})
 
 
 def streak_family() -> Family:
     """Run lengths of the masks ending today, and of days without an alarm."""
-    out = {f"{m}_streak": F.when(F.col(m) == 1, F.col("i") - F.coalesce(f"_last0_{m}", F.lit(-1))).otherwise(0) for m in MASKS}
-    out["quiet_streak"] = F.when(F.col("alarm") == 0, F.col("i") - F.coalesce("_last1_alarm", F.lit(-1))).otherwise(0)
+    out = {f"{m}_streak": f"if({m} = 1, i - coalesce(_last0_{m}, -1), 0)" for m in MASKS}
+    out["quiet_streak"] = "if(alarm = 0, i - coalesce(_last1_alarm, -1), 0)"
     windows = {f"_last0_{m}": _last_index(m, 0) for m in MASKS}
     return Family(out, windows={**windows, "_last1_alarm": _last_index("alarm", 1)})
 
@@ -150,76 +157,68 @@ def active_days_family(windows: tuple[int, ...] = (3, 7, 28, 90)) -> Family:
     for k in windows:
         out[f"alarm_days_{k}d"] = past("alarm", k)
         out[f"observed_days_{k}d"] = past("observed", k)
-        out[f"alarm_day_rate_{k}d"] = past("alarm", k) / _elapsed(k)
-    return Family(out, sums=_columns(["alarm", "observed"]), spans=past.used)
+        out[f"alarm_day_rate_{k}d"] = f"{past('alarm', k)} / {_elapsed(k)}"
+    return Family(out, sums=_same(["alarm", "observed"]), spans=past.used)
 
 
 def history_family() -> Family:
-    whole = running(by_day())
-    return Family({"seen_before_or_today": F.col("_seen"), "historical_alarm_day_rate": F.col("_r_alarm") / (F.col("i") + 1)},
-                  sums=_columns(["alarm"]), windows={"_seen": F.max("observed").over(whole)})
+    """Whether the channel was ever seen, and its share of alarm days so far."""
+    return Family({"seen_before_or_today": "_seen", "historical_alarm_day_rate": "_r_alarm / (i + 1)"},
+                  sums=_same(["alarm"]), windows={"_seen": f"max(observed) {UPTO}"})
 
 
 def trend_family() -> Family:
     """Short against long alarm rate, and today's volume against its 7-day mean."""
     past = Spans()
-    out = {"alarm_trend_7_28": past("alarm", 7) / _elapsed(7) - past("alarm", 28) / _elapsed(28),
-           "events_trend_1_7": F.col("events_count") / (1 + past("events_count", 7) / 7)}
-    return Family(out, sums=_columns(["alarm", "events_count"]), spans=past.used)
+    out = {"alarm_trend_7_28": f"{past('alarm', 7)} / {_elapsed(7)} - {past('alarm', 28)} / {_elapsed(28)}",
+           "events_trend_1_7": f"events_count / (1 + {past('events_count', 7)} / 7)"}
+    return Family(out, sums=_same(["alarm", "events_count"]), spans=past.used)
 
 
 def lag_family(days: tuple[int, ...] = (1, 2, 7, 14, 28)) -> Family:
-    return Family({f"alarm_lag_{n}": F.col(f"_alarm_ago_{n}") for n in days},
-                  windows={f"_alarm_ago_{n}": F.lag("alarm", n, 0).over(by_day()) for n in days})
+    """Alarm n days ago, 0 before the start."""
+    return Family({f"alarm_lag_{n}": f"_alarm_ago_{n}" for n in days},
+                  windows={f"_alarm_ago_{n}": f"lag(alarm, {n}, 0) OVER ({DAYS})" for n in days})
 
 
 def log_lag_family(days: tuple[int, ...] = (1, 2, 6)) -> Family:
+    """Log counts n days ago, NULL before the start."""
     names = [(c, n) for c in ("fault_count", "no_power_count", "events_count") for n in days]
-    return Family({f"{c}_lag{n}": F.log1p(f"_{c}_ago_{n}") for c, n in names},
-                  windows={f"_{c}_ago_{n}": F.lag(c, n).over(by_day()) for c, n in names})
+    return Family({f"{c}_lag{n}": f"log1p(_{c}_ago_{n})" for c, n in names},
+                  windows={f"_{c}_ago_{n}": f"lag({c}, {n}) OVER ({DAYS})" for c, n in names})
 
 
 def change_family() -> Family:
     """Log-count change since yesterday, and the mean of the same weekday over 4 weeks."""
     windows, out = {}, {}
     for c in ("events_count", "alarm_count"):
-        windows |= {f"_{c}_back_{n}": F.lag(c, n, 0).over(by_day()) for n in (1, 7, 14, 21, 28)}
-        ago = {n: F.log1p(f"_{c}_back_{n}") for n in (1, 7, 14, 21, 28)}
-        out[f"{c}_change"] = F.log1p(c) - ago[1]
-        out[f"{c}_same_weekday_4w"] = (ago[7] + ago[14] + ago[21] + ago[28]) / 4
+        windows |= {f"_{c}_back_{n}": f"lag({c}, {n}, 0L) OVER ({DAYS})" for n in (1, 7, 14, 21, 28)}
+        out[f"{c}_change"] = f"log1p({c}) - log1p(_{c}_back_1)"
+        out[f"{c}_same_weekday_4w"] = "(" + " + ".join(f"log1p(_{c}_back_{n})" for n in (7, 14, 21, 28)) + ") / 4"
     return Family(out, windows=windows)
 
 
-def _flag(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False)).cast("int")
-
-
-def _transitions() -> tuple[dict[str, Column], dict[str, Column]]:
-    """Yesterday's alarm (NULL on the first day) and counts of what followed it."""
-    prev, alarm = F.col("_prev"), F.col("alarm")
-    flags = {"_prev": F.lag("alarm", 1).over(by_day())}
-    sums = {"from0": _flag(prev == 0), "from1": _flag(prev == 1),
-            "from0_alarm": _flag((prev == 0) & (alarm == 1)), "from1_alarm": _flag((prev == 1) & (alarm == 1)),
-            "switch": _flag(prev != alarm)}
-    return flags, sums
+# Yesterday's alarm (NULL on the first day) and counts of what followed it.
+_PREVIOUS = {"_prev": f"lag(alarm, 1) OVER ({DAYS})"}
+_FOLLOWED = {n: f"cast(coalesce({c}, false) AS int)" for n, c in {
+    "from0": "_prev = 0", "from1": "_prev = 1", "from0_alarm": "_prev = 0 AND alarm = 1",
+    "from1_alarm": "_prev = 1 AND alarm = 1", "switch": "_prev <> alarm"}.items()}
 
 
 def transition_family(days: int = 90) -> Family:
     """Smoothed probability of an alarm today after a quiet / an alarm day."""
-    flags, sums = _transitions()
     past = Spans()
-    out = {f"transition_from_{s}": (past(f"from{s}_alarm", days) + 1) / (past(f"from{s}", days) + 20) for s in (0, 1)}
-    return Family(out, flags, sums, spans=past.used)
+    out = {f"transition_from_{s}": f"({past(f'from{s}_alarm', days)} + 1) / ({past(f'from{s}', days)} + 20)" for s in (0, 1)}
+    return Family(out, _PREVIOUS, _FOLLOWED, spans=past.used)
 
 
 def dynamics_family() -> Family:
     """Alarm rate when observed, alarm starts and switches, change of the record rate."""
-    flags, sums = _transitions()
     past = Spans()
-    out = {"alarm_rate_when_observed_28d": past("alarm", 28) / (1 + past("observed", 28)),
+    out = {"alarm_rate_when_observed_28d": f"{past('alarm', 28)} / (1 + {past('observed', 28)})",
            "alarm_starts_28d": past("from0_alarm", 28), "alarm_switches_28d": past("switch", 28),
-           "observation_change": past("observed", 7) / 7 - past("observed", 28) / 28}
-    return Family(out, flags, {**sums, **_columns(["alarm", "observed"])}, spans=past.used)
+           "observation_change": f"{past('observed', 7)} / 7 - {past('observed', 28)} / 28"}
+    return Family(out, _PREVIOUS, {**_FOLLOWED, **_same(["alarm", "observed"])}, spans=past.used)
 
 
 def numeric_family(days: int = 28) -> Family:
@@ -228,45 +227,42 @@ def numeric_family(days: int = 28) -> Family:
     Sums of measurements use a real frame: differences of long running sums
     would lose digits.
     """
-    before = by_day().rowsBetween(-days, -1)
-    windows = {n: F.sum(c).over(before) for n, c in
-               (("_pn", "numeric_count"), ("_ps", "value_sum"), ("_pq", "value_sumsq"))}
-    known = F.col("_pn") > 0
-    mean = ratio(F.col("_ps"), F.col("_pn"))
-    std = F.sqrt(F.greatest(ratio(F.col("_pq"), F.col("_pn")) - mean * mean, F.lit(0.0)))
-    today = ratio(F.col("value_sum"), F.col("numeric_count"))
-    deviation = F.greatest(F.lit(-100.0), F.least(F.lit(100.0), (today - mean) / (1 + std)))
-    return Family({"numeric_past28_mean": F.when(known, mean), "numeric_past28_std": F.when(known, std),
-                   "numeric_deviation": F.when(known & (F.col("numeric_count") > 0), deviation)}, windows=windows)
+    before = f"OVER ({DAYS} ROWS BETWEEN {days} PRECEDING AND 1 PRECEDING)"
+    windows = {n: f"sum({c}) {before}" for n, c in (("_pn", "numeric_count"), ("_ps", "value_sum"), ("_pq", "value_sumsq"))}
+    mean = "try_divide(_ps, _pn)"
+    std = f"sqrt(greatest(try_divide(_pq, _pn) - {mean} * {mean}, 0D))"
+    deviation = f"greatest(-100D, least(100D, (try_divide(value_sum, numeric_count) - {mean}) / (1 + {std})))"
+    return Family({"numeric_past28_mean": f"if(_pn > 0, {mean}, NULL)", "numeric_past28_std": f"if(_pn > 0, {std}, NULL)",
+                   "numeric_deviation": f"if(_pn > 0 AND numeric_count > 0, {deviation}, NULL)"}, windows=windows)
 
 
 def weekday_family(weeks: tuple[int, ...] = (4, 12)) -> Family:
     """Smoothed share of tomorrow's weekday over its past occurrences."""
     windows, out = {}, {}
     for m in ("alarm", "observed"):
-        windows |= {f"_{m}_week_{n}": F.lag(m, 6 + 7 * n, 0).over(by_day()) for n in range(max(weeks))}
+        windows |= {f"_{m}_week_{n}": f"lag({m}, {6 + 7 * n}, 0) OVER ({DAYS})" for n in range(max(weeks))}
         for k in weeks:
-            total = reduce(lambda x, y: x + y, [F.col(f"_{m}_week_{n}") for n in range(k)])
-            exposure = F.least(F.lit(k), F.floor((F.col("i") + 1) / 7))
-            out[f"{m}_tomorrow_weekday_{k}w"] = (total + 0.1) / (exposure + 10)
+            total = " + ".join(f"_{m}_week_{n}" for n in range(k))
+            out[f"{m}_tomorrow_weekday_{k}w"] = f"({total} + 0.1D) / (least({k}, (i + 1) DIV 7) + 10)"
     return Family(out, windows=windows)
 
 
 def window_rate_family(windows: tuple[int, ...] = (2, 5, 14, 60, 180)) -> Family:
+    """Share of alarm and observed days over elapsed days of each window."""
     past = Spans()
-    out = {f"seq_{m}_rate_{k}d": past(m, k) / _elapsed(k) for m in ("alarm", "observed") for k in windows}
-    return Family(out, sums=_columns(["alarm", "observed"]), spans=past.used)
+    out = {f"seq_{m}_rate_{k}d": f"{past(m, k)} / {_elapsed(k)}" for m in ("alarm", "observed") for k in windows}
+    return Family(out, sums=_same(["alarm", "observed"]), spans=past.used)
 
 
 def ewm(masked: DataFrame, spans: tuple[int, ...] = (7, 28)) -> DataFrame:
     """Exponential means of the masks and log counts, starting from the first day."""
-    inputs = {f"{m}_ewm_{{}}": F.col(m) for m in MASKS}
-    inputs |= {f"{c}_log_ewm{{}}": F.log1p(c) for c in ("events_count", "alarm_count")}
+    inputs = {f"{m}_ewm_{{}}": m for m in MASKS}
+    inputs |= {f"{c}_log_ewm{{}}": f"log1p({c})" for c in ("events_count", "alarm_count")}
     specs = {}
     for span in spans:
         alpha = 2.0 / (span + 1)
         for name, x in inputs.items():
-            specs[name.format(span)] = (F.when(F.col("i") == 0, x).otherwise(x * alpha), 1 - alpha)
+            specs[name.format(span)] = (F.expr(f"if(i = 0, 1D, {alpha!r}D) * {x}"), 1 - alpha)
     return with_decayed_sums(masked, "channel_id", "date", "i", specs)
 
 
