@@ -238,6 +238,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP)
     return pd.DataFrame(rows, columns=["length", "lo", "hi", "sequence", "each", "offset"])
 
 
+def planned(histogram: DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
+    """The plan of a (length, count) table, made by one task: at most ``capacity`` rows for any number of documents."""
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts))
+        yield plan(dict(zip(rows["length"].tolist(), rows["count"].tolist())), capacity)
+
+    schema = "length long, lo long, hi long, sequence long, each long, offset long"
+    slots = histogram.coalesce(1).mapInPandas(solve, schema).collect()
+    return pd.DataFrame(slots, columns=[c.split()[0] for c in schema.split(", ")])
+
+
 def assign(found: DataFrame, slots: pd.DataFrame) -> DataFrame:
     """sequence_id and offset of every piece, by its rank among those of equal length."""
     n = found.count()
@@ -275,14 +286,5 @@ def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", ca
     whatever its id; a null id stays null.  An empty table gives an empty result.
     """
     found = materialize(pieces(docs, path, text, key, capacity), "pieces")
-
-    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts))
-        yield plan(dict(zip(rows["length"].tolist(), rows["count"].tolist())), capacity)
-
-    schema = "length long, lo long, hi long, sequence long, each long, offset long"
-    # At most ``capacity`` rows: the whole linear program, for any number of documents.
-    histogram = found.groupBy("length").count()
-    slots = histogram.coalesce(1).mapInPandas(solve, schema).collect()
-    placed = assign(found, pd.DataFrame(slots, columns=[c.split()[0] for c in schema.split(", ")]))
+    placed = assign(found, planned(found.groupBy("length").count(), capacity))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "__place.sequence_id", "__place.offset")
