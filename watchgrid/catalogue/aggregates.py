@@ -24,9 +24,10 @@ def channel_daily(spark, sf):
 @query("combine_daily", f"""
 SELECT channel_id, "date", {', '.join(vocab.DAILY_COUNTERS)}, round(value_sum, 6) AS value_sum, value_min, value_max FROM cd""")
 def combine_daily(spark, sf):
-    # Partial channel-days of morning and evening records give the same totals.
+    # Partial channel-days of morning records and of all others, those without a time too, give the same totals.
     clean = T.clean(spark, sf)
-    parts = [A.channel_daily(clean.where(c)) for c in (F.col("second") < 43200, F.col("second") >= 43200)]
+    morning = F.coalesce(F.col("second") < 43200, F.lit(False))
+    parts = [A.channel_daily(clean.where(c)) for c in (morning, ~morning)]
     return rounded(A.combine_daily(parts[0].unionByName(parts[1])).drop("value_sumsq"))
 
 

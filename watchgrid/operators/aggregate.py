@@ -56,12 +56,12 @@ def combine_daily(parts: DataFrame) -> DataFrame:
 def with_order_key(clean: DataFrame) -> DataFrame:
     """Add ``order_key``: numeric id and alarm flag packed into one integer.
 
-    Records without a 62-bit id come first, alarms last among equal ids.  One
-    integer keeps the aggregation hash-based.
+    Records without a whole-number id come first, alarms last among equal ids.  A
+    decimal of fixed width keeps the aggregation hash-based and cannot overflow:
+    ids have up to 37 digits.
     """
-    numbered = clean.withColumn("_id", F.expr("try_cast(event_id AS bigint)"))
-    return numbered.withColumn(
-        "order_key", F.expr("2 * if(abs(_id) < 4611686018427387904L, _id, -1L) + is_alarm")).drop("_id")
+    number = "coalesce(try_cast(event_id AS decimal(37,0)), -9999999999999999999999999999999999999BD)"
+    return clean.withColumn("order_key", F.expr(f"cast(2 * {number} + cast(is_alarm AS int) AS decimal(38,0))"))
 
 
 def second_aggregates() -> list[Column]:
@@ -78,9 +78,9 @@ def intraday_aggregates() -> list[Column]:
         "sum(if(second >= 64800, events, 0)) AS intra_events_last6h",
         "max_by(events, second) - 1 AS intra_last_timestamp_ties",
         "min(second) / 60D AS intra_first_event_minute",
-        "pmod(min_by(first_key, second), 2) AS intra_first_event_is_alarm",
+        "cast(pmod(min_by(first_key, second), 2) AS int) AS intra_first_event_is_alarm",
         "max(second) / 60D AS intra_last_event_minute",
-        "pmod(max_by(last_key, second), 2) AS intra_last_event_is_alarm",
+        "cast(pmod(max_by(last_key, second), 2) AS int) AS intra_last_event_is_alarm",
         "coalesce(max(if(alarms > 0, second, NULL)) / 60D, -1D) AS intra_last_alarm_minute")]
 
 

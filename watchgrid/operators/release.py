@@ -140,14 +140,15 @@ def release_violations(runs: DataFrame, cards: DataFrame, k: int) -> DataFrame:
     # Repeated objects are counted per (run, object): no distinct set per run is built.
     repeated = (cards.groupBy("run_id", "object_id").agg((F.count("*") - 1).alias("n"))
                 .groupBy("run_id").agg(F.sum("n").alias("repeated_objects")))
-    joined = runs.join(per_card, "run_id").join(repeated, "run_id")
+    # A run without cards and cards without a run are violations themselves.
+    joined = runs.join(per_card, "run_id", "full").join(repeated, "run_id", "left")
     totals = {
         "threshold_mismatch": ~F.col("threshold").eqNullSafe(F.col("_boundary")),
         "total_mismatch": F.col("total_objects") != F.col("_cards"),
         "warnings_mismatch": (F.col("warnings_count") != F.col("_warnings")) | (F.col("_warnings") != k)}
     return joined.select(
         "run_id", *[F.coalesce(c, F.lit(True)).cast("int").alias(n) for n, c in {**run_rules, **totals}.items()],
-        *card_rules, "repeated_objects")
+        *[F.coalesce(F.col(n), F.lit(1)).alias(n) for n in card_rules], F.coalesce("repeated_objects", F.lit(0)).alias("repeated_objects"))
 
 
 # --- archive ----------------------------------------------------------------------

@@ -28,15 +28,20 @@ def forecast_window(date: Column) -> dict[str, Column]:
     }
 
 
+def _hash(columns: list[str]) -> Column:
+    """64-bit hash of the columns with their null flags: the hash itself skips nulls."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+
+
 def row_hash(columns: list[str]) -> Column:
-    return F.xxhash64(*columns).cast("decimal(38,0)")
+    return _hash(columns).cast("decimal(38,0)")
 
 
 def fingerprints(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Order-independent content identity of each group of rows."""
     return rows.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.sum(row_hash(columns)).alias("hash_sum"),
-        F.bit_xor(F.xxhash64(*columns)).alias("hash_xor"))
+        F.bit_xor(_hash(columns)).alias("hash_xor"))
 
 
 def version_conflicts(batches: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,20 +56,21 @@ def premature_batches(batches: DataFrame) -> DataFrame:
     return batches.where(F.col("available_at") < issue_time(F.col("day"))).select(*BATCH_KEYS).distinct()
 
 
+def known_batches(batches: DataFrame, feature_date: Column) -> DataFrame:
+    """Rows of all versions that existed at issue time."""
+    return batches.where((F.col("day") <= feature_date) & (F.col("available_at") <= issue_time(feature_date)))
+
+
 def visible_batches(batches: DataFrame, feature_date: Column) -> DataFrame:
     """Rows of the newest version of each day that existed at issue time.
 
-    One entry per calendar day is all that has to be remembered, so the choice
-    travels as a small map and the batch rows are filtered without a shuffle.
+    The choice is one row per calendar day; the optimizer broadcasts it when its
+    measured size allows.
     """
-    known = batches.where((F.col("day") <= feature_date)
-                          & (F.col("available_at") <= issue_time(feature_date)))
-    newest = (known.groupBy("day")
-              .agg(F.max(F.struct("available_at", "batch_id")).alias("v"))
-              .agg(F.map_from_entries(F.collect_list(F.struct("day", "v")))).scalar())
-    chosen = F.try_element_at(newest, F.col("day"))
-    return known.where((F.col("available_at") == chosen["available_at"])
-                       & (F.col("batch_id") == chosen["batch_id"]))
+    known = known_batches(batches, feature_date)
+    newest = (known.groupBy("day").agg(F.max(F.struct("available_at", "batch_id")).alias("_v"))
+              .select("day", F.col("_v.available_at").alias("available_at"), F.col("_v.batch_id").alias("batch_id")))
+    return known.join(newest, BATCH_KEYS, "left_semi")
 
 
 def assemble_history(seed: DataFrame, batches: DataFrame, feature_date: Column) -> DataFrame:
@@ -76,7 +82,11 @@ def assemble_history(seed: DataFrame, batches: DataFrame, feature_date: Column)
 
 def history_problems(seed: DataFrame, batches: DataFrame, columns: list[str],
                      seed_end: Column, feature_date: Column) -> DataFrame:
-    """Reasons to refuse a forecast, as (problem, day) rows; empty means usable."""
+    """Reasons to refuse a forecast, as (problem, day) rows; empty means usable.
+
+    Versions that arrive after the issue time cannot conflict: an earlier
+    forecast stays possible whatever is delivered later.
+    """
     from watchgrid.operators.sets import missing_days
 
     def tag(df: DataFrame, name: str, day: str) -> DataFrame:
@@ -86,7 +96,9 @@ def history_problems(seed: DataFrame, batches: DataFrame, columns: list[str],
     visible = days.where((F.col("day") <= feature_date)
                          & (F.col("available_at") <= issue_time(feature_date)))
     late_seed = seed.where(F.col("date") > seed_end).select("date").distinct()
-    return (tag(version_conflicts(batches, columns), "conflicting versions", "day")
+    strayed = known_batches(batches, feature_date).where(~F.col("date").eqNullSafe(F.col("day"))).select("day").distinct()
+    return (tag(version_conflicts(known_batches(batches, feature_date), columns), "conflicting versions", "day")
+            .unionByName(tag(strayed, "rows of another day", "day"))
             .unionByName(tag(premature_batches(batches), "available before the day ended", "day"))
             .unionByName(tag(days.where(F.col("day") <= seed_end), "overlaps the bootstrap", "day"))
             .unionByName(tag(late_seed, "bootstrap after its end", "date"))

@@ -24,8 +24,10 @@ def fill_calendar(
     ``facts`` holds (key, date, ...) with unique keys, ``seeds`` the keys that
     must appear even without facts.  Columns in ``zero`` become 0 on empty days,
     all others NULL: silence is not a measurement.  ``start`` and ``end`` are
-    literals or scalar subqueries.
+    literals or scalar subqueries.  Facts outside of them, such as those of a
+    dirty date, neither appear nor stretch the calendar.
     """
+    facts = facts.where((F.col("date") >= start) & (F.col("date") <= end))
     values = [c for c in facts.columns if c not in (key, "date")]
     rows = facts.select(key, "date", F.lit(True).alias("_fact"), *values)
     if seeds is not None:

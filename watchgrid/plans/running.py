@@ -15,9 +15,8 @@ _SAMPLE = 8     # sampled rows per range
 
 
 def _range_count(df: DataFrame) -> int:
-    """Ranges to cut into: the shuffle partitions, within 8 and 1024."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(1024, wanted))
+    """Ranges to cut into: as many as shuffle partitions, which follow the volume; 8 at least."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _edges(df: DataFrame, position: Column, ranges: int) -> Column:

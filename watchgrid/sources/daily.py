@@ -69,6 +69,28 @@ def source_fingerprints(spark: SparkSession, path: str) -> DataFrame:
                            F.unix_micros("modificationTime").cast("string")), 256).alias("fingerprint"))
 
 
+def day_fingerprints(clean: DataFrame) -> DataFrame:
+    """date, fingerprint: order-independent identity of the records of each day, nulls included."""
+    columns = [x for c in clean.columns for x in (F.col(c), F.col(c).isNull())]
+    own = F.xxhash64(*columns)
+    return clean.groupBy("date").agg(F.concat_ws(
+        "|", F.count(F.lit(1)).cast("string"), F.sum(own.cast("decimal(38,0)")).cast("string"),
+        F.bit_xor(own).cast("string")).alias("fingerprint"))
+
+
+def refresh_days(clean: DataFrame, cached: DataFrame, manifest: DataFrame, build) -> DataFrame:
+    """The cache brought up to the journal: days whose records changed are built again, days that are gone leave.
+
+    ``manifest`` holds (date, fingerprint) of the cached days, ``build`` reduces records to rows with a
+    date.  The result has a column ``rebuilt``.
+    """
+    prints = day_fingerprints(clean)
+    fresh = prints.join(manifest.select("date", "fingerprint"), ["date", "fingerprint"], "left_semi").select("date")
+    stale = prints.join(manifest.select("date", "fingerprint"), ["date", "fingerprint"], "left_anti").select("date")
+    kept = cached.join(fresh, "date", "left_semi").withColumn("rebuilt", F.lit(0))
+    return kept.unionByName(build(clean.join(stale, "date", "left_semi")).withColumn("rebuilt", F.lit(1)))
+
+
 def needs_rebuild(sources: DataFrame, manifest: DataFrame, code_version: str) -> DataFrame:
     """Source files whose content, code or schema version differs from the manifest."""
     known = manifest.where(F.col("code_version") == code_version).select("file_name", "fingerprint")

@@ -45,9 +45,12 @@ def run_to_end(stream: DataFrame, name: str, folder: str | None = None) -> DataF
 
 
 def _timed(raw: DataFrame, delay: str) -> DataFrame:
-    """Records with an event time that reads the journal's clock as UTC, so days do not depend on the session zone."""
-    clean = clean_journal(raw).where("second IS NOT NULL")
-    stamp = F.expr("timestamp_seconds(unix_date(date) * 86400L + second)")
+    """Records with an event time that reads the journal's clock as UTC, so days do not depend on the session zone.
+
+    A record without a valid time of day still belongs to its day and counts from its start.
+    """
+    clean = clean_journal(raw)
+    stamp = F.expr("timestamp_seconds(unix_date(date) * 86400L + coalesce(second, 0))")
     return clean.withColumn("ts", stamp).withWatermark("ts", delay)
 
 
@@ -64,7 +67,7 @@ def stream_channel_daily(raw: DataFrame, delay: str = "0 seconds") -> DataFrame:
 
 def stream_intraday(raw: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Within-day picture of closed days: seconds first, then the day, as in batch."""
-    seconds = (with_order_key(_timed(raw, delay)).groupBy(F.window("ts", "1 second"), "channel_id")
+    seconds = (with_order_key(_timed(raw, delay).where("second IS NOT NULL")).groupBy(F.window("ts", "1 second"), "channel_id")
                .agg(*second_aggregates(), F.max("second").alias("second")))
     days = seconds.groupBy(F.window("window", "1 day").alias("day"), "channel_id").agg(*intraday_aggregates())
     return days.select("channel_id", _day("day.start"), *[
@@ -74,14 +77,12 @@ def stream_intraday(raw: DataFrame, delay: str = "0 seconds") -> DataFrame:
 def stream_batches(deliveries: DataFrame, delay: str = "3 days") -> DataFrame:
     """Whole-day deliveries kept as versions; exact repeats are dropped.
 
-    A correction is a new version with its own time of availability.  Readers
-    choose with ``versions.visible_batches``, so issued forecasts never change.
+    A correction is a new version with its own time of availability.  Versions
+    keep the name of their delivery, so that two different ones of the same instant
+    remain a conflict.  Readers choose with ``versions.visible_batches``, so
+    issued forecasts never change.
     """
-    content = [c for c in deliveries.columns if c not in BATCH_KEYS]
-    kept = deliveries.withWatermark("available_at", delay).dropDuplicatesWithinWatermark(
-        ["day", "available_at", *content])
-    # One name per version: repeats may have lost either copy of a row.
-    return kept.withColumn("batch_id", F.date_format("available_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    return deliveries.withWatermark("available_at", delay).dropDuplicatesWithinWatermark(deliveries.columns)
 
 
 STATE = "last_alarm date, streak int, last_day date"
