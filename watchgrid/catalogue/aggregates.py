@@ -73,10 +73,7 @@ UNION ALL SELECT 'hour', CAST(h AS VARCHAR), count("second"), coalesce(CAST(sum(
 UNION ALL SELECT 'weekday', CAST(w AS VARCHAR), count("date"), coalesce(CAST(sum(is_alarm) AS BIGINT), 0),
  round(100 * sum(is_alarm) / nullif(count("date"), 0), 6) FROM range(7) r(w) LEFT JOIN clean ON isodow("date") - 1 = w GROUP BY 2""")
 def month_hour_weekday(spark, sf):
-    parts = [A.time_profile(T.clean(spark, sf), u).select(
-        F.lit(u).alias("profile"), F.col("unit").cast("string").alias("unit"), "rows", "alarms", "alarm_percent")
-        for u in ("month", "hour", "weekday")]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return rounded(A.time_profiles(T.clean(spark, sf)))
 
 
 def _dimension_sql(dimension: str) -> str:

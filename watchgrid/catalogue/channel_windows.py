@@ -89,14 +89,12 @@ def _others(keys: str, c: str, prefix: str) -> str:
     + [_others("parent", c, "parent") for c in ("alarm", "no_power")]
     + ['CAST(sum(events_count) OVER (PARTITION BY object_id, "date") - events_count AS BIGINT) AS object_events_count_others']) + " FROM gc")
 def others_in_group(spark, sf):
-    from watchgrid.session import materialize
-
-    # The grid feeds every group sum and the rows themselves: written once.
-    grid = materialize(J.enrich(T.grid(spark, sf).select(
-        "channel_id", "date", "events_count", "alarm", "fault", "no_power", "observed"), T.catalog(spark, sf)), "grid")
-    df = W.leave_one_out(grid, ["object_id", "sensor_type", "date"], ["alarm", "fault"], "type_object", "observed")
-    df = W.leave_one_out(df, ["parent", "date"], ["alarm", "no_power"], "parent", "observed")
-    df = W.leave_one_out(df, ["object_id", "date"], ["events_count"], "object")
+    grid = J.enrich(T.grid(spark, sf).select(
+        "channel_id", "date", "events_count", "alarm", "fault", "no_power", "observed"), T.catalog(spark, sf))
+    df = W.others_in_groups(grid, {
+        "type_object": (["object_id", "sensor_type", "date"], ["alarm", "fault"], "observed"),
+        "parent": (["parent", "date"], ["alarm", "no_power"], "observed"),
+        "object": (["object_id", "date"], ["events_count"], None)})
     return shown(df, *[c for c in df.columns if c.endswith("_others") or c.endswith("_rate")])
 
 

@@ -159,6 +159,26 @@ def time_profile(clean: DataFrame, unit: str) -> DataFrame:
     return counted.withColumn("alarm_percent", _percent(F.col("alarms"), F.col("rows")))
 
 
+def time_profiles(clean: DataFrame) -> DataFrame:
+    """profile, unit, rows, alarms and alarm share by month, hour and weekday from one pass over the records.
+
+    Records are combined by (date, hour) first: what remains is bounded by the calendar.
+    """
+    hours = clean.groupBy("date", F.floor(F.col("second") / 3600).cast("int").alias("hour")).agg(
+        F.count("*").alias("rows"), _count(F.col("is_alarm")).alias("alarms"))
+    units = F.explode(F.array(
+        F.struct(F.lit("month").alias("profile"), F.date_format("date", "yyyy-MM").alias("unit")),
+        F.struct(F.lit("hour").alias("profile"), F.col("hour").cast("string").alias("unit")),
+        F.struct(F.lit("weekday").alias("profile"), F.weekday("date").cast("string").alias("unit"))))
+    counted = (hours.select(units.alias("u"), "rows", "alarms").where("u.unit IS NOT NULL")
+               .groupBy("u.profile", "u.unit").agg(F.sum("rows").alias("rows"), F.sum("alarms").alias("alarms")))
+    every = [_domain(clean.sparkSession, [str(v) for v in range(n)]).select(F.lit(p).alias("profile"), "unit")
+             for p, n in (("hour", 24), ("weekday", 7))]
+    empty = every[0].unionByName(every[1]).select("profile", "unit", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("alarms"))
+    whole = counted.unionByName(empty).groupBy("profile", "unit").agg(F.sum("rows").alias("rows"), F.sum("alarms").alias("alarms"))
+    return whole.withColumn("alarm_percent", _percent(F.col("alarms"), F.col("rows")))
+
+
 def dimension_summary(clean: DataFrame, catalog: DataFrame, dimension: str) -> DataFrame:
     """Rows, share, alarms and alarm share by a dictionary attribute.
 

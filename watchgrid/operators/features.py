@@ -285,6 +285,32 @@ def leave_one_out(facts: DataFrame, keys: list[str], columns: list[str], prefix:
     return joined.select(*[facts[c] for c in facts.columns], *out)
 
 
+def others_in_groups(facts: DataFrame, levels: dict[str, tuple[list[str], list[str], str | None]]) -> DataFrame:
+    """``leave_one_out`` for several nested groupings with one shuffle of the facts.
+
+    ``levels`` maps a prefix to (keys, columns, observed).  Facts are summed once by
+    all keys together; that small table is rolled up to each grouping and joined
+    back once, on the finest keys, so that a large coarse group never meets the facts.
+    """
+    finest = list(dict.fromkeys(k for keys, _, _ in levels.values() for k in keys))
+    wanted = list(dict.fromkeys(c for _, columns, observed in levels.values() for c in [*columns, *([observed] if observed else [])]))
+    base = facts.groupBy(*finest).agg(*[F.sum(c).alias(f"_g_{c}") for c in wanted])
+    sums = base.select(*finest)
+    for prefix, (keys, columns, observed) in levels.items():
+        needed = [*columns, *([observed] if observed else [])]
+        level = base.groupBy(*keys).agg(*[F.sum(f"_g_{c}").alias(f"_{prefix}_{c}") for c in needed])
+        sums = sums.join(level, keys)
+    joined = facts.join(sums, finest)
+    out = []
+    for prefix, (_, columns, observed) in levels.items():
+        for c in columns:
+            other = F.col(f"_{prefix}_{c}") - F.col(c)
+            out.append(other.alias(f"{prefix}_{c}_others"))
+            if observed:
+                out.append((other / (1 + F.col(f"_{prefix}_{observed}") - F.col(observed))).alias(f"{prefix}_{c}_rate"))
+    return joined.select(*[facts[c] for c in facts.columns], *out)
+
+
 CARRIED = ["intra_last_event_is_alarm", "intra_last_event_minute", "intra_last_alarm_minute",
            "value_mean_1d", "value_std_1d", "events_count", "alarm_count", "fault_count", "no_power_count"]
 

@@ -6,12 +6,15 @@ content identity of a run is an order-independent fingerprint of its cards.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from watchgrid import vocab
+from watchgrid.operators.quality import expect_empty
 from watchgrid.operators.ranking import rank_queue
 from watchgrid.operators.versions import fingerprints, forecast_window
 from watchgrid.plans.running import ranked
@@ -151,6 +154,13 @@ def release_violations(runs: DataFrame, cards: DataFrame, k: int) -> DataFrame:
         *[F.coalesce(F.col(n), F.lit(1)).alias(n) for n in card_rules], F.coalesce("repeated_objects", F.lit(0)).alias("repeated_objects"))
 
 
+def broken_releases(runs: DataFrame, cards: DataFrame, k: int) -> DataFrame:
+    """Runs that break a rule, with the counters of ``release_violations``."""
+    found = release_violations(runs, cards, k)
+    rules = [F.coalesce(F.col(c), F.lit(1)) > 0 for c in found.columns if c != "run_id"]
+    return found.where(functools.reduce(lambda a, b: a | b, rules))
+
+
 # --- archive ----------------------------------------------------------------------
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -163,14 +173,17 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def publish(runs: DataFrame, cards: DataFrame, path: str) -> int:
+def publish(runs: DataFrame, cards: DataFrame, path: str, k: int | None = None) -> int:
     """Append releases once; returns how many were new.
 
+    With ``k`` every release is validated first; a broken one stops the publication.
     The same run with the same content is a no-op, with other content an error.
     Cards go first, replacing leftovers of a failed attempt; the run row makes
     a release visible.
     """
     spark = runs.sparkSession
+    if k is not None:
+        expect_empty(broken_releases(runs, cards, k), "broken releases")
     known = _read(spark, f"{path}/runs", runs.schema)
     digests = known.select("run_id", F.col("content_sha256").alias("_old"))
     both = runs.join(digests, "run_id", "left")

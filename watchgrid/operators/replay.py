@@ -14,12 +14,17 @@ from watchgrid.session import materialize
 
 
 def forecast_day(history: DataFrame, channel_objects: DataFrame, objects: DataFrame, score: Callable[[DataFrame], DataFrame],
-                 start: Column, feature_date: str, cutoff: Column, k: int, prefix: str = "object") -> DataFrame:
-    """Ranked cards of one feature day from the history visible at its issue time."""
+                 start: Column, feature_date: str, cutoff: Column, k: int, prefix: str = "object",
+                 identity: dict[str, str] | None = None) -> DataFrame:
+    """Ranked cards of one feature day from the history visible at its issue time.
+
+    ``identity`` (digests of model and input) becomes part of the run's id.
+    """
     day = F.lit(feature_date).cast("date")
     mart = O.recap_7d(O.object_mart(history, channel_objects, objects, start, day, cutoff=cutoff))
     scored = score(mart).where(F.col("date") == day)
-    lineage = F.struct(F.date_format(day, "yyyy-MM-dd").alias("feature_date"), F.lit(prefix).alias("model"))
+    lineage = F.struct(F.date_format(day, "yyyy-MM-dd").alias("feature_date"), F.lit(prefix).alias("model"),
+                       *[F.lit(v).alias(n) for n, v in sorted((identity or {}).items())])
     scored = scored.withColumn("run_id", release.release_id(prefix, day, lineage))
     return release.ranked_cards(scored, objects, k)
 
@@ -37,9 +42,10 @@ def replay_days(days: Iterable[str], seed: DataFrame, batches: DataFrame, channe
     for day in days:
         date = F.lit(day).cast("date")
         expect_empty(versions.history_problems(seed, batches, columns, seed_end, date), f"history for {day}")
-        history = versions.assemble_history(seed, batches, date)
-        cards = materialize(forecast_day(history, channel_objects, objects, score, start, day, cutoff, k), "cards")
-        digest = F.sha2(F.lit(f"{model_sha256}|{day}"), 256)
-        runs = materialize(release.build_runs(cards, model_sha256, digest), "runs")
-        new += release.publish(runs, cards, path)
+        history = materialize(versions.assemble_history(seed, batches, date), "history")
+        digest = history.sparkSession.range(1).select(versions.content_sha256(history, columns)).first()[0]
+        cards = materialize(forecast_day(history, channel_objects, objects, score, start, day, cutoff, k,
+                                         identity={"input": digest, "model_sha": model_sha256}), "cards")
+        runs = materialize(release.build_runs(cards, model_sha256, F.lit(digest)), "runs")
+        new += release.publish(runs, cards, path, k)
     return new

@@ -44,6 +44,13 @@ def fingerprints(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFr
         F.bit_xor(_hash(columns)).alias("hash_xor"))
 
 
+def content_sha256(rows: DataFrame, columns: list[str]) -> Column:
+    """Digest of a whole table's content as a scalar: independent of the order of rows and of their partitions."""
+    return rows.agg(F.sha2(F.concat_ws(
+        "|", F.lit(",".join(columns)), F.count("*").cast("string"), F.coalesce(F.sum(row_hash(columns)), F.lit(0)).cast("string"),
+        F.coalesce(F.bit_xor(_hash(columns)), F.lit(0)).cast("string")), 256).alias("sha")).scalar()
+
+
 def version_conflicts(batches: DataFrame, columns: list[str]) -> DataFrame:
     """Deliveries for the same day and instant that differ in content."""
     prints = fingerprints(batches, BATCH_KEYS, columns)
