@@ -37,7 +37,7 @@ def test_code_switched_words_are_told_apart():
     passages = [("the house and the garden were very green in summer " * 3, "en"), ("der garten und das haus waren sehr gruen im sommer " * 3, "de")]
     model = language_crf.learn(passages * 10, epochs=6)
     found = language_crf.letter_words("the garden and the house der garten und das haus")
-    scores = language_crf.Emissions(model.weights).of(found)[None]
+    scores = language_crf.scores_of(*language_crf.features(found), len(found), model.weights)[None]
     share = language_crf.marginals(scores, np.ones((1, len(found)), dtype=bool), model.transitions, model.start)[0]
     assert [model.labels[i] for i in share.argmax(1)] == ["en"] * 5 + ["de"] * 5
 

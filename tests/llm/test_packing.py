@@ -65,22 +65,17 @@ def test_small_optima(spark, histogram, least):
 def test_linear_program_reaches_the_bound(spark):
     def solve(parts):  # in a task, where numpy runs on one thread
         list(parts)
-        used, total, least, fits, meets = linear_program()
-        yield pd.DataFrame([(used, total, fits and meets)], columns=["used", "least", "good"])
+        rng = np.random.default_rng(4)
+        lengths = np.sort(rng.choice(np.arange(20, 400), 120, replace=False))
+        counts = rng.integers(100, 4000, 120).astype(float)
+        columns, uses = packing.patterns(lengths, counts, 1024, 0.002)
+        good = (columns.T @ lengths <= 1024).all() and np.allclose(columns @ uses, counts, rtol=1e-3)
+        yield pd.DataFrame([(float(uses.sum()), float(counts @ lengths) / 1024, bool(good))], columns=["used", "least", "good"])
 
     row = spark.range(1).coalesce(1).mapInPandas(solve, "used double, least double, good boolean").first()
     assert row["good"] and row["used"] <= 1.01 * row["least"]
 
 
-def linear_program():
-    rng = np.random.default_rng(4)
-    lengths = np.sort(rng.choice(np.arange(20, 400), 120, replace=False))
-    counts = rng.integers(100, 4000, 120).astype(float)
-    columns, uses = packing.patterns(lengths, counts, 1024, 0.002)
-    least = float(counts @ lengths) / 1024
-    return float(uses.sum()), least, least, bool((columns.T @ lengths <= 1024).all()), bool(np.allclose(columns @ uses, counts, rtol=1e-3))
-
-
 def test_hot_length_is_ranked_once(spark):
     rows = [(i, i % 3 and 1000 or 24 + i % 7, 0, 0) for i in range(6000)]
     found = spark.createDataFrame(rows, "doc_id long, length long, start long, ids_crc32 long")
