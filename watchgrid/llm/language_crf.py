@@ -8,7 +8,6 @@ give each word's probabilities, their mean is the document's.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchgrid.llm.text import mix
+
 #: The classifier is fitted on so many hashed passages of labelled rows per language, each of so many characters.
 FIT_PASSAGES = 400
 FIT_CHARS = 1200
@@ -25,6 +26,7 @@ SLOTS = 1 << 16
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CELLS = 400_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -32,42 +34,77 @@ def letter_words(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
-def features(word: str) -> list[int]:
-    """Hash slots of affixes, character n-grams and the word itself; long words by their ends too."""
-    n = len(word)
-    found = {"=" + word}
-    for k in (1, 2, 3):
-        found.add("<" + word[:k])
-    for k in (1, 2, 3, 4):
-        found.add(">" + word[-k:])
-    for i in range(n - 1):
-        found.add(word[i:i + 2])
-        found.add(word[i:i + 3])
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % SLOTS for f in found]
+def features(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, slot) of every feature of some words: prefixes to 3, suffixes to 4, n-grams of 2 and 3, the word itself."""
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    codes = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    word = np.repeat(np.arange(len(found)), sizes)
+    place = np.arange(len(codes)) - starts[word]
+    left = sizes[word] - place  # characters from here to the end
+    padded = np.concatenate([codes, np.zeros(4, dtype=np.uint64)])
+    owner, hashes = [], []
+
+    def add(kind: int, of: np.ndarray, at: np.ndarray, size: int) -> None:
+        h = np.full(len(at), kind, dtype=np.uint64)
+        for i in range(size):
+            h = mix(h * _STEP + padded[at + i])
+        owner.append(of)
+        hashes.append(h)
+
+    every = np.arange(len(found))
+    for size in (1, 2, 3, 4):
+        some = every[sizes >= size]
+        if size < 4:
+            add(10 + size, some, starts[some], size)
+        add(20 + size, some, ends[some] - size, size)
+    for size in (2, 3):
+        at = np.flatnonzero(left >= size)
+        add(30 + size, word[at], at, size)
+    owner.append(every)
+    hashes.append(mix(np.add.reduceat(mix(codes * _STEP + place.astype(np.uint64)), starts) if len(found) else codes))
+    return np.concatenate(owner), (np.concatenate(hashes) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def scores_of(owner: np.ndarray, slot: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
+    """Score of each of ``n`` words per label: its features' weights, scaled by their number."""
+    scale = 1 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=n)))
+    return np.stack([np.bincount(owner, weights[slot, y], n) * scale for y in range(weights.shape[1])], axis=1)
 
 
 class Emissions(dict):
-    """Row of each word in a table of its scores per label, remembered up to a bound."""
+    """Row of each word in a table of its scores per label, remembered between texts up to a bound."""
 
-    def __init__(self, weights: np.ndarray, most: int = 300_000):
+    def __init__(self, weights: np.ndarray, most: int = 200_000):
         super().__init__()
         self.weights, self.most = weights, most
-        self.rows = np.empty((4096, weights.shape[1]), dtype=np.float32)
+        self.rows = np.empty((0, weights.shape[1]), dtype=np.float32)
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        slots = features(word)
-        self.rows[at] = self.weights[slots].sum(0) / np.sqrt(len(slots))
-        self[word] = at
+        self[word] = at = len(self)
+        self.new.append(word)
         return at
 
-    def of(self, found: list[str]) -> np.ndarray:
+    def start(self) -> None:
+        """Forget what is remembered if it is too much; row numbers given before end here."""
         if len(self) > self.most:
             self.clear()
-        at = np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))  # may make the table longer
-        return self.rows[at]
+            self.rows = self.rows[:0]
+
+    def places(self, found: list[str]) -> np.ndarray:
+        """Row number of each word."""
+        return np.fromiter(map(self.__getitem__, found), dtype=np.int32, count=len(found))
+
+    def table(self) -> np.ndarray:
+        """Scores by row number, the words met since the last call included."""
+        for lo in range(0, len(self.new), 20_000):
+            part = self.new[lo:lo + 20_000]
+            more = scores_of(*features(part), len(part), self.weights).astype(np.float32)
+            self.rows = np.concatenate([self.rows, more])
+        self.new = []
+        return self.rows
 
 
 def marginals(scores: np.ndarray, mask: np.ndarray, transitions: np.ndarray, start: np.ndarray,
@@ -113,10 +150,12 @@ class Model:
         """(label, mean probability) per text; texts of like length go together."""
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         found = []
+        emissions.start()
         for i, text in enumerate(texts):
-            scores = emissions.of(letter_words(text))
-            if len(scores):
-                found.append((i, scores))
+            places = emissions.places(letter_words(text))
+            if len(places):
+                found.append((i, places))
+        table = emissions.table()
         found.sort(key=lambda x: len(x[1]))
         lo = 0
         while lo < len(found):
@@ -128,7 +167,7 @@ class Model:
             scores = np.zeros((len(part), longest, len(self.labels)), dtype=np.float32)
             mask = np.zeros((len(part), longest), dtype=bool)
             for j, (_, s) in enumerate(part):
-                scores[j, :len(s)] = s
+                scores[j, :len(s)] = table[s]
                 mask[j, :len(s)] = True
             share = (marginals(scores, mask, self.transitions, self.start) * mask[:, :, None]).sum(1, dtype=np.float64)
             share /= mask.sum(1)[:, None]
@@ -152,7 +191,6 @@ def learn(passages: list[tuple[str, str]], epochs: int = 4, rate: float = 0.15,
     squares = np.full(weights.shape, 1e-3)
     transitions, start = np.zeros((len(labels), len(labels))), np.zeros(len(labels))
     moved = np.full(transitions.shape, 1e-3)
-    known: dict[str, np.ndarray] = {}
     for _ in range(epochs if len(labels) > 1 else 0):
         order = rng.permutation(len(pieces))
         sequences, at = [], 0
@@ -162,43 +200,23 @@ def learn(passages: list[tuple[str, str]], epochs: int = 4, rate: float = 0.15,
             at += size
         for lo in range(0, len(sequences), 64):
             part = sequences[lo:lo + 64]
-            slots, owner, gold, lengths = [], [], [], []
-            n_words = 0
-            for sequence in part:
-                n = 0
-                for found, y in sequence:
-                    for w in found:
-                        s = known.get(w)
-                        if s is None:
-                            s = known[w] = np.array(features(w))
-                        slots.append(s)
-                        gold.append(y)
-                        n += 1
-                lengths.append(n)
-                n_words += n
-            sizes = np.array([len(s) for s in slots])
-            owner = np.repeat(np.arange(n_words), sizes)
-            flat = np.concatenate(slots)
-            scale = 1 / np.sqrt(sizes)
-            scores = np.add.reduceat(weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) * scale[:, None]
-            longest = max(lengths)
-            grid = np.zeros((len(part), longest, len(labels)))
-            mask = np.zeros((len(part), longest), dtype=bool)
-            ends = np.cumsum(lengths)
-            for j, n in enumerate(lengths):
-                grid[j, :n] = scores[ends[j] - n:ends[j]]
-                mask[j, :n] = True
+            lengths = [sum(len(found) for found, _ in sequence) for sequence in part]
+            gold = np.array([y for sequence in part for found, y in sequence for _ in found])
+            n = len(gold)
+            owner, slot = features([w for sequence in part for found, _ in sequence for w in found])
+            scale = 1 / np.sqrt(np.bincount(owner, minlength=n))
+            scores = scores_of(owner, slot, n, weights)
+            grid = np.zeros((len(part), max(lengths), len(labels)))
+            mask = np.arange(max(lengths))[None, :] < np.array(lengths)[:, None]
+            grid[mask] = scores
             pairs = np.zeros_like(transitions)
             given = marginals(grid, mask, transitions, start, pairs)[mask]
-            gold = np.array(gold)
-            given[np.arange(n_words), gold] -= 1
-            first = np.concatenate([[0], ends[:-1]])
-            same = np.ones(n_words, dtype=bool)
-            same[first] = False
-            after = np.flatnonzero(same)
+            given[np.arange(n), gold] -= 1
+            first = np.cumsum([0, *lengths[:-1]])
+            after = np.setdiff1d(np.arange(n), first)
             np.subtract.at(pairs, (gold[after - 1], gold[after]), 1)
-            gradient = np.zeros_like(weights)
-            np.add.at(gradient, flat, (given * scale[:, None])[owner])
+            push = (given * scale[:, None])[owner]
+            gradient = np.stack([np.bincount(slot, push[:, y], SLOTS) for y in range(len(labels))], axis=1)
             gradient = gradient / len(part) + decay * weights
             squares += gradient * gradient
             weights -= rate * gradient / np.sqrt(squares)

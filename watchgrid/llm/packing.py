@@ -53,7 +53,7 @@ class Encoder(dict):
     piece can be merged by rank, which is several times faster than one call of the tokenizer per piece.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         import tiktoken
         from tokenizers import Tokenizer
 
