@@ -179,7 +179,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     todo = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), "n").distinct()
     todo = (todo.join(lead_n, F.col("a") == F.col("__l"))
             .where(F.least("n", "__ln") >= F.floor(F.greatest("n", "__ln") * ratio)).select("a", "b"))
-    links = tested = labels = None
+    tested = labels = None
     while True:
         todo = _grouped(todo)
         pairs = todo.select("a", "b")
@@ -187,8 +187,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
         good = materialize(verified(todo, docs, text, key, similarity), "links")
         if labels is not None and good.limit(1).count() == 0:
             break
-        links = good if links is None else links.unionByName(good)
-        labels = components(links)
+        labels = _merged(labels, good)
         # One member per bucket and class, next to each other by length.
         own = members.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
         own = own.groupBy("bucket", "label").agg(F.min(F.struct("n", "rep")).alias("one")).select("bucket", "one.n", "one.rep")
@@ -206,6 +205,19 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     return out.select("doc_id", F.coalesce("__class", "doc_id").alias("class_id"))
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, label after more links: only the links between present classes are followed."""
+    if labels is None:
+        return components(links)
+    for side in ("a", "b"):
+        known = labels.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
+        links = links.join(known, F.col(side) == F.col("__n"), "left").withColumn(side, F.coalesce("__l", side)).drop("__n", "__l")
+    roots = components(links).select(F.col("node").alias("__n"), F.col("label").alias("__l"))
+    moved = labels.join(roots, F.col("label") == F.col("__n"), "left").select("node", F.coalesce("__l", "label").alias("label"))
+    alone = roots.join(labels, F.col("__n") == F.col("node"), "left_anti").select(F.col("__n").alias("node"), F.col("__l").alias("label"))
+    return materialize(moved.unionByName(alone), "class-labels")
+
+
 def _grouped(pairs: DataFrame) -> DataFrame:
     """Pairs with a salt that keeps every (a, salt) near ``GROUP`` pairs, written down."""
     pairs = materialize(pairs, "candidate-pairs")
