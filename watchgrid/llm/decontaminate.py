@@ -2,7 +2,7 @@
 
 Documents are cut into passages of ``PASSAGE`` words.  Their TF-IDF rows over the
 benchmark's vocabulary, with those of the benchmark itself, get a randomised
-singular value decomposition whose sums over all passages are made by the tasks.  Passages near a
+singular value decomposition in one pass, its sums over all passages made by the tasks.  Passages near a
 benchmark passage in the latent space are candidates; the longest common subsequence
 with it, and the words of its answer, decide.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,14 +30,13 @@ STRIDE = 32
 #: Latent dimensions; a block of benchmark passages is no larger, so that each of them has its place.
 DIMENSIONS = 256
 BLOCK = 224
-ROUNDS = 2
 #: Least cosine of a candidate, common subsequence that decides alone, and with the answer's words.
 COSINE = 0.3
 VERBATIM = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.75
 #: Words in more than this part of the benchmark's passages (and more than three) do not characterise any.
-COMMON = 0.05
+COMMON = 0.02
 SEED = 20240501
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)")
 
@@ -53,6 +53,8 @@ class Block:
             self.ids.append(item_id)
             self.words.append(found)
             self.answers.append(Counter(answer))
+        self.counts = [(tuple(c), tuple(c.values())) for c in map(Counter, self.words)]
+        self.reach = max(len(found) for found in self.words) // 2 + 4  # words beside a passage that may belong to an item
         # A passage of common words only keeps them: it could not be found otherwise.
         kept = {w for found in self.words for w in (set(found) - common or set(found))}
         self.vocabulary = {w: i for i, w in enumerate(sorted(kept))}
@@ -70,7 +72,7 @@ class Block:
 
 def cells(found: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(place, vocabulary index) of the words of a text that the vocabulary holds."""
-    index = np.fromiter((vocabulary.get(w, -1) for w in found), dtype=np.int64, count=len(found))
+    index = np.fromiter(map(vocabulary.get, found, repeat(-1)), dtype=np.int64, count=len(found))
     place = np.flatnonzero(index >= 0)
     return place, index[place]
 
@@ -177,32 +179,26 @@ def decompose(cells_of: DataFrame, block: Block, idf: np.ndarray, passages: int)
     size = len(block.vocabulary)
     k = min(DIMENSIONS, size)
 
-    def turned(basis: np.ndarray, last: bool):
-        """One task: orthogonal basis of the image, or at last the singular vectors within the basis."""
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            image = np.zeros((size, k))
-            for part in parts:
-                for i, x in zip(part["i"], part["x"]):
-                    image[i] = x
-            own = block.rows(idf).astype(np.float64)
-            image += max(1, passages) / max(1, len(own)) * (own.T @ (own @ basis))
-            if last:
-                small = basis.T @ image
-                values, turn = np.linalg.eigh((small + small.T) / 2)
-                out = basis @ turn[:, np.argsort(-values)]
-            else:
-                out, _ = np.linalg.qr(image)
-            yield pd.DataFrame({"i": np.arange(size), "x": list(out)})
-        return run
-
-    basis = np.random.default_rng(SEED).standard_normal((size, k))
-    for i in range(ROUNDS):
-        image = gathered(cells_of, idf, basis)
-        rows = image.coalesce(1).mapInPandas(turned(basis, i + 1 == ROUNDS), "i long, x array<double>").collect()
-        basis = np.zeros((size, k))
-        for r in rows:  # words of the benchmark by latent dimensions
-            basis[r[0]] = r[1]
-    return basis.astype(np.float32)
+    start = np.random.default_rng(SEED).standard_normal((size, k)) / np.sqrt(size)
+
+    def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One task: from the image of random directions to the leading directions of the rows (Nystrom's formula)."""
+        image = np.zeros((size, k))
+        for part in parts:
+            for i, x in zip(part["i"], part["x"]):
+                image[i] = x
+        own = block.rows(idf).astype(np.float64)
+        image += max(1, passages) / max(1, len(own)) * (own.T @ (own @ start))
+        shift = 1e-9 * max(1e-9, np.linalg.norm(image))
+        image += shift * start
+        core = start.T @ image
+        values, turn = np.linalg.eigh((core + core.T) / 2)
+        some = values > shift * 1e-3
+        left, _, _ = np.linalg.svd(image @ (turn[:, some] / np.sqrt(values[some])), full_matrices=False)
+        yield pd.DataFrame({"i": np.arange(size), "x": list(left)})
+
+    rows = gathered(cells_of, idf, start).coalesce(1).mapInPandas(vectors, "i long, x array<double>").collect()
+    return np.array([r[1] for r in sorted(rows, key=lambda r: r[0])], dtype=np.float32)  # words of the benchmark by dimensions
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -237,8 +233,9 @@ def search(docs: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray) -
         items = block.rows(idf) @ latent
         items /= np.maximum(np.sqrt((items * items).sum(1, keepdims=True)), 1e-9)
         for batch in batches:
-            hits: list[tuple] = []
+            out: list[tuple] = []
             for lo in range(0, len(batch), 256):
+                hits: list[tuple] = []
                 ids = batch["doc_id"].iloc[lo:lo + 256].tolist()
                 texts = [words(t) for t in batch["__text"].iloc[lo:lo + 256]]
                 starts = np.cumsum([0] + [-(-len(t) // STRIDE) + 1 for t in texts])
@@ -267,18 +264,28 @@ def search(docs: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray) -
                         at = a + int(some[w])
                         d = int(np.searchsorted(starts, at, side="right")) - 1
                         hits.append((lo + d, at - int(starts[d]), int(j), float(cosine[w, j]), ids[d], texts[d]))
-            best: dict[tuple, tuple] = {}
-            for d, window, j, cosine, doc_id, text in hits:
-                item = block.words[j]
-                reach = len(item) // 2 + 4
-                begin = window * STRIDE
-                common, said, good = verified(item, block.answers[j], text[max(0, begin - reach):begin + PASSAGE + reach])
-                if good and best.get((d, j), (0,))[0] < common:
-                    best[d, j] = (common, said, cosine, doc_id)
-            yield pd.DataFrame([(doc_id, j, cosine, common, said) for (d, j), (common, said, cosine, doc_id) in best.items()],
-                               columns=["doc_id", "item", "cosine", "common", "answer"])
-
-    return docs.mapInPandas(run, "doc_id long, item long, cosine double, common double, answer double")
+                best: dict[tuple, tuple] = {}
+                at, there = None, Counter()
+                for d, window, j, cosine, doc_id, text in hits:
+                    item = block.words[j]
+                    begin = window * STRIDE
+                    if at != (d, window):
+                        at, there = (d, window), Counter(text[max(0, begin - block.reach):begin + PASSAGE + block.reach])
+                    # No common subsequence is longer than the words in common.
+                    own, times = block.counts[j]
+                    if sum(map(min, times, map(there.get, own, repeat(0)))) < PARAPHRASE * len(item):
+                        continue
+                    reach = len(item) // 2 + 4
+                    common, said, good = verified(item, block.answers[j], text[max(0, begin - reach):begin + PASSAGE + reach])
+                    if good and best.get((d, j), (0,))[0] < common:
+                        best[d, j] = (common, said, cosine, doc_id)
+                out += [(doc_id, j, cosine, common, said) for (d, j), (common, said, cosine, doc_id) in best.items()]
+            yield pd.DataFrame(out, columns=["doc_id", "item", "cosine", "common", "answer"])
+
+    # The id travels as text: a null among numbers would turn them into doubles.
+    out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        run, "doc_id string, item long, cosine double, common double, answer double")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def passages_of(benchmark: DataFrame, text: str, key: str) -> Iterator[list[tuple[object, str]]]:
