@@ -38,6 +38,7 @@ ANSWER = 0.75
 #: Words in more than this part of the benchmark's passages (and more than three) do not characterise any.
 COMMON = 0.02
 SEED = 20240501
+_CELLS = 1 << 12  # rows of the basis at once: few enough to stay in a processor's cache
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)")
 
 
@@ -133,8 +134,8 @@ def frequencies(cells_of: DataFrame, size: int) -> tuple[int, np.ndarray]:
 
 def _multiply(row: np.ndarray, index: np.ndarray, weight: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
     """Add A'(A basis) of the rows of A given by (row, index, weight), by row, to ``out``."""
-    for lo in range(0, len(row), 1 << 15):
-        hi = min(len(row), lo + (1 << 15))
+    for lo in range(0, len(row), _CELLS):
+        hi = min(len(row), lo + _CELLS)
         # Whole rows: a row cut by the step is finished in it.
         lo += 0 if lo == 0 else int(np.searchsorted(row[lo:], row[lo - 1], side="right"))
         hi += 0 if hi == len(row) else int(np.searchsorted(row[hi:], row[hi - 1], side="right"))
@@ -142,11 +143,15 @@ def _multiply(row: np.ndarray, index: np.ndarray, weight: np.ndarray, basis: np.
             continue
         r, i, w = row[lo:hi], index[lo:hi], weight[lo:hi, None]
         starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        product = np.add.reduceat(basis[i] * w, starts, axis=0)
-        back = np.repeat(product, np.diff(np.append(starts, len(r))), axis=0) * w
+        cell = basis[i]
+        cell *= w
+        product = np.add.reduceat(cell, starts, axis=0)
         order = np.argsort(i, kind="stable")
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(r))))
+        back = product[owner[order]]
+        back *= w[order]
         firsts = np.flatnonzero(np.concatenate([[True], i[order][1:] != i[order][:-1]]))
-        out[i[order][firsts]] += np.add.reduceat(back[order], firsts, axis=0)
+        out[i[order][firsts]] += np.add.reduceat(back, firsts, axis=0)
 
 
 def gathered(cells_of: DataFrame, idf: np.ndarray, basis: np.ndarray) -> DataFrame:
@@ -197,7 +202,7 @@ def decompose(cells_of: DataFrame, block: Block, idf: np.ndarray, passages: int)
         left, _, _ = np.linalg.svd(image @ (turn[:, some] / np.sqrt(values[some])), full_matrices=False)
         yield pd.DataFrame({"i": np.arange(size), "x": list(left)})
 
-    rows = gathered(cells_of, idf, start).coalesce(1).mapInPandas(vectors, "i long, x array<double>").collect()
+    rows = gathered(cells_of, idf, start).repartition(1).mapInPandas(vectors, "i long, x array<double>").collect()
     return np.array([r[1] for r in sorted(rows, key=lambda r: r[0])], dtype=np.float32)  # words of the benchmark by dimensions
 
 
@@ -250,9 +255,9 @@ def search(docs: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray) -
                 # Latent sums of strides; a passage is a stride and the next.
                 firsts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                 sums = np.zeros((int(starts[-1]) + 1, vectors.shape[1]), dtype=np.float32)
-                for a in range(0, len(firsts), 4096):
-                    f = firsts[a:a + 4096]
-                    end = firsts[a + 4096] if a + 4096 < len(firsts) else len(row)
+                for a in range(0, len(firsts), 512):
+                    f = firsts[a:a + 512]
+                    end = firsts[a + 512] if a + 512 < len(firsts) else len(row)
                     sums[row[f]] = np.add.reduceat(vectors[index[f[0]:end]], f - f[0], axis=0)
                 sums[:-1] += sums[1:]  # a text ends with an empty stride
                 for a in range(0, len(sums) - 1, 8192):

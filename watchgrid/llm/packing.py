@@ -245,7 +245,7 @@ def planned(histogram: DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
         yield plan(dict(zip(rows["length"].tolist(), rows["count"].tolist())), capacity)
 
     schema = "length long, lo long, hi long, sequence long, each long, offset long"
-    slots = histogram.coalesce(1).mapInPandas(solve, schema).collect()
+    slots = histogram.repartition(1).mapInPandas(solve, schema).collect()
     return pd.DataFrame(slots, columns=[c.split()[0] for c in schema.split(", ")])
 
 
