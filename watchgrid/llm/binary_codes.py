@@ -171,12 +171,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vect
 
 
 ORACLE_SQL = """
-WITH good AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs AS (SELECT q.vec_id AS query_id, c.vec_id,
-  sqrt(list_reduce(list_transform(list_zip(q.v, c.v), p -> (p[2] - p[1]) * (p[2] - p[1])), (a, b) -> a + b)) AS score
+  sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[2] - p[1]) * (p[2] - p[1])), lambda a, b: a + b)) AS score
   FROM good q JOIN good c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
