@@ -1,7 +1,10 @@
 """Near copies against all pairs, alignment against the full table, components against union-find."""
 
 import random
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -107,6 +110,48 @@ def test_large_group_of_copies(spark):
     assert {r["class_id"] for r in got} == {0}
 
 
+def star(copies=300, length=204, changed=6):
+    """Copies that align with the text of the largest id, hardly any two of them with each other."""
+    rng = random.Random(13)
+    centre = [f"w{rng.randrange(5000)}" for _ in range(length)]
+    rows = []
+    for i in range(copies):
+        text = list(centre)
+        for k in range(changed):
+            text[rng.randrange(k * length // changed, (k + 1) * length // changed)] = f"x{i}-{k}"
+        rows.append((i, " ".join(text)))
+    return [*rows, (copies, " ".join(centre))]
+
+
+def test_star_whose_centre_has_the_largest_id(spark):
+    got = order_minhash.classes(spark.createDataFrame(star(), "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {0}
+
+
+def test_pairs_behind_an_unrelated_smaller_id(spark):
+    rng = random.Random(17)
+    shared = [f"s{i}" for i in range(300)]
+    rows = [(0, " ".join([*shared, *(f"a{i}" for i in range(150))]))]
+    for pair in range(1, 31):
+        tail = [f"t{pair}-{i}" for i in range(150)]
+        rows.append((pair, " ".join([*shared, *tail])))
+        tail[rng.randrange(150)] = "other"
+        rows.append((100 - pair, " ".join([*shared, *tail])))
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows)
+    assert len(set(got.values())) == 31
+
+
+def test_cells_bound_what_is_in_common():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 200, 3000):
+        a = rng.integers(0, 400, n).astype(np.uint64)
+        b = np.where(rng.random(n) < 0.2, rng.integers(0, 400, n), a).astype(np.uint64)
+        common = sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+        bound = order_minhash.in_common(pd.Series([order_minhash.cells(a)]), pd.Series([order_minhash.cells(b)]))[0]
+        assert common <= bound <= n
+
+
 def test_awkward_rows(spark):
     docs = nasty_documents(spark)
     got = sorted(((r["doc_id"], r["class_id"]) for r in order_minhash.classes(docs).collect()), key=repr)

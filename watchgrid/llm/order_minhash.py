@@ -28,6 +28,10 @@ KEPT = 3
 SIMILARITY = 0.8
 #: Members of one leader that are aligned in one group.
 GROUP = 512
+#: Leaders of a bucket in each round; in the last round every member is one.
+LEADERS = (1, 8, 64, None)
+#: Cells into which a text's labelled shingles are counted.
+CELLS = 128
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _WIDE = 60_000
 
@@ -62,6 +66,20 @@ def sketch(runs: np.ndarray) -> np.ndarray:
     return out
 
 
+def cells(runs: np.ndarray) -> bytes:
+    """Labelled shingles counted by hash; no two texts have more shingles in common than their cells."""
+    counts = np.bincount((labelled(runs) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    return counts.astype("<u4").tobytes()
+
+
+def in_common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The most shingles that texts with these cells can have in common."""
+    if not len(a):
+        return pd.Series([], dtype="int64")
+    one, other = (np.frombuffer(b"".join(x), dtype="<u4").reshape(-1, CELLS) for x in (a, b))
+    return pd.Series(np.minimum(one, other).sum(axis=1).astype(np.int64))
+
+
 def aligned(a: list[int], b: list[int], similarity: float) -> float:
     """Edit similarity 1 - distance / longer length if it reaches ``similarity``, else 0.
 
@@ -106,7 +124,7 @@ def aligned(a: list[int], b: list[int], similarity: float) -> float:
 
 
 def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, digest, n (shingles) and sketch of every document that has words and an id."""
+    """doc_id, digest, n (shingles), sketch and cells of every document that has words and an id."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
@@ -116,11 +134,11 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 if found:
                     runs = shingles(hashes.of(found), SHINGLE)
                     same = hashlib.blake2b(" ".join(found).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    rows.append((doc_id, same, len(runs), sketch(runs).astype(np.int64).tolist()))
-            yield pd.DataFrame(rows, columns=["doc_id", "digest", "n", "sketch"])
+                    rows.append((doc_id, same, len(runs), sketch(runs).astype(np.int64).tolist(), cells(runs)))
+            yield pd.DataFrame(rows, columns=["doc_id", "digest", "n", "sketch", "cells"])
 
     seen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__text")).where("doc_id IS NOT NULL")
-    return seen.mapInPandas(run, "doc_id long, digest binary, n long, sketch array<long>")
+    return seen.mapInPandas(run, "doc_id long, digest binary, n long, sketch array<long>, cells binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, similarity: float) -> DataFrame:
@@ -163,39 +181,38 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     words are one text.  Rows that share a doc_id are one document.  Texts without
     words and null ids are a class of their own (class_id = doc_id).
 
-    Candidates in a bucket of equal sketches are not paired among each other: first
-    each is aligned with the bucket's smallest id, then what is still in different
-    classes is aligned with its neighbour by length, until a round adds no link.
+    Every pair in a bucket of equal sketches ends in one class, aligned, or excluded by
+    the lengths or the shingles that both can have in common.  Members of one class
+    need no alignment, so a bucket's members are first aligned with few leaders, those
+    that share the largest buckets; the last round takes all pairs still in different classes.
     """
     marks = materialize(sketches(docs, text, key), "sketches")
-    same = marks.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
+    same = marks.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch"),
+                                       F.first("cells").alias("cells"))
     same = materialize(same, "texts")
     bucket = same.select("rep", "n", F.posexplode("sketch").alias("t", "h")).select("rep", "n", F.xxhash64("t", "h").alias("bucket"))
-    crowd = bucket.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last")
-    members = materialize(bucket.join(crowd.select("bucket", "lead"), "bucket"), "bucket-members")
-
-    ratio = F.lit(similarity)
-    lead_n = same.select(F.col("rep").alias("__l"), F.col("n").alias("__ln"))
-    todo = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), "n").distinct()
-    todo = (todo.join(lead_n, F.col("a") == F.col("__l"))
-            .where(F.least("n", "__ln") >= F.floor(F.greatest("n", "__ln") * ratio)).select("a", "b"))
+    crowd = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialize(bucket.join(crowd, "bucket"), "bucket-members")
+    weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    members = members.drop("size").join(weight, "rep").select("bucket", F.struct("weight", (-F.col("rep")).alias("less"), "rep", "n").alias("m"))
+    members = materialize(members, "weighted-members")
+
     tested = labels = None
-    while True:
-        todo = _grouped(todo)
+    for leaders in LEADERS:
+        own = _apart(members, labels)
+        if own.limit(1).count() == 0:
+            break
+        todo = _candidates(own, leaders, similarity)
+        if tested is not None:
+            todo = todo.join(tested, ["a", "b"], "left_anti")
+        todo = _grouped(_possible(todo, same, similarity))
         pairs = todo.select("a", "b")
         tested = pairs if tested is None else tested.unionByName(pairs)
         good = materialize(verified(todo, docs, text, key, similarity), "links")
-        if labels is not None and good.limit(1).count() == 0:
-            break
-        labels = _merged(labels, good)
-        # One member per bucket and class, next to each other by length.
-        own = members.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
-        own = own.groupBy("bucket", "label").agg(F.min(F.struct("n", "rep")).alias("one")).select("bucket", "one.n", "one.rep")
-        order = Window.partitionBy("bucket").orderBy("n", "rep")
-        beside = own.select("rep", "n", F.lag("rep").over(order).alias("prior"), F.lag("n").over(order).alias("prior_n"))
-        beside = beside.where(F.col("prior").isNotNull() & (F.col("prior_n") >= F.floor(F.col("n") * ratio)))
-        todo = beside.select(F.least("rep", "prior").alias("a"), F.greatest("rep", "prior").alias("b")).distinct()
-        todo = todo.join(tested, ["a", "b"], "left_anti")
+        if labels is None or good.limit(1).count():
+            labels = _merged(labels, good)
+    if labels is None:
+        labels = members.select(F.col("m.rep").alias("node"), F.col("m.rep").alias("label"))
     # The text of a document, its first holder, the holder's class.
     held = marks.join(same.select("digest", "rep"), "digest").select("doc_id", "rep")
     held = held.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("label", "rep").alias("label"))
@@ -205,6 +222,42 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     return out.select("doc_id", F.coalesce("__class", "doc_id").alias("class_id"))
 
 
+def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """bucket, m, label of the members of buckets that still hold more than one class."""
+    if labels is None:
+        return members.withColumn("label", F.col("m.rep"))
+    own = members.join(labels, F.col("m.rep") == F.col("node"), "left").select("bucket", "m", F.coalesce("label", "m.rep").alias("label"))
+    own = materialize(own, "labelled-members")
+    mixed = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    return materialize(own.join(materialize(mixed, "mixed-buckets"), "bucket"), "members-apart")
+
+
+def _candidates(own: DataFrame, leaders: int | None, similarity: float) -> DataFrame:
+    """a, b, na, nb: members of a bucket in different classes, one of them a leader, of lengths that can align."""
+    lead = own.select("bucket", F.col("m").alias("l"), F.col("label").alias("of"))
+    if leaders is not None:  # one of each part of the bucket: the heaviest
+        part = F.pmod(F.xxhash64("l.rep", F.lit(leaders)), F.lit(leaders))
+        lead = lead.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("l", "of")).alias("x")).select("bucket", "x.l", "x.of")
+        lead = materialize(lead, "leaders")
+    pairs = own.join(lead, "bucket").where("label <> of")
+    pairs = pairs.where(F.least("m.n", "l.n") >= F.floor(F.greatest("m.n", "l.n") * F.lit(similarity)))
+    if leaders is None:  # both directions are there
+        pairs = pairs.where("l > m")
+    pairs = pairs.select(F.greatest("l", "m").alias("a"), F.least("l", "m").alias("b"))
+    return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
+
+
+def _possible(pairs: DataFrame, same: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the pairs whose cells allow an alignment: the distance is at least the longer length less what both have in common."""
+    one = same.select(F.col("rep").alias("__a"), F.col("cells").alias("__ca"))
+    other = same.select(F.col("rep").alias("__b"), F.col("cells").alias("__cb"))
+    both = pairs.join(one, F.col("a") == F.col("__a")).join(other, F.col("b") == F.col("__b"))
+    longer = F.greatest("na", "nb")
+    band = F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9))
+    most = F.pandas_udf(in_common, "long")("__ca", "__cb")
+    return both.where(longer - most <= band).select("a", "b")
+
+
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """node, label after more links: only the links between present classes are followed."""
     if labels is None:
