@@ -49,6 +49,18 @@ def test_article_without_its_surroundings():
     assert html_text.extract(PAGE) == "Title & more First block. Second block with a link \u00e9. Third."
 
 
+def test_attributes_are_read_whole():
+    body = "".join(f"<p>Sentence number {i} of the text, long enough to be dense.</p>" for i in range(6))
+    want = " ".join(f"Sentence number {i} of the text, long enough to be dense." for i in range(6))
+    for attrs in ('style="overflow:hidden"', 'title="The hidden cost"', 'data-hidden="false"', "data-class='nav'", "data-x=id=menu",
+                  'class="text" class="nav"', 'aria-hidden="false"', "style = 'a' data-id = menu"):
+        assert html_text.extract(f"<body><div {attrs}>{body}</div>") == want, attrs
+    linked = body.replace("number 3", '<a href="/x?id=search">number 3</a>')
+    assert html_text.extract(f"<body><div>{linked}</div>") == want
+    for attrs in ("hidden", "data-x='1'hidden", "HIDDEN=''", "id = menu", 'class="top nav"', "role=search", "aria-hidden='true'"):
+        assert html_text.extract(f"<body><div>{body}</div><div {attrs}>{body}</div>") == want, attrs
+
+
 def test_plain_divisions_and_broken_markup():
     body = "".join(f"<p>Sentence number {i} of the text, long enough to be dense.</p>" for i in range(6))
     page = f"<body><div class='menu'><a href=a>A</a> <a href=b>B</a></div><div class='content'>{body}</div><div class='footer'>Foot</div>"

@@ -40,7 +40,8 @@ CUT_WORDS = frozenset(
     "search skip".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|aria-label)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# One attribute after the other: a name and its value, quoted or not, taken as a whole.
+_ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'][^\s]*)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -107,8 +108,12 @@ def boilerplate(node: Node) -> bool:
         return not inside_article(node)
     if not node.attrs or node.tag in ("body", "html", "article", "main"):
         return False
+    seen = set()
     for name, a, b, c in _ATTRIBUTE.findall(node.attrs):
         name, value = name.lower(), a or b or c
+        if name in seen:  # the first of a name counts
+            continue
+        seen.add(name)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "role" and value.lower() in CUT_ROLES:
