@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tests.llm.helpers import empty_documents, nasty_documents
 from watchgrid.llm import packing, queries
@@ -25,6 +26,14 @@ def test_ids_are_those_of_the_tokenizer(encoder, text):
     assert encoder.encode("the " + text + "'s 12 \n\n x") == encoder.whole("the " + text + "'s 12 \n\n x")
 
 
+def test_added_tokens_are_single_ids(encoder):
+    plain = Tokenizer.from_file(queries.TOKENIZER)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "\u03b1 <|endoftext|> b", "<|endoftext|", "a b"):
+        want = np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert encoder.encode(text) == want
+    assert list(struct.unpack("<4I", encoder.encode("a <|endoftext|> b"))) == [64, 220, 50256, 275]
+
+
 def check(rows, docs, encoder):
     """Every id of every document in one piece, every sequence gapless and within its length."""
     want = sorted((-1 if i is None else i, start, len(p) // 4, zlib.crc32(p), len(ids) // 4)

@@ -59,7 +59,8 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
         letters = {v: k for k, v in _BYTES.items()}
         ranks = {}
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -79,7 +80,12 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        """A text is split as the tokenizer splits it; pieces do not affect each other."""
+        """A text is split as the tokenizer splits it; pieces do not affect each other.
+
+        Added tokens are single ids wherever they stand, so a text that holds one is left to the tokenizer.
+        """
+        if self.added.search(text):
+            return self.whole(text)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
