@@ -60,6 +60,21 @@ def test_checksums_and_context():
     assert pii.mask("mail a.b@c.de or +1 (555) 555-0100.", pii.find("mail a.b@c.de or +1 (555) 555-0100.")) == "mail [EMAIL] or [PHONE]."
 
 
+def test_account_numbers_end_where_their_country_ends_them():
+    german, british, french = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606"
+
+    def found(text):
+        return [text[a:b] for a, _, kind, b, _ in pii.find(text) if kind == "iban"]
+
+    for after in ("", " BIC", " BIC COBADEFFXXX", " 1234 5678", " EUR 100", ", BIC", " Bic", "\nBIC", "\u00e9"):
+        for one in (german, british, french, german.replace(" ", "")):
+            assert found(f"IBAN {one}{after}") == [one], (one, after)
+    assert found(f"IBAN {german} {french} {british} OR") == [german, french, british]
+    assert found(f"AB12 REF 4711 NUMBER {german} BIC") == [german]
+    assert found(f"IBAN {german}BIC") == [] and found("IBAN DE89 3704 0044 0532 0130 01 BIC") == []
+    assert pii.mask(f"IBAN {german} BIC X", pii.find(f"IBAN {german} BIC X")) == "IBAN [IBAN] BIC X"
+
+
 def test_guess_cost_orders_passwords():
     cost = secret_scan.guess_cost
     assert cost("password") < cost("password1999") < cost("xK9#vQ2!mZ7p")
