@@ -71,6 +71,14 @@ def test_planted_paraphrases(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
+def test_blocks_are_bounded_within_a_text(spark):
+    long = " ".join(f"w{i}" for i in range(decontaminate.PASSAGE * (2 * decontaminate.BLOCK + 9)))
+    benchmark = spark.createDataFrame([(1, long), (2, "a short text")], "item_id long, text string")
+    blocks = list(decontaminate.passages_of(benchmark, "text", "item_id"))
+    assert max(map(len, blocks)) <= decontaminate.BLOCK
+    assert sorted(x for block in blocks for k, t in block if k == 1 for x in t.split()) == sorted(long.split())
+
+
 def test_awkward_rows(spark):
     docs = nasty_documents(spark)
     benchmark = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta", "q"), (2, None, None), (None, "", None),

@@ -304,11 +304,11 @@ def passages_of(benchmark: DataFrame, text: str, key: str) -> Iterator[list[tupl
             piece = " ".join(tokens[lo:end])
             if words(piece):
                 part.append((r["k"], piece))
+                if len(part) >= BLOCK:
+                    yield part
+                    part = []
             if end == len(tokens):
                 break
-        if len(part) >= BLOCK:
-            yield part
-            part = []
     if part:
         yield part
 
