@@ -53,6 +53,23 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_clean_code_switched_documents_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    parts = {}
+    for r in docs.orderBy("doc_id").collect():
+        found = language_crf.letter_words(r["text"])
+        if r["lang"] and len(found) >= 40 and len(parts.setdefault(r["lang"], [])) < 20:
+            parts[r["lang"]].append(" ".join(found[:40]))
+    one, two, three = (parts[lang] for lang in sorted(parts)[:3])
+    mixed = [(1_000_000 + i, " ".join(x), None) for i, x in enumerate(zip(one, two, three))]
+    mixed += [(2_000_000 + i, f"{x} {y}", None) for i, (x, y) in enumerate(zip(two, three))]
+    both = docs.unionByName(spark.createDataFrame(mixed, docs.schema))
+    kept = {r["doc_id"] for r in language_crf.keep_identified(both).select("doc_id").collect()}
+    assert len(mixed) == 40 and {m[0] for m in mixed} <= kept
+    known = {r["doc_id"]: r["lang_pred"] for r in language_crf.identify(both).collect()}
+    assert {i for i in known if i not in kept} == {i for i, x in known.items() if x == language_crf.UNKNOWN}
+
+
 def test_awkward_rows(spark):
     docs = nasty_documents(spark)
     rows = language_crf.identify(docs).collect()

@@ -146,9 +146,9 @@ class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, transitions: np.ndarray, start: np.ndarray):
         self.labels, self.weights, self.transitions, self.start = labels, weights, transitions, start
 
-    def predict(self, texts: list[str | None], emissions: Emissions) -> list[tuple[str, float]]:
-        """(label, mean probability) per text; texts of like length go together."""
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    def predict(self, texts: list[str | None], emissions: Emissions) -> list[tuple[str, float, float]]:
+        """(label, its mean probability, mean of each word's best probability) per text; texts of like length go together."""
+        out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         found = []
         emissions.start()
         for i, text in enumerate(texts):
@@ -169,11 +169,12 @@ class Model:
             for j, (_, s) in enumerate(part):
                 scores[j, :len(s)] = table[s]
                 mask[j, :len(s)] = True
-            share = (marginals(scores, mask, self.transitions, self.start) * mask[:, :, None]).sum(1, dtype=np.float64)
-            share /= mask.sum(1)[:, None]
-            for (i, _), row in zip(part, share):
+            each = marginals(scores, mask, self.transitions, self.start) * mask[:, :, None]
+            share = each.sum(1, dtype=np.float64) / mask.sum(1)[:, None]
+            sure = each.max(2).sum(1, dtype=np.float64) / mask.sum(1)
+            for (i, _), row, certain in zip(part, share, sure):
                 best = int(row.argmax())
-                out[i] = self.labels[best], float(min(1.0, row[best]))
+                out[i] = self.labels[best], float(min(1.0, row[best])), float(min(1.0, certain))
             lo = hi
         return out
 
@@ -269,10 +270,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
-    """A struct column (lang_pred, score) of the whole text."""
+    """A struct column (lang_pred, score, sure) of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.transitions, model.start))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, sure double")
     def label(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)
         emissions = Emissions(own.weights) if own.labels else None
@@ -280,8 +281,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
             rows = []
             for lo in range(0, len(batch), 1000):
                 part = list(batch.iloc[lo:lo + 1000])
-                rows += own.predict(part, emissions) if own.labels else [(UNKNOWN, 0.0)] * len(part)
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+                rows += own.predict(part, emissions) if own.labels else [(UNKNOWN, 0.0, 0.0)] * len(part)
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "sure"])
 
     return label(F.col(text))
 
@@ -299,7 +300,11 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose language is found with a score of ``least`` or more."""
+    """The rows of ``docs`` whose words' languages are found, with a mean probability of ``least`` or more.
+
+    It is the mean of each word's best language, so a text in several languages stays
+    though none of them has half of its words.
+    """
     model = fit(docs, text, lang, key)
     out = docs.withColumn("__p", predict(docs, model, text))
-    return out.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= least)).drop("__p")
+    return out.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.sure") >= least)).drop("__p")
