@@ -67,3 +67,56 @@ def test_lines_match_plain_loop(spark, sf):
         rows = [(r["doc_id"], r["text"]) for r in df.collect()]
         got = sorted(((r["doc_id"], r["text"], r["n_removed"], r["removed"]) for r in line_dedup.dedup_lines(df).collect()), key=repr)
         assert got == plain_lines(rows)
+
+
+def plain_repeats(rows, size):
+    """What is left if every run of ``size`` words that an earlier place holds goes, in texts of one line."""
+    first, out = {}, {}
+    for doc_id, text in sorted(rows):
+        words = text.split(" ")
+        gone = set()
+        for i in range(len(words) - size + 1):
+            run = tuple(w.strip(".").lower() for w in words[i:i + size])
+            if first.setdefault(run, (doc_id, i)) != (doc_id, i):
+                gone.update(range(i, i + size))
+        out[doc_id] = " ".join(w for i, w in enumerate(words) if i not in gone)
+    return out
+
+
+def test_passages_within_longer_lines(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    planted = [[str(w) for w in rng.choice(vocabulary, n)] for n in (49, 50, 60, 130)]
+    rows = []
+    for doc_id in range(60):
+        words = [str(w) for w in rng.choice(vocabulary, int(rng.integers(1, 200)))]
+        for passage in planted:
+            if rng.random() < 0.4:
+                at = int(rng.integers(0, len(words) + 1))
+                words[at:at] = [*passage[:-1], passage[-1].upper() + "." * int(rng.integers(0, 2))]
+        if doc_id % 9 == 0:
+            words += ["on", "and"] * 40
+        words.append(f"end{doc_id}")
+        rows.append((doc_id, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_repeats(df).collect()}
+    want = plain_repeats(rows, line_dedup.PASSAGE)
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert sum(want[i] != t for i, t in rows) > 20
+    for doc_id, text in rows:
+        spans = [tuple(map(int, s.split(":"))) for s in got[doc_id]["removed"].split(",") if s]
+        assert line_dedup.less(text, spans) == want[doc_id] and len(spans) == got[doc_id]["n_removed"]
+
+
+def test_short_lines_stay_unless_their_run_is_long(spark):
+    rows = [(1, "Yes.\none two three four five\nno\nalpha beta\ngamma delta epsilon"), (2, "Yes.\nfresh\nOne two  three four five\nend"),
+            (3, "alpha beta\ngamma delta epsilon\n\nno\nlast"), (None, None), (4, "")]
+    got = {r["doc_id"]: (r["text"], r["removed"]) for r in line_dedup.dedup_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], ""), 2: ("Yes.\nfresh\nend", "11:35"), 3: ("\nlast", "0:10,11:30,32:34"), None: (None, ""), 4: ("", "")}
+
+
+def test_repeats_of_awkward_rows(spark):
+    docs = nasty_documents(spark)
+    got = line_dedup.dedup_repeats(docs).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr)
+    assert line_dedup.dedup_repeats(empty_documents(spark)).count() == 0

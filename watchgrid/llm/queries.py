@@ -25,7 +25,7 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_repeats(table(spark, sf_dir, "documents"))
 
 
 def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
