@@ -50,7 +50,6 @@ def test_small_shards_blocks_and_ties(spark, monkeypatch):
     docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(400)]
     docs += docs[:40] + [(None, "w1 w2 w3"), (None, "w1 w2 w3"), (7, None)]
     items = [(i, " ".join(rng.choices(words, k=4))) for i in range(25)] + [(3, "w1 w2"), (3, "w1 w2"), (None, "w5"), (99, None), (98, "..."), (97, "nowhere")]
-    monkeypatch.setattr(best_position, "DEPTH", 2)
     monkeypatch.setattr(best_position, "BLOCK", 60)
     monkeypatch.setattr(best_position, "SHARD", 100)
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
@@ -68,9 +67,9 @@ def test_stops_early_but_not_too_early(seed):
     shard = best_position.Shard(np.arange(n_docs), np.zeros(n_docs, bool), offsets, term, impact, n_terms)
     scores = np.zeros(n_docs, np.int64)
     np.add.at(scores, np.repeat(np.arange(n_docs), held.sum(1)), impact)
-    for _ in range(2):  # nothing is left marked by the first search
+    for step in (2, 32):  # nothing is left marked by the first search
         top = best_position.Top(10)
-        depth = shard.search(np.arange(n_terms), top)
+        depth = shard.search(np.arange(n_terms), top, step)
         order = np.lexsort((np.arange(n_docs), -scores))[:10]
         assert top.ids.tolist() == order.tolist() and top.scores.tolist() == scores[order].tolist()
         assert depth < n_docs / 2

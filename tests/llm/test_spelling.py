@@ -72,13 +72,10 @@ def made(seed, size):
 
 
 @pytest.mark.parametrize("meet, most", [(20_000, 4), (15, 4), (20_000, 1), (15, 2)])
-def test_full_keys_and_low_bounds(spark, monkeypatch, meet, most):
-    monkeypatch.setattr(spelling, "MEET", meet)
-    monkeypatch.setattr(spelling, "MOST", most)
-    monkeypatch.setattr(spelling, "OFTEN", 0.02)
+def test_full_keys_and_low_bounds(spark, meet, most):
     docs = [*made(meet + most, 700), (400, "zzzzzza " * 2 + "zzzzzzb " * 30 + "zzzzzbb " * 400)]
     want = plain(docs)
-    assert got(spelling.variants(spark.createDataFrame(docs, "doc_id long, text string"))) == want
+    assert got(spelling.variants(spark.createDataFrame(docs, "doc_id long, text string"), most=most, meet=meet, often=0.02)) == want
     assert any(w[2] not in (w[0], w[1]) for w in want)  # a form of a form
 
 

@@ -70,14 +70,14 @@ class Shard:
         rows = np.repeat(self.offsets[docs] - first, sizes) + np.arange(sizes.sum())
         return rows[self.wanted[self.term[rows]]]
 
-    def search(self, wanted: np.ndarray, top: "Top") -> int:
+    def search(self, wanted: np.ndarray, top: "Top", step: int = DEPTH) -> int:
         """Offer every document that can be among the best to ``top``; the depth reached."""
         lists = [(s, e) for s, e in zip(self.starts[wanted].tolist(), self.ends[wanted].tolist()) if s < e]
         if not lists:
             return 0
         self.wanted[wanted] = True
         best = [s for s, _ in lists]
-        met, marked, depth, step = [], [], 0, DEPTH
+        met, marked, depth = [], [], 0
         while True:
             read = [self.listed_doc[s + depth:min(s + depth + step, e)] for s, e in lists if s + depth < e]
             if not read:
@@ -164,7 +164,7 @@ def posting_rows(vocabulary: dict[bytes, int]):
     return run
 
 
-def best_rows(weights: np.ndarray, wanted: list[tuple[int, int | None, np.ndarray]], n_docs: int, n_all: int, k: int):
+def best_rows(weights: np.ndarray, wanted: list[tuple[int, int | None, np.ndarray]], n_docs: int, n_all: int, k: int, size_of_shard: int):
     """The k best documents of a task for every item; ``wanted`` holds (number, item_id, terms)."""
 
     def lists_of(batch: pa.RecordBatch):
@@ -189,7 +189,7 @@ def best_rows(weights: np.ndarray, wanted: list[tuple[int, int | None, np.ndarra
             if batch.num_rows:
                 held.append(lists_of(batch))
                 size += len(held[-1][3])
-            if size >= SHARD:
+            if size >= size_of_shard:
                 search(held, tops)
                 held, size = [], 0
         if held:
@@ -224,7 +224,7 @@ def search_block(docs: DataFrame, rows: list, k: int) -> DataFrame:
         of = of[weights[of] > 0]
         if len(of):
             wanted.append((number, item_id, of))
-    found = postings.mapInArrow(best_rows(weights, wanted, n_docs, n_all or 1, k), "number long, item_id long, doc_id long, score long")
+    found = postings.mapInArrow(best_rows(weights, wanted, n_docs, n_all or 1, k, SHARD), "number long, item_id long, doc_id long, score long")
     order = Window.partitionBy("number", "item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchgrid.llm import (best_position, binary_codes, decontaminate, html_text, language_crf, line_dedup, order_minhash, packing, pii,
-                           secret_scan, spelling, url_rules)
+                           secret_scan, spelling, suffix_dedup, url_rules)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -64,9 +64,14 @@ def op12_variable_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_order_minhash, op3_line_dedup, op4_language_crf, op5_binary_codes, op6_url_rules,
-    op7_secret_scan, op8_packing, op9_html_text, op10_pii, op11_best_position, op12_variable_grams)}
+    op7_secret_scan, op8_packing, op9_html_text, op10_pii, op11_best_position, op12_variable_grams, op13_suffix_dedup)}
 
 ORACLES = {"op5_binary_codes": binary_codes.ORACLE_SQL, "op6_url_rules": url_rules.ORACLE_SQL,
            "op11_best_position": best_position.ORACLE_SQL}

@@ -131,21 +131,21 @@ class Grams:
         return len(starts) - most
 
 
-def keys(word: str, starts: list[int], ends: list[int], bound: int) -> list[tuple[int, str, str]]:
+def keys(word: str, starts: list[int], ends: list[int], bound: int, most: int = MOST) -> list[tuple[int, str, str]]:
     """(level, head, tail) under which the word meets its near words; ``[]`` where it has too few grams.
 
-    A pair meets at the larger of its two bounds, at most ``MOST``; there every word with that bound
+    A pair meets at the larger of its two bounds, at most ``most``; there every word with that bound
     or a lower one is found.
     """
     out = []
-    for level in range(max(1, min(bound, MOST)), min(MOST, len(starts)) + 1):
+    for level in range(max(1, min(bound, most)), min(most, len(starts)) + 1):
         for a in range(level + 1):
             b = level - a
             out.append((level, word[:ends[a - 1]] if a else "", word[starts[-b]:] if b else ""))
     return out
 
 
-def entries(grams: Grams):
+def entries(grams: Grams, most: int):
     """Words to their keys: as many rows as keys, and one with level 0 if a near word may share no gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def entries(grams: Grams):
                 bound = grams.bound(word, starts, ends, reach)
                 if bound < 1:
                     rows.append((0, "", "", word, n))
-                rows += [(*k, word, n) for k in keys(word, starts, ends, bound)]
+                rows += [(*k, word, n) for k in keys(word, starts, ends, bound, most)]
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()))],
@@ -280,22 +280,22 @@ def dictionary(words: DataFrame, often: float = OFTEN) -> Grams:
     return Grams(longer)
 
 
-def neighbours(words: DataFrame) -> DataFrame:
+def neighbours(words: DataFrame, most: int = MOST, meet: int = MEET, often: float = OFTEN) -> DataFrame:
     """word, n, other, other_n: every near word of every word, once.  ``words`` holds distinct words with their n."""
-    grams = dictionary(words)
-    index = materialize(words.select("word", "n").mapInArrow(entries(grams), "level int, head string, tail string, word string, n long"), "gram-index")
+    grams = dictionary(words, often)
+    index = materialize(words.select("word", "n").mapInArrow(entries(grams, most), "level int, head string, tail string, word string, n long"), "gram-index")
     key = ["level", "head", "tail"]
     # Few keys are so frequent; their words, and those without a certain gram, meet under words with a character less.
-    full = materialize(index.groupBy(*key).count().where(F.col("count") > MEET).select(*key), "full-keys")
+    full = materialize(index.groupBy(*key).count().where(F.col("count") > meet).select(*key), "full-keys")
     rest = index.join(full, key, "left_semi").unionByName(index.where("level = 0")).select("word", "n").distinct()
-    meet = index.where("level > 0").join(full, key, "left_anti")
-    found = meet.repartition(*key).sortWithinPartitions(*key).mapInArrow(merged, _PAIRS)
+    rare = index.where("level > 0").join(full, key, "left_anti")
+    found = rare.repartition(*key).sortWithinPartitions(*key).mapInArrow(merged, _PAIRS)
     less = rest.mapInArrow(shortened, "left string, at int, word string, n long")
     more = less.repartition("left").sortWithinPartitions("left", "at").mapInArrow(shortened_pairs, _PAIRS)
     return found.unionByName(more).repartition("word").dropDuplicates(["word", "other"])
 
 
-def variants(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def variants(docs: DataFrame, text: str = "text", key: str = "doc_id", **sizes) -> DataFrame:
     """word, form, root, n, n_near, form_n for every word of the documents.
 
     Words are runs of letters (A-Z, a-z, U+00C0 to U+00FF), only A-Z lower-cased, of 7 characters and 2
@@ -303,11 +303,11 @@ def variants(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     The form is the near word of largest n, the smallest of several, if that n is 10 times the word's
     or more; the root is the last form reached from a word.  Whole texts count; null and empty texts hold
     no word.  A null id is hashed as nothing before the colon.  Rows with one id count each.  Without
-    words the result is empty.  Other columns are ignored.
+    words the result is empty.  Other columns are ignored.  ``sizes`` go to ``neighbours``.
     """
     words = materialize(vocabulary(docs, text=text, key=key), "words")
     best = F.min(F.struct((-F.col("other_n")).alias("less"), "other"))
-    by_word = neighbours(words).groupBy("word", "n").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
+    by_word = neighbours(words, **sizes).groupBy("word", "n").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     formed = -F.col("best.less") >= TIMES * F.col("n")
     by_word = by_word.select("word", "n_near", F.when(formed, F.col("best.other")).alias("form"), F.when(formed, -F.col("best.less")).alias("form_n"))
     by_word = materialize(by_word, "near-words")
