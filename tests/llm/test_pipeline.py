@@ -44,3 +44,13 @@ def test_awkward_rows(spark, sf):
         for name, stage in corpus_pipeline.STAGES:
             docs = materialize(stage(spark, docs, sf), f"awkward-{name}")
         assert docs.columns[:2] == ["doc_id", "start"]
+
+
+def test_clashing_columns_and_tables_without_overlap(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    clash = docs.withColumnsRenamed({"source": "__gone"}).withColumns({"__dirty": docs.doc_id, "__P": docs.doc_id})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, clash, sf)
+        assert out.columns == clash.columns and out.count() > 0, name
+    far = spark.createDataFrame([(1, "zzz yyy xxx", "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    assert corpus_pipeline.decontaminated(spark, far, sf).count() == 2

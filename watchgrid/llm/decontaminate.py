@@ -22,7 +22,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchgrid.llm.text import words
+from watchgrid.llm.text import free_name, words
 from watchgrid.session import materialize
 
 PASSAGE = 64
@@ -203,6 +203,8 @@ def decompose(cells_of: DataFrame, block: Block, idf: np.ndarray, passages: int)
         yield pd.DataFrame({"i": np.arange(size), "x": list(left)})
 
     rows = gathered(cells_of, idf, start).repartition(1).mapInPandas(vectors, "i long, x array<double>").collect()
+    if not rows:  # no document holds a word of the block, so the task got nothing: the block's own directions
+        rows = list(next(vectors(iter(()))).itertuples(index=False, name=None))
     return np.array([r[1] for r in sorted(rows, key=lambda r: r[0])], dtype=np.float32)  # words of the benchmark by dimensions
 
 
@@ -345,5 +347,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage; rows with a null id stay."""
-    dirty = leaks(docs, benchmark, text, key).select(F.col("doc_id").alias("__dirty")).distinct()
-    return docs.join(materialize(dirty, "leaks"), F.col(key).cast("long") == F.col("__dirty"), "left_anti")
+    name = free_name(docs, "__dirty")
+    dirty = leaks(docs, benchmark, text, key).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(materialize(dirty, "leaks"), F.col(key).cast("long") == F.col(name), "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchgrid.llm.graph import components
-from watchgrid.llm.text import WordHashes, mix, shingles, words
+from watchgrid.llm.text import WordHashes, free_name, mix, shingles, words
 from watchgrid.session import materialize
 
 SHINGLE = 5
@@ -288,12 +288,13 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", similarit
     those of ``docs``.
     """
     found = materialize(classes(docs, text, key, similarity).where("doc_id IS NOT NULL"), "classes")
-    gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone"))
-    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__gone"))
+    name = free_name(docs, "__gone")
+    gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias(name))
+    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(name))
     twice = materialize(twice, "repeated-ids")
     cid = F.col(key).cast("long")
-    out = docs.join(gone.unionByName(twice).distinct(), cid == F.col("__gone"), "left_anti")
+    out = docs.join(gone.unionByName(twice).distinct(), cid == F.col(name), "left_anti")
     if twice.limit(1).count():
-        again = docs.join(twice.join(gone, "__gone", "left_anti"), cid == F.col("__gone"), "left_semi")
+        again = docs.join(twice.join(gone, name, "left_anti"), cid == F.col(name), "left_semi")
         out = out.unionByName(again.dropDuplicates([key]))
     return out
