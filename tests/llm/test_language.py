@@ -81,3 +81,16 @@ def test_awkward_rows(spark):
     assert {r["lang_pred"] for r in language_crf.identify(nothing).collect()} == {"und"}
     kept = language_crf.keep_identified(docs)
     assert kept.columns == docs.columns and all(r["text"] for r in kept.collect())
+
+
+def test_ids_shared_by_whole_languages(spark):
+    english, german = "the cat sat on the mat with the other", "der Hund und die Katze sind nicht hier"
+    rows = [(11, f"{english} {i}", "en") for i in range(900)] + [(12, f"{german} {i}", "de") for i in range(900)] + [(13, "un solo texto", "es")]
+    rows += [(20, "the mat and the cat", None), (21, "die Katze und der Hund", None), (22, "²½ ①", None), (23, "Ⅷ ³", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_crf.fit(docs)
+    kept = {r.lang for r in docs.where(~language_crf.held_out(docs.doc_id)).select("lang").distinct().collect() if r.lang}
+    assert set(model.labels) == kept
+    got = {r.doc_id: r.lang_pred for r in language_crf.identify(docs).where("doc_id >= 20").collect()}
+    assert got[22] == got[23] == "und"
+    assert {got[20], got[21]} <= kept

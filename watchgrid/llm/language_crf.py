@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchgrid.llm.text import mix
+from watchgrid.llm.text import free_name, mix
 
 #: The classifier is fitted on so many hashed passages of labelled rows per language, each of so many characters.
 FIT_PASSAGES = 400
@@ -30,8 +30,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Lower-case runs of letters; [] if there are none."""
-    return _LETTERS.findall(text.lower()) if text else []
+    """Lower-case runs of letters; [] if there are none.  Digits of any script, fractions and the like are no letters."""
+    found = _LETTERS.findall(text.lower()) if text else []
+    if "".join(found).isalpha():
+        return found
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
 
 
 def features(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,8 +239,10 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", passages: int = FIT_PASSAGES) -> Model:
     """Learn from rows with a language, text and id that are not held out.
 
-    The sample is bounded: about ``passages`` rows per language, chosen by a hash of the id,
-    of each one passage of ``FIT_CHARS`` characters from a hashed place of the whole text.
+    The sample is bounded: about ``passages`` rows per language, chosen by a hash of id and text, of
+    each one passage of ``FIT_CHARS`` characters from a hashed place of the whole text.  Every
+    language has a passage, however its rows share ids and texts.  More than ``MOST_LABELS``
+    languages are an error.
     """
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang"))
     rows = rows.where(F.col("__id").isNotNull() & F.col("__text").rlike(r"\p{L}") & F.col("__lang").isNotNull()
@@ -249,12 +254,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         return Model([], np.zeros((SLOTS, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
     span = 1 << 40
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(span, span * passages // n))])
-    place = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit(11)), F.greatest(F.lit(1), F.length("__text") - FIT_CHARS + 1))
-    # Rows that share an id share its hash, so the sample is cut at twice its expected size, by hash.
-    order = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit(5)), F.lit(span))
-    chosen = (rows.where(order < F.element_at(share, F.col("__lang")))
-              .select(order.alias("__order"), F.substring("__text", (place + 1).cast("int"), F.lit(FIT_CHARS)).alias("__text"), "__lang")
+    own = (F.col("__id").cast("string"), F.col("__text"))
+    place = F.pmod(F.xxhash64(*own, F.lit(11)), F.greatest(F.lit(1), F.length("__text") - FIT_CHARS + 1))
+    order = F.pmod(F.xxhash64(*own, F.lit(5)), F.lit(span))
+    passage = F.substring("__text", (place + 1).cast("int"), F.lit(FIT_CHARS))
+    rows = rows.select(order.alias("__order"), passage.alias("__text"), "__lang")
+    # Repeated rows share their hash, so the sample is cut at twice its expected size, by hash.
+    chosen = (rows.where(F.col("__order") < F.element_at(share, F.col("__lang")))
               .orderBy("__order", "__text", "__lang").limit(2 * passages * len(sizes)))
+    first = rows.groupBy("__lang").agg(F.min(F.struct("__order", "__text")).alias("f")).select("f.*", "__lang")
+    chosen = chosen.unionByName(first).distinct()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(parts))
@@ -264,7 +273,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     # The bounded sample is learned in one task; the model is one row per language.
     schema = "label string, weights array<float>, next array<float>, start float"
-    rows = sorted(chosen.coalesce(1).mapInPandas(run, schema).collect(), key=lambda r: r["label"])
+    rows = sorted(chosen.repartition(1).sortWithinPartitions("__order", "__text", "__lang").mapInPandas(run, schema).collect(), key=lambda r: r["label"])
     return Model([r["label"] for r in rows], np.array([r["weights"] for r in rows], dtype=np.float32).T.copy(),
                  np.array([r["next"] for r in rows], dtype=np.float32), np.array([r["start"] for r in rows], dtype=np.float32))
 
@@ -306,5 +315,6 @@ def keep_identified(docs: DataFrame, least: float = 0.5, text: str = "text", lan
     though none of them has half of its words.
     """
     model = fit(docs, text, lang, key)
-    out = docs.withColumn("__p", predict(docs, model, text))
-    return out.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.sure") >= least)).drop("__p")
+    name = free_name(docs, "__p")
+    out = docs.withColumn(name, predict(docs, model, text))
+    return out.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.sure") >= least)).drop(name)
