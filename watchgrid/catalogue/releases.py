@@ -233,20 +233,16 @@ def outcome_join(spark, sf):
     return rounded(R.outcomes(cards(spark, sf), T.object_mart(spark, sf)))
 
 
-REPLAYED = ["2024-01-25", "2024-01-26", "2024-01-27"]
-
-
-def _replay_sql(day: str) -> str:
-    """History as seen at the issue time: corrections of earlier fifth days only."""
-    corrected = f"\"date\" > DATE '2024-01-03' AND \"date\" < DATE '{day}' AND day(\"date\") % 5 = 0"
-    return f"""
-SELECT object_id, DATE '{day}' AS "date", score, row_number() OVER (ORDER BY score DESC, object_id) AS "rank" FROM (
- SELECT object_id, round(sum(alarm) / (DATE '{day}' - DATE '2024-01-01' + 1), 6) AS score FROM (
-  SELECT object_id, "date", max(CASE WHEN alarm_count > 0 OR ({corrected}) THEN 1 ELSE 0 END) AS alarm
-  FROM cd JOIN channels USING (channel_id) WHERE "date" <= DATE '{day}' AND object_id IN (SELECT object_id FROM eligible) GROUP BY ALL) GROUP BY object_id)"""
-
-
-@query("replay_days", "SELECT *, CAST(\"rank\" <= 10 AS BIGINT) AS warning, CAST(0 AS BIGINT) AS repeated FROM (" + " UNION ALL ".join(_replay_sql(d) for d in REPLAYED) + ")")
+# Every feature day from the bootstrap's end to the last delivery, each with the history of its issue time: corrections of
+# earlier fifth days only, and objects with a record up to the cutoff that this day has already seen.
+@query("replay_days", """
+SELECT object_id, "date", score, row_number() OVER (PARTITION BY "date" ORDER BY score DESC, object_id) AS "rank",
+ CAST(row_number() OVER (PARTITION BY "date" ORDER BY score DESC, object_id) <= 10 AS BIGINT) AS warning, CAST(0 AS BIGINT) AS repeated FROM (
+ SELECT object_id, f AS "date", round(sum(alarm) / (f - DATE '2024-01-01' + 1), 6) AS score FROM (
+  SELECT f, object_id, "date", max(CASE WHEN alarm_count > 0 OR "date" > DATE '2024-01-03' AND "date" < f AND day("date") % 5 = 0 THEN 1 ELSE 0 END) AS alarm
+  FROM cd JOIN channels USING (channel_id)
+  JOIN (SELECT DISTINCT "date" AS f FROM cd WHERE "date" > DATE '2024-01-03') d ON "date" <= f GROUP BY ALL)
+ GROUP BY object_id, f HAVING min("date") <= DATE '2024-01-15')""")
 def replay_days(spark, sf):
     columns = ["channel_id", "date", *vocab.MODEL_COUNTERS]
     delivered = materialize(batches(spark, sf, columns), "batches")
@@ -256,12 +252,12 @@ def replay_days(spark, sf):
     def score(mart):
         return mart.withColumn("score", F.round(F.avg("alarm_today").over(W.running(O.by_day())), 6))
 
-    def run(days):
-        return replay.replay_days(days, seed, delivered, T.channels(spark, sf), T.objects(spark, sf), score,
+    def run():
+        return replay.replay_days(seed, delivered, T.channels(spark, sf), T.objects(spark, sf), score,
                                   T.day(T.CALENDAR[0]), T.day(SEED_END), T.day(T.TRAIN_END), 10, path, MODEL_SHA)
 
-    run(REPLAYED)
-    repeated = run(REPLAYED[-1:])
+    run()
+    repeated = run()
     stored = spark.read.parquet(f"{path}/cards")
     return rounded(stored.select("object_id", "date", "score", "rank", "warning", F.lit(repeated).alias("repeated")))
 

@@ -97,12 +97,12 @@ def intraday_daily(clean: DataFrame) -> DataFrame:
     return days.where("intra_last_event_minute IS NOT NULL")
 
 
-def object_daily(daily: DataFrame, channel_objects: DataFrame) -> DataFrame:
-    """Counters and numbers of reporting channels per object and day."""
+def object_daily(daily: DataFrame, channel_objects: DataFrame, by: tuple[str, ...] = ("date",)) -> DataFrame:
+    """Counters and numbers of reporting channels per object and day (or whatever ``by`` names)."""
     joined = daily.join(channel_objects.select("channel_id", "object_id"), "channel_id")
     flags = {"observed_channels": "events_count", "alarm_channels": "alarm_count",
              "fault_channels": "fault_count", "no_power_channels": "no_power_count"}
-    return joined.groupBy("object_id", "date").agg(
+    return joined.groupBy("object_id", *by).agg(
         *[F.sum(c).alias(c) for c in vocab.MODEL_COUNTERS],
         *[F.count_if(F.col(c) > 0).alias(name) for name, c in flags.items()])
 

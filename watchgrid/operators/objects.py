@@ -29,6 +29,16 @@ def object_mart(daily: DataFrame, channel_objects: DataFrame, objects: DataFrame
     the partitions of the object, without another pass over the journal.
     """
     facts = agg.object_daily(daily.where(F.col("date").between(start, end)), channel_objects)
+    return mart_of(facts, agg.catalog_channels(channel_objects), objects, start, end, cutoff, eligible)
+
+
+def mart_of(facts: DataFrame, catalog_channels: DataFrame, objects: DataFrame, start: Column, end: Column,
+            cutoff: Column | None = None, eligible: DataFrame | None = None, plain_id: Column | None = None) -> DataFrame:
+    """The mart from object-day counters.
+
+    ``object_id`` may stand for an object as seen at some time: ``end`` is then an expression of it and
+    ``plain_id`` the id that the catalog knows.
+    """
     counts = [c for c in facts.columns if c not in ("object_id", "date")]
     if eligible is not None:
         facts = facts.join(eligible.select("object_id"), "object_id", "left_semi")
@@ -40,8 +50,8 @@ def object_mart(daily: DataFrame, channel_objects: DataFrame, objects: DataFrame
                          "object_id", start, end, counts)
     attributes = (objects.select("object_id", F.coalesce("object_kind", F.lit("unknown")).alias("object_kind"),
                                  F.coalesce("parent_id", F.lit("unknown")).alias("parent_id"))
-                  .join(agg.catalog_channels(channel_objects), "object_id"))
-    return grid.join(attributes, "object_id", "left").select(
+                  .join(catalog_channels, "object_id").withColumnRenamed("object_id", "_plain"))
+    return grid.join(attributes, (F.col("object_id") if plain_id is None else plain_id) == F.col("_plain"), "left").select(
         "object_id", "date", "object_kind", "parent_id", *counts, "catalog_channels",
         (F.col("alarm_channels") > 0).cast("int").alias("alarm_today"),
         (F.col("observed_channels") > 0).cast("int").alias("observed_today"),

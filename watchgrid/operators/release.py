@@ -56,12 +56,13 @@ def explain_top3(coefficients: dict[str, float]) -> Column:
 def build_cards(scored: DataFrame, objects: DataFrame) -> DataFrame:
     """Cards of the feature days: state, recap, names and the observation note.
 
-    ``scored`` holds object-day rows with recap columns, run_id and score.
+    ``scored`` holds object-day rows with recap columns, run_id and score.  Objects that the dictionary
+    lacks keep their card, named by their id.
     """
     # The parent may be listed or not; the mart's attributes give way to the catalog's.
-    rows = scored.drop("object_name", "parent_id", "parent_name", "object_kind").join(with_parent(objects), "object_id")
+    rows = scored.drop("object_name", "parent_id", "parent_name", "object_kind").join(with_parent(objects), "object_id", "left")
     return rows.select(
-        "run_id", F.concat_ws("_", "run_id", "object_id").alias("id"), "object_id", "date", "object_name",
+        "run_id", F.concat_ws("_", "run_id", "object_id").alias("id"), "object_id", "date", F.coalesce("object_name", "object_id").alias("object_name"),
         F.coalesce("object_kind", F.lit("unknown")).alias("object_kind"), "parent_id", "parent_name", "score",
         F.col("alarm_today").alias("current_alarm"), F.col("events_count").alias("events_today"),
         "alarm_channels", "observed_channels", "catalog_channels", "alarm_days_7d", "observed_days_7d",
@@ -76,14 +77,20 @@ def release_summary(cards: DataFrame) -> DataFrame:
         F.max("threshold").alias("threshold"))
 
 
-def build_runs(cards: DataFrame, model_sha256: str, input_sha256: Column, mode: str = "historical_replay") -> DataFrame:
-    """Run headers: summary, times of the forecast, lineage and content digest."""
+def build_runs(cards: DataFrame, model_sha256: str, input_sha256: Column | DataFrame, mode: str = "historical_replay") -> DataFrame:
+    """Run headers: summary, times of the forecast, lineage and content digest.
+
+    The input's digest is one value, or a table (date, input_sha256) of each feature day's.
+    """
     parts = forecast_window(F.col("date"))
     content = [c for c in cards.columns if c not in ("run_id", "explanation")]
     prints = fingerprints(cards, ["run_id"], content).select(
         "run_id", F.concat_ws("|", F.col("rows").cast("string"), F.col("hash_sum").cast("string")).alias("cards_print"))
-    runs = release_summary(cards).join(prints, "run_id").select(
-        "*", F.lit(mode).alias("mode"), F.lit("object").alias("entity_mode"),
+    summary = release_summary(cards).join(prints, "run_id")
+    if isinstance(input_sha256, DataFrame):
+        summary, input_sha256 = summary.join(input_sha256, "date"), F.col("input_sha256")
+    runs = summary.select(
+        *[c for c in summary.columns if c != "input_sha256"], F.lit(mode).alias("mode"), F.lit("object").alias("entity_mode"),
         *[c.alias(n) for n, c in parts.items()],
         F.lit(model_sha256).alias("model_sha256"), input_sha256.alias("input_sha256"))
     return runs.withColumn("content_sha256", content_digest())

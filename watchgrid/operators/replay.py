@@ -1,12 +1,14 @@
-"""Day-by-day replay of point-in-time forecasts."""
+"""Replay of point-in-time forecasts: one day, or all days at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchgrid import vocab
+from watchgrid.operators import aggregate as agg
 from watchgrid.operators import objects as O
 from watchgrid.operators import release, versions
 from watchgrid.operators.quality import expect_empty
@@ -29,23 +31,49 @@ def forecast_day(history: DataFrame, channel_objects: DataFrame, objects: DataFr
     return release.ranked_cards(scored, objects, k)
 
 
-def replay_days(days: Iterable[str], seed: DataFrame, batches: DataFrame, channel_objects: DataFrame, objects: DataFrame,
+def as_of(seed: DataFrame, batches: DataFrame, channel_objects: DataFrame, start: Column, seed_end: Column, last: Column,
+          lookback: int | None = None) -> DataFrame:
+    """Object-day counters as each feature day after the bootstrap sees them; ``object_id`` is ``feature day|object``.
+
+    Channels are added up once per version, and versions are spread over the feature days that
+    see them: rows move per object, not per channel.
+    """
+    columns = ["channel_id", "date", *vocab.MODEL_COUNTERS]
+    dated = batches.where((F.col("date") == F.col("day")) & (F.col("day") >= start)).select(*columns, *versions.BATCH_KEYS)
+    objects = agg.object_daily(dated, channel_objects, ("date", *versions.BATCH_KEYS))
+    valid = versions.validity(batches.select(*versions.BATCH_KEYS).distinct())
+    daily = objects.join(valid, versions.BATCH_KEYS).drop("available_at", "batch_id")
+    old = agg.object_daily(seed.select(*columns).where(F.col("date").between(start, seed_end)), channel_objects)
+    old = old.select("*", F.col("date").alias("day"), F.date_add(seed_end, 1).alias("first_date"), F.lit(None).cast("date").alias("last_date"))
+    seen = versions.on_feature_days(daily.unionByName(old), last, lookback).drop("day")
+    return seen.withColumn("object_id", F.concat_ws("|", F.date_format("feature_date", "yyyy-MM-dd"), "object_id")).drop("feature_date")
+
+
+def replay_days(seed: DataFrame, batches: DataFrame, channel_objects: DataFrame, objects: DataFrame,
                 score: Callable[[DataFrame], DataFrame], start: Column, seed_end: Column, cutoff: Column, k: int,
-                path: str, model_sha256: str) -> int:
-    """Assemble, score, rank and publish each day in turn; repeats change nothing.
+                path: str, model_sha256: str, last: Column | None = None, prefix: str = "object", lookback: int | None = None) -> int:
+    """Assemble, score, rank and publish every feature day from the bootstrap's end to ``last``, in one job.
 
-    Every day sees its own versions of the history, so days are separate jobs,
-    as the daily schedule would run them.  Returns the number of new releases.
+    Each day sees the versions that were there at its issue time, as ``forecast_day`` on ``assemble_history``
+    would; identities and digests are the same.  ``last`` is the newest delivered day unless given.
+    ``score`` works within ``object_id``, which here is ``feature day|object``, and looks back only.
+    With ``lookback`` so many days are seen at most.  Repeats change nothing.  Returns the number of new
+    releases.
     """
     columns = [c for c in batches.columns if c not in versions.BATCH_KEYS]
-    new = 0
-    for day in days:
-        date = F.lit(day).cast("date")
-        expect_empty(versions.history_problems(seed, batches, columns, seed_end, date), f"history for {day}")
-        history = materialize(versions.assemble_history(seed, batches, date), "history")
-        digest = history.sparkSession.range(1).select(versions.content_sha256(history, columns)).first()[0]
-        cards = materialize(forecast_day(history, channel_objects, objects, score, start, day, cutoff, k,
-                                         identity={"input": digest, "model_sha": model_sha256}), "cards")
-        runs = materialize(release.build_runs(cards, model_sha256, F.lit(digest)), "runs")
-        new += release.publish(runs, cards, path, k)
-    return new
+    if last is None:
+        last = F.lit(batches.agg(F.max("day")).first()[0])
+    expect_empty(versions.replay_problems(seed, batches, columns, seed_end, last), "histories")
+    key = F.col("object_id")
+    feature_date = F.to_date(F.substring_index(key, "|", 1))
+    facts = as_of(seed, batches, channel_objects, start, seed_end, last, lookback)
+    mart = O.mart_of(facts, agg.catalog_channels(channel_objects), objects, start, feature_date, cutoff,
+                     plain_id=F.expr("substring(object_id, 12)"))
+    scored = score(O.recap_7d(mart)).where(F.col("date") == feature_date).withColumn("object_id", F.expr("substring(object_id, 12)"))
+    digests = materialize(versions.content_digests(seed, batches, columns, last).withColumnRenamed("feature_date", "date"), "digests")
+    lineage = F.struct(F.date_format("date", "yyyy-MM-dd").alias("feature_date"), F.lit(prefix).alias("model"),
+                       F.col("input_sha256").alias("input"), F.lit(model_sha256).alias("model_sha"))
+    scored = scored.join(digests, "date").withColumn("run_id", release.release_id(prefix, F.col("date"), lineage))
+    cards = materialize(release.ranked_cards(scored.drop("input_sha256"), objects, k), "cards")
+    runs = materialize(release.build_runs(cards, model_sha256, digests), "runs")
+    return release.publish(runs, cards, path, k)

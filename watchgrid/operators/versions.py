@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ISSUE_ZONE = "Europe/Moscow"
@@ -44,11 +44,14 @@ def fingerprints(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFr
         F.bit_xor(_hash(columns)).alias("hash_xor"))
 
 
+def _content_digest(columns: list[str], rows: Column, hash_sum: Column, hash_xor: Column) -> Column:
+    parts = (rows, F.coalesce(hash_sum, F.lit(0)), F.coalesce(hash_xor, F.lit(0)))
+    return F.sha2(F.concat_ws("|", F.lit(",".join(columns)), *[p.cast("string") for p in parts]), 256)
+
+
 def content_sha256(rows: DataFrame, columns: list[str]) -> Column:
     """Digest of a whole table's content as a scalar: independent of the order of rows and of their partitions."""
-    return rows.agg(F.sha2(F.concat_ws(
-        "|", F.lit(",".join(columns)), F.count("*").cast("string"), F.coalesce(F.sum(row_hash(columns)), F.lit(0)).cast("string"),
-        F.coalesce(F.bit_xor(_hash(columns)), F.lit(0)).cast("string")), 256).alias("sha")).scalar()
+    return rows.agg(_content_digest(columns, F.count("*"), F.sum(row_hash(columns)), F.bit_xor(_hash(columns))).alias("sha")).scalar()
 
 
 def version_conflicts(batches: DataFrame, columns: list[str]) -> DataFrame:
@@ -111,3 +114,62 @@ def history_problems(seed: DataFrame, batches: DataFrame, columns: list[str],
             .unionByName(tag(late_seed, "bootstrap after its end", "date"))
             .unionByName(tag(missing_days(visible, F.date_add(seed_end, 1), feature_date), "missing day", "day"))
             .distinct())
+
+
+# --- all feature days at once -------------------------------------------------------
+
+def first_seen(available_at: Column) -> Column:
+    """The first feature day whose issue time is not before the instant."""
+    local = F.from_utc_timestamp(available_at, ISSUE_ZONE)
+    return F.when(local == F.date_trunc("day", local), F.date_sub(local, 1)).otherwise(F.to_date(local))
+
+
+def validity(deliveries: DataFrame) -> DataFrame:
+    """Every version with the feature days that see it: from its availability to that of the day's next version.
+
+    ``deliveries`` holds one row per version (``BATCH_KEYS`` and anything else).  Versions that no
+    feature day sees are left out; ``last_date`` is NULL for the newest.
+    """
+    order = Window.partitionBy("day").orderBy("available_at", "batch_id")
+    until = F.date_sub(first_seen(F.lead("available_at").over(order)), 1)
+    known = deliveries.select("*", F.greatest("day", first_seen(F.col("available_at"))).alias("first_date"), until.alias("last_date"))
+    return known.where("last_date IS NULL OR first_date <= last_date")
+
+
+def on_feature_days(rows: DataFrame, last: Column, lookback: int | None = None) -> DataFrame:
+    """One row per row of ``rows`` (day, first_date, last_date, ...) and feature day that sees it, up to ``last``.
+
+    The interval itself yields its days, so no join of versions with days is needed.  With
+    ``lookback`` a day is seen for so many feature days only.
+    """
+    end = F.least(F.coalesce("last_date", last), last)
+    if lookback is not None:
+        end = F.least(end, F.date_add("day", lookback - 1))
+    seen = rows.where(F.col("first_date") <= end)
+    return seen.select(F.explode(F.sequence("first_date", end)).alias("feature_date"), "*").drop("first_date", "last_date")
+
+
+def content_digests(seed: DataFrame, batches: DataFrame, columns: list[str], last: Column) -> DataFrame:
+    """feature_date, input_sha256: what ``content_sha256`` says of the assembled history of each feature day.
+
+    Counts, sums and parities of whole versions add up, so no row is read twice.
+    """
+    prints = on_feature_days(validity(fingerprints(batches, BATCH_KEYS, columns)), last)
+    daily = prints.groupBy("feature_date").agg(F.sum("rows").alias("n"), F.sum("hash_sum").alias("s"), F.bit_xor("hash_xor").alias("x"))
+    base = seed.agg(F.struct(F.count("*").alias("n"), F.coalesce(F.sum(row_hash(columns)), F.lit(0)).cast("decimal(38,0)").alias("s"),
+                             F.coalesce(F.bit_xor(_hash(columns)), F.lit(0).cast("long")).alias("x")).alias("b")).scalar()
+    daily = daily.withColumn("b", base)
+    return daily.select("feature_date", _content_digest(
+        columns, F.col("n") + F.col("b.n"), (F.col("s") + F.col("b.s")).cast("decimal(38,0)"), F.col("x").bitwiseXOR(F.col("b.x"))).alias("input_sha256"))
+
+
+def replay_problems(seed: DataFrame, batches: DataFrame, columns: list[str], seed_end: Column, last: Column) -> DataFrame:
+    """Reasons to refuse a replay of all feature days after the bootstrap: (problem, day), as ``history_problems``.
+
+    What an earlier feature day knows the last one knows too, but a day that arrives late is
+    missing until then.
+    """
+    seen = batches.select("day", "available_at").distinct().groupBy("day").agg(F.min(first_seen(F.col("available_at"))).alias("f"))
+    late = seen.where((F.col("day") > seed_end) & (F.col("day") <= last) & (F.col("f") > F.col("day")))
+    return history_problems(seed, batches, columns, seed_end, last).unionByName(
+        late.select(F.lit("missing day").alias("problem"), "day")).distinct()
