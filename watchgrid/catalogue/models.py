@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from watchgrid.catalogue.channel_windows import frame, run
+from watchgrid.catalogue.newton_sql import newton_sql, score_sql
 from watchgrid.catalogue.registry import query, rounded
 from watchgrid.operators import evaluation as E
 from watchgrid.operators import features as W
 from watchgrid.operators import labels as L
 from watchgrid.operators import models as M
+from watchgrid.operators import newton as N
 from watchgrid.operators import objects as O
 from watchgrid.session import materialize
 from watchgrid.sources import testtables as T
@@ -22,7 +25,7 @@ def frames(spark, sf):
     """(train, tune, test) of the object design, written once before the fits."""
     mart = L.label_onset(O.with_signals(T.object_mart(spark, sf)))
     design = materialize(mart.select(
-        "object_id", "date", "parent_id", *CATEGORICAL, *NUMERIC, "alarm_target", "onset_target", "quiet_intermediate",
+        "object_id", "date", "parent_id", *CATEGORICAL, *[F.round(F.col(c).cast("double"), 6).alias(c) for c in NUMERIC], "alarm_target", "onset_target", "quiet_intermediate",
         "joint_target"), "design")
     d = F.col("date")
     return (design.where(d <= T.day(T.TRAIN_END)), design.where(d.between(*[T.day(x) for x in T.TUNE])),
@@ -46,11 +49,68 @@ def fit_boosted(spark, sf):
     return M.score_boosted(model, test, NUMERIC, CATEGORICAL, "score").select("object_id", "date", "alarm_target", "score")
 
 
-@query("fit_logistic")
-def fit_logistic(spark, sf):
+# The same design in SQL: exact medians, flags of the two lags that have gaps, unit scale, one column per kind.
+_OBJ = 'OVER (PARTITION BY object_id ORDER BY "date"'
+_FLAGGED = ["observed_channels_lag1", "alarm_channels_lag7"]
+_KINDS = ["k0", "k1", "k2", "unknown"]
+_X = [*[f"x_{c}" for c in [*NUMERIC, *[f"{c}_missing" for c in _FLAGGED]]], *[f"k_{k}" for k in _KINDS]]
+_PLAIN = [f"coalesce({c}, m_{c}) AS x_{c}" for c in NUMERIC] + [f"CAST({c} IS NULL AS INT) AS x_{c}_missing" for c in _FLAGGED]
+_SCALED = [x for x in _X if x[0] == "x"]
+DESIGN_SQL = f"""feats AS (SELECT object_id, "date", object_kind, onset_target, alarm_target, CAST(a1 = 0 AS BIGINT) AS quiet, CAST(alarm_today AS DOUBLE) AS alarm_today,
+  round(observed_channels / catalog_channels, 6) AS observed_fraction, round(sum(alarm_today) {_OBJ}) / (i + 1), 6) AS historical_alarm_frequency,
+  CAST(CASE WHEN alarm_today = 1 THEN i - coalesce(max(CASE WHEN alarm_today = 0 THEN i END) {_OBJ}), -1) ELSE 0 END AS DOUBLE) AS alarm_streak,
+  CAST(coalesce(i - max(CASE WHEN alarm_today = 1 THEN i END) {_OBJ}), -1) AS DOUBLE) AS days_since_alarm,
+  round(avg(alarm_channels) {_OBJ} ROWS 6 PRECEDING), 6) AS alarm_channels_mean7, round(avg(events_count) {_OBJ} ROWS 6 PRECEDING), 6) AS events_count_mean7,
+  CAST(lag(observed_channels, 1) {_OBJ}) AS DOUBLE) AS observed_channels_lag1, CAST(lag(alarm_channels, 7) {_OBJ}) AS DOUBLE) AS alarm_channels_lag7
+ FROM (SELECT ol.*, coalesce(o.object_kind, 'unknown') AS object_kind FROM ol LEFT JOIN objects o ON o.object_id = ol.object_id)),
+ medians AS (SELECT {', '.join(f'median({c}) AS m_{c}' for c in NUMERIC)} FROM feats WHERE "date" <= DATE '2024-01-15'),
+ plain AS (SELECT object_id, "date", onset_target, alarm_target, quiet, {', '.join(_PLAIN)}, {', '.join(f"CAST(object_kind = '{k}' AS DOUBLE) AS k_{k}" for k in _KINDS)} FROM feats, medians),
+ moments AS (SELECT {', '.join(f'avg({x}) AS a_{x}, stddev_pop({x}) AS s_{x}' for x in _SCALED)} FROM plain WHERE "date" <= DATE '2024-01-15'),
+ designed AS MATERIALIZED (SELECT object_id, "date", onset_target, alarm_target, quiet, {', '.join(f'({x} - a_{x}) / CASE WHEN s_{x} > 1e-12 THEN s_{x} ELSE 1 END AS {x}' for x in _SCALED)},
+  {', '.join(f'k_{k}' for k in _KINDS)} FROM plain, moments),
+ learned AS MATERIALIZED (SELECT l.label AS label, l.y AS y, {', '.join(_X)} FROM (SELECT *, unnest([{{'label': 'onset', 'y': onset_target}}, {{'label': 'alarm', 'y': alarm_target}},
+  {{'label': 'quiet', 'y': quiet}}, {{'label': 'alarm_if_quiet', 'y': CASE WHEN quiet = 1 THEN alarm_target END}}]) AS l FROM designed WHERE "date" <= DATE '2024-01-15') WHERE l.y IS NOT NULL)"""
+_P = score_sql(_X)
+
+
+def _scores_sql(label: str) -> str:
+    return f"SELECT object_id, \"date\", {_P} AS p FROM designed, (SELECT * FROM fit WHERE label = '{label}') WHERE \"date\" BETWEEN DATE '2024-01-25' AND DATE '2024-01-28'"
+
+
+def _fit_sql(labels: list[str]) -> str:
+    some = ", ".join(f"'{x}'" for x in labels)
+    return (f"{DESIGN_SQL}, picked AS MATERIALIZED (SELECT * FROM learned WHERE label IN ({some})),\n"
+            + newton_sql("fit", "picked", "label", _X, "y", steps=11))
+
+
+def fitted(spark, sf, labels):
+    """(design, training rows, fits, scored test days) of logistic regressions on the named labels."""
+    of = {"onset": F.col("onset_target"), "alarm": F.col("alarm_target"), "quiet": F.col("quiet_intermediate"),
+          "alarm_if_quiet": F.when(F.col("quiet_intermediate") == 1, F.col("alarm_target"))}
     train, _, test = frames(spark, sf)
-    model = M.fit_logistic(train, NUMERIC, CATEGORICAL, "onset_target")
-    return M.score_logistic(model, test, NUMERIC, CATEGORICAL, "score").select("object_id", "date", "onset_target", "score")
+    standard = N.Standard(train, NUMERIC, CATEGORICAL)
+    train = standard.apply(train)
+    fits = N.fit_labels(train, standard.columns, {n: of[n] for n in labels})
+    return standard, train, fits, N.score_labels(standard.apply(test), fits, standard.columns, labels)
+
+
+@query("fit_logistic", f"""
+WITH {_fit_sql(['onset'])}
+SELECT object_id, "date", onset_target, round(p, 6) AS score FROM ({_scores_sql('onset')}) JOIN designed USING (object_id, "date")""")
+def fit_logistic(spark, sf):
+    scored = fitted(spark, sf, ["onset"])[-1]
+    return rounded(scored.select("object_id", "date", "onset_target", F.col("p_onset").alias("score")))
+
+
+@query("fit_certificate", f"""
+WITH {_fit_sql(['alarm'])}
+SELECT feature, round(coefficient, 6) AS coefficient, CAST(1 AS BIGINT) AS stationary FROM (SELECT {', '.join(f'b{i} AS "{n}"' for i, n in enumerate(
+    ["intercept", *NUMERIC, *[f"{c}_missing" for c in _FLAGGED], *[f"object_kind={k}" for k in _KINDS]]))} FROM fit) UNPIVOT (coefficient FOR feature IN (COLUMNS(*)))""")
+def fit_certificate(spark, sf):
+    # Coefficients with their penalised gradient, added up anew from the scored rows.
+    standard, train, fits, _ = fitted(spark, sf, ["alarm"])
+    out = N.certificate(train, fits, standard.columns, standard.names, "alarm", F.col("alarm_target"))
+    return rounded(out.select("feature", "coefficient", (F.abs("gradient") < 1e-6).alias("stationary")))
 
 
 def _spline_sql(c: str) -> str:
@@ -97,10 +157,14 @@ def encode_categories(spark, sf):
     return rounded(M.encode_categories(rows, mapping, ["channel_id"]))
 
 
-@query("hurdle_score")
+@query("hurdle_score", f"""
+WITH {_fit_sql(['quiet', 'alarm_if_quiet'])}
+SELECT object_id, "date", onset_target, round(q.p, 6) AS p_quiet, round(a.p, 6) AS p_alarm, round(q.p * a.p, 6) AS score
+FROM ({_scores_sql('quiet')}) q JOIN ({_scores_sql('alarm_if_quiet')}) a USING (object_id, "date") JOIN designed USING (object_id, "date")""")
 def hurdle_score(spark, sf):
-    train, _, test = frames(spark, sf)
-    return M.hurdle(train, test, NUMERIC, CATEGORICAL).select("object_id", "date", "onset_target", "p_quiet", "p_alarm", "score")
+    # P(quiet D+1) times P(alarm D+2 given quiet D+1): two regressions in one fit.
+    scored = fitted(spark, sf, ["quiet", "alarm_if_quiet"])[-1].withColumnRenamed("p_alarm_if_quiet", "p_alarm")
+    return rounded(scored.select("object_id", "date", "onset_target", "p_quiet", "p_alarm", (F.col("p_quiet") * F.col("p_alarm")).alias("score")))
 
 
 @query("joint_score")
@@ -119,14 +183,27 @@ def blend_scores(spark, sf):
     return rounded(M.product(out, ["persistence", "smoothed"], "product").select("object_id", "date", "quarter", "thirds", "product"))
 
 
-@query("expert_routing", """
-SELECT s.object_id, s."date", CASE WHEN o.object_kind IN ('k0', 'k1') THEN s.frequency ELSE s.smoothed END AS routed
-FROM wide_scores s LEFT JOIN objects o USING (object_id)""")
+# Specialists of the engineering systems on tomorrow's alarm; positives that make a system eligible in tables of this size.
+ELIGIBLE = 22
+EXPERT = ["alarm", "observed", "fault", "no_power", "volume"]
+
+
+@query("expert_routing", f"""
+WITH e AS (SELECT channel_id, "date", alarm, observed, fault, no_power, round(ln(1 + events_count), 6) AS volume,
+  CASE WHEN object_id <> 'Нет в справочнике' THEN engineering_system END AS sys, lead(alarm) OVER (PARTITION BY channel_id ORDER BY "date") AS target FROM gc),
+ t AS MATERIALIZED (SELECT * REPLACE (coalesce(sys, '?') AS sys) FROM e WHERE target IS NOT NULL AND "date" <= DATE '2024-01-15'),
+ tagged AS MATERIALIZED (SELECT * FROM t WHERE sys <> '?' UNION ALL SELECT * REPLACE ('*' AS sys) FROM t),
+ {newton_sql('fit', 'tagged', 'sys', EXPERT, 'target')}
+SELECT channel_id, "date", CAST(own.sys IS NOT NULL AS BIGINT) AS specialist,
+ round(CASE WHEN own.sys IS NOT NULL THEN {score_sql(EXPERT, 'own.')} ELSE {score_sql(EXPERT, 'every.')} END, 6) AS routed
+FROM e LEFT JOIN (SELECT * FROM fit WHERE positives >= {ELIGIBLE} AND n > positives AND sys <> '*') own ON own.sys = e.sys
+CROSS JOIN (SELECT * FROM fit WHERE sys = '*') every""")
 def expert_routing(spark, sf):
-    wide = T.score_table(spark, sf)
-    system = T.objects(spark, sf).where("object_kind IN ('k0', 'k1')").select("object_id")
-    experts = wide.join(system, "object_id", "left_semi").select("object_id", "date", F.col("frequency").alias("score"))
-    return M.route_experts(wide, experts, ["object_id", "date"], "smoothed", "routed").select("object_id", "date", "routed")
+    rows = L.label_lead(T.grid(spark, sf), "channel_id", F.col("alarm"), 1).withColumn("volume", F.round(F.log1p("events_count"), 6))
+    rows = rows.join(T.channels(spark, sf).select("channel_id", "engineering_system"), "channel_id", "left")
+    rows = materialize(rows.select("channel_id", "date", "engineering_system", "target", *EXPERT), "expert-rows")
+    out = N.specialists(rows, F.col("date") <= T.day(T.TRAIN_END), "engineering_system", EXPERT, "target", ELIGIBLE, name="routed")
+    return rounded(out.select("channel_id", "date", "specialist", "routed"))
 
 
 @query("select_model", """
@@ -143,22 +220,36 @@ def select_model(spark, sf):
     return rounded(M.select_model(rounded(best.join(ap, "model")), "persistence"))
 
 
-@query("score_batch")
+@query("score_batch", f"""
+WITH {_fit_sql(['alarm'])}
+SELECT object_id, "date", round(p, 6) AS score, CAST(p >= 0.3 AS BIGINT) AS warning FROM ({_scores_sql('alarm')})""")
 def score_batch(spark, sf):
-    train, _, test = frames(spark, sf)
-    model = M.fit_logistic(train, NUMERIC, CATEGORICAL, "alarm_target")
-    return M.score_batch(M.score_logistic(model, test, NUMERIC, CATEGORICAL, "score"), ["object_id", "date"], 0.3)
+    scored = fitted(spark, sf, ["alarm"])[-1].withColumnRenamed("p_alarm", "score")
+    return rounded(M.score_batch(materialize(scored, "scored"), ["object_id", "date"], 0.3))
+
+
+MONTHLY = ["alarm", "alarm_trend_7_28", "events_trend_1_7", "seq_alarm_rate_14d", "seq_alarm_rate_60d"]
 
 
-@query("rolling_refit")
+# A refit before every month of the long history, on labels complete two days before.
+@query("rolling_refit", f"""
+WITH r AS (SELECT channel_id, "date", alarm, {run('lead(alarm, 1)')} AS target,
+  round({frame('sum(alarm)', 7)} / least(i + 1, 7) - {frame('sum(alarm)', 28)} / least(i + 1, 28), 6) AS alarm_trend_7_28,
+  round(events_count / (1 + {frame('sum(events_count)', 7)} / 7), 6) AS events_trend_1_7,
+  round({frame('sum(alarm)', 14)} / least(i + 1, 14), 6) AS seq_alarm_rate_14d,
+  round({frame('sum(alarm)', 60)} / least(i + 1, 60), 6) AS seq_alarm_rate_60d FROM lg),
+ months AS (SELECT CAST(unnest(generate_series(date_trunc('month', min("date")) + INTERVAL 1 MONTH, max("date"), INTERVAL 1 MONTH)) AS DATE) AS period FROM lg),
+ known AS MATERIALIZED (SELECT period, r.* FROM months JOIN r ON r."date" <= period - 2 WHERE target IS NOT NULL),
+ {newton_sql('fit', 'known', 'period', MONTHLY, 'target', steps=12)}
+SELECT period, CAST(period - 2 AS DATE) AS train_end, channel_id, "date", target, round({score_sql(MONTHLY)}, 6) AS score
+FROM r JOIN fit ON period = CAST(date_trunc('month', "date") AS DATE)""")
 def rolling_refit(spark, sf):
-    # Monthly refits at the end of the long history.
     rows = W.compute(T.long_grid(spark, sf), W.trend_family(), W.window_rate_family((14, 60)))
     labelled = L.label_lead(rows, "channel_id", F.col("alarm"), 1)
-    numeric = ["alarm", "alarm_trend_7_28", "events_trend_1_7", "seq_alarm_rate_14d", "seq_alarm_rate_60d"]
-    design = materialize(labelled.select("channel_id", "date", "target", *numeric), "design")
-    months = [("2001-05-01", "2001-05-31"), ("2001-06-01", "2001-06-30"), ("2001-07-01", "2001-07-31")]
-    return M.rolling_refit(design, months, numeric, "target").select("period", "train_end", "channel_id", "date", "target", "score")
+    rows = materialize(labelled.select("channel_id", "date", "target", *[F.round(c, 6).alias(c) for c in MONTHLY]), "design")
+    first, last = rows.agg(F.date_add(F.last_day(F.min("date")), 1), F.max("date")).first()
+    starts = [r[0] for r in spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("INTERVAL 1 MONTH")))).collect()]
+    return rounded(N.refit_scores(rows, starts, MONTHLY, "target").select("period", "train_end", "channel_id", "date", "target", "score"))
 
 
 @query("permutation_importance")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from watchgrid.operators.evaluation import average_precision, pr_curve
 from watchgrid.operators.features import sanitize
-from watchgrid.operators.quality import require_columns
+from watchgrid.operators.quality import expect_empty, require_columns
 from watchgrid.plans.running import exact_quantiles, ranked
 from watchgrid.session import materialize
 
@@ -219,29 +219,12 @@ def select_model(metrics: DataFrame, control: str) -> DataFrame:
 
 
 def score_batch(scored: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Frozen scoring output: score, warning, and whether the score is usable."""
+    """Frozen scoring output: score and warning; missing, infinite or improper scores and repeated keys are refused."""
     score = F.col("score")
     valid = score.isNotNull() & ~F.isnan(score) & score.between(0.0, 1.0)
-    return scored.select(*keys, "score", (score >= threshold).cast("int").alias("warning"),
-                         valid.cast("int").alias("valid"))
-
-
-def rolling_refit(rows: DataFrame, starts: list[tuple[str, str]], numeric: list[str], label: str,
-                  embargo: int = 2) -> DataFrame:
-    """Refit before each period on labels already complete, score that period.
-
-    ``starts`` lists (first day, last day); each fit is one distributed job, the
-    loop over periods runs on the driver.
-    """
-    parts = []
-    for first, last in starts:
-        day = F.lit(first).cast("date")
-        train = rows.where(F.col("date") <= F.date_sub(day, embargo))
-        period = rows.where(F.col("date").between(day, F.lit(last).cast("date")))
-        model = fit_logistic(train, numeric, [], label)
-        scored = score_logistic(model, period, numeric, [], "score")
-        parts.append(scored.withColumn("period", F.lit(first)).withColumn("train_end", F.date_sub(day, embargo)))
-    return reduce(DataFrame.unionByName, parts)
+    expect_empty(scored.where(~F.coalesce(valid, F.lit(False))).select(*keys, "score"), "scores outside of 0 to 1")
+    expect_empty(scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "rows scored twice")
+    return scored.select(*keys, "score", (score >= threshold).cast("int").alias("warning"))
 
 
 def permutation_importance(rows: DataFrame, score, features: list[str], keys: list[str], label: str,
