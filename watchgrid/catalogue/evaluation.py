@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from watchgrid.catalogue.object_windows import _episode_sql
 from watchgrid.catalogue.registry import query, rounded
+from watchgrid.functions.draws import uniform_sql
 from watchgrid.operators import bootstrap as B
 from watchgrid.operators import evaluation as E
 from watchgrid.operators import joins as J
@@ -189,13 +190,42 @@ def weighted_ap(spark, sf):
     return rounded(B.weighted_ap(counts, weights, ["model"]))
 
 
-@query("week_block_bootstrap")
+_PICKS = """picks AS (SELECT *, row_number() OVER (PARTITION BY model, "date" ORDER BY score DESC, object_id) <= 10 AS picked,
+  date_trunc('week', "date" + 1) AS week, coalesce(onset_target, 0) = 1 AS onset FROM scores)"""
+
+
+@query("week_block_bootstrap", f"""
+WITH {_PICKS},
+ weekly AS (SELECT *, row_number() OVER (ORDER BY week) - 1 AS i, count(*) OVER () AS m FROM (
+  SELECT week, count(*) FILTER (picked AND onset AND model = 'smoothed') AS new_tp, count(*) FILTER (picked AND onset AND model = 'persistence') AS base_tp,
+   count(*) FILTER (picked AND model = 'smoothed') AS warnings, count(*) FILTER (onset AND model = 'smoothed') AS onsets FROM picks GROUP BY week)),
+ slots AS (SELECT draw, s.slot, {uniform_sql(84, 'draw', 's.slot')} % (SELECT max(m) FROM weekly) AS i
+  FROM (SELECT unnest(range(1000)) AS draw) CROSS JOIN (SELECT unnest(range(1, (SELECT max(m) FROM weekly) + 1)) AS slot) s),
+ sums AS (SELECT draw, sum(new_tp - base_tp) / nullif(sum(warnings), 0) AS p, sum(new_tp - base_tp) / nullif(sum(onsets), 0) AS r
+  FROM slots JOIN weekly USING (i) GROUP BY draw)
+SELECT m AS weeks, replicates, CASE WHEN m >= 2 THEN round(pl, 6) END AS precision_low, CASE WHEN m >= 2 THEN round(ph, 6) END AS precision_high,
+ CASE WHEN m >= 2 THEN round(rl, 6) END AS recall_low, CASE WHEN m >= 2 THEN round(rh, 6) END AS recall_high, replicates_without_onsets,
+ CAST(m < 8 AS BIGINT) AS few_weeks, round(gain / nullif(w, 0), 6) AS precision_difference, round(gain / nullif(o, 0), 6) AS recall_difference
+FROM (SELECT count(*) AS replicates, quantile_cont(p, 0.025) AS pl, quantile_cont(p, 0.975) AS ph, quantile_cont(r, 0.025) AS rl, quantile_cont(r, 0.975) AS rh,
+ count(*) FILTER (r IS NULL) AS replicates_without_onsets FROM sums),
+ (SELECT max(m) AS m, sum(new_tp - base_tp) AS gain, sum(warnings) AS w, sum(onsets) AS o FROM weekly)""")
 def week_block_bootstrap(spark, sf):
     weekly = materialize(B.weekly_sums(T.scores(spark, sf), ("smoothed", "persistence"), 10), "weekly")
-    return B.week_bootstrap(weekly, draws=1000, seed=84)
-
-
-@query("moving_block_bootstrap")
+    return rounded(B.week_bootstrap(weekly, draws=1000, seed=84))
+
+
+@query("moving_block_bootstrap", f"""
+WITH days AS (SELECT "date", row_number() OVER (ORDER BY "date") - 1 AS i FROM (SELECT DISTINCT "date" FROM scores)),
+ size AS (SELECT count(*) AS m FROM days),
+ spots AS (SELECT draw, ({uniform_sql(139, 'draw', 'spot // 7')} % m + spot % 7) % m AS i
+  FROM size, (SELECT unnest(range(200)) AS draw), LATERAL (SELECT unnest(range(m)) AS spot)),
+ weights AS (SELECT draw, "date", count(*) AS weight FROM spots JOIN days USING (i) GROUP BY ALL),
+ drawn AS (SELECT model, draw, score, sum(alarm_target * weight) AS pos, sum(weight) AS n FROM scores JOIN weights USING ("date") GROUP BY ALL),
+ ap AS (SELECT model, draw, sum(pos / p * tp / pred) AS ap FROM (
+  SELECT *, sum(pos) OVER (PARTITION BY model, draw ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY model, draw ORDER BY score DESC) AS pred,
+   sum(pos) OVER (PARTITION BY model, draw) AS p FROM drawn) GROUP BY model, draw)
+SELECT a.model, count(*) AS draws, round(quantile_cont(a.ap - b.ap, 0.025), 6) AS lower, round(avg(a.ap - b.ap), 6) AS mean, round(quantile_cont(a.ap - b.ap, 0.975), 6) AS upper
+FROM ap a JOIN ap b ON a.draw = b.draw AND b.model = 'persistence' WHERE a.model <> 'persistence' GROUP BY a.model""")
 def moving_block_bootstrap(spark, sf):
     counts = materialize(B.daily_score_counts(T.scores(spark, sf), "alarm_target"), "daily-counts")
-    return B.block_bootstrap(counts, "persistence", draws=200, length=7, seed=139)
+    return rounded(B.block_bootstrap(counts, "persistence", draws=200, length=7, seed=139))

@@ -121,9 +121,15 @@ def _sample(spark, sf):
     return R.stratified_sample(rows, "target", ["channel_id", "date"], cap, 0.45, seed=84)
 
 
-@query("stratified_sample")
+@query("stratified_sample", """
+WITH rows AS (SELECT channel_id, "date", target, md5(concat('84|', channel_id, '|', CAST("date" AS VARCHAR))) AS h
+  FROM (SELECT channel_id, "date", lead(alarm, 1, 0) OVER (PARTITION BY channel_id ORDER BY "date") AS target FROM g) WHERE "date" < DATE '2024-01-30'),
+ sizes AS (SELECT greatest(10, count(*) // 3) AS cap, count(*) FILTER (target = 1) AS p, count(*) FILTER (target = 0) AS n FROM rows),
+ keep AS (SELECT p, n, least(p, greatest(1, CAST(floor(cap * 0.45) AS BIGINT))) AS kp, least(n, cap - least(p, greatest(1, CAST(floor(cap * 0.45) AS BIGINT)))) AS kn FROM sizes)
+SELECT channel_id, "date", target, CASE WHEN target = 1 THEN p ELSE n END AS class_size, CASE WHEN target = 1 THEN kp ELSE kn END AS class_sample
+FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY h, channel_id, "date") AS r FROM rows), keep WHERE r <= CASE WHEN target = 1 THEN kp ELSE kn END""")
 def stratified_sample(spark, sf):
-    return _sample(spark, sf)
+    return rounded(_sample(spark, sf))
 
 
 @query("inverse_weights", """

@@ -1,14 +1,17 @@
 """Block bootstraps of paired model differences.
 
-Rows are reduced to sums per week or counts per (day, score) first.  Draws are
-seeded hashes, so a repeated task draws the same blocks.
+Rows are reduced to sums per week or counts per (day, score) first.  Draws come from
+counters (``functions.draws``), so a repeated task draws the same blocks.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchgrid.functions.draws import below
 from watchgrid.functions.scalars import ratio
 from watchgrid.operators.evaluation import average_precision, curve, daily_rank
 from watchgrid.session import materialize
@@ -16,10 +19,6 @@ from watchgrid.session import materialize
 FEW_WEEKS = 8
 
 
-def _draw(seed: int, modulus: Column, *parts: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), modulus).cast("int")
-
-
 def _in_order(rows: DataFrame, order: str, *columns: str) -> Column:
     """Calendar-sized rows as one sorted array (one entry per week or day)."""
     return rows.agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("a")).scalar()
@@ -53,7 +52,7 @@ def week_bootstrap(weekly: DataFrame, draws: int, seed: int) -> DataFrame:
                   .withColumn("_w", _in_order(weekly, "week", *columns))
                   .withColumn("_m", F.size("_w")))
     slots = replicates.select("draw", "_w", "_m", F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("slot"))
-    picked = slots.select("draw", "_m", F.element_at("_w", _draw(seed, F.col("_m"), "draw", "slot") + 1).alias("w"))
+    picked = slots.select("draw", "_m", F.element_at("_w", below(seed, F.col("_m"), F.col("draw"), F.col("slot")) + 1).alias("w"))
     sums = picked.groupBy("draw").agg(F.max("_m").alias("weeks"), *[F.sum(f"w.{c}").alias(c) for c in columns])
     gain = F.col("new_tp") - F.col("base_tp")
     differences = sums.select("weeks", ratio(gain, F.col("warnings")).alias("p"), ratio(gain, F.col("onsets")).alias("r"))
@@ -81,29 +80,46 @@ def daily_score_counts(rows: DataFrame, label: str) -> DataFrame:
 
 def weighted_ap(counts: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
     """Average precision with a weight per day; days without a weight count 0."""
-    # One weight row per (draw and) calendar day, a bounded table.
-    weighted = counts.join(F.broadcast(weights), "date").groupBy(*by, "score").agg(
+    weighted = counts.join(weights, "date").groupBy(*by, "score").agg(
         F.sum(F.col("pos") * F.col("weight")).alias("pos"), F.sum(F.col("n") * F.col("weight")).alias("n"))
     return average_precision(curve(materialize(weighted.where("n > 0"), "weighted-counts"), by), by)
 
 
 def block_weights(days: DataFrame, draws: int, length: int, seed: int) -> DataFrame:
-    """How often each day occurs in circular blocks of consecutive days, per draw."""
+    """date, weights: how often each day occurs in circular blocks of consecutive days, one entry for each draw."""
     spark = days.sparkSession
     base = (spark.range(draws).withColumnRenamed("id", "draw")
             .withColumn("_d", _in_order(days, "date")).withColumn("_m", F.size("_d")))
     spots = base.select("draw", "_d", "_m", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("spot"))
-    spots = spots.withColumn("block", F.floor(F.col("spot") / length))
-    start = _draw(seed, F.col("_m"), "draw", "block")
+    start = below(seed, F.col("_m"), F.col("draw"), F.floor(F.col("spot") / length))
     index = (start + F.col("spot") % length) % F.col("_m")
-    dated = spots.select("draw", F.get("_d", index.cast("int"))["date"].alias("date"))
-    return dated.groupBy("draw", "date").agg(F.count("*").alias("weight"))
+    times = spots.select("draw", F.get("_d", index.cast("int"))["date"].alias("date")).groupBy("date", "draw").agg(F.count("*").alias("n"))
+    by_draw = times.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("draw", "n"))).alias("_n"))
+    return by_draw.select("date", F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.coalesce(
+        F.try_element_at("_n", i.cast("long")), F.lit(0)).cast("double")).alias("weights"))
+
+
+def drawn_counts(counts: DataFrame, weights: DataFrame) -> DataFrame:
+    """model, draw, score, pos, n: the day counts under every draw's weights.
+
+    Days are added up as vectors, one entry for each draw, so rows are not multiplied by the draws before
+    they are summed.
+    """
+    def scaled(c: str) -> Column:
+        return array_to_vector(F.transform("weights", lambda w: w * F.col(c))).alias(c)
+
+    sums = counts.join(weights, "date").select("model", "score", scaled("pos"), scaled("n")).groupBy("model", "score").agg(
+        *[Summarizer.sum(F.col(c)).alias(c) for c in ("pos", "n")])
+    both = F.arrays_zip(vector_to_array("pos").alias("pos"), vector_to_array("n").alias("n"))
+    each = sums.select("model", "score", F.posexplode(both).alias("draw", "c"))
+    return each.select("model", "draw", "score", F.col("c.pos").cast("long").alias("pos"), F.col("c.n").cast("long").alias("n")).where("n > 0")
 
 
 def block_bootstrap(counts: DataFrame, baseline: str, draws: int, length: int, seed: int) -> DataFrame:
     """Interval of each model's AP difference to the baseline over block draws."""
     weights = block_weights(counts.select("date").distinct(), draws, length, seed)
-    ap = weighted_ap(counts, weights, ["model", "draw"])
+    drawn = materialize(drawn_counts(counts, weights), "drawn-counts")
+    ap = average_precision(curve(drawn, ["model", "draw"]), ["model", "draw"])
     base = ap.where(F.col("model") == baseline).select("draw", F.col("average_precision").alias("_b"))
     differences = ap.where(F.col("model") != baseline).join(base, "draw").withColumn(
         "d", F.col("average_precision") - F.col("_b"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchgrid.functions.scalars import ratio
+from watchgrid.functions.draws import order_key
 from watchgrid.plans.running import ranked
 
 
@@ -67,12 +68,12 @@ def channel_queue(scored: DataFrame, n: int = 100) -> DataFrame:
 
 def stratified_sample(rows: DataFrame, label: str, keys: list[str], cap: int,
                       positive_share: float, seed: int) -> DataFrame:
-    """At most ``cap`` rows, positives up to their share, chosen by a seeded hash.
+    """At most ``cap`` rows, positives up to their share, chosen by a seeded order.
 
-    The order of the hash is global and fixed, so neither the partitioning nor
+    The order is global and fixed, so neither the partitioning nor
     a restarted task changes the sample.  Kept rows carry the class sizes.
     """
-    drawn = rows.where(F.col(label).isNotNull()).withColumn("_h", F.xxhash64(F.lit(seed), *keys))
+    drawn = rows.where(F.col(label).isNotNull()).withColumn("_h", order_key(seed, *[F.col(k) for k in keys]))
     numbered = ranked(drawn, [label], [F.col("_h"), *[F.col(k) for k in keys]], "_rank")
     sizes = rows.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).select(
         F.struct("p", "n").alias("s")).scalar()
