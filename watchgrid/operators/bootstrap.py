@@ -103,7 +103,7 @@ def drawn_counts(counts: DataFrame, weights: DataFrame) -> DataFrame:
     """model, draw, score, pos, n: the day counts under every draw's weights.
 
     Days are added up as vectors, one entry for each draw, so rows are not multiplied by the draws before
-    they are summed.
+    they are summed.  The vector sums are doubles off by a rounding, hence the rounding.
     """
     def scaled(c: str) -> Column:
         return array_to_vector(F.transform("weights", lambda w: w * F.col(c))).alias(c)
@@ -112,7 +112,7 @@ def drawn_counts(counts: DataFrame, weights: DataFrame) -> DataFrame:
         *[Summarizer.sum(F.col(c)).alias(c) for c in ("pos", "n")])
     both = F.arrays_zip(vector_to_array("pos").alias("pos"), vector_to_array("n").alias("n"))
     each = sums.select("model", "score", F.posexplode(both).alias("draw", "c"))
-    return each.select("model", "draw", "score", F.col("c.pos").cast("long").alias("pos"), F.col("c.n").cast("long").alias("n")).where("n > 0")
+    return each.select("model", "draw", "score", F.round("c.pos").cast("long").alias("pos"), F.round("c.n").cast("long").alias("n")).where("n > 0")
 
 
 def block_bootstrap(counts: DataFrame, baseline: str, draws: int, length: int, seed: int) -> DataFrame:
