@@ -97,6 +97,29 @@ def intraday_daily(clean: DataFrame) -> DataFrame:
     return days.where("intra_last_event_minute IS NOT NULL")
 
 
+def intraday_parts(clean: DataFrame) -> DataFrame:
+    """What a share of a channel-day's records tells of the within-day picture; ``combine_intraday`` puts shares together."""
+    seconds = with_order_key(clean).groupBy("channel_id", "date", "second").agg(*second_aggregates()).where("second IS NOT NULL")
+    return seconds.groupBy("channel_id", "date").agg(*[F.expr(e) for e in (
+        "sum(if(second >= 64800, alarms, 0)) AS alarms_6h", "sum(if(second >= 43200, alarms, 0)) AS alarms_12h",
+        "sum(if(second >= 64800, events, 0)) AS events_6h", "min(struct(second, first_key)) AS first", "max(second) AS last_second",
+        "max_by(last_key, second) AS last_key", "max_by(events, second) AS last_events", "max(if(alarms > 0, second, NULL)) AS last_alarm")])
+
+
+def combine_intraday(parts: DataFrame) -> DataFrame:
+    """Merge shares of channel-days of several deliveries; order does not matter."""
+    # Shares that end in the same second add up there first.
+    ends = parts.groupBy("channel_id", "date", "last_second").agg(
+        *[F.sum(c).alias(c) for c in ("alarms_6h", "alarms_12h", "events_6h", "last_events")],
+        F.min("first").alias("first"), F.max("last_key").alias("last_key"), F.max("last_alarm").alias("last_alarm"))
+    return ends.groupBy("channel_id", "date").agg(*[F.expr(e) for e in (
+        "sum(alarms_6h) AS intra_alarm_count_last6h", "sum(alarms_12h) AS intra_alarm_count_last12h", "sum(events_6h) AS intra_events_last6h",
+        "max_by(last_events, last_second) - 1 AS intra_last_timestamp_ties", "min(first).second / 60D AS intra_first_event_minute",
+        "cast(pmod(min(first).first_key, 2) AS int) AS intra_first_event_is_alarm", "max(last_second) / 60D AS intra_last_event_minute",
+        "cast(pmod(max_by(last_key, last_second), 2) AS int) AS intra_last_event_is_alarm",
+        "coalesce(max(last_alarm) / 60D, -1D) AS intra_last_alarm_minute")])
+
+
 def object_daily(daily: DataFrame, channel_objects: DataFrame, by: tuple[str, ...] = ("date",)) -> DataFrame:
     """Counters and numbers of reporting channels per object and day (or whatever ``by`` names)."""
     joined = daily.join(channel_objects.select("channel_id", "object_id"), "channel_id")
