@@ -86,29 +86,38 @@ def weighted(row: np.ndarray, index: np.ndarray, idf: np.ndarray) -> tuple[np.nd
 
 
 def encoded(docs: DataFrame, block: Block) -> DataFrame:
-    """passages, row (number of the passage in its text) and index of the vocabulary's words in every text."""
+    """doc_id, __text, n (words), stride and index of the vocabulary's words in every text that has words.
+
+    The text comes along, so that the search need not look for the words again.
+    """
     vocabulary = docs.sparkSession.sparkContext.broadcast(block.vocabulary)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch["__text"]:
+            some, n, strides, indexes = [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 found = words(text)
                 if found:
                     place, index = cells(found, vocabulary.value)
-                    rows.append((-(-len(found) // PASSAGE), (place // PASSAGE).astype(np.int32), index.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["passages", "row", "index"])
+                    some.append(i)
+                    n.append(len(found))
+                    strides.append((place // STRIDE).astype(np.int32))
+                    indexes.append(index.astype(np.int32))
+            kept = batch.take(pa.array(some, pa.int64()))
+            ends = pa.array(np.cumsum([0, *map(len, strides)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *x])) for x in (strides, indexes)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n, pa.int64()), *lists], names=["doc_id", "__text", "n", "stride", "index"])
 
-    return docs.mapInPandas(run, "passages long, row array<int>, index array<int>")
+    return docs.select("doc_id", "__text").mapInArrow(run, "doc_id long, __text string, n long, stride array<int>, index array<int>")
 
 
 def _cells_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Passages numbered through the batch, with their vocabulary indexes."""
+    """Passages numbered through a batch of (n, stride, index), with their vocabulary indexes."""
     lists = batch.column(1)
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    passages = batch.column(0).to_numpy(zero_copy_only=False)
+    passages = -(-batch.column(0).to_numpy(zero_copy_only=False) // PASSAGE)
     before = np.concatenate([[0], np.cumsum(passages)[:-1]]) if len(passages) else passages
-    row = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(before, sizes)
+    row = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) // (PASSAGE // STRIDE) + np.repeat(before, sizes)
     return row, batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
@@ -120,13 +129,13 @@ def frequencies(cells_of: DataFrame, size: int) -> tuple[int, np.ndarray]:
             if batch.num_rows:
                 row, index = _cells_of(batch)
                 count[:size] += np.bincount(np.unique(row * size + index) % size, minlength=size)
-                total += int(batch.column(0).to_numpy(zero_copy_only=False).sum())
+                total += int((-(-batch.column(0).to_numpy(zero_copy_only=False) // PASSAGE)).sum())
         count[size] = total
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(count[some], pa.int64())], names=["i", "n"])
 
     out = np.zeros(size + 1, dtype=np.int64)
-    sums = cells_of.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
+    sums = cells_of.select("n", "stride", "index").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
     for i, n in sums.collect():  # one number per word of the benchmark
         out[i] = n
     return int(out[size]), out[:size]
@@ -171,7 +180,7 @@ def gathered(cells_of: DataFrame, idf: np.ndarray, basis: np.ndarray) -> DataFra
             offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * out.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["i", "x"])
 
-    parts = cells_of.mapInArrow(run, "i long, x array<double>").select("i", array_to_vector("x").alias("x"))
+    parts = cells_of.select("n", "stride", "index").mapInArrow(run, "i long, x array<double>").select("i", array_to_vector("x").alias("x"))
     return parts.groupBy("i").agg(Summarizer.sum(F.col("x")).alias("x")).select("i", vector_to_array("x").alias("x"))
 
 
@@ -230,9 +239,9 @@ def verified(item: list[str], answer: Counter, region: list[str]) -> tuple[float
     return common, said, common >= VERBATIM or common >= PARAPHRASE and said >= ANSWER
 
 
-def search(docs: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray) -> DataFrame:
+def search(cells_of: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray) -> DataFrame:
     """doc_id, item, cosine, common, answer of every document that holds a passage of the block."""
-    shared = docs.sparkSession.sparkContext.broadcast((block, idf, latent))
+    shared = cells_of.sparkSession.sparkContext.broadcast((block, idf, latent))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, idf, latent = shared.value
@@ -243,15 +252,11 @@ def search(docs: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray) -
             out: list[tuple] = []
             for lo in range(0, len(batch), 256):
                 hits: list[tuple] = []
-                ids = batch["doc_id"].iloc[lo:lo + 256].tolist()
-                texts = [words(t) for t in batch["__text"].iloc[lo:lo + 256]]
-                starts = np.cumsum([0] + [-(-len(t) // STRIDE) + 1 for t in texts])
-                row, index = [], []
-                for t, s in zip(texts, starts):
-                    place, found = cells(t, block.vocabulary)
-                    row.append(place // STRIDE + s)
-                    index.append(found)
-                row, index = np.concatenate(row), np.concatenate(index)
+                part = batch.iloc[lo:lo + 256]
+                ids, bodies, texts = part["doc_id"].tolist(), part["__text"].tolist(), {}
+                starts = np.cumsum([0, *(-(-part["n"].to_numpy() // STRIDE) + 1)])
+                row = np.concatenate([r.astype(np.int64) + s for r, s in zip(part["stride"], starts)])
+                index = np.concatenate(part["index"].tolist())
                 if not len(row):
                     continue
                 # Latent sums of strides; a passage is a stride and the next.
@@ -263,13 +268,15 @@ def search(docs: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray) -
                     sums[row[f]] = np.add.reduceat(vectors[index[f[0]:end]], f - f[0], axis=0)
                 sums[:-1] += sums[1:]  # a text ends with an empty stride
                 for a in range(0, len(sums) - 1, 8192):
-                    part = sums[a:a + 8192]
-                    norm = np.sqrt((part * part).sum(1))
+                    window = sums[a:a + 8192]
+                    norm = np.sqrt((window * window).sum(1))
                     some = np.flatnonzero(norm > 1e-6)
-                    cosine = (part[some] / norm[some, None]) @ items.T
+                    cosine = (window[some] / norm[some, None]) @ items.T
                     for w, j in zip(*np.nonzero(cosine >= COSINE)):
                         at = a + int(some[w])
                         d = int(np.searchsorted(starts, at, side="right")) - 1
+                        if d not in texts:
+                            texts[d] = words(bodies[d])
                         hits.append((lo + d, at - int(starts[d]), int(j), float(cosine[w, j]), ids[d], texts[d]))
                 best: dict[tuple, tuple] = {}
                 at, there = None, Counter()
@@ -290,7 +297,7 @@ def search(docs: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray) -
             yield pd.DataFrame(out, columns=["doc_id", "item", "cosine", "common", "answer"])
 
     # The id travels as text: a null among numbers would turn them into doubles.
-    out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+    out = cells_of.select(F.col("doc_id").cast("string").alias("doc_id"), "__text", "n", "stride", "index").mapInPandas(
         run, "doc_id string, item long, cosine double, common double, answer double")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -336,7 +343,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
         idf = np.log((1 + total) / (1 + held)) + 0.1
         latent = decompose(cells_of, block, idf, total)
         names = spark.createDataFrame([(i, str(k)) for i, k in enumerate(block.ids)], "item long, item_id string")
-        found = search(own, block, idf, latent).join(F.broadcast(names), "item").drop("item")
+        found = search(cells_of, block, idf, latent).join(F.broadcast(names), "item").drop("item")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "doc_id long, item_id string, cosine double, common double, answer double")
