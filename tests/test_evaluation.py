@@ -132,3 +132,30 @@ def test_logistic_separates_and_keeps_unknown_categories(spark):
     new = spark.createDataFrame([(9.0, None, "new", 1), (0.0, 1.0, "u", 0)], "x double, z double, k string, y int")
     high, low = [r.p for r in M.score_logistic(model, new, ["x", "z"], ["k"], "p").collect()]
     assert high > 0.8 > 0.2 > low
+
+
+def test_short_days_and_improper_histories_are_refused(spark, rows):
+    E.expect_full_days(rows, ["model"], 2)
+    with pytest.raises(ValueError):
+        E.expect_full_days(rows, ["model"], 10_000)
+    from watchgrid.operators import objects as O
+
+    good = [("a", dt.date(2024, 1, 1), 1, 1), ("a", dt.date(2024, 1, 2), 0, 0)]
+    schema = "object_id string, date date, alarm_today int, observed_today int"
+    assert O.checked_history(spark.createDataFrame(good, schema)).count() == 2
+    for bad in (good[0], ("b", good[0][1], 1, 0), ("b", good[0][1], 2, 2), ("b", good[0][1], None, 1), (None, good[0][1], 0, 1)):
+        with pytest.raises(ValueError):
+            O.checked_history(spark.createDataFrame([*good, bad], schema))
+
+
+def test_rows_in_order_refuses_gaps_and_repeats(spark):
+    from watchgrid.sources import daily
+
+    table = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
+    asked = spark.createDataFrame([(2, "a"), (1, "c")], "pos int, k string")
+    assert [(r.pos, r.v) for r in daily.rows_in_order(table, asked, ["k"]).collect()] == [(1, 3), (2, 1)]
+    for more in ([(3, "a")], [(3, "z")]):
+        with pytest.raises(ValueError):
+            daily.rows_in_order(table, asked.union(spark.createDataFrame(more, asked.schema)), ["k"])
+    with pytest.raises(ValueError):
+        daily.rows_in_order(table.union(table), asked, ["k"])

@@ -45,6 +45,30 @@ def test_outcome_fields_are_forbidden_at_any_depth(spark):
         R.release_violations(run(spark, cards(spark)), made, 10)
 
 
+def test_two_writers_publish_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "archive")
+    made, other = cards(spark).cache(), cards(spark, shift=0.01).cache()
+    header, changed = run(spark, made).cache(), run(spark, other).cache()
+
+    def attempt(pair):
+        try:
+            return R.publish(*pair, path)
+        except ValueError as error:
+            return str(error)
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(attempt, [(header, made), (header, made), (changed, other), (changed, other)]))
+    assert got.count(1) == 1 and got.count(0) == 1 and sum("other content" in str(g) for g in got) == 2
+    runs, stored = R.open_archive(spark, path)
+    assert runs.count() == 1 and stored.count() == made.count()
+    winner = runs.first().content_sha256
+    assert R.open_archive(spark, path, runs.first().run_id)[0].first().content_sha256 == winner
+    ok = R.verify_releases(runs, stored.select(*made.columns)).first()
+    assert (ok.cards_intact, ok.header_intact) == (1, 1)
+
+
 def test_publish_once_and_refuse_changes(spark, tmp_path):
     path = str(tmp_path / "archive")
     made = cards(spark).cache()
@@ -56,8 +80,8 @@ def test_publish_once_and_refuse_changes(spark, tmp_path):
     stolen = cards(spark).withColumn("run_id", F.lit("object_2024-01-11_zzz"))
     with pytest.raises(ValueError, match="another release"):
         R.publish(run(spark, stolen), stolen, path)
-    stored = spark.read.parquet(f"{path}/cards")
-    ok = R.verify_releases(spark.read.parquet(f"{path}/runs"), stored.select(*made.columns)).first()
+    runs, stored = R.open_archive(spark, path)
+    ok = R.verify_releases(runs, stored.select(*made.columns)).first()
     assert (ok.cards_intact, ok.header_intact) == (1, 1)
 
 

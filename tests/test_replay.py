@@ -59,7 +59,7 @@ def test_all_days_at_once_equal_each_day_alone(spark):
     path = shared_folder(spark, "test-archive")
     args = (seed, batches, channels, objects, score, lit(FIRST), lit(SEED_END), lit(D(2024, 3, 9)), 2, path, SHA)
     assert replay.replay_days(*args) == 7 and replay.replay_days(*args) == 0
-    cards, runs = spark.read.parquet(f"{path}/cards"), spark.read.parquet(f"{path}/runs")
+    runs, cards = release.open_archive(spark, path)
     columns = [c for c in cards.columns if c not in ("run_id", "id")]
     for n in range(7):
         day = LAST - dt.timedelta(n)

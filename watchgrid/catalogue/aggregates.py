@@ -11,6 +11,7 @@ from watchgrid.operators import aggregate as A
 from watchgrid.operators import drift as D
 from watchgrid.operators import labels as L
 from watchgrid.operators import objects as O
+from watchgrid.session import shared_folder
 from watchgrid.sources import testtables as T
 
 
@@ -130,9 +131,22 @@ def missing_by_column(spark, sf):
     return rounded(A.missing_by_column(T.journal(spark, sf), F.substring("date", 1, 7)))
 
 
-@query("approx_distinct_ids")
+@query("approx_distinct_ids", """
+SELECT year("date") AS "year", CAST(6 AS BIGINT) AS files, count(*) AS "rows", count(DISTINCT event_id) AS exact_ids, CAST(1 AS BIGINT) AS within_error,
+ CAST(1 AS BIGINT) AS merged_as_rebuilt FROM clean GROUP BY 1""")
 def approx_distinct_ids(spark, sf):
-    return A.approx_duplicates(T.clean(spark, sf))
+    # Four files, then two more, one of them twice: only the new files are sketched.
+    rows = T.clean(spark, sf).withColumn("file", F.concat(F.lit("part-"), F.pmod(F.xxhash64("channel_id"), F.lit(6)).cast("string")))
+    path, late = shared_folder(spark, "sketches"), F.col("file").isin("part-4", "part-5")
+    for part in (rows.where(~late), rows.where(late), rows.where("file = 'part-5'")):
+        A.store_sketches(A.sketch_files(part, F.col("file")), path)
+    merged = A.merged_duplicates(spark.read.parquet(path))
+    rebuilt = A.merged_duplicates(A.sketch_files(rows, F.col("file"))).select("year", F.col("distinct_ids").alias("rebuilt"))
+    exact = A.exact_duplicates(rows).select("year", F.col("distinct_ids").alias("exact_ids"))
+    close = F.abs(F.col("distinct_ids") - F.col("exact_ids")) <= 3 * A.SKETCH_ERROR * F.col("exact_ids")
+    same = F.col("distinct_ids") == F.col("rebuilt")
+    return rounded(merged.join(rebuilt, "year").join(exact, "year").select(
+        "year", "files", "rows", "exact_ids", close.alias("within_error"), same.alias("merged_as_rebuilt")))
 
 
 @query("exact_dup_sample", """

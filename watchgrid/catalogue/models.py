@@ -207,17 +207,23 @@ def expert_routing(spark, sf):
 
 
 @query("select_model", """
-WITH m AS (SELECT model, count(*) FILTER (r <= 10 AND alarm_target = 1) / count(*) FILTER (r <= 10) AS precision FROM (
-  SELECT *, row_number() OVER (PARTITION BY model, "date" ORDER BY score DESC, object_id) AS r FROM scores) GROUP BY model),
- a AS (SELECT model, sum(pos / p * precision) AS average_precision FROM curve GROUP BY model),
- j AS (SELECT model, round(m.precision, 6) AS precision, round(average_precision, 6) AS average_precision FROM m JOIN a USING (model)),
- p AS (SELECT *, row_number() OVER (ORDER BY precision DESC, average_precision DESC, model) AS place FROM j)
-SELECT *, CAST(place = 1 AS BIGINT) AS selected, CAST(precision >= (SELECT precision FROM j WHERE model = 'persistence') AS BIGINT) AS passes_gate FROM p""")
+WITH m AS (SELECT model, "date" >= DATE '2024-01-25' AS later, count(*) FILTER (r <= 10 AND alarm_target = 1) / count(*) FILTER (r <= 10) AS precision FROM (
+  SELECT *, row_number() OVER (PARTITION BY model, "date" ORDER BY score DESC, object_id) AS r FROM scores
+  WHERE "date" BETWEEN DATE '2024-01-18' AND DATE '2024-01-22' OR "date" BETWEEN DATE '2024-01-25' AND DATE '2024-01-28') GROUP BY ALL),
+ c AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY model ORDER BY score DESC) AS pred, sum(pos) OVER (PARTITION BY model) AS p
+  FROM (SELECT model, score, sum(alarm_target) AS pos, count(*) AS n FROM scores WHERE "date" BETWEEN DATE '2024-01-18' AND DATE '2024-01-22' GROUP BY ALL)),
+ a AS (SELECT model, sum(pos / p * tp / pred) AS average_precision FROM c GROUP BY model),
+ j AS (SELECT model, round(m.precision, 6) AS precision, round(average_precision, 6) AS average_precision FROM m JOIN a USING (model) WHERE NOT later),
+ p AS (SELECT *, row_number() OVER (ORDER BY precision DESC, average_precision DESC, model) AS place FROM j),
+ l AS (SELECT model, round(precision, 6) AS later_precision FROM m WHERE later)
+SELECT *, CAST(place = 1 AS BIGINT) AS selected, CAST(later_precision >= (SELECT later_precision FROM l WHERE model = 'persistence') AS BIGINT) AS passes_gate FROM p JOIN l USING (model)""")
 def select_model(spark, sf):
     rows = T.scores(spark, sf)
-    ap = E.average_precision(E.pr_curve(rows, ["model"], "alarm_target"), ["model"])
-    best = E.budget_metrics(rows, ["model"], "alarm_target", (10,)).select("model", "precision")
-    return rounded(M.select_model(rounded(best.join(ap, "model")), "persistence"))
+    tune, later = (rows.where(F.col("date").between(*[T.day(d) for d in days])) for days in (T.TUNE, T.TEST))
+    ap = E.average_precision(E.pr_curve(tune, ["model"], "alarm_target"), ["model"])
+    best = E.budget_metrics(tune, ["model"], "alarm_target", (10,)).select("model", "precision")
+    after = E.budget_metrics(later, ["model"], "alarm_target", (10,)).select("model", "precision")
+    return rounded(M.select_model(rounded(best.join(ap, "model")), rounded(after), "persistence"))
 
 
 @query("score_batch", f"""

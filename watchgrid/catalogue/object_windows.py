@@ -78,7 +78,7 @@ def label_onset(spark, sf):
 
 # Only days with records: silent days are missing from this history.
 _HISTORY = """(SELECT object_id, "date", CAST("date" - DATE '2024-01-01' AS BIGINT) AS d, CAST(alarm_channels > 0 AS INT) AS alarm_today,
- CAST(observed_channels > 0 AS INT) AS observed_today FROM od_base WHERE no_power_channels > 0 OR alarm_channels > 0)"""
+ CAST(observed_channels > 0 AS INT) AS observed_today FROM od_base)"""
 
 
 def _episode_sql(source: str, gap: int) -> str:
@@ -97,9 +97,10 @@ FROM (SELECT *, count(*) OVER {w} AS n, sum(alarm_today) OVER {w} AS alarms, sum
 def episode_labels(spark, sf):
     from watchgrid.operators import aggregate as A
 
-    daily = A.object_daily(T.channel_days(spark, sf), T.channels(spark, sf)).where("no_power_channels > 0 OR alarm_channels > 0")
+    daily = A.object_daily(T.channel_days(spark, sf), T.channels(spark, sf))
     history = daily.select("object_id", "date", (F.col("alarm_channels") > 0).cast("int").alias("alarm_today"),
                            (F.col("observed_channels") > 0).cast("int").alias("observed_today"))
+    history = O.checked_history(materialize(history, "history"))
     parts = [O.episode_labels(history, g).drop("alarm_today", "observed_today") for g in (1, 3, 7)]
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 

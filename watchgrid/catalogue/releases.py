@@ -147,8 +147,7 @@ def published(spark, sf):
 SELECT run_id, count(*) AS stored_cards, CAST(20 AS BIGINT) AS first_time, CAST(0 AS BIGINT) AS again, CAST(10 AS BIGINT) AS later FROM cards GROUP BY run_id""")
 def publish_release(spark, sf):
     path, counts, runs, made = published(spark, sf)
-    stored = spark.read.schema(made.schema).parquet(f"{path}/cards").join(
-        spark.read.schema(runs.schema).parquet(f"{path}/runs").select("run_id"), "run_id", "left_semi")
+    stored = R.open_archive(spark, path)[1]
     return stored.groupBy("run_id").agg(F.count("*").alias("stored_cards")).select(
         "*", *[F.lit(n).cast("long").alias(c) for c, n in zip(("first_time", "again", "later"), counts)])
 
@@ -258,7 +257,7 @@ def replay_days(spark, sf):
 
     run()
     repeated = run()
-    stored = spark.read.parquet(f"{path}/cards")
+    stored = R.open_archive(spark, path)[1]
     return rounded(stored.select("object_id", "date", "score", "rank", "warning", F.lit(repeated).alias("repeated")))
 
 

@@ -270,6 +270,30 @@ def approx_duplicates(clean: DataFrame) -> DataFrame:
                               F.greatest(F.col("rows") - F.col("distinct_ids"), F.lit(0).cast("long")))
 
 
+#: log2 of a sketch's registers and the standard error that goes with it.
+SKETCH_SIZE = 14
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_SIZE / 2)
+
+
+def sketch_files(clean: DataFrame, file: Column) -> DataFrame:
+    """file_name, year, rows and a distinct sketch of the record ids: one row for each file and year."""
+    return clean.groupBy(file.alias("file_name"), F.year("date").alias("year")).agg(
+        F.count("*").alias("rows"), F.hll_sketch_agg("event_id", SKETCH_SIZE).alias("sketch"))
+
+
+def store_sketches(sketches: DataFrame, path: str) -> None:
+    """Keep the sketches of new files beside those there; a file that comes again replaces its own."""
+    (sketches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_name").parquet(path))
+
+
+def merged_duplicates(sketches: DataFrame) -> DataFrame:
+    """Estimated repeated record ids per year from stored sketches: no record is read again when files arrive."""
+    merged = sketches.groupBy("year").agg(
+        F.countDistinct("file_name").alias("files"), F.sum("rows").alias("rows"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_ids"))
+    return merged.withColumn("estimated_duplicates", F.greatest(F.col("rows") - F.col("distinct_ids"), F.lit(0).cast("long")))
+
+
 def exact_duplicates(clean: DataFrame) -> DataFrame:
     """Exact count of surplus records per year: two combined aggregations."""
     per_id = clean.groupBy(F.year("date").alias("year"), "event_id").agg(F.count("*").alias("n"))

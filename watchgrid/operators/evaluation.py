@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchgrid.operators.quality import expect_empty
 from watchgrid.functions.scalars import ratio
 from watchgrid.plans.running import nearest_rank, running_totals
 from watchgrid.session import materialize
@@ -126,8 +127,17 @@ def day_order() -> list[Column]:
     return [F.desc("score"), F.col("object_id").cast("string").asc()]
 
 
+def expect_full_days(rows: DataFrame, by: list[str], limit: int) -> None:
+    """Raise where a day has fewer than ``limit`` rows to choose from."""
+    short = rows.groupBy(*by, "date").agg(F.count("*").alias("rows")).where(F.col("rows") < limit)
+    expect_empty(short, f"days with fewer than {limit} rows")
+
+
 def daily_rank(rows: DataFrame, by: list[str], limit: int) -> DataFrame:
-    """The ``limit`` best rows of each day; the rest is cut before the shuffle."""
+    """The ``limit`` best rows of each day; the rest is cut before the shuffle.
+
+    A day with fewer rows gives what it has; ``expect_full_days`` refuses it.
+    """
     w = Window.partitionBy(*by, "date").orderBy(*day_order())
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 

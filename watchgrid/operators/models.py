@@ -208,14 +208,19 @@ def route_experts(scores: DataFrame, experts: DataFrame, keys: list[str], fallba
     return scores.join(own, keys, "left").withColumn(name, F.coalesce("_expert", fallback)).drop("_expert")
 
 
-def select_model(metrics: DataFrame, control: str) -> DataFrame:
-    """Candidates in order of precision, then AP, then name, and the gate against a control."""
+def select_model(tuning: DataFrame, later: DataFrame, control: str) -> DataFrame:
+    """Candidates in order of their precision, AP and name on the tuning period, and the gate on a later one.
+
+    The gate holds the later precision against the control's of the same days, so no day both chooses and
+    admits a model.
+    """
     order = [F.desc("precision"), F.desc("average_precision"), "model"]
     # One row per candidate model: a list for the driver, not data.
-    ranked_rows = metrics.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
-    bar = metrics.where(F.col("model") == control).agg(F.max("precision")).scalar()
-    return ranked_rows.withColumns({
-        "selected": (F.col("place") == 1).cast("int"), "passes_gate": (F.col("precision") >= bar).cast("int")})
+    ranked_rows = tuning.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+    bar = later.where(F.col("model") == control).agg(F.max("precision")).scalar()
+    gate = later.select("model", F.col("precision").alias("later_precision"), (F.col("precision") >= bar).cast("int").alias("passes_gate"))
+    return ranked_rows.join(gate, "model", "left").withColumns({
+        "selected": (F.col("place") == 1).cast("int"), "passes_gate": F.coalesce("passes_gate", F.lit(0))})
 
 
 def score_batch(scored: DataFrame, keys: list[str], threshold: float) -> DataFrame:

@@ -11,6 +11,7 @@ from watchgrid import vocab
 from watchgrid.functions.scalars import log_count, ratio
 from watchgrid.operators import aggregate as agg
 from watchgrid.operators.features import running, since_last, streak
+from watchgrid.operators.quality import expect_empty
 from watchgrid.plans.calendar_fill import fill_calendar
 from watchgrid.plans.decay import decayed_sum
 
@@ -100,6 +101,15 @@ def recap_7d(mart: DataFrame) -> DataFrame:
                        F.sum("observed_today").over(week).alias("observed_days_7d"))
 
 
+def checked_history(history: DataFrame) -> DataFrame:
+    """The history, if object-days are unique, states 0 or 1, and an alarm a record too; else an error."""
+    states = F.coalesce(F.col("alarm_today").isin(0, 1) & F.col("observed_today").isin(0, 1), F.lit(False))
+    proper = states & (F.col("alarm_today") <= F.col("observed_today")) & F.col("object_id").isNotNull() & F.col("date").isNotNull()
+    expect_empty(history.where(~proper).select("object_id", "date", "alarm_today", "observed_today"), "improper object-days")
+    expect_empty(history.groupBy("object_id", "date").agg(F.count("*").alias("rows")).where("rows > 1"), "repeated object-days")
+    return history
+
+
 def episode_labels(history: DataFrame, gap: int) -> DataFrame:
     """Episode starts after ``gap`` alarm-free calendar days.
 

@@ -7,8 +7,11 @@ content identity of a run is an order-independent fingerprint of its cards.
 from __future__ import annotations
 
 import functools
+import json
+import time
+import uuid
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,46 +173,94 @@ def broken_releases(runs: DataFrame, cards: DataFrame, k: int) -> DataFrame:
 
 # --- archive ----------------------------------------------------------------------
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Table at the path, or an empty one before the first publication."""
+MANIFEST = "run_id string, content_sha256 string, attempt string"
+
+
+def _create_exclusively(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that was not there; False if somebody else was first.
+
+    The file system decides: creation without overwriting succeeds for one writer only.
+    """
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
     try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        out = fs.create(target, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" not in str(error.java_exception.getClass().getName()):
             raise
-        return spark.createDataFrame([], schema)
+        return False
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def _manifest(spark: SparkSession, path: str, run_id: str) -> dict | None:
+    """What the archive says of one run, if it is published; no other run is looked at."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{run_id}.json")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for _ in range(50):  # the winner may still be writing its few bytes
+        if not fs.exists(target):
+            return None
+        row = spark.read.schema(MANIFEST).json(target.toString()).first()
+        if row is not None and row.attempt is not None:
+            return row.asDict()
+        time.sleep(0.1)
+    raise ValueError(f"the manifest of {run_id} is not complete; remove it if its writer is gone")
 
 
 def publish(runs: DataFrame, cards: DataFrame, path: str, k: int | None = None) -> int:
-    """Append releases once; returns how many were new.
+    """Archive releases once; returns how many were new.
 
-    With ``k`` every release is validated first; a broken one stops the publication.
-    The same run with the same content is a no-op, with other content an error.
-    Cards go first, replacing leftovers of a failed attempt; the run row makes
-    a release visible.
+    With ``k`` every release is validated first; a broken one stops the publication.  The same run with the
+    same content is a no-op, with other content an error, also beside a second writer: rows go to a
+    folder of this attempt, partitioned by run, and the exclusive creation of the run's manifest
+    makes them visible.  Only the published runs' own manifests are read.
     """
     spark = runs.sparkSession
     if k is not None:
         expect_empty(broken_releases(runs, cards, k), "broken releases")
-    known = _read(spark, f"{path}/runs", runs.schema)
-    digests = known.select("run_id", F.col("content_sha256").alias("_old"))
-    both = runs.join(digests, "run_id", "left")
-    conflicts = both.where(F.col("_old").isNotNull() & (F.col("_old") != F.col("content_sha256"))).select("run_id")
-    if not conflicts.isEmpty():
-        raise ValueError(f"release exists with other content: {[r.run_id for r in conflicts.take(5)]}")
-    fresh = runs.join(known.select("run_id"), "run_id", "left_anti")
-    taken = cards.join(fresh.select("run_id"), "run_id", "left_semi")
-    old_cards = _read(spark, f"{path}/cards", cards.schema)
-    if not taken.join(old_cards.join(known.select("run_id"), "run_id", "left_semi").select("id"), "id", "left_semi").isEmpty():
-        raise ValueError("a card id already belongs to another release")
-    count = fresh.count()
-    if count:
-        (taken.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("run_id").parquet(f"{path}/cards"))
-        fresh.select(*runs.columns).write.mode("append").parquet(f"{path}/runs")
+    expect_empty(cards.where(~F.contains("id", "run_id")).select("run_id", "id"), "a card id belongs to another release")
+    asked = {r.run_id: r.content_sha256 for r in runs.select("run_id", "content_sha256").collect()}  # one row for each run
+
+    def known(run_id: str) -> bool:
+        there = _manifest(spark, path, run_id)
+        if there is not None and there["content_sha256"] != asked[run_id]:
+            raise ValueError(f"release exists with other content: {run_id}")
+        return there is not None
+
+    fresh = sorted(r for r in asked if not known(r))
+    if not fresh:
+        return 0
+    attempt = f"a-{uuid.uuid4().hex}"
+    new = F.col("run_id").isin(fresh)
+    cards.where(new).write.partitionBy("run_id").parquet(f"{path}/cards/attempt={attempt}")
+    runs.where(new).write.partitionBy("run_id").parquet(f"{path}/runs/attempt={attempt}")
+    count = 0
+    for run_id in fresh:
+        text = json.dumps({"run_id": run_id, "content_sha256": asked[run_id], "attempt": attempt})
+        if _create_exclusively(spark, f"{path}/manifests/{run_id}.json", text):
+            count += 1
+        else:
+            known(run_id)
     return count
 
 
+def open_archive(spark: SparkSession, path: str, run_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(runs, cards) of the published releases, or of one; rows of attempts that lost or broke off are not seen."""
+    manifests = spark.read.schema(MANIFEST).json(f"{path}/manifests/{run_id or '*'}.json").select("run_id", "attempt")
+
+    def committed(name: str) -> DataFrame:
+        rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+        if run_id is not None:
+            rows = rows.where(F.col("run_id") == run_id)
+        return rows.join(manifests, ["run_id", "attempt"], "left_semi").drop("attempt")
+
+    return committed("runs"), committed("cards")
+
+
 def list_releases(runs: DataFrame, mode: str | None = None, limit: int = 100) -> DataFrame:
     """Newest releases first."""
     if not 1 <= limit <= 500:

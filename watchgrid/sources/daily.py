@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchgrid.operators.quality import expect_empty
+
 
 def write_daily(daily: DataFrame, path: str) -> None:
     """Write channel-days by year; a rerun replaces only the years it holds.
@@ -46,6 +48,15 @@ def rows_by_key(table: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFra
     return rows.withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
+def rows_in_order(table: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Requested rows in order of ``pos``; a key that is asked for twice, missing or repeated in the table is an error."""
+    expect_empty(repeated_keys(wanted, keys), "keys asked for twice")
+    rows = rows_by_key(table, wanted, keys)
+    expect_empty(rows.where("NOT found").select("pos", *keys), "missing keys")
+    expect_empty(rows.groupBy("pos").agg(F.count("*").alias("rows")).where("rows > 1"), "repeated rows")
+    return rows.drop("found").orderBy("pos")
+
+
 def repeated_keys(wanted: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.groupBy(*keys).agg(F.count("*").alias("requests")).where("requests > 1")
 
