@@ -120,3 +120,11 @@ def test_repeats_of_awkward_rows(spark):
     got = line_dedup.dedup_repeats(docs).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr)
     assert line_dedup.dedup_repeats(empty_documents(spark)).count() == 0
+
+
+def test_texts_that_share_an_id_keep_their_own_lines(spark):
+    line, other = "one line of five plain words", "another line of five new words"
+    rows = [(i, t) for i in (None, 7) for t in (f"{line}\nrest {i}", f"{other} {i}\nmore {i}")] + [(9, f"{line}\nend")]
+    got = line_dedup.dedup_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {(r.doc_id, r.text) for r in got}
+    assert {(7, f"{line}\nrest 7"), (7, f"{other} 7\nmore 7"), (None, f"{other} None\nmore None"), (None, "rest None"), (9, "end")} == kept

@@ -73,32 +73,36 @@ def cut_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, start, end of every line that an earlier place already holds.
+    """doc_id, mark (of the text), start, end of every line that an earlier place already holds.
 
-    The earliest place is the smallest (doc_id, start).  Rows that share a doc_id
-    and an offset share their fate.  Rows with a null doc_id rank after all others.
+    The earliest place is the smallest (doc_id, start), of several texts with one id the smallest
+    mark.  Repeated rows share their fate.  Rows with a null doc_id rank after all others.
     """
-    found = docs.select(F.col(key).alias("doc_id"), F.explode(F.pandas_udf(line_units, _UNITS)(F.col(text))).alias("__u"))
-    found = found.select("doc_id", "__u.start", "__u.end", "__u.digest")
+    found = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("mark"), F.explode(F.pandas_udf(line_units, _UNITS)(F.col(text))).alias("__u"))
+    found = found.select("doc_id", "mark", "__u.start", "__u.end", "__u.digest")
     found = materialize(found, "line-digests")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("start"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("start"), F.col("mark"))
     first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # Written first, so that a line held by a large part of all rows can be split among tasks in the join.
     first = materialize(first, "first-lines")
-    return found.join(first, "digest").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "start", "end")
+    return found.join(first, "digest").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "mark", "start", "end")
+
+
+def with_lines(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """doc_id, __text, __mark and the repeated lines (__spans) of every row."""
+    gone = (repeated_lines(docs, text, key).groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"))
+            .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans")))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"), F.xxhash64(text).alias("__mark"))
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), "left").drop("__id", "__m")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, text without repeated lines, n_removed, removed.
 
     ``removed`` lists start:end of each removed line in the original text.  Null
-    texts stay null, empty ones empty; rows with the same doc_id share their spans.
+    texts stay null, empty ones empty; repeated rows lose the same.
     """
-    gone = (repeated_lines(docs, text, key).distinct().groupBy("doc_id")
-            .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-            .withColumnRenamed("doc_id", "__id"))
-    out = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
-    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    out = with_lines(docs, text, key)
     removed = F.array_join(F.transform("__spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return out.select("doc_id", F.pandas_udf(cut_spans, "string")("__text", "__spans").alias("text"),
                       F.coalesce(F.size("__spans"), F.lit(0)).cast("long").alias("n_removed"),
@@ -250,15 +254,12 @@ def dedup_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     A line that an earlier place holds goes if it has ``LEAST`` words, alone or with repeated
     lines next to it.  In what is left, every run of ``PASSAGE`` words that an earlier place
-    holds goes, wherever it begins; the earliest place is the smallest (doc_id, start), null
-    ids last.  ``removed`` lists start:end in the original text.  Null texts stay null.
+    holds goes, wherever it begins; the earliest place is the smallest (doc_id, start), of several texts with
+    one id the smallest mark, null ids last.  ``removed`` lists start:end in the original text.  Null
+    texts stay null; repeated rows lose the same; texts of any length are read whole.
     """
-    gone = (repeated_lines(docs, text, key).distinct().groupBy("doc_id")
-            .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-            .withColumnRenamed("doc_id", "__id"))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    rows = rows.select("doc_id", "__text", F.xxhash64("__text").alias("__mark"),
+    rows = with_lines(docs, text, key)
+    rows = rows.select("doc_id", "__text", "__mark",
                        F.pandas_udf(long_runs, "array<struct<start:int,end:int>>")("__text", "__spans").alias("__lines"))
     rows = materialize(rows, "repeated-lines")
 
@@ -270,7 +271,7 @@ def dedup_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     found = rows.join(known, own).select(
         "doc_id", "__mark", F.explode(F.pandas_udf(passages, _PASSAGES)("__text", "__lines", "known")).alias("p"))
     found = materialize(found.select("doc_id", "__mark", "p.*"), "passages")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("start"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("start"), F.col("__mark"))
     first = found.groupBy("one", "two").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = materialize(first, "first-passages")
     again = found.join(first, ["one", "two"]).where(~place.eqNullSafe(F.col("first")))
