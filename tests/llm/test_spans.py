@@ -100,3 +100,54 @@ def test_spans_through_spark(spark):
     assert (r["n_assign"], r["n_hex"]) == (1, 1) and r["spans"].startswith("assign:2:28,") and "hex:10:28" in r["spans"]
     assert r["base_sha256"] == hashlib.sha256(b"assign:2:28,hex:10:28").hexdigest()
     assert pii.scan(df).first()["spans"] == "email:31:37"
+
+
+def plain_cost(value):
+    """The cheapest of all segmentations, each part by the cheapest pattern it follows; all parts enumerated."""
+    import functools
+    import math
+
+    step = secret_scan.alphabet(value)
+
+    def part(s):
+        costs = [len(s) * step]
+        low = s.lower()
+        if low in secret_scan.WORDS and len(s) >= 3:
+            upper = sum(c.isupper() for c in s)
+            costs.append(math.log10(secret_scan.WORDS.index(low) + 2) + (0 if not upper else 0.3 if upper in (1, len(s)) else math.log10(2) * len(s)))
+        if re.fullmatch(secret_scan._YEAR, s):
+            costs.append(math.log10(200))
+        if re.fullmatch(secret_scan._DATE, s):
+            costs.append(math.log10(366 * 130))
+        rows = [r for row in secret_scan.KEY_ROWS for r in (row, row[::-1])]
+        if len(s) >= 3 and all(any(a + b in r for r in rows) for a, b in zip(low, low[1:])):
+            costs.append(math.log10(94 * len(s) * 2))
+        for size in range(1, 9):
+            if len(s) >= max(3, 2 * size) and len(s) % size == 0 and s == s[:size] * (len(s) // size):
+                costs.append(size * secret_scan.alphabet(s[:size]) + math.log10(len(s) // size))
+        return min(costs)
+
+    @functools.cache
+    def best(i):
+        return 0.0 if i == len(value) else min(part(value[i:j]) + best(j) for j in range(i + 1, len(value) + 1))
+
+    return best(0)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(alphabet="aabc12qweASD9!", max_size=12), st.lists(st.sampled_from(
+    ["abc", "aaaa", "password", "Love", "1999", "2001-02-03", "qwerty", "xyxy", "Zq7", "12345", "!"]), max_size=4).map("".join)))
+def test_guess_cost_is_the_minimum(value):
+    assert secret_scan.guess_cost(value) == pytest.approx(plain_cost(value), abs=1e-9)
+
+
+def test_prose_is_no_secret_and_planted_passwords_are():
+    for text in ("the password is incorrect", "your password is important to us", "the secret is everywhere", "password: yesterday",
+                 "The secret is Understanding.", "token is REVOKED, see"):
+        assert [x for x in secret_scan.find(text) if x[2] == "guess"] == [], text
+    for value in ("xK9#mQ2$vL7p", "hT5vR9zXw2Lq", "Gr8!tUvZ#31q"):
+        for text in (f"password is {value}", f'the passphrase is "{value}"', f"pwd={value} for all", f"my credentials: {value}\nend"):
+            assert [text[a:b] for a, _, kind, b in secret_scan.find(text) if kind == "guess"] == [value], text
+    assert [x[2] for x in secret_scan.find('passcode: "correcthorsebatterystaple"')] == ["guess"]
+    assert secret_scan.find("") == secret_scan.find(None) == []
+    assert len(secret_scan.find("the password is incorrect " * 40_000 + "pwd=xK9#mQ2$vL7p")) == 1

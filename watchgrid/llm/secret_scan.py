@@ -21,6 +21,8 @@ BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "guess")
 #: log10 of the guesses from which a value counts as a secret.
 THRESHOLD = 10.0
+#: An unquoted word of letters only is no secret below this length.
+PROSE = 20
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -48,7 +50,6 @@ _NEXT = {a + b for row in KEY_ROWS for a, b in zip(row, row[1:])} | {b + a for r
 _DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12][0-9]|3[01])"
                    r"|(?:0[1-9]|[12][0-9]|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)[0-9]{2})")
 _YEAR = re.compile(r"(?:19|20)[0-9]{2}")
-_REPEAT = re.compile(r"(.{1,8}?)\1+")
 
 
 def alphabet(value: str) -> float:
@@ -74,17 +75,26 @@ def stretches(value: str) -> Iterator[tuple[int, int, float]]:
         found = _YEAR.match(value, i)
         if found:
             yield i, found.end(), math.log10(200)
-    start = 0
-    for i in range(1, n + 1):  # maximal walks along neighbouring keys
-        if i == n or low[i - 1:i + 1] not in _NEXT:
-            if i - start >= 3:
-                yield start, i, math.log10(94 * (i - start) * 2)
-            start = i
-    for found in _REPEAT.finditer(value):
-        unit = found.group(1)
-        times = (found.end() - found.start()) // len(unit)
-        if found.end() - found.start() >= 3:
-            yield found.start(), found.end(), len(unit) * alphabet(unit) + math.log10(times)
+    for i in range(n - 2):  # walks along neighbouring keys, and every part of them
+        for j in range(i + 2, n + 1):
+            if low[j - 2:j] not in _NEXT:
+                break
+            if j - i >= 3:
+                yield i, j, math.log10(94 * (j - i) * 2)
+    for size in range(1, min(8, n // 2) + 1):  # repeats of a unit, and every whole number of times
+        same = 0
+        for i in range(n - size - 1, -1, -1):
+            same = same + 1 if value[i] == value[i + size] else 0
+            for times in range(2, same // size + 2):
+                if size * times >= 3:
+                    unit = value[i:i + size]
+                    yield i, i + size * times, size * alphabet(unit) + math.log10(times)
+
+
+def prose(value: str, quoted: bool) -> bool:
+    """Is it a word of a sentence rather than a secret: letters only in one case, or with a capital first?"""
+    bare = value.rstrip(".,;:!?)")
+    return not quoted and len(bare) < PROSE and bare.isalpha() and (bare.islower() or bare.isupper() or bare[1:].islower())
 
 
 def guess_cost(value: str) -> float:
@@ -113,8 +123,9 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int,
             if len(m.group(2)) >= 12:
                 out.append((m.start(), 0, "assign", m.end()))
         for m in _CONTEXT.finditer(text):
-            start, end = next(m.span(i) for i in (1, 2, 3) if m.group(i) is not None)
-            if guess_cost(text[start:end]) >= threshold:
+            at = next(i for i in (1, 2, 3) if m.group(i) is not None)
+            start, end = m.span(at)
+            if not prose(text[start:end], at < 3) and guess_cost(text[start:end]) >= threshold:
                 out.append((start, 3, "guess", end))
     for m in _ACCESS.finditer(text):
         if m.end() - m.start() >= 18:
@@ -142,7 +153,9 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: counts, digest and spans of its secrets.
 
     A null text counts as empty; null and repeated keys pass through; other
-    columns are ignored.  The guess cost is linear in the value's length.
+    columns are ignored.  The guess cost is linear in the value's length, save for long walks and
+    repeats.  Unquoted single words of letters below ``PROSE`` characters are prose, not passwords.  An
+    empty table gives an empty result.
     """
     found = docs.select(F.col(key).alias("doc_id"), F.pandas_udf(report, _REPORT)(F.col(text)).alias("__found"))
     return found.select("doc_id", "__found.*")
