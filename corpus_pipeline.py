@@ -14,22 +14,37 @@ from watchgrid.session import shared_folder
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; the others go."""
+    """Documents whose language is found; the others go.
+
+    Null and empty texts and those without a letter have none.  Repeated rows stay or go together; an empty
+    table stays empty.
+    """
     return language_crf.keep_identified(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies: the smallest id.
+
+    Null and empty texts are classes of their own, rows with a null id all stay, of rows with one id one
+    stays.  An empty table stays empty.
+    """
     return order_minhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage.
+
+    Null and empty texts hold none; rows with a null id stay; rows that share an id go together.  An empty table
+    stays empty.
+    """
     return decontaminate.keep_clean(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the new text."""
+    """All documents, personal data replaced by its kind; n_chars follows the new text.
+
+    Null texts stay null, empty ones empty; repeated rows change alike.
+    """
     out = docs.withColumn("text", pii.masked_text("text"))
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -37,7 +52,7 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 1024 tokens."""
+    """Pieces of all documents in sequences of 1024 tokens; null and empty texts are one token, repeated rows come again."""
     return packing.pack(docs, queries.TOKENIZER)
 
 
