@@ -129,3 +129,14 @@ def test_improper_scores_are_refused(spark):
     for bad in ([(1, None)], [(1, float("nan"))], [(1, 1.5)], [(1, -0.1)], [(1, 0.2), (1, 0.2)]):
         with pytest.raises(ValueError):
             M.score_batch(spark.createDataFrame(bad, "id int, score double"), ["id"], 0.5)
+
+
+def test_boosted_trees_with_very_many_categories(spark):
+    rng = np.random.default_rng(5)
+    kinds = np.r_[np.repeat(["hot", "cold"], 1500), [f"k{i}" for i in range(2000)]]
+    rows = [(str(k), float(rng.normal()), int(rng.random() < (0.8 if k == "hot" else 0.2)), i % 3) for i, k in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "kind string, x double, y int, part int")
+    model = M.fit_boosted(df.where("part < 2").drop("part"), df.where("part = 2").drop("part"), ["x"], ["kind"], "y", iterations=5, most=40)
+    asked = spark.createDataFrame([("hot", 0.0, 0), ("cold", 0.0, 0), ("k7", 0.0, 0), ("never seen", 0.0, 0)], "kind string, x double, y int")
+    got = {r.kind: r.score for r in M.score_boosted(model, asked, ["x"], ["kind"], "score").collect()}
+    assert got["hot"] > 0.5 > got["cold"] and got["never seen"] < 0.5

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,18 +106,26 @@ def spline_basis(rows: DataFrame, knots: DataFrame, columns: list[str], count: i
 # --- fits -----------------------------------------------------------------------------
 
 def fit_boosted(train: DataFrame, tune: DataFrame, numeric: list[str], categorical: list[str], label: str,
-                weight: str | None = None, iterations: int = 40, depth: int = 4) -> PipelineModel:
-    """Weighted boosted trees that stop when the tuning period no longer improves."""
+                weight: str | None = None, iterations: int = 40, depth: int = 4, most: int = 500) -> PipelineModel:
+    """Weighted boosted trees that stop when the tuning period no longer improves.
+
+    The ``most`` frequent training categories of each column have their own bin; rarer and unseen ones
+    share one.
+    """
     rows = train.withColumn("_tune", F.lit(False)).unionByName(tune.withColumn("_tune", F.lit(True)))
     rows = rows.where(F.col(label).isNotNull())
     keep = [label, "_tune", *([weight] if weight else [])]
     clean = sanitize(rows.select(*keep, *numeric, *categorical), numeric, categorical)
     clean = clean.withColumn(label, F.col(label).cast("double"))
-    indexers = [StringIndexer(inputCol=c, outputCol=f"_ml_{c}", handleInvalid="keep") for c in categorical]
+    own = {c: [] for c in categorical}
+    if categorical:
+        for r in rare_category_map(clean.where("NOT _tune"), categorical, most).orderBy("code").collect():
+            own[r.column_name].append(r.value)
+    indexers = [StringIndexerModel.from_labels(own[c] or [""], inputCol=c, outputCol=f"_ml_{c}", handleInvalid="keep") for c in categorical]
     assembler = VectorAssembler(inputCols=[*numeric, *[f"_ml_{c}" for c in categorical]], outputCol="features")
     trees = GBTClassifier(labelCol=label, maxIter=iterations, maxDepth=depth, stepSize=0.1, subsamplingRate=0.85,
-                          validationIndicatorCol="_tune", validationTol=0.001, maxBins=600, seed=SEED,
-                          checkpointInterval=-1)
+                          validationIndicatorCol="_tune", validationTol=0.001, maxBins=max(32, most + 2), seed=SEED,
+                          checkpointInterval=10)
     if weight:
         trees.setWeightCol(weight)
     return Pipeline(stages=[*indexers, assembler, trees]).fit(clean)
