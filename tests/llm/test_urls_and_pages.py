@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from watchgrid.llm import html_text, url_rules
 
 
@@ -88,3 +90,29 @@ def test_awkward_pages(spark):
                                 (3, "u", "<div>" * 5000 + "deep", "t")], "page_id long, url string, html string, text string")
     assert sorted(r["text"] for r in html_text.extract_pages(df).collect()) == ["", "", "deep", "x", "x"]
     assert html_text.extract_pages(df.where("1 = 0")).count() == 0
+
+
+FRAMES = ['<div class="content-sidebar-wrap">%s</div>', '<div class="with-sidebar">%s</div>', '<div class="has-related">%s</div>',
+          '<div class="entry share-enabled">%s</div>', '<div class="ad-free story">%s</div>', '<div class="post public-notice">%s</div>',
+          '<div id="search-results-article">%s</div>', '<form action="/x">%s</form>']
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_frames_with_telling_names_keep_their_article(frame, tag):
+    body = "Some plain text of the story. " * 10
+    name = "entry-header" if tag == "article" else "entry-title"  # the heading of an article stays whatever its frame is called
+    story = f"<{tag}><div class='{name}'><h1>Title here</h1></div><p>{body}</p><p>More of it, <b>bold</b> words</p></{tag}>"
+    page = ("<html><body><nav><a href=/>Home</a></nav>" + frame % story + "<div class='comments'><p>first comment</p></div>"
+            "<div class='site-footer'>Foot words</div></body></html>")
+    assert html_text.extract(page) == f"Title here {body}More of it, bold words"
+
+
+def test_density_finds_the_article_without_its_tag(sf):
+
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf}/pages.parquet", columns=["html"])["html"].to_pylist()
+    for page in pages:
+        assert html_text.extract(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page)) == html_text.extract(page)

@@ -100,8 +100,14 @@ def parse(page: str) -> Node:
             here = node
 
 
-def boilerplate(node: Node) -> bool:
-    """Is the node no part of an article, by its tag or its attributes?"""
+def boilerplate(node: Node, whole: int = 0) -> bool:
+    """Is the node no part of an article, by its tag or its attributes?
+
+    ``whole`` are the page's unlinked characters.  A form, or a node whose class or id only has a telling word as
+    a part of a longer name, stays if it is a frame around the text.
+    """
+    if node.tag == "form":
+        return not frames_text(node, whole)
     if node.tag in RAW or node.tag in CUT_TAGS:
         return True
     if node.tag == "header":
@@ -118,11 +124,38 @@ def boilerplate(node: Node) -> bool:
             return True
         if name == "role" and value.lower() in CUT_ROLES:
             return True
-        if name in ("class", "id") and not CUT_WORDS.isdisjoint(w for one in value.split() for w in _SPLIT.split(one.lower())):
+        if name in ("class", "id"):
+            names = value.lower().split()
+            if not CUT_WORDS.isdisjoint(names):
+                return True
+            if not CUT_WORDS.isdisjoint(w for one in names for w in _SPLIT.split(one)) and not frames_text(node, whole):
+                return True
+    return False
+
+
+def frames_text(node: Node, whole: int) -> bool:
+    """Does the node hold an article, or the heading of one it is in, or half of the page's unlinked text?"""
+    if 2 * node.chars >= whole > 0:
+        return True
+    todo, titled = [node], inside_article(node)
+    while todo:
+        x = todo.pop()
+        if x.tag in ("article", "main") or titled and x.tag == "h1":
             return True
+        todo += x.children
     return False
 
 
+def unlinked(root: Node) -> None:
+    """``chars`` of every node: those of its text that stand in no link, script and the like."""
+    order = [root]
+    for node in order:
+        order += node.children
+    for node in reversed(order):
+        own = 0 if node.tag in RAW or node.tag == "a" else sum(len("".join(x.split())) for x in node.parts if isinstance(x, str))
+        node.chars = 0 if node.tag in RAW or node.tag == "a" else own + sum(x.chars for x in node.children)
+
+
 def inside_article(node: Node) -> bool:
     while node.parent:
         node = node.parent
@@ -133,10 +166,11 @@ def inside_article(node: Node) -> bool:
 
 def cut(root: Node) -> list[Node]:
     """Remove boilerplate; the remaining nodes, parents first."""
-    order, i = [root], 0
+    unlinked(root)
+    order, i, whole = [root], 0, root.chars
     while i < len(order):
         node = order[i]
-        keep = [x for x in node.children if not boilerplate(x)]
+        keep = [x for x in node.children if not boilerplate(x, whole)]
         if len(keep) < len(node.children):
             kept = set(map(id, keep))
             node.parts = [x for x in node.parts if isinstance(x, str) or id(x) in kept]
@@ -176,7 +210,9 @@ def article(root: Node) -> Node:
     while node.parent and node.tag != "body":
         node = node.parent
         limit = min(limit, node.density)
-    inside = [x for x in order if x.density >= limit and x.children] or order
+    # A frame holds blocks; a paragraph with an emphasised word is none, however dense the word.
+    dense = [x for x in order if x.density >= limit and x.children]
+    inside = [x for x in dense if any(c.tag in BLOCK and c.tag != "br" for c in x.children)] or dense or order
     best = max(inside, key=lambda x: (x.sums, x.chars))
     node = best
     while node:  # an enclosing article keeps its title and its sparser blocks
@@ -218,7 +254,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """page_id, url, text and n_chars of every row of ``pages``.
 
     A null or empty page gives an empty text; null and repeated keys pass
-    through; other columns are ignored.
+    through; an empty table gives an empty result; pages of any length are read whole; other columns are ignored.
     """
     return (pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.pandas_udf(main_text, "string")(F.col(html)).alias("text"))
             .withColumn("n_chars", F.length("text").cast("long")))
