@@ -10,12 +10,10 @@ agree, for each ``a + b`` equal to the bound, and compared there.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -38,7 +36,6 @@ TIMES = 10
 #: One in so many runs of a document loses a character.
 LOSE = 31
 
-_RUN = re.compile(rb"[a-z\xC0-\xFF]+")
 _IN_RUN = bytes(i + 32 if 0x41 <= i <= 0x5A else i if 0x61 <= i <= 0x7A or i >= 0xC0 else 32 for i in range(256))
 
 
