@@ -37,6 +37,8 @@ PARAPHRASE = 0.6
 ANSWER = 0.75
 #: Words in more than this part of the benchmark's passages (and more than three) do not characterise any.
 COMMON = 0.02
+#: Documents with candidates that are sent to every task; ten places each on average.
+SENT = 100_000
 SEED = 20240501
 _CELLS = 1 << 12  # rows of the basis at once: few enough to stay in a processor's cache
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)")
@@ -86,16 +88,13 @@ def weighted(row: np.ndarray, index: np.ndarray, idf: np.ndarray) -> tuple[np.nd
 
 
 def encoded(docs: DataFrame, block: Block) -> DataFrame:
-    """doc_id, __text, n (words), stride and index of the vocabulary's words in every text that has words.
-
-    The text comes along, so that the search need not look for the words again.
-    """
+    """doc_id, mark, n (words), stride and index of the vocabulary's words in every text that has words."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(block.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some, n, strides, indexes = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 found = words(text)
                 if found:
                     place, index = cells(found, vocabulary.value)
@@ -103,12 +102,12 @@ def encoded(docs: DataFrame, block: Block) -> DataFrame:
                     n.append(len(found))
                     strides.append((place // STRIDE).astype(np.int32))
                     indexes.append(index.astype(np.int32))
-            kept = batch.take(pa.array(some, pa.int64()))
+            kept = batch.select([0, 1]).take(pa.array(some, pa.int64()))
             ends = pa.array(np.cumsum([0, *map(len, strides)]), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *x])) for x in (strides, indexes)]
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n, pa.int64()), *lists], names=["doc_id", "__text", "n", "stride", "index"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n, pa.int64()), *lists], names=["doc_id", "mark", "n", "stride", "index"])
 
-    return docs.select("doc_id", "__text").mapInArrow(run, "doc_id long, __text string, n long, stride array<int>, index array<int>")
+    return docs.select("doc_id", "mark", "__text").mapInArrow(run, "doc_id long, mark long, n long, stride array<int>, index array<int>")
 
 
 def _cells_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -239,24 +238,34 @@ def verified(item: list[str], answer: Counter, region: list[str]) -> tuple[float
     return common, said, common >= VERBATIM or common >= PARAPHRASE and said >= ANSWER
 
 
-def search(cells_of: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray) -> DataFrame:
-    """doc_id, item, cosine, common, answer of every document that holds a passage of the block."""
-    shared = cells_of.sparkSession.sparkContext.broadcast((block, idf, latent))
+_HITS = "doc_id long, mark long, window array<int>, item array<int>, cosine array<float>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, idf, latent = shared.value
+
+def candidates(cells_of: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray) -> DataFrame:
+    """Places of every document whose latent vector is near a passage's and that hold enough of its words; the text is not read.
+
+    No common subsequence is longer than the words in common: those of the vocabulary, in the strides
+    around the place, and as many as the passage has beside the vocabulary.
+    """
+    own_words = []
+    for found in block.words:
+        counted = Counter(block.vocabulary.get(w, -1) for w in found)
+        free = counted.pop(-1, 0)
+        own_words.append((tuple(counted), tuple(counted.values()), PARAPHRASE * len(found) - free - 1e-9))
+    shared = cells_of.sparkSession.sparkContext.broadcast((block.rows(idf), idf, latent, own_words, -(-block.reach // STRIDE)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, idf, latent, own_words, beside = shared.value
         vectors = (latent * idf[:, None]).astype(np.float32)
-        items = block.rows(idf) @ latent
+        items = own @ latent
         items /= np.maximum(np.sqrt((items * items).sum(1, keepdims=True)), 1e-9)
-        for batch in batches:
-            out: list[tuple] = []
-            for lo in range(0, len(batch), 256):
-                hits: list[tuple] = []
-                part = batch.iloc[lo:lo + 256]
-                ids, bodies, texts = part["doc_id"].tolist(), part["__text"].tolist(), {}
-                starts = np.cumsum([0, *(-(-part["n"].to_numpy() // STRIDE) + 1)])
-                row = np.concatenate([r.astype(np.int64) + s for r, s in zip(part["stride"], starts)])
-                index = np.concatenate(part["index"].tolist())
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                starts = np.cumsum([0, *(-(-batch.column(2).to_numpy(zero_copy_only=False) // STRIDE) + 1)])
+                sizes = batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
+                row = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(starts[:-1], sizes)
+                index = batch.column(4).flatten().to_numpy(zero_copy_only=False)
                 if not len(row):
                     continue
                 # Latent sums of strides; a passage is a stride and the next.
@@ -267,37 +276,71 @@ def search(cells_of: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarra
                     end = firsts[a + 512] if a + 512 < len(firsts) else len(row)
                     sums[row[f]] = np.add.reduceat(vectors[index[f[0]:end]], f - f[0], axis=0)
                 sums[:-1] += sums[1:]  # a text ends with an empty stride
+                at, item, cosine = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
                 for a in range(0, len(sums) - 1, 8192):
-                    window = sums[a:a + 8192]
-                    norm = np.sqrt((window * window).sum(1))
+                    part = sums[a:a + 8192]
+                    norm = np.sqrt((part * part).sum(1))
                     some = np.flatnonzero(norm > 1e-6)
-                    cosine = (window[some] / norm[some, None]) @ items.T
-                    for w, j in zip(*np.nonzero(cosine >= COSINE)):
-                        at = a + int(some[w])
-                        d = int(np.searchsorted(starts, at, side="right")) - 1
-                        if d not in texts:
-                            texts[d] = words(bodies[d])
-                        hits.append((lo + d, at - int(starts[d]), int(j), float(cosine[w, j]), ids[d], texts[d]))
-                best: dict[tuple, tuple] = {}
-                at, there = None, Counter()
-                for d, window, j, cosine, doc_id, text in hits:
+                    near = (part[some] / norm[some, None]) @ items.T
+                    w, j = np.nonzero(near >= COSINE)
+                    at.append(a + some[w])
+                    item.append(j)
+                    cosine.append(near[w, j])
+                at, item, cosine = map(np.concatenate, (at, item, cosine))
+                doc = np.searchsorted(starts, at, side="right") - 1
+                lo_cell = np.searchsorted(row, np.maximum(at - beside, starts[doc])).tolist()
+                hi_cell = np.searchsorted(row, np.minimum(at + 2 + beside, starts[doc + 1])).tolist()
+                keep, here, around = [], (0, 0), Counter()
+                for i, (a, b, j) in enumerate(zip(lo_cell, hi_cell, item.tolist())):
+                    if here != (a, b):
+                        here, around = (a, b), Counter(index[a:b].tolist())
+                    some, times, least = own_words[j]
+                    if sum(map(min, times, map(around.get, some, repeat(0)))) >= least:
+                        keep.append(i)
+                at, item, cosine, doc = (x[keep] for x in (at, item, cosine, doc))
+                held, ends = np.unique(doc, return_index=True)
+                ends = pa.array(np.append(ends, len(doc)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in (
+                    (at - starts[doc], pa.int32()), (item, pa.int32()), (cosine, pa.float32()))]
+                kept = batch.select([0, 1]).take(pa.array(held, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, *lists], names=["doc_id", "mark", "window", "item", "cosine"])
+
+    return cells_of.mapInArrow(run, _HITS).dropDuplicates(["doc_id", "mark"])
+
+
+def search(docs: DataFrame, cells_of: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray) -> DataFrame:
+    """doc_id, item, cosine, common, answer of every document that holds a passage of the block."""
+    hits = materialize(candidates(cells_of, block, idf, latent), "candidates").withColumnsRenamed({"doc_id": "__id", "mark": "__m"})
+    size = hits.agg(F.count(F.lit(1)), F.sum(F.size("window"))).first()
+    if size[0] <= SENT and (size[1] or 0) <= 10 * SENT:  # checked: beyond, both sides are dealt out by their key
+        hits = F.broadcast(hits)
+    there = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__m")))
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = shared.value
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, body, windows, items, cosines in zip(*(batch[c] for c in ("doc_id", "__text", "window", "item", "cosine"))):
+                text, best, at, around = words(body), {}, None, Counter()
+                for window, j, cosine in zip(windows.tolist(), items.tolist(), cosines.tolist()):
                     item = block.words[j]
                     begin = window * STRIDE
-                    if at != (d, window):
-                        at, there = (d, window), Counter(text[max(0, begin - block.reach):begin + PASSAGE + block.reach])
+                    if at != window:
+                        at, around = window, Counter(text[max(0, begin - block.reach):begin + PASSAGE + block.reach])
                     # No common subsequence is longer than the words in common.
                     own, times = block.counts[j]
-                    if sum(map(min, times, map(there.get, own, repeat(0)))) < PARAPHRASE * len(item):
+                    if sum(map(min, times, map(around.get, own, repeat(0)))) < PARAPHRASE * len(item):
                         continue
                     reach = len(item) // 2 + 4
                     common, said, good = verified(item, block.answers[j], text[max(0, begin - reach):begin + PASSAGE + reach])
-                    if good and best.get((d, j), (0,))[0] < common:
-                        best[d, j] = (common, said, cosine, doc_id)
-                out += [(doc_id, j, cosine, common, said) for (d, j), (common, said, cosine, doc_id) in best.items()]
+                    if good and best.get(j, (0,))[0] < common:
+                        best[j] = (common, said, cosine)
+                out += [(doc_id, j, cosine, common, said) for j, (common, said, cosine) in best.items()]
             yield pd.DataFrame(out, columns=["doc_id", "item", "cosine", "common", "answer"])
 
     # The id travels as text: a null among numbers would turn them into doubles.
-    out = cells_of.select(F.col("doc_id").cast("string").alias("doc_id"), "__text", "n", "stride", "index").mapInPandas(
+    out = there.select(F.col("doc_id").cast("string").alias("doc_id"), "__text", "window", "item", "cosine").mapInPandas(
         run, "doc_id string, item long, cosine double, common double, answer double")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -332,7 +375,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     are each reported; rows with a null id are reported with it.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__text"))
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("__text"))
     out = None
     for items in passages_of(benchmark, item_text, item_key):
         seen = Counter(w for _, t in items for w in set(words(t)))
@@ -343,7 +386,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
         idf = np.log((1 + total) / (1 + held)) + 0.1
         latent = decompose(cells_of, block, idf, total)
         names = spark.createDataFrame([(i, str(k)) for i, k in enumerate(block.ids)], "item long, item_id string")
-        found = search(cells_of, block, idf, latent).join(F.broadcast(names), "item").drop("item")
+        found = search(own, cells_of, block, idf, latent).join(F.broadcast(names), "item").drop("item")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "doc_id long, item_id string, cosine double, common double, answer double")
