@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from watchgrid.operators import drift as D
 from watchgrid.operators import evaluation as E
 from watchgrid.operators import models as M
 from watchgrid.operators import ranking as R
+from watchgrid.plans.running import ranked
 
 DAY0 = dt.date(2024, 1, 1)
 
@@ -103,6 +105,21 @@ def test_stratified_sample_is_stable_and_capped(rows):
     assert R.inverse_weights(first).agg(F.avg("weight")).first()[0] == pytest.approx(1)
 
 
+@pytest.mark.parametrize("cap", [1, 7, 100, 700, 100_000])
+def test_stratified_sample_ranks_the_edge_only(spark, monkeypatch, cap):
+    rows = spark.createDataFrame([(i, i % 3 % 2 if i % 11 else None) for i in range(900)], "id long, target int")
+    ranked_rows = []
+    monkeypatch.setattr(R, "ranked", lambda df, *a, **k: ranked_rows.append(df.count()) or ranked(df, *a, **k))
+    got = R.stratified_sample(rows, "target", ["id"], cap, 0.45, 84).collect()
+    order = lambda label: sorted((hashlib.md5(f"84|{i}".encode()).hexdigest(), i) for i in range(900) if i % 11 and i % 3 % 2 == label)
+    p, n = order(1), order(0)
+    kp = min(len(p), max(1, int(cap * 0.45)))
+    kn = min(len(n), cap - kp)
+    want = [(i, 1, len(p), kp) for _, i in p[:kp]] + [(i, 0, len(n), kn) for _, i in n[:kn]]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(ranked_rows) < 10
+
+
 def test_psi_is_zero_for_equal_splits_and_null_without_spread(spark):
     values = [(s, float(i % 20), 1.0) for s in ("train", "valid", "test") for i in range(200)]
     df = spark.createDataFrame(values, "split string, a double, b double")

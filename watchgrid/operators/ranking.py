@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchgrid.functions.scalars import ratio
 from watchgrid.functions.draws import order_key
 from watchgrid.plans.running import ranked
+from watchgrid.session import materialize
+
+#: Hexadecimal digits of the order key by which a sample is counted: 65,536 cells a class.
+CELL_DIGITS = 4
 
 
 def rank_queue(cards: DataFrame, k: int, by: list[str] = ("date",)) -> DataFrame:
@@ -72,18 +76,31 @@ def stratified_sample(rows: DataFrame, label: str, keys: list[str], cap: int,
 
     The order is global and fixed, so neither the partitioning nor
     a restarted task changes the sample.  Kept rows carry the class sizes.
+    Rows are counted per class and first digits of their order key; only the
+    rows of the one cell that a class's last kept row lies in are ranked.
     """
     drawn = rows.where(F.col(label).isNotNull()).withColumn("_h", order_key(seed, *[F.col(k) for k in keys]))
-    numbered = ranked(drawn, [label], [F.col("_h"), *[F.col(k) for k in keys]], "_rank")
-    sizes = rows.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).select(
-        F.struct("p", "n").alias("s")).scalar()
-    sized = numbered.withColumn("_s", sizes)
-    keep_p = F.least(F.col("_s.p"), F.lit(max(1, int(cap * positive_share))))
-    keep_n = F.least(F.col("_s.n"), F.lit(cap) - keep_p)
-    kept = F.when(F.col(label) == 1, keep_p).otherwise(keep_n)
-    return sized.withColumns({
-        "class_size": F.when(F.col(label) == 1, F.col("_s.p")).otherwise(F.col("_s.n")),
-        "class_sample": kept}).where(F.col("_rank") <= F.col("class_sample")).drop("_h", "_rank", "_s")
+    drawn = drawn.withColumn("_cell", F.substring("_h", 1, CELL_DIGITS))
+    counts = materialize(drawn.groupBy(F.col(label).alias("_label"), "_cell").agg(F.count("*").alias("_n")), "cells")
+    sizes = counts.agg(*[F.coalesce(F.sum(F.when(F.col("_label") == v, F.col("_n"))), F.lit(0)).alias(c) for v, c in ((1, "p"), (0, "n"))])
+    keep_p = F.least(F.col("p"), F.lit(max(1, int(cap * positive_share))))
+    keep_n = F.least(F.col("n"), F.lit(cap) - keep_p)
+    positive = F.col("_label") == 1
+    sized = counts.crossJoin(sizes).select(
+        "_label", "_cell", "_n", F.when(positive, F.col("p")).otherwise(F.col("n")).alias("class_size"),
+        F.when(positive, keep_p).otherwise(keep_n).alias("class_sample"))
+    upto = F.sum("_n").over(Window.partitionBy("_label").orderBy("_cell"))
+    # The first cell that the sample does not hold whole; of a class that is taken whole there is none.
+    last = F.when(F.col("_upto") > F.col("class_sample"), F.struct("_cell", (F.col("_upto") - F.col("_n")).alias("before")))
+    cuts = sized.withColumn("_upto", upto).groupBy("_label", "class_size", "class_sample").agg(F.min(last).alias("_cut"))
+    cuts = materialize(cuts, "cuts")
+    placed = drawn.join(cuts, F.col(label) == F.col("_label"))
+    whole = placed.where(F.col("_cut").isNull() | (F.col("_cell") < F.col("_cut._cell")))
+    edge = materialize(placed.where(F.col("_cell") == F.col("_cut._cell")), "edge")
+    edge = ranked(edge, ["_label"], [F.col("_h"), *[F.col(k) for k in keys]], "_rank")
+    edge = edge.where(F.col("_rank") + F.col("_cut.before") <= F.col("class_sample"))
+    columns = [*rows.columns, "class_size", "class_sample"]
+    return whole.select(*columns).unionByName(edge.select(*columns))
 
 
 def inverse_weights(sample: DataFrame) -> DataFrame:
