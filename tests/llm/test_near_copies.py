@@ -152,6 +152,33 @@ def test_cells_bound_what_is_in_common():
         assert common <= bound <= n
 
 
+def test_texts_that_align_share_a_rare_shingle():
+    rng = np.random.default_rng(5)
+    for n in (1, 4, 30, 200):
+        for _ in range(40):
+            a = rng.integers(0, 2 * n, n).astype(np.uint64)
+            b = np.where(rng.random(n) < 0.15, rng.integers(0, 2 * n, n), a).astype(np.uint64)
+            b = b[: n - int(rng.integers(0, n // 10 + 1))]
+            frequent = np.unique(order_minhash.labelled(a))[::3]
+            counts = rng.integers(2, 9, len(frequent))
+            one, other = (order_minhash.rarest(x, frequent, counts, 0.8).tolist() for x in (a, b))
+            assert len(one) == int(n * 0.2 + 1e-9) + 1
+            if order_minhash.aligned(a.tolist(), b.tolist(), 0.8) > 0:
+                assert set(one) & set(other)
+
+
+def test_texts_around_a_common_passage_are_no_pairs(spark, monkeypatch):
+    rng = random.Random(19)
+    common = [f"c{i}" for i in range(110)]
+    rows = [(i, " ".join([*common, *(f"w{rng.randrange(10_000)}" for _ in range(90))])) for i in range(300)]
+    formed = []
+    real = order_minhash._possible
+    monkeypatch.setattr(order_minhash, "_possible", lambda pairs, *a: formed.append(pairs.count()) or real(pairs, *a))
+    got = order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["class_id"] for r in got}) == 300
+    assert formed[-1] < 300  # of 44,850 pairs
+
+
 def test_awkward_rows(spark):
     docs = nasty_documents(spark)
     got = sorted(((r["doc_id"], r["class_id"]) for r in order_minhash.classes(docs).collect()), key=repr)

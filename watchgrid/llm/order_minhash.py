@@ -28,8 +28,11 @@ KEPT = 3
 SIMILARITY = 0.8
 #: Members of one leader that are aligned in one group.
 GROUP = 512
-#: Leaders of a bucket in each round; in the last round every member is one.
-LEADERS = (1, 8, 64, None)
+#: Leaders of a bucket in each round; the last round pairs texts by rare shingles.
+LEADERS = (1, 8, None)
+#: Texts in which shingles are counted to tell frequent ones, and shingles told.
+COUNTED = 20_000
+FREQUENT = 100_000
 #: Cells into which a text's labelled shingles are counted.
 CELLS = 128
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -80,6 +83,21 @@ def in_common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.minimum(one, other).sum(axis=1).astype(np.int64))
 
 
+def rarest(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The labelled shingles of which a text that aligns must hold at least one, first ones first.
+
+    All texts order their shingles alike: by ``counts`` of the (sorted) ``frequent`` ones, 0 for others, then by
+    hash.  Texts that align have all but ``band`` of the longer one's shingles in common, so the first of these
+    stands among the first ``band + 1`` of both.
+    """
+    marks = labelled(runs)
+    seen = np.zeros(len(marks), dtype=np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, marks), len(frequent) - 1)
+        seen = np.where(frequent[at] == marks, counts[at], 0)
+    return marks[np.lexsort((marks, seen))[:int(len(marks) * (1 - similarity) + 1e-9) + 1]]
+
+
 def aligned(a: list[int], b: list[int], similarity: float) -> float:
     """Edit similarity 1 - distance / longer length if it reaches ``similarity``, else 0.
 
@@ -184,7 +202,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     Every pair in a bucket of equal sketches ends in one class, aligned, or excluded by
     the lengths or the shingles that both can have in common.  Members of one class
     need no alignment, so a bucket's members are first aligned with few leaders, those
-    that share the largest buckets; the last round takes all pairs still in different classes.
+    that share the largest buckets.  The last round takes all texts of buckets that still hold several
+    classes; pairs that do not share one of their rarest shingles cannot align and are never formed.
     """
     marks = materialize(sketches(docs, text, key), "sketches")
     same = marks.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch"),
@@ -202,7 +221,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
         own = _apart(members, labels)
         if own.limit(1).count() == 0:
             break
-        todo = _candidates(own, leaders, similarity)
+        todo = _candidates(own, leaders, similarity) if leaders else _sharing(own, docs, text, key, similarity)
         if tested is not None:
             todo = todo.join(tested, ["a", "b"], "left_anti")
         todo = _grouped(_possible(todo, same, similarity))
@@ -232,21 +251,66 @@ def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return materialize(own.join(materialize(mixed, "mixed-buckets"), "bucket"), "members-apart")
 
 
-def _candidates(own: DataFrame, leaders: int | None, similarity: float) -> DataFrame:
+def _candidates(own: DataFrame, leaders: int, similarity: float) -> DataFrame:
     """a, b, na, nb: members of a bucket in different classes, one of them a leader, of lengths that can align."""
     lead = own.select("bucket", F.col("m").alias("l"), F.col("label").alias("of"))
-    if leaders is not None:  # one of each part of the bucket: the heaviest
-        part = F.pmod(F.xxhash64("l.rep", F.lit(leaders)), F.lit(leaders))
-        lead = lead.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("l", "of")).alias("x")).select("bucket", "x.l", "x.of")
-        lead = materialize(lead, "leaders")
-    pairs = own.join(lead, "bucket").where("label <> of")
+    # One of each part of the bucket: the heaviest.
+    part = F.pmod(F.xxhash64("l.rep", F.lit(leaders)), F.lit(leaders))
+    lead = lead.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("l", "of")).alias("x")).select("bucket", "x.l", "x.of")
+    pairs = own.join(materialize(lead, "leaders"), "bucket").where("label <> of")
     pairs = pairs.where(F.least("m.n", "l.n") >= F.floor(F.greatest("m.n", "l.n") * F.lit(similarity)))
-    if leaders is None:  # both directions are there
-        pairs = pairs.where("l > m")
     pairs = pairs.select(F.greatest("l", "m").alias("a"), F.least("l", "m").alias("b"))
     return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
 
 
+def _sharing(own: DataFrame, docs: DataFrame, text: str, key: str, similarity: float) -> DataFrame:
+    """a, b, na, nb: all members in different classes that share one of their rarest shingles at places where texts that align can.
+
+    The first shingle in common stands behind none in common, so at most ``n`` less what must be in common before it.
+    """
+    apart = own.select("m", "label").distinct().select(F.col("m.rep").alias("__id"), "m", "label")
+    apart = materialize(apart, "texts-apart")
+    step = F.lit(max(1, -(-apart.count() // COUNTED)))
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__text"))
+    # Rows that share an id: the sketches of its first text of these words stand for it, any other text is another's.
+    bodies = lambda some: texts.join(some, F.col("doc_id") == F.col("__id")).select("__id", "m.n", "__text")
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [labelled(shingles(hashes.of(words(body)), SHINGLE)) for body in batch["__text"]]
+            yield pd.DataFrame({"mark": np.concatenate([np.empty(0, dtype=np.uint64), *found]).astype(np.int64)})
+
+    counted = bodies(apart.where(F.pmod(F.xxhash64("__id"), step) == 0)).mapInPandas(marks, "mark long")
+    counted = counted.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "mark").limit(FREQUENT)
+    top = counted.toPandas()
+    frequent = top["mark"].to_numpy(dtype=np.int64).astype(np.uint64)
+    order = np.argsort(frequent)
+    frequent, counts = frequent[order], top["n"].to_numpy(dtype=np.int64)[order]
+
+    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            rows = []
+            for one, n, body in zip(batch["__id"], batch["n"], batch["__text"]):
+                runs = shingles(hashes.of(words(body)), SHINGLE)
+                rows.append((one, len(runs), rarest(runs, frequent, counts, similarity).astype(np.int64)))
+            yield pd.DataFrame(rows, columns=["__id", "len", "marks"])
+
+    held = bodies(apart).mapInPandas(rare, "__id long, len long, marks array<long>")
+    held = held.select("__id", "len", F.posexplode("marks").alias("place", "mark"))
+    held = materialize(held, "rare-shingles")
+    often = held.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    held = held.join(often, "mark").join(apart, "__id").select("mark", "label", "place", "len", F.col("m.rep").alias("rep"), "m")
+    held = materialize(held, "shared-shingles")
+    l, r = held.alias("l"), held.alias("r")
+    longer = F.greatest("l.len", "r.len")
+    need = longer - F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9))
+    pairs = l.join(r, (F.col("l.mark") == F.col("r.mark")) & (F.col("l.m") > F.col("r.m")) & (F.col("l.label") != F.col("r.label"))
+                   & (F.col("l.place") <= F.col("l.len") - need) & (F.col("r.place") <= F.col("r.len") - need))
+    return pairs.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"), F.col("l.m.n").alias("na"), F.col("r.m.n").alias("nb")).distinct()
+
+
 def _possible(pairs: DataFrame, same: DataFrame, similarity: float) -> DataFrame:
     """a, b of the pairs whose cells allow an alignment: the distance is at least the longer length less what both have in common."""
     one = same.select(F.col("rep").alias("__a"), F.col("cells").alias("__ca"))
