@@ -120,6 +120,20 @@ def test_stratified_sample_ranks_the_edge_only(spark, monkeypatch, cap):
     assert sum(ranked_rows) < 10
 
 
+def test_permuted_positions_are_ranks_of_the_hash(spark):
+    base = spark.range(1, 701).select(F.col("id").alias("_position"), (F.col("id") * 7).alias("k"), F.lit(0.5).alias("x"))
+    copies = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in "xy" for r in range(2)])
+    out = M.shuffled_positions(base, copies, ["k"], 3)
+    assert out.columns == ["feature", "repeat", "_position", "_from"]  # no features move
+    hashed = base.withColumn("c", F.explode(copies)).select(
+        "c.feature", "c.repeat", "_position", F.xxhash64(F.lit(3), F.col("c.feature"), F.col("c.repeat"), "k").alias("h")).collect()
+    want = set()
+    for copy in {(r.feature, r["repeat"]) for r in hashed}:
+        order = sorted((r.h, r._position) for r in hashed if (r.feature, r["repeat"]) == copy)
+        want |= {(*copy, p, n) for n, (_, p) in enumerate(order, 1)}
+    assert {tuple(r) for r in out.collect()} == want
+
+
 def test_psi_is_zero_for_equal_splits_and_null_without_spread(spark):
     values = [(s, float(i % 20), 1.0) for s in ("train", "valid", "test") for i in range(200)]
     df = spark.createDataFrame(values, "split string, a double, b double")

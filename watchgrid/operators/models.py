@@ -240,6 +240,24 @@ def score_batch(scored: DataFrame, keys: list[str], threshold: float) -> DataFra
     return scored.select(*keys, "score", (score >= threshold).cast("int").alias("warning"))
 
 
+def shuffled_positions(base: DataFrame, copies: Column, keys: list[str], seed: int) -> DataFrame:
+    """feature, repeat, _position, _from: the rank of every row in the order of each copy's hash.
+
+    Hashes are even, so their first byte cuts each copy into 256 like parts: ranks count within
+    a part and go on from the parts before.  Only positions and hashes move, no features.
+    """
+    exploded = base.select("_position", *keys, F.explode(copies).alias("_c")).select(
+        "_position", F.col("_c.feature").alias("feature"), F.col("_c.repeat").alias("repeat"), *keys)
+    drawn = exploded.withColumn("_h", F.xxhash64(F.lit(seed), "feature", "repeat", *keys))
+    drawn = drawn.select("feature", "repeat", "_position", "_h", F.shiftright("_h", 56).alias("_part"))
+    part = ["feature", "repeat", "_part"]
+    earlier = Window.partitionBy("feature", "repeat").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = drawn.groupBy(*part).agg(F.count("*").alias("_n")).select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*part).orderBy("_h", "_position"))
+    numbered = drawn.withColumn("_in", inside).join(materialize(sizes, "parts"), part)
+    return numbered.select("feature", "repeat", "_position", (F.col("_in") + F.col("_before")).alias("_from"))
+
+
 def permutation_importance(rows: DataFrame, score, features: list[str], keys: list[str], label: str,
                            repeats: int = 5, seed: int = SEED) -> DataFrame:
     """Loss of average precision when one feature is shuffled.
@@ -252,14 +270,13 @@ def permutation_importance(rows: DataFrame, score, features: list[str], keys: li
     base = materialize(ranked(rows.select(*keys, label, *features), [], order, "_position"), "positions")
     copies = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"))
                        for f in features for r in range(repeats)])
-    exploded = base.withColumn("_c", F.explode(copies)).select(
-        "*", F.col("_c.feature").alias("feature"), F.col("_c.repeat").alias("repeat")).drop("_c")
-    shuffled = ranked(exploded.withColumn("_h", F.xxhash64(F.lit(seed), "feature", "repeat", *keys)),
-                      ["feature", "repeat"], [F.col("_h"), *order], "_from")
-    donors = base.select(F.col("_position").alias("_from"), *[F.col(f).alias(f"_d_{f}") for f in features])
-    swapped = shuffled.join(donors, "_from").select(
+    shuffled = shuffled_positions(base, copies, keys, seed)
+    value = reduce(lambda c, f: c.when(F.col("feature") == f, F.col(f)), features[1:], F.when(F.col("feature") == features[0], F.col(features[0])))
+    donors = base.select(F.col("_position").alias("_from"), *features)
+    drawn = shuffled.join(donors, "_from").select("_position", "feature", "repeat", value.alias("_value"))
+    swapped = drawn.join(base, "_position").select(
         *keys, label, "feature", "repeat",
-        *[F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features])
+        *[F.when(F.col("feature") == f, F.col("_value").cast(base.schema[f].dataType)).otherwise(F.col(f)).alias(f) for f in features])
     plain = base.select(*keys, label, F.lit("").alias("feature"), F.lit(0).alias("repeat"), *features)
     by = ["feature", "repeat"]
     ap = average_precision(pr_curve(score(swapped.unionByName(plain)), by, label), by)
