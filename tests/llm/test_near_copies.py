@@ -187,3 +187,17 @@ def test_awkward_rows(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 2, 3, 4, 5, 6, None, None], key=repr)
     assert order_minhash.classes(empty_documents(spark)).count() == 0
     assert order_minhash.keep_one(empty_documents(spark)).count() == 0
+
+
+def test_only_texts_that_share_a_sketch_are_read_again(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(5)]
+    read = []
+    real = order_minhash.verified
+    monkeypatch.setattr(order_minhash, "verified", lambda pairs, texts, *a: read.append(texts.count()) or real(pairs, texts, *a))
+    for sent in (order_minhash.SENT, 0):  # ids of the texts sent to every task, and dealt out
+        monkeypatch.setattr(order_minhash, "SENT", sent)
+        got = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: i % 1000 if i >= 1000 else i for i, _ in rows}
+    assert read and max(read) == 10

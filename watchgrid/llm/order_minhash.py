@@ -33,6 +33,8 @@ LEADERS = (1, 8, None)
 #: Texts in which shingles are counted to tell frequent ones, and shingles told.
 COUNTED = 20_000
 FREQUENT = 100_000
+#: Ids of texts that share a sketch that are sent to every task.
+SENT = 1_000_000
 #: Cells into which a text's labelled shingles are counted.
 CELLS = 128
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -159,13 +161,12 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return seen.mapInPandas(run, "doc_id long, digest binary, n long, sketch array<long>, cells binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, similarity: float) -> DataFrame:
-    """a, b of the pairs (a, b, salt) whose texts align.
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the pairs (a, b, salt) whose ``texts`` (__id, __text) align.
 
     The texts of both sides are joined by id.  A leader's pairs are dealt to groups
     of bounded size by ``salt``, and its text goes once to each group.
     """
-    texts = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text"))
     members = (pairs.join(texts, F.col("b") == F.col("__id"))
                .select("a", "salt", F.lit(1).alias("side"), "b", F.col("__text").alias("body")))
     leaders = (pairs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("__id"))
@@ -212,22 +213,29 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     bucket = same.select("rep", "n", F.posexplode("sketch").alias("t", "h")).select("rep", "n", F.xxhash64("t", "h").alias("bucket"))
     crowd = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(bucket.join(crowd, "bucket"), "bucket-members")
-    weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    weight = materialize(members.groupBy("rep").agg(F.sum("size").alias("weight")), "member-weights")
     members = members.drop("size").join(weight, "rep").select("bucket", F.struct("weight", (-F.col("rep")).alias("less"), "rep", "n").alias("m"))
     members = materialize(members, "weighted-members")
+    # Only texts that share a sketch are read again: they are written down once, and the joins of all rounds move no others.
+    some = weight.select(F.col("rep").alias("__some"))
+    if some.count() <= SENT:  # checked: beyond, both sides are dealt out by their key
+        some = F.broadcast(some)
+    texts = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text"))
+    texts = materialize(texts.join(some, F.col("__id") == F.col("__some"), "left_semi"), "member-texts")
+    counted = materialize(same.select("rep", "cells").join(some, F.col("rep") == F.col("__some"), "left_semi"), "member-cells")
 
     tested = labels = None
     for leaders in LEADERS:
         own = _apart(members, labels)
         if own.limit(1).count() == 0:
             break
-        todo = _candidates(own, leaders, similarity) if leaders else _sharing(own, docs, text, key, similarity)
+        todo = _candidates(own, leaders, similarity) if leaders else _sharing(own, texts, similarity)
         if tested is not None:
             todo = todo.join(tested, ["a", "b"], "left_anti")
-        todo = _grouped(_possible(todo, same, similarity))
+        todo = _grouped(_possible(todo, counted, similarity))
         pairs = todo.select("a", "b")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        good = materialize(verified(todo, docs, text, key, similarity), "links")
+        good = materialize(verified(todo, texts, similarity), "links")
         if labels is None or good.limit(1).count():
             labels = _merged(labels, good)
     if labels is None:
@@ -263,7 +271,7 @@ def _candidates(own: DataFrame, leaders: int, similarity: float) -> DataFrame:
     return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
 
 
-def _sharing(own: DataFrame, docs: DataFrame, text: str, key: str, similarity: float) -> DataFrame:
+def _sharing(own: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """a, b, na, nb: all members in different classes that share one of their rarest shingles at places where texts that align can.
 
     The first shingle in common stands behind none in common, so at most ``n`` less what must be in common before it.
@@ -271,9 +279,8 @@ def _sharing(own: DataFrame, docs: DataFrame, text: str, key: str, similarity: f
     apart = own.select("m", "label").distinct().select(F.col("m.rep").alias("__id"), "m", "label")
     apart = materialize(apart, "texts-apart")
     step = F.lit(max(1, -(-apart.count() // COUNTED)))
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__text"))
     # Rows that share an id: the sketches of its first text of these words stand for it, any other text is another's.
-    bodies = lambda some: texts.join(some, F.col("doc_id") == F.col("__id")).select("__id", "m.n", "__text")
+    bodies = lambda some: texts.join(some, "__id").select("__id", "m.n", "__text")
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -311,10 +318,10 @@ def _sharing(own: DataFrame, docs: DataFrame, text: str, key: str, similarity: f
     return pairs.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"), F.col("l.m.n").alias("na"), F.col("r.m.n").alias("nb")).distinct()
 
 
-def _possible(pairs: DataFrame, same: DataFrame, similarity: float) -> DataFrame:
+def _possible(pairs: DataFrame, counted: DataFrame, similarity: float) -> DataFrame:
     """a, b of the pairs whose cells allow an alignment: the distance is at least the longer length less what both have in common."""
-    one = same.select(F.col("rep").alias("__a"), F.col("cells").alias("__ca"))
-    other = same.select(F.col("rep").alias("__b"), F.col("cells").alias("__cb"))
+    one = counted.select(F.col("rep").alias("__a"), F.col("cells").alias("__ca"))
+    other = counted.select(F.col("rep").alias("__b"), F.col("cells").alias("__cb"))
     both = pairs.join(one, F.col("a") == F.col("__a")).join(other, F.col("b") == F.col("__b"))
     longer = F.greatest("na", "nb")
     band = F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9))
