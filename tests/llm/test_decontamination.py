@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -91,3 +92,21 @@ def test_awkward_rows(spark):
     assert sorted((r["doc_id"] for r in clean.collect()), key=repr) == sorted([2, 3, 5, 6, None, None], key=repr)
     assert decontaminate.leaks(docs, benchmark.where("1 = 0")).count() == 0
     assert decontaminate.leaks(empty_documents(spark), benchmark).count() == 0
+
+
+def test_passages_are_multiplied_by_their_pairs_of_words():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 300):
+        row = np.sort(rng.integers(0, 40, 500))
+        row, index, weight = decontaminate.weighted(row, rng.integers(0, size, 500), rng.random(size) + 0.5)
+        basis = rng.standard_normal((size, 7)).astype(np.float32)
+        dense = np.zeros((40, size))
+        dense[row, index] = weight
+        square = decontaminate.Square(size)
+        for part in (row < 20, row >= 20):  # batches hold whole rows
+            square.add(row[part], index[part], weight[part])
+        plain = np.zeros((size, 7), dtype=np.float32)
+        decontaminate._multiply(row, index, weight, basis, plain)
+        want = dense.T @ (dense @ basis)
+        scale = np.abs(want).max()
+        assert np.allclose(square.times(basis), want, atol=1e-5 * scale) and np.allclose(plain, want, atol=1e-5 * scale)

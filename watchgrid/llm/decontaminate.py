@@ -41,6 +41,7 @@ COMMON = 0.02
 SENT = 100_000
 SEED = 20240501
 _CELLS = 1 << 12  # rows of the basis at once: few enough to stay in a processor's cache
+_SQUARE = 8192  # words up to which a task keeps A'A: half of it in single precision, 134 MB
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)")
 
 
@@ -162,16 +163,56 @@ def _multiply(row: np.ndarray, index: np.ndarray, weight: np.ndarray, basis: np.
         out[i[order][firsts]] += np.add.reduceat(back, firsts, axis=0)
 
 
+class Square:
+    """A'A of rows given by (row, index, weight): the upper triangle, row after row of the words.
+
+    A passage holds few of the words, so its pairs of words are far fewer numbers than its products with the basis.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.begin = np.arange(size, dtype=np.int64) * (2 * size - 1 - np.arange(size, dtype=np.int64)) // 2
+        self.sums = np.zeros(size * (size + 1) // 2, dtype=np.float32)
+
+    def add(self, row: np.ndarray, index: np.ndarray, weight: np.ndarray) -> None:
+        """More rows of A; cells by row, then index."""
+        first, lag = np.arange(len(row)), 0
+        while len(first):
+            other = first + lag
+            np.add.at(self.sums, self.begin[index[first]] + index[other], weight[first] * weight[other])
+            lag += 1
+            first = first[:np.searchsorted(first, len(row) - lag)]
+            first = first[row[first] == row[first + lag]]
+
+    def times(self, basis: np.ndarray) -> np.ndarray:
+        """A'A basis, some rows of the triangle at a time."""
+        out = np.zeros(basis.shape, dtype=np.float32)
+        for lo in range(0, self.size, 256):
+            hi = min(self.size, lo + 256)
+            part = np.zeros((hi - lo, self.size - lo), dtype=np.float32)
+            for i in range(lo, hi):
+                part[i - lo, i - lo:] = self.sums[self.begin[i] + i:self.begin[i] + self.size]
+            out[lo:hi] += part @ basis[lo:]
+            part[np.arange(hi - lo), np.arange(hi - lo)] = 0
+            out[lo:] += part.T @ basis[lo:hi]
+        return out
+
+
 def gathered(cells_of: DataFrame, idf: np.ndarray, basis: np.ndarray) -> DataFrame:
     """i, x: rows of A'(A basis), A holding the TF-IDF rows of all passages; tasks sum their rows, Spark sums the tasks."""
     shared = cells_of.sparkSession.sparkContext.broadcast((idf, basis.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, start = shared.value
-        out = np.zeros(start.shape, dtype=np.float32)
+        out, square = np.zeros(start.shape, dtype=np.float32), None
         for batch in batches:
-            if batch.num_rows:
+            if batch.num_rows and len(start) > _SQUARE:
                 _multiply(*weighted(*_cells_of(batch), weights), start, out)
+            elif batch.num_rows:
+                square = square or Square(len(start))
+                square.add(*weighted(*_cells_of(batch), weights))
+        if square:
+            out = square.times(start)
         some = np.flatnonzero(out.any(1))
         for lo in range(0, len(some), 512):
             part = some[lo:lo + 512]
