@@ -3,12 +3,14 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entrypoint
 from watchgrid.operators import features as W
 from watchgrid.operators import joins as J
 from watchgrid.sources import daily
 from watchgrid.sources import testtables as T
+from watchgrid.plans import running
 
 
 def plan(df) -> str:
@@ -56,3 +58,16 @@ LAZY = ["channel_daily", "intraday_daily", "calendar_grid", "object_features", "
 def test_no_cross_products(spark, sf, name):
     text = plan(entrypoint.queries()[name](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_rows_are_not_compared_with_all_bounds(spark):
+    rows = spark.range(500).select("id", (F.col("id") % 3).alias("g"), (F.xxhash64("id") % 50).alias("x"))
+    out = running.ranked(rows, ["g"], [F.col("x"), F.col("id")])
+    # The coarse bounds are picked from all bounds in the subquery, whose plan is drawn behind colons.
+    each_row = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "filter(" in line and "scalar-subquery" not in line]
+    assert each_row and not any(f"% {running._STEP}" in line for line in each_row if ": " not in line.split("filter(")[0])
+    want = {}
+    for g in range(3):
+        for n, r in enumerate(sorted((r.x, r.id) for r in rows.collect() if r.g == g)):
+            want[r[1]] = n + 1
+    assert {r.id: r["rank"] for r in out.collect()} == want

@@ -97,3 +97,18 @@ def test_validity_is_what_each_issue_time_sees(spark):
     assert got == want
     week = {(f, d, b) for f, d, b in want if (f - d).days < 3}
     assert {(r.feature_date, r.day, r.batch_id) for r in versions.on_feature_days(valid, lit(LAST), 3).collect()} == week
+
+
+def test_versions_are_summed_in_one_pass_and_attributes_come_before_the_calendar(spark):
+    seed, batches, channels, objects = made(spark)
+    told = versions.delivered_versions(batches, COLUMNS)
+    prints = versions.fingerprints(batches, versions.BATCH_KEYS, COLUMNS)
+    assert sorted(map(str, told.drop("strayed").collect())) == sorted(map(str, prints.collect()))
+    moved = batches.withColumn("date", F.when(F.col("day") == lit(D(2024, 3, 6)), F.date_add("date", 1)).otherwise(F.col("date")))
+    assert [r.day for r in versions.delivered_versions(moved, COLUMNS).where("strayed > 0").select("day").distinct().collect()] == [D(2024, 3, 6)]
+    told = materialize(told, "test-versions")
+    facts = materialize(replay.as_of(seed, batches, channels, lit(FIRST), lit(SEED_END), lit(LAST), None, told, O.attributes(objects, channels)), "test-facts")
+    mart = O.mart_of(facts, None, lit(FIRST), F.to_date(F.substring_index("object_id", "|", 1)), lit(LAST))
+    assert "Join" not in mart._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.object_id.split("|")[1], r.object_kind, r.parent_id, r.catalog_channels) for r in mart.collect()}
+    assert got == {("o0", "k", "unknown", 2), ("o1", "unknown", "o0", 2), ("o2", None, None, None)}

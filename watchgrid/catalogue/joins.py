@@ -135,9 +135,9 @@ BATCH_COLUMNS = ["channel_id", "date", "events_count", "alarm_count"]
 SEED_END = "2024-01-03"
 
 
-def batches(spark, sf, columns=BATCH_COLUMNS):
+def batches(spark, sf, columns=BATCH_COLUMNS, days=None):
     """Daily deliveries after the bootstrap: original, exact repeat, late correction of every fifth day."""
-    rows = T.channel_days(spark, sf).select(*columns, F.col("date").alias("day"))
+    rows = (T.channel_days(spark, sf) if days is None else days).select(*columns, F.col("date").alias("day"))
     others = [c for c in columns if c != "alarm_count"]
     published = versions.issue_time(F.col("day"))
     kinds = F.explode(F.filter(

@@ -244,8 +244,9 @@ SELECT object_id, "date", score, row_number() OVER (PARTITION BY "date" ORDER BY
  GROUP BY object_id, f HAVING min("date") <= DATE '2024-01-15')""")
 def replay_days(spark, sf):
     columns = ["channel_id", "date", *vocab.MODEL_COUNTERS]
-    delivered = materialize(batches(spark, sf, columns), "batches")
-    seed = materialize(T.channel_days(spark, sf).where(F.col("date") <= T.day(SEED_END)).select(*columns), "seed")
+    days = materialize(T.channel_days(spark, sf).select(*columns), "days")
+    delivered = materialize(batches(spark, sf, columns, days), "batches")
+    seed = materialize(days.where(F.col("date") <= T.day(SEED_END)), "seed")
     path = shared_folder(spark, "archive")
 
     def score(mart):

@@ -30,17 +30,27 @@ def object_mart(daily: DataFrame, channel_objects: DataFrame, objects: DataFrame
     the partitions of the object, without another pass over the journal.
     """
     facts = agg.object_daily(daily.where(F.col("date").between(start, end)), channel_objects)
-    return mart_of(facts, agg.catalog_channels(channel_objects), objects, start, end, cutoff, eligible)
+    return mart_of(facts, attributes(objects, channel_objects), start, end, cutoff, eligible)
 
 
-def mart_of(facts: DataFrame, catalog_channels: DataFrame, objects: DataFrame, start: Column, end: Column,
-            cutoff: Column | None = None, eligible: DataFrame | None = None, plain_id: Column | None = None) -> DataFrame:
+ATTRIBUTES = ["object_kind", "parent_id", "catalog_channels"]
+
+
+def attributes(objects: DataFrame, channel_objects: DataFrame) -> DataFrame:
+    """What the catalog says of each object that has channels."""
+    return objects.select("object_id", F.coalesce("object_kind", F.lit("unknown")).alias("object_kind"),
+                          F.coalesce("parent_id", F.lit("unknown")).alias("parent_id")).join(agg.catalog_channels(channel_objects), "object_id")
+
+
+def mart_of(facts: DataFrame, attributes: DataFrame | None, start: Column, end: Column,
+            cutoff: Column | None = None, eligible: DataFrame | None = None) -> DataFrame:
     """The mart from object-day counters.
 
-    ``object_id`` may stand for an object as seen at some time: ``end`` is then an expression of it and
-    ``plain_id`` the id that the catalog knows.
+    Facts that hold the attributes themselves go without ``attributes``: their ``object_id`` may stand for an
+    object as seen at some time, with ``end`` an expression of it, and nothing is joined to their calendar.
     """
-    counts = [c for c in facts.columns if c not in ("object_id", "date")]
+    carried = ATTRIBUTES if attributes is None else []
+    counts = [c for c in facts.columns if c not in ("object_id", "date", *carried)]
     if eligible is not None:
         facts = facts.join(eligible.select("object_id"), "object_id", "left_semi")
     if cutoff is not None:
@@ -48,11 +58,10 @@ def mart_of(facts: DataFrame, catalog_channels: DataFrame, objects: DataFrame, s
         facts = (facts.withColumn("_first", F.min(seen).over(Window.partitionBy("object_id")))
                  .where(F.col("_first") <= cutoff).drop("_first"))
     grid = fill_calendar(facts, None if eligible is None else eligible.select("object_id"),
-                         "object_id", start, end, counts)
-    attributes = (objects.select("object_id", F.coalesce("object_kind", F.lit("unknown")).alias("object_kind"),
-                                 F.coalesce("parent_id", F.lit("unknown")).alias("parent_id"))
-                  .join(catalog_channels, "object_id").withColumnRenamed("object_id", "_plain"))
-    return grid.join(attributes, (F.col("object_id") if plain_id is None else plain_id) == F.col("_plain"), "left").select(
+                         "object_id", start, end, counts, carried)
+    if attributes is not None:
+        grid = grid.join(attributes, "object_id", "left")
+    return grid.select(
         "object_id", "date", "object_kind", "parent_id", *counts, "catalog_channels",
         (F.col("alarm_channels") > 0).cast("int").alias("alarm_today"),
         (F.col("observed_channels") > 0).cast("int").alias("observed_today"),

@@ -32,20 +32,25 @@ def forecast_day(history: DataFrame, channel_objects: DataFrame, objects: DataFr
 
 
 def as_of(seed: DataFrame, batches: DataFrame, channel_objects: DataFrame, start: Column, seed_end: Column, last: Column,
-          lookback: int | None = None) -> DataFrame:
+          lookback: int | None = None, told: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
     """Object-day counters as each feature day after the bootstrap sees them; ``object_id`` is ``feature day|object``.
 
     Channels are added up once per version, and versions are spread over the feature days that
-    see them: rows move per object, not per channel.
+    see them: rows move per object, not per channel.  ``attributes`` of objects are joined before that.
+    ``told`` holds the versions, one row each, if they are known.
     """
     columns = ["channel_id", "date", *vocab.MODEL_COUNTERS]
     dated = batches.where((F.col("date") == F.col("day")) & (F.col("day") >= start)).select(*columns, *versions.BATCH_KEYS)
     objects = agg.object_daily(dated, channel_objects, ("date", *versions.BATCH_KEYS))
-    valid = versions.validity(batches.select(*versions.BATCH_KEYS).distinct())
+    known = batches.select(*versions.BATCH_KEYS).distinct() if told is None else told.select(*versions.BATCH_KEYS)
+    valid = versions.validity(known)
     daily = objects.join(valid, versions.BATCH_KEYS).drop("available_at", "batch_id")
     old = agg.object_daily(seed.select(*columns).where(F.col("date").between(start, seed_end)), channel_objects)
     old = old.select("*", F.col("date").alias("day"), F.date_add(seed_end, 1).alias("first_date"), F.lit(None).cast("date").alias("last_date"))
-    seen = versions.on_feature_days(daily.unionByName(old), last, lookback).drop("day")
+    daily = daily.unionByName(old)
+    if attributes is not None:
+        daily = daily.join(attributes, "object_id", "left")
+    seen = versions.on_feature_days(daily, last, lookback).drop("day")
     return seen.withColumn("object_id", F.concat_ws("|", F.date_format("feature_date", "yyyy-MM-dd"), "object_id")).drop("feature_date")
 
 
@@ -63,14 +68,14 @@ def replay_days(seed: DataFrame, batches: DataFrame, channel_objects: DataFrame,
     columns = [c for c in batches.columns if c not in versions.BATCH_KEYS]
     if last is None:
         last = F.lit(batches.agg(F.max("day")).first()[0])
-    expect_empty(versions.replay_problems(seed, batches, columns, seed_end, last), "histories")
+    told = materialize(versions.delivered_versions(batches, columns), "versions")
+    expect_empty(versions.replay_problems(seed, batches, columns, seed_end, last, told), "histories")
     key = F.col("object_id")
     feature_date = F.to_date(F.substring_index(key, "|", 1))
-    facts = as_of(seed, batches, channel_objects, start, seed_end, last, lookback)
-    mart = O.mart_of(facts, agg.catalog_channels(channel_objects), objects, start, feature_date, cutoff,
-                     plain_id=F.expr("substring(object_id, 12)"))
+    facts = as_of(seed, batches, channel_objects, start, seed_end, last, lookback, told, O.attributes(objects, channel_objects))
+    mart = O.mart_of(facts, None, start, feature_date, cutoff)
     scored = score(O.recap_7d(mart)).where(F.col("date") == feature_date).withColumn("object_id", F.expr("substring(object_id, 12)"))
-    digests = materialize(versions.content_digests(seed, batches, columns, last).withColumnRenamed("feature_date", "date"), "digests")
+    digests = materialize(versions.content_digests(seed, told, columns, last).withColumnRenamed("feature_date", "date"), "digests")
     lineage = F.struct(F.date_format("date", "yyyy-MM-dd").alias("feature_date"), F.lit(prefix).alias("model"),
                        F.col("input_sha256").alias("input"), F.lit(model_sha256).alias("model_sha"))
     scored = scored.join(digests, "date").withColumn("run_id", release.release_id(prefix, F.col("date"), lineage))

@@ -37,11 +37,14 @@ def row_hash(columns: list[str]) -> Column:
     return _hash(columns).cast("decimal(38,0)")
 
 
+def content_parts(columns: list[str]) -> list[Column]:
+    """Aggregates that tell contents apart, whatever the order of the rows."""
+    return [F.count("*").alias("rows"), F.sum(row_hash(columns)).alias("hash_sum"), F.bit_xor(_hash(columns)).alias("hash_xor")]
+
+
 def fingerprints(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Order-independent content identity of each group of rows."""
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("rows"), F.sum(row_hash(columns)).alias("hash_sum"),
-        F.bit_xor(_hash(columns)).alias("hash_xor"))
+    return rows.groupBy(*keys).agg(*content_parts(columns))
 
 
 def _content_digest(columns: list[str], rows: Column, hash_sum: Column, hash_xor: Column) -> Column:
@@ -54,13 +57,25 @@ def content_sha256(rows: DataFrame, columns: list[str]) -> Column:
     return rows.agg(_content_digest(columns, F.count("*"), F.sum(row_hash(columns)), F.bit_xor(_hash(columns))).alias("sha")).scalar()
 
 
-def version_conflicts(batches: DataFrame, columns: list[str]) -> DataFrame:
-    """Deliveries for the same day and instant that differ in content."""
-    prints = fingerprints(batches, BATCH_KEYS, columns)
+def delivered_versions(batches: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per version: its content identity, and ``strayed``, how many of its rows are of another day.
+
+    All that a replay asks of whole versions, from one pass over the rows.
+    """
+    kept = batches.withColumn("_strayed", ~F.col("date").eqNullSafe(F.col("day")))
+    return kept.groupBy(*BATCH_KEYS).agg(*content_parts(columns), F.count_if("_strayed").alias("strayed"))
+
+
+def _conflicts(prints: DataFrame) -> DataFrame:
     return prints.groupBy("day", "available_at").agg(
         F.count_distinct("rows", "hash_sum", "hash_xor").alias("contents")).where("contents > 1")
 
 
+def version_conflicts(batches: DataFrame, columns: list[str]) -> DataFrame:
+    """Deliveries for the same day and instant that differ in content."""
+    return _conflicts(fingerprints(batches, BATCH_KEYS, columns))
+
+
 def premature_batches(batches: DataFrame) -> DataFrame:
     """A complete day cannot be available before its end."""
     return batches.where(F.col("available_at") < issue_time(F.col("day"))).select(*BATCH_KEYS).distinct()
@@ -97,19 +112,24 @@ def history_problems(seed: DataFrame, batches: DataFrame, columns: list[str],
     Versions that arrive after the issue time cannot conflict: an earlier
     forecast stays possible whatever is delivered later.
     """
+    return _problems(seed, delivered_versions(batches, columns), seed_end, feature_date)
+
+
+def _problems(seed: DataFrame, told: DataFrame, seed_end: Column, feature_date: Column) -> DataFrame:
     from watchgrid.operators.sets import missing_days
 
     def tag(df: DataFrame, name: str, day: str) -> DataFrame:
         return df.select(F.lit(name).alias("problem"), F.col(day).alias("day"))
 
-    days = batches.select("day", "available_at").distinct()
+    days = told.select("day", "available_at").distinct()
     visible = days.where((F.col("day") <= feature_date)
                          & (F.col("available_at") <= issue_time(feature_date)))
     late_seed = seed.where(F.col("date") > seed_end).select("date").distinct()
-    strayed = known_batches(batches, feature_date).where(~F.col("date").eqNullSafe(F.col("day"))).select("day").distinct()
-    return (tag(version_conflicts(known_batches(batches, feature_date), columns), "conflicting versions", "day")
+    known = known_batches(told, feature_date)
+    strayed = known.where("strayed > 0").select("day").distinct()
+    return (tag(_conflicts(known), "conflicting versions", "day")
             .unionByName(tag(strayed, "rows of another day", "day"))
-            .unionByName(tag(premature_batches(batches), "available before the day ended", "day"))
+            .unionByName(tag(premature_batches(told), "available before the day ended", "day"))
             .unionByName(tag(days.where(F.col("day") <= seed_end), "overlaps the bootstrap", "day"))
             .unionByName(tag(late_seed, "bootstrap after its end", "date"))
             .unionByName(tag(missing_days(visible, F.date_add(seed_end, 1), feature_date), "missing day", "day"))
@@ -149,12 +169,12 @@ def on_feature_days(rows: DataFrame, last: Column, lookback: int | None = None)
     return seen.select(F.explode(F.sequence("first_date", end)).alias("feature_date"), "*").drop("first_date", "last_date")
 
 
-def content_digests(seed: DataFrame, batches: DataFrame, columns: list[str], last: Column) -> DataFrame:
+def content_digests(seed: DataFrame, told: DataFrame, columns: list[str], last: Column) -> DataFrame:
     """feature_date, input_sha256: what ``content_sha256`` says of the assembled history of each feature day.
 
-    Counts, sums and parities of whole versions add up, so no row is read twice.
+    ``told`` is of ``delivered_versions``.  Counts, sums and parities of whole versions add up, so no row is read twice.
     """
-    prints = on_feature_days(validity(fingerprints(batches, BATCH_KEYS, columns)), last)
+    prints = on_feature_days(validity(told), last)
     daily = prints.groupBy("feature_date").agg(F.sum("rows").alias("n"), F.sum("hash_sum").alias("s"), F.bit_xor("hash_xor").alias("x"))
     base = seed.agg(F.struct(F.count("*").alias("n"), F.coalesce(F.sum(row_hash(columns)), F.lit(0)).cast("decimal(38,0)").alias("s"),
                              F.coalesce(F.bit_xor(_hash(columns)), F.lit(0).cast("long")).alias("x")).alias("b")).scalar()
@@ -163,13 +183,15 @@ def content_digests(seed: DataFrame, batches: DataFrame, columns: list[str], las
         columns, F.col("n") + F.col("b.n"), (F.col("s") + F.col("b.s")).cast("decimal(38,0)"), F.col("x").bitwiseXOR(F.col("b.x"))).alias("input_sha256"))
 
 
-def replay_problems(seed: DataFrame, batches: DataFrame, columns: list[str], seed_end: Column, last: Column) -> DataFrame:
+def replay_problems(seed: DataFrame, batches: DataFrame, columns: list[str], seed_end: Column, last: Column,
+                    told: DataFrame | None = None) -> DataFrame:
     """Reasons to refuse a replay of all feature days after the bootstrap: (problem, day), as ``history_problems``.
 
     What an earlier feature day knows the last one knows too, but a day that arrives late is
-    missing until then.
+    missing until then.  ``told`` is what ``delivered_versions`` said of the batches, if that is known.
     """
-    seen = batches.select("day", "available_at").distinct().groupBy("day").agg(F.min(first_seen(F.col("available_at"))).alias("f"))
+    told = delivered_versions(batches, columns) if told is None else told
+    seen = told.groupBy("day").agg(F.min(first_seen(F.col("available_at"))).alias("f"))
     late = seen.where((F.col("day") > seed_end) & (F.col("day") <= last) & (F.col("f") > F.col("day")))
-    return history_problems(seed, batches, columns, seed_end, last).unionByName(
+    return _problems(seed, told, seed_end, last).unionByName(
         late.select(F.lit("missing day").alias("problem"), "day")).distinct()

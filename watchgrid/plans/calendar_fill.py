@@ -18,12 +18,14 @@ def fill_calendar(
     start: Column,
     end: Column,
     zero: list[str],
+    constant: list[str] = (),
 ) -> DataFrame:
     """One row per key and day from ``start`` to ``end``.
 
     ``facts`` holds (key, date, ...) with unique keys, ``seeds`` the keys that
     must appear even without facts.  Columns in ``zero`` become 0 on empty days,
-    all others NULL: silence is not a measurement.  ``start`` and ``end`` are
+    all others NULL: silence is not a measurement.  Columns in ``constant`` are the same for all facts of a
+    key and stay so on its empty days; with ``seeds`` there are none.  ``start`` and ``end`` are
     literals or scalar subqueries.  Facts outside of them, such as those of a
     dirty date, neither appear nor stretch the calendar.
     """
@@ -50,6 +52,8 @@ def fill_calendar(
     types = dict(facts.dtypes)
 
     def on_own_day(c: str) -> Column:
+        if c in constant:
+            return F.col(c)
         value = f"CASE WHEN {own} THEN {c} END"
         return F.expr(f"coalesce({value}, cast(0 AS {types[c]})) AS {c}" if c in zero else f"{value} AS {c}")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_STEP = 32      # fine bounds behind one coarse bound
+_STEP = 16      # fine bounds behind one coarse bound
 _SAMPLE = 8     # sampled rows per range
 
 
@@ -20,7 +20,7 @@ def _range_count(df: DataFrame) -> int:
 
 
 def _edges(df: DataFrame, position: Column, ranges: int) -> Column:
-    """Sorted range bounds as a scalar subquery.
+    """Sorted range bounds, and every ``_STEP``-th of them as coarse bounds, as a scalar subquery.
 
     Taken from the rows with the smallest hashes: a bounded sample that depends
     on the data only, so a recomputed task finds the same bounds.
@@ -30,15 +30,19 @@ def _edges(df: DataFrame, position: Column, ranges: int) -> Column:
               .orderBy(F.xxhash64("_p"), "_p").limit(size)
               .agg(F.sort_array(F.collect_list("_p")).alias("s")))
     picked = F.filter(F.col("s"), lambda _, i: (i % _SAMPLE) == _SAMPLE - 1)
-    return sample.select(picked.alias("edges")).scalar()
+    coarse = F.filter(F.col("edges"), lambda _, i: (i % _STEP) == _STEP - 1)
+    return sample.select(picked.alias("edges")).select(F.struct("edges", coarse.alias("coarse")).alias("e")).scalar()
 
 
-def _range_of(edges: Column, position: Column) -> Column:
-    """Number of bounds below the position: coarse bounds first, then one slice."""
-    coarse = F.filter(edges, lambda _, i: (i % _STEP) == _STEP - 1)
-    block = F.size(F.filter(coarse, lambda e: e < position))
-    fine = F.filter(F.slice(edges, block * _STEP + 1, F.lit(_STEP)), lambda e: e < position)
-    return block * _STEP + F.size(fine)
+def _with_range(rows: DataFrame, edges: Column, position: Column) -> DataFrame:
+    """``_range``, the number of bounds below the position: coarse bounds first, then one slice.
+
+    A row is compared with the coarse bounds once, and never with all bounds.
+    """
+    rows = rows.withColumn("_edges", edges)
+    rows = rows.withColumn("_block", F.size(F.filter(F.col("_edges.coarse"), lambda e: e < position)))
+    fine = F.filter(F.slice(F.col("_edges.edges"), F.col("_block") * _STEP + 1, F.lit(_STEP)), lambda e: e < position)
+    return rows.withColumn("_range", F.col("_block") * _STEP + F.size(fine))
 
 
 def running_totals(
@@ -62,7 +66,7 @@ def running_totals(
     keys = [*by, *[f"_o{i}" for i in range(len(order))]]
     position = F.struct(*keys)
     edges = _edges(rows, position, ranges)
-    rows = rows.withColumn("_edges", edges).withColumn("_range", _range_of(F.col("_edges"), position))
+    rows = _with_range(rows, edges, position)
 
     group = [*by, "_range"]
     sums = rows.groupBy(*group).agg(*[F.sum(f"_x_{n}").alias(f"_s_{n}") for n in names])
