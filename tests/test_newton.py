@@ -140,3 +140,19 @@ def test_boosted_trees_with_very_many_categories(spark):
     asked = spark.createDataFrame([("hot", 0.0, 0), ("cold", 0.0, 0), ("k7", 0.0, 0), ("never seen", 0.0, 0)], "kind string, x double, y int")
     got = {r.kind: r.score for r in M.score_boosted(model, asked, ["x"], ["kind"], "score").collect()}
     assert got["hot"] > 0.5 > got["cold"] and got["never seen"] < 0.5
+
+
+def test_equal_rows_are_counted_before_the_steps(spark, monkeypatch):
+    rows = [("s" if i % 3 else None, float(i % 2), float(i % 5 == 0), i % 7 % 2, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "sys string, a double, b double, y int, i int")
+    read, fit = [], N.fit_groups
+    monkeypatch.setattr(N, "fit_groups", lambda tagged, *a, **k: read.append(tagged.count()) or fit(tagged, *a, **k))
+    out = N.specialists(df, F.col("i") < 1900, "sys", ["a", "b"], "y", positives=10)
+    plain = {r.g: r for r in fit(df.where("i < 1900").withColumn("g", F.explode(F.array(F.coalesce("sys", F.lit("?")), F.lit("*")))), "g", ["a", "b"], "y").collect()}
+    assert read[0] <= 3 * 2 * 2 * 2 and out.count() == len(rows)
+    for r in out.collect():
+        b = plain["s" if r.sys else "*"].coefficients
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(b[0] + b[1] * r.a + b[2] * r.b))), abs=1e-9)
+    counted = df.where("i < 1900").groupBy("sys", "a", "b", "y").agg(F.count("*").alias("c"))
+    r = fit(counted, "sys", ["a", "b"], "y", copies="c").first()
+    assert (r.n, r.positives) == (plain["s"].n, plain["s"].positives)

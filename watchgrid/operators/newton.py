@@ -28,11 +28,16 @@ STEPS = 50
 HELD = 2000
 
 
-def design(rows: DataFrame, features: list[str], label: str, *keep: str, weight: str | None = None) -> DataFrame:
-    """``keep``, _x (1 and the features), _y and _w of the rows with a label; unknown features count as 0."""
+def design(rows: DataFrame, features: list[str], label: str, *keep: str, weight: str | None = None,
+           copies: str | None = None) -> DataFrame:
+    """``keep``, _x (1 and the features), _y and _w of the rows with a label; unknown features count as 0.
+
+    With ``copies`` a row stands for so many equal ones, _n.
+    """
+    count = F.col(copies).cast("long") if copies else F.lit(1).cast("long")
     x = F.array(F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
     return rows.where(F.col(label).isNotNull()).select(
-        *keep, x.alias("_x"), F.col(label).cast("double").alias("_y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+        *keep, x.alias("_x"), F.col(label).cast("double").alias("_y"), ((F.col(weight).cast("double") if weight else F.lit(1.0)) * count).alias("_w"), count.alias("_n"))
 
 
 def losses(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,20 +81,21 @@ def _summed(parts: DataFrame, by: list[str]) -> DataFrame:
 
 # --- one regression for each group ----------------------------------------------------
 
-def fit_groups(rows: DataFrame, by: str, features: list[str], label: str, penalty: float = 1.0, weight: str | None = None) -> DataFrame:
+def fit_groups(rows: DataFrame, by: str, features: list[str], label: str, penalty: float = 1.0, weight: str | None = None,
+               copies: str | None = None) -> DataFrame:
     """``by``, n, positives, coefficients (intercept first), gradient and steps: one regression for every value of ``by``.
 
     ``gradient`` is the largest part of the penalised gradient at the coefficients, the certificate of the
     fit.  Rows without a label or without a group take no part; groups may be very many and of any
     size.  Where only one outcome occurs there is no solution: the coefficients are NULL.  Regressions that
-    are done are left out of later steps.
+    are done are left out of later steps.  With ``copies`` a row stands for so many equal ones.
     """
     spark = rows.sparkSession
-    ready = materialize(design(rows.where(F.col(by).isNotNull()).withColumn("_g", F.col(by).cast("string")), features, label, "_g", weight=weight), "designs")
+    ready = materialize(design(rows.where(F.col(by).isNotNull()).withColumn("_g", F.col(by).cast("string")), features, label, "_g", weight=weight, copies=copies), "designs")
     size = len(features) + 1
     zeros = F.array_repeat(F.lit(0.0), size)
     both = F.col("positives").between(1, F.col("n") - 1)
-    state = ready.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").cast("long").alias("positives")).select(
+    state = ready.groupBy("_g").agg(F.sum("_n").alias("n"), F.sum(F.col("_y") * F.col("_n")).cast("long").alias("positives")).select(
         "_g", "n", "positives", zeros.alias("beta"), F.when(both, zeros).alias("before"), F.lit(float("inf")).alias("least"),
         F.when(both, float("inf")).alias("gradient"), F.lit(0).alias("steps"), (~both).alias("done"))
     state = materialize(state, "fits")
@@ -154,13 +160,16 @@ def specialists(rows: DataFrame, train: Column, by: str, features: list[str], la
                 penalty: float = 1.0, name: str = "score") -> DataFrame:
     """Rows with the score of their group's own regression, or of the one over all groups where it is not eligible.
 
-    Fitted on the rows for which ``train`` holds, all regressions in one fit.  A group is eligible with
+    Fitted on the rows for which ``train`` holds, all regressions in one fit; rows that agree in group, features
+    and label are counted first, so that each step reads only different ones.  A group is eligible with
     so many positives and at least one negative.  ``specialist`` tells which score a row has.  Rows
     without a group get the common score.
     """
     everything = "\x00"  # no group's name
-    tagged = rows.where(train).withColumn("_group", F.explode(F.array_compact(F.array(F.col(by).cast("string"), F.lit(everything)))))
-    fits = fit_groups(tagged, "_group", features, label, penalty)
+    known = rows.where(train & F.col(label).isNotNull())
+    different = known.groupBy(*dict.fromkeys([by, *features, label])).agg(F.count(F.lit(1)).alias("_copies"))
+    tagged = different.withColumn("_group", F.explode(F.array_compact(F.array(F.col(by).cast("string"), F.lit(everything)))))
+    fits = fit_groups(tagged, "_group", features, label, penalty, copies="_copies")
     common = fits.where(F.col("_group") == everything).select("coefficients").agg(F.first("coefficients")).scalar()
     own = fits.where((F.col("_group") != everything) & (F.col("positives") >= positives) & (F.col("n") > F.col("positives")))
     out = rows.join(own.select("_group", F.col("coefficients").alias("_own")), F.col(by).cast("string") == F.col("_group"), "left")
