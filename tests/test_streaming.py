@@ -127,3 +127,15 @@ def test_any_split_and_order_of_days_answers_as_one(seed):
 def test_streams_match_their_oracle(spark, sf, name):
     ok, text = check_oracles.compare(spark, check_oracles.connect(sf), name, sf)
     assert ok, text
+
+
+def test_late_rows_are_written_by_all_tasks(spark, sf, tmp_path, monkeypatch):
+    from watchgrid.catalogue import streams
+
+    raw = T.journal(spark, sf).repartition(3).localCheckpoint()
+    monkeypatch.setattr(T, "journal", lambda *_: raw)
+    monkeypatch.setattr(streams, "shared_folder", lambda _, name: str(tmp_path / name))
+    got = streams.stream_late_rows(spark, sf).first()
+    assert got.records == raw.count() and got.kept + got.aside == got.records and got.aside > 0
+    assert len(list((tmp_path / "live").glob("*.parquet"))) == 6
+    assert len(list((tmp_path / "late" / "progress").glob("batch=*"))) == 2

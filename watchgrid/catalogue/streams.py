@@ -41,8 +41,8 @@ def stream_late_rows(spark, sf):
     # A tenth of the records arrives after all others: what is older than ten days by then is set aside, the rest is added.
     raw, inbox, folder = T.journal(spark, sf), shared_folder(spark, "live"), shared_folder(spark, "late")
     tenth = F.col("event_id").cast("long") % 10 == 0
-    for part in (raw.where(~tenth), raw.where(tenth)):
-        part.coalesce(1).write.mode("append").parquet(inbox)
+    for part in (raw.where(~tenth), raw.where(tenth)):  # all files of a part are one batch
+        part.write.mode("append").parquet(inbox)
         days = S.stream_channel_daily(S.read_stream(spark, inbox, raw.schema), folder, delay_days=10)
     kept = days.agg(F.sum("events_count").alias("kept"))
     aside = S.progress(spark, folder).agg(F.sum("aside").alias("aside"), F.sum("records").alias("records"))
