@@ -71,3 +71,10 @@ def test_rows_are_not_compared_with_all_bounds(spark):
         for n, r in enumerate(sorted((r.x, r.id) for r in rows.collect() if r.g == g)):
             want[r[1]] = n + 1
     assert {r.id: r["rank"] for r in out.collect()} == want
+
+
+def test_memories_sort_once_for_each_context(spark, sf):
+    grid = T.grid(spark, sf).select("channel_id", "date", "i", "alarm", "observed")
+    added = plan(W.context_memory(grid)).count("Sort [") - plan(grid).count("Sort [")
+    # By each of the three contexts, and by day again.
+    assert added <= 4

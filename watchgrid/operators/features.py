@@ -363,28 +363,28 @@ def context_memory(masked: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> Da
     window = "PARTITION BY channel_id ORDER BY date"
     upto = f"OVER ({window} ROWS UNBOUNDED PRECEDING)"
     columns = masked.columns
-    weighted = masked.selectExpr(
-        "*", f"pow({decay!r}D, i) AS _d", f"pow({decay!r}D, -i) AS _w", f"lead(date) OVER ({window}) IS NULL AS _last")
-    base = weighted.selectExpr(
-        "*", f"_d * sum(_w * alarm) {upto} AS _pa", f"_d * sum(_w * observed) {upto} AS _po", f"_d * sum(_w) {upto} AS _pn")
-    extended = base.selectExpr("*", "explode(if(_last, array(0, 1), array(0))) AS _ahead").selectExpr(
+    code = "2 * alarm + observed"
+    # What precedes a day, two bits a day, the last one lowest: the shorter contexts are its remainders.
+    preceding = " + ".join(f"lag({code}, {n + 1}, 0) OVER ({window}) * {4 ** n}" for n in range(max(orders)))
+    told = masked.selectExpr("*", f"{preceding} AS _x", f"lead(date) OVER ({window}) IS NULL AS _last")
+    # The sorts by context hold no column that the day's number or a later window gives again.
+    asked = told.selectExpr("*", "explode(if(_last, array(0, 1), array(0))) AS _ahead").selectExpr(
         *[c for c in columns if c not in ("date", "i", "alarm", "observed")],
         "date_add(date, _ahead) AS date", "i + _ahead AS i", "if(_ahead = 0, alarm, NULL) AS alarm",
-        "if(_ahead = 0, observed, NULL) AS observed", "_ahead", "_w", "_pa", "_po", "_pn",
-        f"_d * pow({decay!r}D, _ahead - 1) AS _before")
-    history = [f"lag(2 * alarm + observed, {n + 1}, 0) OVER ({window})" for n in range(max(orders))]
-    extended = extended.selectExpr("*", *[f"{h} AS _h{n}" for n, h in enumerate(history)])
-    contexts = [" + ".join(f"_h{n} * {4 ** n}" for n in range(k)) + f" AS _x{k}" for k in orders]
-    asked = extended.selectExpr("*", *contexts)
+        "if(_ahead = 0, observed, NULL) AS observed", "_ahead", f"if(_ahead = 0, _x, {code} + 4 * (_x % {4 ** (max(orders) - 1)})) AS _x")
+    weight = f"pow({decay!r}D, -i)"
+    before = f"pow({decay!r}D, i - _ahead) * pow({decay!r}D, _ahead - 1)"
     for k in orders:
-        earlier = (f"OVER (PARTITION BY channel_id, _x{k} ORDER BY date "
+        earlier = (f"OVER (PARTITION BY channel_id, _x % {4 ** k} ORDER BY date "
                    "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
         # State at the end of the previous day; learning starts with a full context.
-        counted = f"if(_ahead = 0 AND i >= {k}, _w, NULL)"
+        counted = f"if(_ahead = 0 AND i >= {k}, {weight}, NULL)"
         asked = asked.selectExpr("*", *[
-            f"coalesce(sum({counted} * {x}) {earlier}, 0D) * _before AS _{n}{k}"
+            f"coalesce(sum({counted} * {x}) {earlier}, 0D) * ({before}) AS _{n}{k}"
             for n, x in (("n", "1"), ("a", "alarm"), ("o", "observed"))])
-    answers = asked.selectExpr("*", *[
+    base = [f"pow({decay!r}D, i) * sum({x}) {upto} AS _p{n}"
+            for n, x in (("a", f"{weight} * alarm"), ("o", f"{weight} * observed"), ("n", weight))]
+    answers = asked.selectExpr("*", *base, *[
         f"lead(_{n}{k}) OVER ({window}) AS _{n}{k}_next" for k in orders for n in "nao"]).where("_ahead = 0")
     out = []
     for k in orders:
