@@ -117,6 +117,29 @@ def test_leave_one_out_excludes_itself(spark):
     assert out == {"a": (1, 0.5), "b": (2, 1.0), "c": (1, 1 / 3), "d": (0, 0.0)}
 
 
+def test_others_are_told_from_days_with_records(spark, monkeypatch):
+    monkeypatch.setattr(W, "WIDE", 2)  # several tasks hand out the sums of a group
+    rng = random.Random(7)
+    days = [DAY0 + dt.timedelta(days=i) for i in range(6)]
+    groups = {f"c{n}": (rng.choice(["o", "p", "q", None]), rng.choice(["s", "t"])) for n in range(12)} | {"silent": ("o", "s"), "alone": ("r", "s")}
+    facts = {(c, d): (rng.randint(0, 1), 1) for c in groups for d in days if c not in ("silent", "alone") and rng.random() < 0.4}
+    schema = "channel_id string, date date, object_id string, kind string, alarm int, observed int"
+    sparse = spark.createDataFrame([(c, d, *groups[c], *x) for (c, d), x in facts.items()] + [(c, None, *g, None, None) for c, g in groups.items()], schema)
+    levels = {"x": (["object_id", "kind"], ["alarm"], "observed"), "y": (["object_id"], ["alarm"], "observed"), "z": (["kind"], ["observed"], None)}
+    got = [tuple(r) for r in W.others_in_groups(sparse, levels, F.lit(DAY0)).collect()]
+    want = {}
+    for c, (o, k) in groups.items():
+        for d in days:
+            def others(i, same):
+                return sum(x[i] for (e, f), x in facts.items() if f == d and e != c and same(*groups[e]))
+            x, y = (lambda p, q: (p, q) == (o, k)), (lambda p, q: p == o)
+            a, b, n = others(0, x), others(0, y), others(1, lambda p, q: q == k)
+            want[c, d] = (a, a / (1 + others(1, x)), b, b / (1 + others(1, y)), n)
+    assert len({r[:2] for r in got}) == len(got) and {r[0] for r in got} == set(groups)
+    assert all(r[2:] == want[r[:2]] for r in got)
+    assert not any(any(v) for key, v in want.items() if key not in {r[:2] for r in got})
+
+
 def mart(spark, text, observed=None, start=DAY0, object_id="o"):
     rows = [(object_id, start + dt.timedelta(days=i), int(ch), int((observed or "1" * len(text))[i])) for i, ch in enumerate(text)]
     return spark.createDataFrame(rows, "object_id string, date date, alarm_today int, observed_today int")

@@ -45,6 +45,13 @@ def test_daily_range_is_pruned_and_pushed_down(spark, sf, tmp_path):
     assert {c.split(":")[0] for c in schema.split(",")} == {"channel_id", "date", "events_count"}
 
 
+def test_others_move_no_empty_days_and_read_the_journal_once(spark, sf):
+    text = plan(entrypoint.queries()["others_in_group"](spark, sf))
+    above, _, _ = text.partition("Generate explode(")
+    assert "Exchange" not in above and "Join" not in above
+    assert text.count("events.parquet") <= 1
+
+
 def test_topk_cuts_before_the_shuffle(spark, sf):
     text = plan(entrypoint.queries()["daily_topk"](spark, sf))
     assert "WindowGroupLimit" in text

@@ -14,6 +14,8 @@ from watchgrid.operators import aggregate as A
 from watchgrid.operators import features as W
 from watchgrid.operators import joins as J
 from watchgrid.operators import labels as L
+from watchgrid.plans.calendar_fill import fill_calendar
+from watchgrid.session import materialize
 from watchgrid.sources import testtables as T
 
 OVER = 'OVER (PARTITION BY channel_id ORDER BY "date"'
@@ -89,13 +91,16 @@ def _others(keys: str, c: str, prefix: str) -> str:
     + [_others("parent", c, "parent") for c in ("alarm", "no_power")]
     + ['CAST(sum(events_count) OVER (PARTITION BY object_id, "date") - events_count AS BIGINT) AS object_events_count_others']) + " FROM gc")
 def others_in_group(spark, sf):
-    grid = J.enrich(T.grid(spark, sf).select(
-        "channel_id", "date", "events_count", "alarm", "fault", "no_power", "observed"), T.catalog(spark, sf))
-    df = W.others_in_groups(grid, {
-        "type_object": (["object_id", "sensor_type", "date"], ["alarm", "fault"], "observed"),
-        "parent": (["parent", "date"], ["alarm", "no_power"], "observed"),
-        "object": (["object_id", "date"], ["events_count"], None)})
-    return shown(df, *[c for c in df.columns if c.endswith("_others") or c.endswith("_rate")])
+    start, end = (T.day(d) for d in T.CALENDAR)
+    days = T.channel_days(spark, sf).where(F.col("date").between(start, end)).select("channel_id", "date", "events_count", *W.masks())
+    listed = T.channels(spark, sf).select("channel_id")
+    rows = J.enrich(days.unionByName(listed, allowMissingColumns=True), T.catalog(spark, sf))
+    df = rounded(W.others_in_groups(materialize(rows.drop("engineering_system", "object_kind"), "member_days"), {
+        "type_object": (["object_id", "sensor_type"], ["alarm", "fault"], "observed"),
+        "parent": (["parent"], ["alarm", "no_power"], "observed"),
+        "object": (["object_id"], ["events_count"], None)}, start))
+    # Rounded before the empty days, which are zeros, come in.
+    return fill_calendar(df, None, "channel_id", start, end, df.columns[2:])
 
 
 @query("lag_zero", 'SELECT channel_id, "date", ' + ", ".join(

@@ -34,10 +34,13 @@ def running(window):
     return window.rowsBetween(Window.unboundedPreceding, 0)
 
 
+def masks() -> list[Column]:
+    return [(F.col(c) > 0).cast("int").alias(m) for m, c in MASKS.items()]
+
+
 def with_masks(grid: DataFrame) -> DataFrame:
     """Day index ``i`` and 0/1 masks; the base of all features below."""
-    return grid.select("*", (F.row_number().over(by_day()) - 1).alias("i"),
-                       *[(F.col(c) > 0).cast("int").alias(m) for m, c in MASKS.items()])
+    return grid.select("*", (F.row_number().over(by_day()) - 1).alias("i"), *masks())
 
 
 # Window clauses as SQL text: one parsed expression per feature keeps wide marts cheap to plan.
@@ -285,30 +288,51 @@ def leave_one_out(facts: DataFrame, keys: list[str], columns: list[str], prefix:
     return joined.select(*[facts[c] for c in facts.columns], *out)
 
 
-def others_in_groups(facts: DataFrame, levels: dict[str, tuple[list[str], list[str], str | None]]) -> DataFrame:
-    """``leave_one_out`` for several nested groupings with one shuffle of the facts.
+# Members of a group whose sums one task hands out.
+WIDE = 10_000
+
 
-    ``levels`` maps a prefix to (keys, columns, observed).  Facts are summed once by
-    all keys together; that small table is rolled up to each grouping and joined
-    back once, on the finest keys, so that a large coarse group never meets the facts.
+def others_in_groups(days: DataFrame, levels: dict[str, tuple[list[str], list[str], str | None]], start: Column) -> DataFrame:
+    """``leave_one_out`` for several groupings, told for the days on which they differ from zero.
+
+    ``days`` holds (channel_id, date, group columns, values) of the days with records, and a row without a date for each
+    channel that may have none; the group columns are the same in all rows of a channel.  ``levels`` maps a prefix to
+    (keys, columns, observed), the day being a key of all.  A channel gets a row for each day on which one of its
+    groups has records, and one for ``start`` if nothing else; on all other days its columns are 0.
+
+    Groups are summed over the days with records and their sums handed to the members, whose own values are taken
+    off when all that belongs to a channel meets.  The rows come out by channel: a calendar is filled without another exchange.
     """
-    finest = list(dict.fromkeys(k for keys, _, _ in levels.values() for k in keys))
-    wanted = list(dict.fromkeys(c for _, columns, observed in levels.values() for c in [*columns, *([observed] if observed else [])]))
-    base = facts.groupBy(*finest).agg(*[F.sum(c).alias(f"_g_{c}") for c in wanted])
-    sums = base.select(*finest)
-    for prefix, (keys, columns, observed) in levels.items():
-        needed = [*columns, *([observed] if observed else [])]
-        level = base.groupBy(*keys).agg(*[F.sum(f"_g_{c}").alias(f"_{prefix}_{c}") for c in needed])
-        sums = sums.join(level, keys)
-    joined = facts.join(sums, finest)
+    groups = list(dict.fromkeys(k for keys, _, _ in levels.values() for k in keys))
+    wanted = {p: [*columns, *([observed] if observed else [])] for p, (_, columns, observed) in levels.items()}
+    members = days.select("channel_id", *groups).distinct()
+    rows = days.select("channel_id", F.coalesce("date", start).alias("date"), *[
+        (-F.col(c).cast("long")).alias(f"_{p}_{c}") for p, needed in wanted.items() for c in needed])
+    for prefix, (keys, _, _) in levels.items():
+        names = [f"_{prefix}_{c}" for c in wanted[prefix]]
+        sums = days.where("date IS NOT NULL").groupBy(*keys, "date").agg(*[
+            F.sum(c).alias(n) for c, n in zip(wanted[prefix], names)])
+        # The few groups with many members (one for WIDE channels at most) are dealt out to several tasks.
+        wide = F.broadcast(members.groupBy(*keys).count().where(F.col("count") > WIDE).select(
+            *keys, F.ceil(F.col("count") / WIDE).alias("_shares")))
+        shares = F.coalesce("_shares", F.lit(1))
+        asking = members.join(wide, keys, "left").select(
+            "channel_id", *keys, F.pmod(F.xxhash64("channel_id"), shares).alias("_share")).alias("m")
+        told = sums.join(wide, keys, "left").select(
+            *keys, "date", *names, F.explode(F.sequence(F.lit(0), shares - 1)).alias("_share")).alias("s")
+        same = [F.col(f"m.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+        handed = asking.join(told, [*same, F.col("m._share") == F.col("s._share")])
+        rows = rows.unionByName(handed.select("channel_id", "date", *names), allowMissingColumns=True)
+    others = rows.repartition("channel_id").groupBy("channel_id", "date").agg(*[
+        F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in rows.columns if n not in ("channel_id", "date")])
     out = []
     for prefix, (_, columns, observed) in levels.items():
         for c in columns:
-            other = F.col(f"_{prefix}_{c}") - F.col(c)
+            other = F.col(f"_{prefix}_{c}")
             out.append(other.alias(f"{prefix}_{c}_others"))
             if observed:
-                out.append((other / (1 + F.col(f"_{prefix}_{observed}") - F.col(observed))).alias(f"{prefix}_{c}_rate"))
-    return joined.select(*[facts[c] for c in facts.columns], *out)
+                out.append((other / (1 + F.col(f"_{prefix}_{observed}"))).alias(f"{prefix}_{c}_rate"))
+    return others.select("channel_id", "date", *out)
 
 
 CARRIED = ["intra_last_event_is_alarm", "intra_last_event_minute", "intra_last_alarm_minute",
